@@ -30,18 +30,51 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_docs(spark, sf_dir)).select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeforge.llm.lm_score import lm_scores
+
+    out = lm_scores(_docs(spark, sf_dir), remainder(F.col("doc_id"), 5) != 1)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeforge.llm.quality_fm import fit_quality, score_quality
+
+    docs = _docs(spark, sf_dir)
+    machine = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=lambda d: remainder(d, 5) != 0)
+    return score_quality(docs, machine).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probeforge.llm.quality_rules import quality_rules
 
     return quality_rules(_docs(spark, sf_dir))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeforge.llm.html_wrapper import extract_pages
+
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeforge.llm.neighbours import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probeforge.llm.packing import pack
 
     return pack(_docs(spark, sf_dir))
 
 
+def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeforge.llm.piece_lattice import encode_documents
+
+    return encode_documents(_docs(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probeforge.llm.toxicity import fit_toxicity, score_toxicity
 
