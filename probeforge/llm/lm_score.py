@@ -42,6 +42,8 @@ LEVEL_BASE = 1.25
 MIN_COUNT = 2
 BITS_PER_ENTRY = 9.6
 HASHES = 7
+#: Tokens whose counts a worker adds up before they are shuffled.
+PARTIAL_TOKENS = 1_500_000
 #: Bytes up to which filter and token table are broadcast.
 MAX_BYTES = 384 << 20
 
@@ -83,24 +85,29 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), lengths), token, context
 
 
-def _sums(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
 def count_tokens(train: DataFrame, what: str) -> DataFrame:
     """Counts of ``tokens`` (h, c) or ``bigrams`` (h, u, c) over column text of ``train``; partial counts for each batch."""
 
+    def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        token, context = (np.concatenate(x) for x in zip(*parts))
+        if what == "tokens":
+            h, c = np.unique(token, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+        h, at, c = np.unique(bigram(context, token), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context[at].view(np.int64)), pa.array(c)], names=["h", "u", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             column = binary_column(batch.column(0))
-            for a, b in slices(column, 16 << 20):
-                _, token, context = tokens(column.slice(a, b - a))
-                if what == "tokens":
-                    h, c = _sums(token)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
-                else:
-                    h, at, c = np.unique(bigram(context, token), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context[at].view(np.int64)), pa.array(c)], names=["h", "u", "c"])
+            for a, b in slices(column):
+                parts.append(tokens(column.slice(a, b - a))[1:])
+                held += len(parts[-1][0])
+                if held > PARTIAL_TOKENS:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if parts:
+            yield counted(parts)
 
     if what == "tokens":
         return train.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
