@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N_BEST = 4
-KEPT_UNITS = 500_000
+KEPT_UNITS = 900_000
 SPACE = "▁"
 SCHEMA = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, score double, n_best int, last_score double, round_trip boolean"
 
