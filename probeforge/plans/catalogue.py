@@ -2,10 +2,446 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from probeforge.functions import text as X
+from probeforge.operators import accounting as A
+from probeforge.operators import eligibility as E
+from probeforge.operators import pairing as P
+from probeforge.operators import quality as Q
+from probeforge.operators import sampling as S
+from probeforge.operators import scoring as R
+from probeforge.operators import splits as L
+from probeforge.operators import statistics as B
+from probeforge.plans import views as V
+from probeforge.plans.views import view
+from probeforge.schema import SCORABLE, STATUSES, Thresholds
+from probeforge.streaming import metrics as M
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def wrap(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eligibility gate, with thresholds for the smallest scale."""
+    return E.manifest(E.evaluate_cells(view(spark, sf_dir, V.EVID), Thresholds(n_min=5), with_ci=False))
+
+
+# --- SQL building blocks
+
+_n = lambda *s: f"count(*) FILTER (response_status IN ({', '.join(repr(x) for x in s)}))"
+_r = lambda a, b: f"CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0)"
+_ACC = ", ".join(
+    ["count(*) AS attempted", f"{_n(*SCORABLE)} AS scorable", *(f"{_n(s)} AS n_{s}" for s in STATUSES), f"{_r(_n('correct'), 'count(*)')} AS access_rate", f"{_r(_n('correct'), _n(*SCORABLE))} AS conditional_accuracy",
+     f"{_r(_n(*SCORABLE), 'count(*)')} AS coverage", f"{_r(_n('refusal'), 'count(*)')} AS refusal_rate", f"{_r(_n('invalid_format'), 'count(*)')} AS invalid_rate",
+     f"{_r(_n('policy_block'), 'count(*)')} AS policy_rate", f"{_r(_n('api_error', 'model_error'), 'count(*)')} AS error_rate"]
+)
+
+
+@register(f"SELECT user_id, {_ACC} FROM ({V.STATUS}) GROUP BY user_id")
+def response_accounting_by_user(spark, d):
+    return A.response_accounting(view(spark, d, V.STATUS), ["user_id"])
+
+
+@register(f"SELECT question_format, input_condition, concept_id, CAST(grouping(question_format, input_condition, concept_id) AS BIGINT) AS level, {_ACC} FROM ({V.EVID}) GROUP BY GROUPING SETS ((), (question_format, input_condition), (concept_id, input_condition))")
+def accounting_grouping_sets(spark, d):
+    return A.accounting_sets(view(spark, d, V.EVID), [[], ["question_format", "input_condition"], ["concept_id", "input_condition"]])
+
+
+@register(f"SELECT response_status, count(*) AS n FROM ({V.STATUS}) WHERE response_status NOT IN ('correct', 'incorrect') GROUP BY 1")
+def failure_counts(spark, d):
+    return A.failure_counts(view(spark, d, V.STATUS))
+
+
+_OUT = f"SELECT sample_id, CASE WHEN bool_or(response_status = 'correct') THEN 'leaked' WHEN bool_or(response_status = 'incorrect') THEN 'contained' ELSE 'unscorable' END AS outcome, sum(attack_unit_cost) AS cost, count(*) AS requests FROM ({{}}) GROUP BY sample_id"
+_WCL = """SELECT count(*) AS samples, count(*) FILTER (outcome = 'leaked') AS leaked, count(*) FILTER (outcome = 'contained') AS contained, count(*) FILTER (outcome = 'unscorable') AS unscorable,
+  CAST(count(*) FILTER (outcome = 'leaked') AS DOUBLE) / nullif(count(*) FILTER (outcome <> 'unscorable'), 0) AS wcl, CAST(count(*) FILTER (outcome <> 'unscorable') AS DOUBLE) / nullif(count(*), 0) AS scorable_sample_coverage,
+  CAST(sum(requests) AS BIGINT) AS attack_requests, CAST(sum(cost) AS BIGINT) AS attack_budget_spent FROM ({})"""
+
+
+@register(_WCL.format(_OUT.format(V.ATTACK)))
+def worst_case_leakage(spark, d):
+    return A.worst_case_leakage(view(spark, d, V.ATTACK))
+
+
+_ATT2 = "SELECT user_id AS sample_id, event_id, CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'click' THEN 'incorrect' ELSE 'refusal' END AS response_status, event_id % 5 + 1 AS attack_unit_cost FROM events"
+
+
+@register(_WCL.format(_OUT.format(f"SELECT * FROM (SELECT *, sum(attack_unit_cost) OVER (PARTITION BY sample_id ORDER BY attack_unit_cost, event_id ROWS UNBOUNDED PRECEDING) AS running FROM ({_ATT2})) WHERE running <= 6")))
+def leakage_under_budget(spark, d):
+    return A.worst_case_leakage(A.within_budget(view(spark, d, _ATT2), 6, ["attack_unit_cost", "event_id"]))
+
+
+_sh = lambda c: f"CAST(count(*) FILTER ({c}) AS DOUBLE) / nullif(count(*), 0)"
+_clean = "m0_status IN ('correct', 'incorrect') AND mu_status IN ('correct', 'incorrect')"
+_d = lambda s: f"{_sh(f'mu_status IN ({s})')} - {_sh(f'm0_status IN ({s})')}"
+_FE = f"""count(*) AS pairs, {_sh("m0_status = 'correct'")} - {_sh("mu_status = 'correct'")} AS fe_access,
+  CAST(count(*) FILTER ({_clean} AND m0_status = 'correct') AS DOUBLE) / nullif(count(*) FILTER ({_clean}), 0) - CAST(count(*) FILTER ({_clean} AND mu_status = 'correct') AS DOUBLE) / nullif(count(*) FILTER ({_clean}), 0) AS fe_clean,
+  count(*) FILTER ({_clean}) AS clean_pairs, {_d("'correct', 'incorrect'")} AS delta_coverage, {_d("'refusal'")} AS delta_refusal, {_d("'invalid_format'")} AS delta_invalid, {_d("'policy_block'")} AS delta_policy, {_d("'api_error', 'model_error'")} AS delta_error"""
+
+
+@register(f"SELECT concept_id, {_FE} FROM ({V.PAIR}) GROUP BY concept_id")
+def forgetting_effect_by_concept(spark, d):
+    p = view(spark, d, V.PAIR)
+    side = lambda s: p.select("sample_id", "concept_id", F.col(f"{s}_status").alias("response_status"), F.col(f"{s}_prediction").alias("prediction"))
+    return P.forgetting_effect(P.paired(side("m0"), side("mu"), ["sample_id", "concept_id"]), ["concept_id"])
+
+
+@register(f"""SELECT concept_id, count(*) AS pairs, count(*) FILTER (m0_status = 'correct' AND mu_status = 'correct') AS kept, count(*) FILTER (m0_status = 'correct' AND mu_status <> 'correct') AS lost,
+  count(*) FILTER (m0_status <> 'correct' AND mu_status = 'correct') AS gained, CAST(count(*) FILTER (m0_status = 'correct' AND mu_status = 'correct') AS DOUBLE) / nullif(count(*) FILTER (m0_status = 'correct'), 0) AS retain_fidelity,
+  count(*) FILTER (m0_prediction IS NOT NULL AND mu_prediction IS NOT NULL) AS comparable, CAST(count(*) FILTER (m0_prediction = mu_prediction) AS DOUBLE) / nullif(count(*) FILTER (m0_prediction IS NOT NULL AND mu_prediction IS NOT NULL), 0) AS output_consistency
+  FROM ({V.PAIR}) GROUP BY concept_id""")
+def retain_transitions(spark, d):
+    return P.retain_fidelity(view(spark, d, V.PAIR), ["concept_id"])
+
+
+@register(f"""WITH a AS (SELECT sample_id FROM ({V.PAIR}) WHERE sample_id % 10 <> 3 UNION ALL SELECT sample_id FROM ({V.PAIR}) WHERE sample_id % 50 = 1), b AS (SELECT sample_id FROM ({V.PAIR}) WHERE sample_id % 10 <> 4),
+  x AS (SELECT sample_id, count(*) AS n FROM a GROUP BY 1), y AS (SELECT sample_id, count(*) AS n FROM b GROUP BY 1), z AS (SELECT coalesce(x.sample_id, y.sample_id) AS sample_id, x.n AS n0, y.n AS nu FROM x FULL JOIN y ON x.sample_id = y.sample_id)
+  SELECT 'duplicate_m0' AS rule, sample_id FROM z WHERE n0 > 1 UNION ALL SELECT 'duplicate_mu', sample_id FROM z WHERE nu > 1 UNION ALL SELECT 'unpaired_mu', sample_id FROM z WHERE n0 IS NULL UNION ALL SELECT 'unpaired_m0', sample_id FROM z WHERE nu IS NULL""")
+def pairing_violations(spark, d):
+    p = view(spark, d, V.PAIR).select("sample_id")
+    m0 = p.where("sample_id % 10 <> 3").unionByName(p.where("sample_id % 50 = 1"))
+    return P.pair_violations(m0, p.where("sample_id % 10 <> 4"), ["sample_id"])
+
+
+@register(f"SELECT concept_id, count(*) AS samples, {_sh("acq_status = 'correct'")} - {_sh("m0_status = 'correct'")} AS delta_acq, {_sh("mu_status = 'correct'")} - {_sh("acq_status = 'correct'")} AS delta_unlearn, {_sh("mu_status = 'correct'")} - {_sh("m0_status = 'correct'")} AS delta_total FROM ({V.PAIR}) GROUP BY concept_id")
+def acquisition_audit(spark, d):
+    return P.acquisition_audit(view(spark, d, V.PAIR), ["concept_id"])
+
+
+_STRATA = "SELECT c_custkey AS o_custkey, r_name AS stratum FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+@register(f"SELECT stratum, count(*) AS pairs, {_sh("m0_status = 'correct'")} - {_sh("mu_status = 'correct'")} AS damage FROM ({V.PAIR}) JOIN ({_STRATA}) USING (o_custkey) GROUP BY stratum")
+def neighbourhood_damage(spark, d):
+    return P.neighbourhood_damage(view(spark, d, V.PAIR).join(view(spark, d, _STRATA), "o_custkey"), "stratum")
+
+
+@register(f"""WITH c AS (SELECT concept_id, count(*) FILTER (m0_status = 'correct' AND mu_status <> 'correct') AS b, count(*) FILTER (m0_status <> 'correct' AND mu_status = 'correct') AS c FROM ({V.PAIR}) GROUP BY concept_id)
+  SELECT concept_id, b AS only_before, c AS only_after, pow(CAST(greatest(abs(b - c) - 1, 0) AS DOUBLE), 2) / nullif(CAST(b + c AS DOUBLE), 0) AS mcnemar FROM c""")
+def discordant_pairs(spark, d):
+    return P.discordance(view(spark, d, V.PAIR), ["concept_id"])
+
+
+_GATE = f"""WITH e AS ({V.EVID}), c AS (SELECT concept_id, question_format, count(*) FILTER (input_condition = 'normal_image') AS n,
+    CAST(count(*) FILTER (input_condition = 'normal_image' AND response_status = 'correct') AS DOUBLE) / nullif(count(*) FILTER (input_condition = 'normal_image'), 0) AS a,
+    CAST(count(*) FILTER (input_condition = 'no_image' AND response_status = 'correct') AS DOUBLE) / nullif(count(*) FILTER (input_condition = 'no_image'), 0) AS c1,
+    CAST(count(*) FILTER (input_condition = 'option_only' AND response_status = 'correct') AS DOUBLE) / nullif(count(*) FILTER (input_condition = 'option_only'), 0) AS c2,
+    CAST(count(*) FILTER (input_condition = 'shuffled_image' AND response_status = 'correct') AS DOUBLE) / nullif(count(*) FILTER (input_condition = 'shuffled_image'), 0) AS c3 FROM e GROUP BY 1, 2),
+  v AS (SELECT concept_id, question_format, min(x) AS lo, max(x) AS hi FROM (SELECT concept_id, question_format, prompt_variant_id, CAST(count(*) FILTER (response_status = 'correct') AS DOUBLE) / count(*) AS x FROM e WHERE input_condition = 'normal_image' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  g AS (SELECT c.*, lo, hi, CASE WHEN c1 IS NOT NULL AND c2 IS NOT NULL AND c3 IS NOT NULL THEN a - greatest(c1, c2, c3) END AS gap FROM c LEFT JOIN v USING (concept_id, question_format)),
+  k AS (SELECT *, list_filter([CASE WHEN n < 50 THEN 'INSUFFICIENT_SAMPLES' END, CASE WHEN n > 0 AND a < CASE question_format WHEN 'mcq' THEN 0.6 ELSE 0.5 END THEN 'LOW_NORMAL_ACCESS' END, CASE WHEN n > 0 AND (c1 IS NULL OR c2 IS NULL OR c3 IS NULL) THEN 'MISSING_CONTROL' END,
+     CASE WHEN n > 0 AND gap < 0.2 THEN 'LOW_VISUAL_GAP' END, CASE WHEN n > 0 AND question_format = 'mcq' AND (lo < 0.5 OR hi - lo > 0.15) THEN 'VARIANT_INSTABILITY' END], lambda x: x IS NOT NULL) AS codes FROM g)"""
+
+
+@register(f"{_GATE} SELECT concept_id, question_format, n AS n_normal, a AS normal_access, gap AS visual_gap, array_to_string(codes, ',') AS codes FROM k")
+def eligibility_cells(spark, d):
+    return E.evaluate_cells(view(spark, d, V.EVID), with_ci=False).select("concept_id", "question_format", "n_normal", "normal_access", "visual_gap", F.array_join("codes", ",").alias("codes"))
+
+
+@register(f"{_GATE} SELECT concept_id, bool_and(len(codes) = 0) AS eligible FROM k GROUP BY concept_id")
+def eligibility_gate(spark, d):
+    return E.manifest(E.evaluate_cells(view(spark, d, V.EVID), with_ci=False)).select("concept_id", "eligible")
+
+
+@register(f"{_GATE} SELECT question_format, code, count(*) AS n FROM (SELECT question_format, UNNEST(codes) AS code FROM k) GROUP BY 1, 2")
+def failure_code_counts(spark, d):
+    return E.code_counts(E.evaluate_cells(view(spark, d, V.EVID), with_ci=False))
+
+
+@register(f"{_GATE}, ok AS (SELECT concept_id FROM k GROUP BY 1 HAVING bool_and(len(codes) = 0)) SELECT input_condition, {_ACC} FROM e WHERE concept_id IN (SELECT concept_id FROM ok) GROUP BY input_condition")
+def eligible_only_metrics(spark, d):
+    e = view(spark, d, V.EVID)
+    return A.response_accounting(E.eligible_only(e, E.manifest(E.evaluate_cells(e, with_ci=False))), ["input_condition"])
+
+
+@register()
+def eligibility_with_intervals(spark, d):
+    return E.evaluate_cells(view(spark, d, V.EVID), Thresholds(replicates=500)).select("concept_id", "question_format", "normal_access", "ci_low", "ci_high", F.array_join("codes", ",").alias("codes"))
+
+
+@register()
+def bootstrap_ci_native(spark, d):
+    e = view(spark, d, V.EVID).where("input_condition = 'normal_image'").select("concept_id", (F.col("response_status") == "correct").cast("double").alias("x"))
+    return B.bootstrap_ci(e, ["concept_id"], "x", replicates=500)
+
+
+@register()
+def paired_bootstrap(spark, d):
+    p = view(spark, d, V.PAIR).select("concept_id", (F.col("m0_status") == "correct").cast("double").alias("a"), (F.col("mu_status") == "correct").cast("double").alias("b"))
+    return B.paired_bootstrap(p, ["concept_id"], "a", "b", replicates=200)
+
+
+@register("SELECT l_returnflag, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.025) AS low, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.975) AS high FROM lineitem GROUP BY 1")
+def percentile_interpolation(spark, d):
+    x = F.col("l_extendedprice").cast("double")
+    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(F.percentile(x, F.lit(0.025)).alias("low"), F.percentile(x, F.lit(0.975)).alias("high"))
+
+
+_LEG = f"""SELECT split, condition, CAST(sum(n) AS BIGINT) AS n, avg(CAST(k AS DOUBLE) / n) AS macro_accuracy, CAST(sum(k) AS DOUBLE) / sum(n) AS micro_accuracy, CAST(sum(i) AS DOUBLE) / sum(n) AS invalid_rate
+  FROM (SELECT split, condition, meta_synset, count(*) AS n, count(*) FILTER (gt_index = pred_index) AS k, count(*) FILTER (pred_index IS NULL) AS i FROM ({V.LEGACY}) GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+@register(_LEG)
+def macro_micro_accuracy(spark, d):
+    return A.accuracy(view(spark, d, V.LEGACY), ["split", "condition"])
+
+
+@register(f"SELECT split, max(micro_accuracy) FILTER (condition = 'BASELINE_NORMAL') AS BASELINE_NORMAL, max(micro_accuracy) FILTER (condition = 'UNLEARN_SOFT') AS UNLEARN_SOFT, max(micro_accuracy) FILTER (condition = 'ORACLE_HARD') AS ORACLE_HARD FROM ({_LEG}) GROUP BY split")
+def summary_pivot(spark, d):
+    return A.summary_pivot(A.accuracy(view(spark, d, V.LEGACY), ["split", "condition"]), ["BASELINE_NORMAL", "UNLEARN_SOFT", "ORACLE_HARD"])
+
+
+@register(f"SELECT split, condition, count(*) FILTER (pred_index = 0) AS n0, count(*) FILTER (pred_index = 1) AS n1, count(*) FILTER (pred_index = 2) AS n2, count(*) FILTER (pred_index = 3) AS n3, count(*) AS n_valid, entropy(pred_index) AS entropy FROM ({V.LEGACY}) WHERE pred_index BETWEEN 0 AND 3 GROUP BY 1, 2")
+def prediction_entropy(spark, d):
+    return A.prediction_entropy(view(spark, d, V.LEGACY), ["split", "condition"])
+
+
+@register(f"SELECT meta_synset, CAST(count(*) FILTER (gt_index = pred_index) AS DOUBLE) / count(*) AS accuracy FROM ({V.LEGACY}) GROUP BY 1 ORDER BY 2, 1 LIMIT 5")
+def hardest_classes(spark, d):
+    return A.hardest_classes(view(spark, d, V.LEGACY))
+
+
+@register("SELECT vec_id, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS prediction, CASE WHEN list_position(embedding[1:4], list_max(embedding[1:4])) - 1 = label % 4 THEN 'correct' ELSE 'incorrect' END AS response_status FROM embeddings")
+def logit_argmax(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").withColumns({"logits": F.slice("embedding", 1, 4), "answer": F.col("label") % 4})
+    s = e.withColumn("s", R.score_logits("logits", "answer"))
+    return s.select("vec_id", F.col("s.prediction").cast("int").alias("prediction"), F.col("s.response_status").alias("response_status"))
+
+
+_REF = "|".join(p.replace("'", "''") for p in X.REFUSALS)
+_DIGIT = r"regexp_extract(raw_output, '\b([0-3])\b', 1)"
+_TXT = "list_position(['en', 'de', 'fr', 'src1'], lower(trim(raw_output)))"
+
+
+@register(f"""WITH r AS (SELECT *, CASE WHEN {_DIGIT} <> '' THEN CAST({_DIGIT} AS INT) WHEN {_TXT} > 0 THEN {_TXT} - 1 END AS p, regexp_matches(raw_output, '{_REF}', 'i') AS refused FROM ({V.RAW}))
+  SELECT request_id, CAST(p AS VARCHAR) AS prediction, CASE WHEN p = answer_index THEN 'correct' WHEN p IS NOT NULL THEN 'incorrect' WHEN refused THEN 'refusal' ELSE 'invalid_format' END AS response_status FROM r""")
+def score_mcq(spark, d):
+    r = view(spark, d, V.RAW).withColumn("choices", F.array(*map(F.lit, ("en", "de", "fr", "src1"))))
+    return r.withColumn("s", R.score_mcq("raw_output", "choices", "answer_index")).select("request_id", "s.prediction", "s.response_status")
+
+
+@register(f"""WITH r AS (SELECT *, trim(raw_output, ' .,!?"''()') AS bare, regexp_matches(raw_output, '{_REF}', 'i') AS refused FROM ({V.RAW}))
+  SELECT request_id, CASE WHEN trim(raw_output) = '' THEN 'invalid_format' WHEN lower(bare) IN (lower(lang), 'source') THEN 'correct' WHEN refused THEN 'refusal' ELSE 'incorrect' END AS response_status FROM r""")
+def score_short_answer(spark, d):
+    r = view(spark, d, V.RAW).withColumn("accepted", F.array("lang", F.lit("source")))
+    return r.withColumn("s", R.score_short_answer("raw_output", "accepted")).select("request_id", "s.response_status")
+
+
+@register(f"SELECT request_id, regexp_matches(raw_output, '{_REF}', 'i') AS refused FROM ({V.RAW})")
+def refusal_detection(spark, d):
+    return view(spark, d, V.RAW).select("request_id", X.refusal_match("raw_output").isNotNull().alias("refused"))
+
+
+@register(f"SELECT item_seq, wnid, row_number() OVER (PARTITION BY wnid ORDER BY image_relpath) AS turn FROM ({V.ITEM}) ORDER BY turn, wnid LIMIT 200")
+def round_robin_sample(spark, d):
+    return S.round_robin(view(spark, d, V.ITEM), "wnid", ["image_relpath"], 200).select("item_seq", "wnid", "turn")
+
+
+_h = lambda *p: f"sha256(concat({', '.join(p)}))"
+_DIST = f"""WITH i AS ({V.ITEM}), c AS ({V.CLASSES}), p AS (SELECT item_seq, c.wnid, c.class_name, row_number() OVER (PARTITION BY item_seq ORDER BY CAST(c.superclass <> i.superclass AS INT), {_h("'7h|'", "item_seq", "'|'", "c.wnid")}) AS rn FROM i JOIN c ON c.wnid <> i.wnid),
+  e AS (SELECT *, row_number() OVER (PARTITION BY item_seq ORDER BY {_h("'7e|'", "item_seq", "'|'", "wnid")}) AS en FROM p WHERE rn > 2)
+  SELECT item_seq, 'hard' AS role, wnid, class_name FROM p WHERE rn <= 2 UNION ALL SELECT item_seq, 'easy', wnid, class_name FROM e WHERE en <= 1"""
+
+
+@register(_DIST)
+def hard_easy_distractors(spark, d):
+    return S.distractors(view(spark, d, V.ITEM), view(spark, d, V.CLASSES), 2, 1, 7)
+
+
+_DER = f"""WITH i AS ({V.ITEM}), s AS (SELECT wnid, count(*) AS size FROM i GROUP BY 1), p AS (SELECT item_seq, i.wnid, row_number() OVER (ORDER BY size DESC, i.wnid, {_h("'7|'", "item_seq")}, item_seq) - 1 AS pos FROM i JOIN s USING (wnid)),
+  t AS (SELECT max(size) AS shift, sum(size) AS n FROM s) SELECT a.item_seq, a.wnid, b.item_seq AS donor, b.wnid AS donor_concept FROM p a CROSS JOIN t JOIN p b ON b.pos = (a.pos + shift) % n"""
+
+
+@register(_DER)
+def shuffled_image_derangement(spark, d):
+    items = view(spark, d, V.ITEM).withColumn("one", F.lit(1))
+    return S.derangement(items, 7, ["one"], "item_seq", "wnid").drop("one")
+
+
+_MCQ = f"SELECT item_seq, superclass, wnid, 'mcq' AS question_format, item_seq % 4 AS answer_index FROM ({V.ITEM})"
+
+
+def _mcq(spark, d):
+    c = F.array(F.concat(F.lit("a"), F.col("item_seq").cast("string")), F.concat(F.lit("b"), F.col("item_seq").cast("string")), F.concat(F.lit("c"), F.col("item_seq").cast("string")), F.concat(F.lit("d"), F.col("item_seq").cast("string")))
+    return view(spark, d, _MCQ).withColumns({"choices": c, "answer_index": F.col("answer_index").cast("int")})
+
+
+@register(f"""WITH i AS ({_MCQ}), t AS (SELECT item_seq, superclass, (row_number() OVER (PARTITION BY superclass ORDER BY {_h("'7|'", "item_seq")}, item_seq) - 1) % 4 AS answer_index, concat(chr(CAST(97 + answer_index AS INT)), item_seq) AS answer FROM i)
+  SELECT item_seq, superclass, CAST(answer_index AS INT) AS answer_index, answer FROM t""")
+def option_randomization(spark, d):
+    out = S.randomize_options(_mcq(spark, d), 7, ["superclass"], "item_seq")
+    return out.select("item_seq", "superclass", "answer_index", F.element_at("choices", F.col("answer_index") + 1).alias("answer"))
+
+
+@register(f"SELECT superclass, CAST(4 AS INT) AS n_choices, max(n) AS most, min(n) AS least FROM (SELECT superclass, answer_index, count(*) AS n FROM ({_MCQ}) GROUP BY 1, 2) GROUP BY 1 HAVING max(n) - CASE WHEN count(*) < 4 THEN 0 ELSE min(n) END > 1")
+def answer_imbalance(spark, d):
+    return Q.imbalance(_mcq(spark, d), ["superclass"]).select("superclass", "n_choices", "most", "least")
+
+
+@register(f"SELECT item_seq, condition FROM ({V.ITEM}) CROSS JOIN (VALUES ('normal_image'), ('no_image'), ('option_only'), ('shuffled_image')) t(condition)")
+def control_variant_fanout(spark, d):
+    i = view(spark, d, V.ITEM)
+    items = i.select(
+        "item_seq", F.col("item_seq").cast("string").alias("item_id"), F.col("item_seq").cast("string").alias("sample_id"), F.col("image_relpath").alias("image"), F.concat(F.lit("im"), "item_seq").alias("image_id"), F.col("wnid").alias("concept_id"), F.lit("p").alias("probe_id"), F.lit("P1_DIRECT").alias("probe_family"),
+        F.lit("v").alias("prompt_variant_id"), F.lit("mcq").alias("question_format"), F.lit("normal_image").alias("input_condition"), F.lit("what?").alias("question"), F.array("class_name", F.lit("zebra")).alias("choices"), F.lit("d").alias("dataset_id"), F.lit("test_forget").alias("split"),
+    )
+    return S.control_variants(items, 7).select("item_seq", F.col("input_condition").alias("condition"))
+
+
+@register(f"SELECT pairing_id, array_to_string(list_filter(['no_image', 'normal_image', 'option_only', 'shuffled_image'], lambda x: NOT list_contains(have, x)), ',') AS missing FROM (SELECT concept_id || prompt_variant_id AS pairing_id, list(DISTINCT input_condition) AS have FROM ({V.EVID}) WHERE NOT (concept_id IN ('c3', 'c4') AND input_condition = 'no_image') GROUP BY 1) WHERE len(have) < 4")
+def core_control_check(spark, d):
+    e = view(spark, d, V.EVID).where("not (concept_id in ('c3', 'c4') and input_condition = 'no_image')").withColumn("pairing_id", F.concat("concept_id", "prompt_variant_id"))
+    return Q.missing_controls(e).select("pairing_id", F.array_join("missing", ",").alias("missing"))
+
+
+_FORGET = f"SELECT wnid FROM ({V.CLASSES}) ORDER BY {_h("'7|'", "wnid")}, wnid LIMIT 5"
+
+
+@register(f"""WITH f AS ({_FORGET}), i AS ({V.ITEM}), r AS (SELECT item_seq, wnid, row_number() OVER (PARTITION BY wnid ORDER BY {_h("'7|'", "item_seq")}, item_seq) AS rn FROM i WHERE wnid IN (SELECT wnid FROM f)),
+  q AS (SELECT item_seq, wnid, row_number() OVER (ORDER BY {_h("'7|'", "item_seq")}, item_seq) AS rn FROM i WHERE wnid NOT IN (SELECT wnid FROM f))
+  SELECT item_seq, wnid, CASE WHEN rn <= 10 THEN 'test_forget' ELSE 'train_forget' END AS split FROM r WHERE rn <= 30 UNION ALL SELECT item_seq, wnid, CASE WHEN rn <= 100 THEN 'train_retain' ELSE 'test_retain' END FROM q WHERE rn <= 150""")
+def split_forget_retain(spark, d):
+    i, c = view(spark, d, V.ITEM), view(spark, d, V.CLASSES)
+    f = L.random_k(c, "wnid", 5, 7)
+    out = L.split_forget(i, f, "wnid", "item_seq", 20, 10, 7).unionByName(L.split_retain(i, f, "wnid", "item_seq", 100, 50, 7))
+    return out.select("item_seq", "wnid", "split")
+
+
+@register(f"WITH f AS ({_FORGET}) SELECT wnid, count(*) AS n FROM ({V.ITEM}) WHERE wnid NOT IN (SELECT wnid FROM f) GROUP BY 1")
+def retain_pool_anti(spark, d):
+    f = L.random_k(view(spark, d, V.CLASSES), "wnid", 5, 7)
+    return view(spark, d, V.ITEM).join(f.select("wnid"), "wnid", "left_anti").groupBy("wnid").agg(F.count("*").alias("n"))
+
+
+@register(f"SELECT wnid, superclass FROM (SELECT *, row_number() OVER (PARTITION BY superclass ORDER BY {_h("'7|'", "wnid")}, wnid) AS turn FROM ({V.CLASSES})) ORDER BY turn, {_h("'7|'", "superclass")}, superclass LIMIT 12")
+def superclass_balanced_k(spark, d):
+    return L.balanced_k(view(spark, d, V.CLASSES), "wnid", "superclass", 12, 7).select("wnid", "superclass")
+
+
+_SPL = f"SELECT item_seq, wnid, superclass, CASE item_seq % 4 WHEN 0 THEN 'train_forget' WHEN 1 THEN 'test_forget' WHEN 2 THEN 'train_retain' ELSE 'test_retain' END AS split FROM ({V.ITEM})"
+
+
+@register(f"SELECT a.split AS s1, b.split AS s2, count(*) AS shared FROM (SELECT DISTINCT split, wnid FROM ({_SPL})) a JOIN (SELECT DISTINCT split, wnid FROM ({_SPL})) b ON a.wnid = b.wnid AND a.split < b.split GROUP BY 1, 2")
+def class_leakage(spark, d):
+    return L.class_leakage(view(spark, d, _SPL), "wnid")
+
+
+@register(f"SELECT wnid, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits, count(*) AS n FROM ({_SPL}) GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def split_overlap(spark, d):
+    return L.overlap(view(spark, d, _SPL), "wnid").select("wnid", F.array_join("splits", ",").alias("splits"), "n")
+
+
+@register(f"SELECT wnid, count(*) AS n FROM ({V.ITEM}) GROUP BY 1 ORDER BY n DESC, wnid LIMIT 10")
+def split_stats(spark, d):
+    return A.split_stats(view(spark, d, V.ITEM), "wnid")
+
+
+_CH = """CASE kind WHEN 0 THEN [class_name, 'cat', 'dog'] WHEN 1 THEN [class_name, 'cat', 'CAT ', 'dog'] WHEN 2 THEN [class_name, '', 'dog', 'bird'] WHEN 3 THEN [class_name, 'a_b', 'dog', repeat('x', 41)] ELSE [class_name, 'cat', 'dog', 'bird'] END"""
+_RS = f"""WITH q AS (SELECT *, {_CH} AS choices FROM ({V.QC})), r AS (SELECT seq, id, wnid, class_name, list_filter([CASE WHEN kind = 3 THEN 'choice_contains_forbidden_token' END, CASE WHEN kind = 3 THEN 'choice_too_long' END, CASE WHEN kind = 1 THEN 'duplicate_choices_case_insensitive' END, CASE WHEN kind = 2 THEN 'empty_choice' END,
+   CASE WHEN answer_index < 0 OR answer_index >= len(choices) THEN 'invalid_answer_index' END, CASE WHEN kind = 0 THEN 'invalid_choice_count' END], lambda x: x IS NOT NULL) AS rs FROM q),
+  f AS (SELECT *, min(CASE WHEN len(rs) = 0 THEN seq END) OVER (PARTITION BY id) AS first FROM r), z AS (SELECT seq, id, wnid, class_name, CASE WHEN seq > first THEN list_sort(list_append(rs, 'duplicate_id')) ELSE rs END AS rs FROM f)"""
+
+
+def _qc(spark, d):
+    k, c = F.col("kind"), F.col("class_name")
+    lits = lambda *xs: F.array(c, *(x if not isinstance(x, str) else F.lit(x) for x in xs))
+    choices = F.when(k == 0, lits("cat", "dog")).when(k == 1, lits("cat", "CAT ", "dog")).when(k == 2, lits("", "dog", "bird")).when(k == 3, lits("a_b", "dog", "x" * 41)).otherwise(lits("cat", "dog", "bird"))
+    return Q.with_duplicates(view(spark, d, V.QC).withColumn("choices", choices).withColumn("reasons", Q.choice_reasons()))
+
+
+@register(f"{_RS} SELECT seq, array_to_string(rs, ',') AS reasons FROM z")
+def qc_reject_reasons(spark, d):
+    return _qc(spark, d).select("seq", F.array_join("reasons", ",").alias("reasons"))
+
+
+@register(f"{_RS} SELECT reason, count(*) AS n FROM (SELECT UNNEST(rs) AS reason FROM z) GROUP BY 1 ORDER BY n DESC, reason LIMIT 5")
+def qc_top_reasons(spark, d):
+    return Q.reject_counts(_qc(spark, d))
+
+
+@register(f"{_RS} SELECT count(*) AS processed, count(*) FILTER (len(rs) = 0) AS accepted, count(*) FILTER (len(rs) > 0) AS rejected, count(DISTINCT wnid) AS classes, count(DISTINCT class_name) FILTER (len(rs) = 0) AS concepts, CAST(count(*) FILTER (len(rs) > 0) AS DOUBLE) / count(*) AS reject_rate FROM z")
+def pool_statistics(spark, d):
+    return Q.pool_stats(_qc(spark, d))
+
+
+_ANN = "SELECT l_orderkey AS image_id, l_partkey AS category_id, CAST(l_extendedprice AS DOUBLE) AS area, l_returnflag = 'R' AS iscrowd, l_suppkey * 100000 + l_linenumber * 1000 + CAST(l_quantity AS INT) AS ann_pos FROM lineitem"
+
+
+@register(f"""WITH a AS (SELECT * FROM ({_ANN}) WHERE NOT iscrowd), p AS (SELECT image_id, count(*) AS n, list_sort(list(DISTINCT category_id)) AS cats, max(area) AS area FROM a GROUP BY 1 HAVING count(*) <= 3)
+  SELECT p.image_id, p.area, len(cats) AS n_categories FROM p JOIN (SELECT o_orderkey AS image_id, CAST(CAST(o_totalprice AS INT) AS DOUBLE) * 10 AS px FROM orders) i ON i.image_id = p.image_id WHERE px > 0 AND area >= 0.02 * px""")
+def single_label_policy(spark, d):
+    images = view(spark, d, "SELECT o_orderkey AS image_id, CAST(o_totalprice AS INT) AS width, 10 AS height FROM orders")
+    return Q.single_label(view(spark, d, _ANN), images, single=False).select("image_id", "area", F.size("categories").cast("bigint").alias("n_categories"))
+
+
+@register(f"""SELECT item_seq, concat_ws('_', 'pool', 'train', wnid, substr(sha1(image_relpath), 1, 8)) AS item_key, concat('image:', substr(sha256(concat('["pool", "', image_relpath, '"]')), 1, 20)) AS image_id, CAST(concat('0x', substr(sha1(image_relpath), 1, 8)) AS BIGINT) AS path_seed,
+  substr(sha256(concat('["', class_name, '", "', superclass, '"]')), 1, 12) AS order_hash, regexp_replace(class_name, '[^a-z0-9]+', '-', 'g') AS slug FROM ({V.ITEM})""")
+def stable_ids(spark, d):
+    i = view(spark, d, V.ITEM)
+    return i.select("item_seq", X.item_key("pool", "image_relpath", "wnid").alias("item_key"), X.stable_id("image", F.lit("pool"), "image_relpath").alias("image_id"), X.path_seed("image_relpath").alias("path_seed"), X.order_hash(F.array("class_name", "superclass")).alias("order_hash"), X.slug("class_name").alias("slug"))
+
+
+@register(f"SELECT item_seq, concat('Q: What is ', class_name, '?', chr(10), chr(10), '0) ', class_name, chr(10), '1) ', superclass, chr(10), chr(10), 'Reply with a single digit 0, or 1 — nothing else.', chr(10), 'Answer:') AS prompt FROM ({V.ITEM})")
+def rendered_prompts(spark, d):
+    return view(spark, d, V.ITEM).select("item_seq", X.render_prompt(F.lit("mcq"), F.concat(F.lit("What is "), "class_name", F.lit("?")), F.array("class_name", "superclass")).alias("prompt"))
+
+
+@register("""SELECT m.method_id, o.model_id, array_to_string(list_sort(list_filter(m.req, lambda x: NOT list_contains(o.caps, x))), ',') AS missing, len(list_filter(m.req, lambda x: NOT list_contains(o.caps, x))) = 0 AS supported
+  FROM (VALUES ('noop', CAST([] AS VARCHAR[])), ('grad', ['supports_gradients', 'supports_weight_updates']), ('filter', ['supports_output_filtering'])) m(method_id, req) CROSS JOIN (VALUES ('api', ['supports_output_filtering']), ('open', ['supports_gradients', 'supports_weight_updates'])) o(model_id, caps)""")
+def capability_gate(spark, d):
+    from probeforge.operators.inference import capability_gate as gate
+
+    methods = spark.createDataFrame([("noop", []), ("grad", ["supports_gradients", "supports_weight_updates"]), ("filter", ["supports_output_filtering"])], "method_id string, required_capabilities array<string>")
+    models = spark.createDataFrame([("api", {"supports_output_filtering": True}), ("open", {"supports_gradients": True, "supports_weight_updates": True, "supports_output_filtering": False})], "model_id string, capabilities map<string, boolean>")
+    return gate(methods, models).select("method_id", "model_id", F.array_join("missing", ",").alias("missing"), "supported")
+
+
+@register(f"SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, {_ACC} FROM ({V.STATUS}) GROUP BY 1")
+def stream_daily_accounting(spark, d):
+    return M.windowed_accounting(view(spark, d, V.STATUS)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register(f"""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, request_id) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM ({V.STATUS} ) x), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) FROM e))
+  SELECT user_id, CAST(count(DISTINCT s) AS BIGINT) AS sessions, count(*) AS n FROM g GROUP BY 1""")
+def session_activity(spark, d):
+    s = M.sessions(view(spark, d, V.STATUS).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", gap="6 hours")
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+
+
+@register(f"SELECT count(*) AS requests FROM (SELECT DISTINCT request_id FROM ({V.STATUS}))")
+def stream_dedup(spark, d):
+    s = view(spark, d, V.STATUS)
+    return M.first_requests(s.unionByName(s.where("request_id % 3 = 0"))).agg(F.count("*").alias("requests"))
+
+
+@register(f"SELECT wnid FROM ({V.ITEM}) GROUP BY 1 HAVING count(*) >= 60")
+def eligible_class_pool(spark, d):
+    return L.eligible_classes(view(spark, d, V.ITEM), "wnid", 60)
+
+
+@register("SELECT l_returnflag, l_linenumber AS pos, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_linenumber) AS rank, n FROM (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)")
+def rank_by_count(spark, d):
+    g = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag", F.col("l_linenumber").alias("pos")).agg(F.count("*").alias("n"))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.desc("n"), "pos")).cast("bigint"))
