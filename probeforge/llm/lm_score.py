@@ -43,7 +43,7 @@ MIN_COUNT = 2
 BITS_PER_ENTRY = 9.6
 HASHES = 7
 #: Tokens whose counts a worker adds up before they are shuffled.
-PARTIAL_TOKENS = 1_500_000
+PARTIAL_TOKENS = 1_000_000
 #: Bytes up to which filter and token table are broadcast.
 MAX_BYTES = 384 << 20
 
@@ -231,19 +231,21 @@ def _gathered(n: int, v: int, table: DataFrame, bigrams: DataFrame, entries: int
                 yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part"])
 
         assert names
-        for cell in df.mapInArrow(pack, "part binary").toLocalIterator(prefetchPartitions=True):
+        for cell in df.mapInArrow(pack, "part binary").toLocalIterator():
             yield pa.ipc.open_stream(cell["part"]).read_all()
 
     counts = CountFilter(entries)
     for part in parts(bigrams.select("h", "c")):
         counts.add(part["h"].to_numpy().view(np.uint64), level(part["c"].to_numpy()))
-    columns: list[list[np.ndarray]] = [[], [], [], []]
+    h, c, s, t = np.empty(v, np.uint64), np.empty(v, np.int64), np.empty(v, np.float32), np.empty(v, np.int32)
+    at = 0
     for part in parts(table.select("h", "c", "s", "t")):
-        for to, name, kind in zip(columns, ("h", "c", "s", "t"), (np.int64, np.int64, np.float32, np.int32)):
-            to.append(part[name].to_numpy().astype(kind))
-    h, c, s, t = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(columns, (np.int64, np.int64, np.float32, np.int32)))
-    order = np.argsort(h.view(np.uint64))
-    return Model(n, v, (h.view(np.uint64)[order], c[order], s[order], t[order]), counts, starts)
+        end = at + part.num_rows
+        for to, name in ((h.view(np.int64), "h"), (c, "c"), (s, "s"), (t, "t")):
+            to[at:end] = part[name].to_numpy()
+        at = end
+    order = np.argsort(h)
+    return Model(n, v, (h[order], c[order], s[order], t[order]), counts, starts)
 
 
 def _joined_scores(plain: DataFrame, n: int, v: int, table: DataFrame, bigrams: DataFrame, starts: tuple[float, float, float]) -> DataFrame:

@@ -48,7 +48,7 @@ def binary_column(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary()).fill_null(b"")
 
 
-def slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text; a longer row is a range of its own."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     at = 0
