@@ -23,16 +23,15 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 2
     value from the cumulated counts, so a group is held as its different values (two for accuracy data), not as its
     rows, and the n x replicates draws of a group are spread as one row for each replicate.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
-    held = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "k"))).alias("hist"), F.sum("k").alias("n"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
-    upto = F.transform(F.sequence(F.lit(1), F.size("hist")), lambda i: F.aggregate(F.slice("hist", 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x["k"]))
-    held = held.withColumn("upto", upto).repartition(*keys, "n") if keys else held.withColumn("upto", upto)
-    each = held.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    seeds = [F.lit(seed), *(F.col(k) for k in keys), F.col("r")]
-    drawn = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("n")), lambda i: F.pmod(F.xxhash64(*seeds, i), F.col("n")))
-    pick = lambda d: F.col("hist")[F.size(F.filter("upto", lambda u: u <= d))]["v"]
-    means = each.select(*keys, "n", "mean", (F.aggregate(drawn, F.lit(0.0), lambda a, d: a + pick(d)) / F.col("n")).alias("m"))
-    return means.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    held = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_v", "_k"))).alias("_hist"), F.sum("_k").alias("_n"), (F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("_mean"))
+    upto = F.transform(F.sequence(F.lit(1), F.size("_hist")), lambda i: F.aggregate(F.slice("_hist", 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x["_k"]))
+    each = held.withColumn("_upto", upto).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(*keys, "_r")
+    seeds = [F.lit(seed), *(F.col(k) for k in keys), F.col("_r")]
+    drawn = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("_n")), lambda i: F.pmod(F.xxhash64(*seeds, i), F.col("_n")))
+    pick = lambda d: F.col("_hist")[F.size(F.filter("_upto", lambda u: u <= d))]["_v"]
+    means = each.select(*keys, "_n", "_mean", (F.aggregate(drawn, F.lit(0.0), lambda a, d: a + pick(d)) / F.col("_n")).alias("_m"))
+    return means.groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.percentile("_m", F.lit(alpha / 2)).alias("low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def bootstrap_rows(values: list[float], replicates: int = 2000, alpha: float = 0.05, seed: int = 0) -> dict:
