@@ -102,12 +102,20 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return sure.groupBy("h1", "h2", "len").agg(F.min("near").alias("near"))
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, longer by underscores until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 30, max_edits: int = 1) -> DataFrame:
     """``docs`` with each text less its lines that repeat an earlier line; see the module's docstring."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     spare = {"n_lines", "removed_lines", "emptied"}
-    docs = docs.select([c for c in docs.columns if c not in spare])
+    docs = docs.select([c for c in docs.columns if c.lower() not in spare])
+    all_lines, gone_rk, gone_did, gone_lines = (_unused(c, docs.columns) for c in ("all_lines", "gone_rk", "gone_did", "gone_lines"))
     plain = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("txt"))
     lines = _line_rows(plain).where(F.col("len") >= max(min_chars, 2))
     keys = _half_keys() if max_edits else F.array().cast("array<bigint>")
@@ -124,19 +132,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = lines.join(best, ["h1", "h2", "len"]).where(F.struct("did", "rk", "no") > F.col("first"))
     gone = gone.groupBy("rk", "did").agg(F.sort_array(F.collect_set("no")).alias("gone_lines"))
 
-    whole = docs.withColumns({"gone_rk": F.when(F.col(text_col).isNotNull(), F.xxhash64(id_col, text_col)), "all_lines": F.split(text_col, "\n")}).drop(text_col)
-    gone = gone.select(F.col("rk").alias("gone_rk"), F.col("did").alias("gone_did"), "gone_lines")
-    joined = whole.join(gone, (whole["gone_rk"] == gone["gone_rk"]) & whole[id_col].eqNullSafe(gone["gone_did"]), "left").drop(gone["gone_rk"])
-    n = F.size("all_lines")
-    edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col("gone_lines")).alias("a"), F.concat(F.col("gone_lines"), F.array(n)).alias("b"))
-    left = F.flatten(F.transform(edges, lambda e: F.slice("all_lines", e["a"] + 2, e["b"] - e["a"] - 1)))
-    text = F.when(F.col("gone_lines").isNull(), F.array_join("all_lines", "\n")).otherwise(F.array_join(left, "\n"))
+    whole = docs.withColumns({gone_rk: F.when(F.col(text_col).isNotNull(), F.xxhash64(id_col, text_col)), all_lines: F.split(text_col, "\n")}).drop(text_col)
+    gone = gone.select(F.col("rk").alias(gone_rk), F.col("did").alias(gone_did), F.col("gone_lines").alias(gone_lines))
+    joined = whole.join(gone, (whole[gone_rk] == gone[gone_rk]) & whole[id_col].eqNullSafe(gone[gone_did]), "left").drop(gone[gone_rk])
+    n = F.size(all_lines)
+    edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col(gone_lines)).alias("a"), F.concat(F.col(gone_lines), F.array(n)).alias("b"))
+    left = F.flatten(F.transform(edges, lambda e: F.slice(all_lines, e["a"] + 2, e["b"] - e["a"] - 1)))
+    text = F.when(F.col(gone_lines).isNull(), F.array_join(all_lines, "\n")).otherwise(F.array_join(left, "\n"))
     out = joined.withColumns(
         {
             text_col: text,
-            "n_lines": F.when(F.col("all_lines").isNotNull(), n),
-            "removed_lines": F.coalesce("gone_lines", F.array().cast("array<int>")),
-            "emptied": F.coalesce(F.col("gone_lines").isNotNull() & ~F.exists(left, lambda x: F.trim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")) != ""), F.lit(False)),
+            "n_lines": F.when(F.col(all_lines).isNotNull(), n),
+            "removed_lines": F.coalesce(gone_lines, F.array().cast("array<int>")),
+            "emptied": F.coalesce(F.col(gone_lines).isNotNull() & ~F.exists(left, lambda x: F.trim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")) != ""), F.lit(False)),
         }
     )
     return out.select(*docs.columns, "n_lines", "removed_lines", "emptied")
