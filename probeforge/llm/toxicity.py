@@ -240,13 +240,14 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, keep, id_col: str, text_col: str, most: int) -> DataFrame:
     """(doc_id, text, label) of at most ``most`` labelled rows for whose id column ``keep`` holds.
 
-    The rows are those of least hash of doc_id: their ids (no texts) come to the driver, ``most`` at most.
+    The rows are those of least hash of doc_id: their ids (no texts) come to the driver, ``most`` at most. Of rows
+    with one doc_id the least text counts, so that a repeated id adds one row, however many it has.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     ids = ids.where(keep(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return plain.join(F.broadcast(ids), "doc_id")
+    return plain.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=lambda doc_id: F.lit(True), id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAINING_ROWS) -> ToxicityModel:
