@@ -52,15 +52,16 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp bigint) for each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """(doc_id, fp bigint) for each row; with ``text_hash`` the text's xxhash64, too, as ``th``."""
+    extra = [F.xxhash64(F.col(text_col).cast("string")).alias("th")] if text_hash else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py()) for x in binary_column(batch.column(1))), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra).mapInArrow(run, "doc_id bigint, fp bigint" + (", th bigint" if text_hash else ""))
 
 
 def _byte(i: int, of: str = "fp"):
@@ -89,16 +90,20 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return near.select("a", "b").unionByName(stars.select("a", "b")).distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id: the smallest doc_id reachable over links."""
-    marked = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) for each row; component_id: the smallest doc_id reachable over links.
+
+    With ``text_hash`` also th (the text's xxhash64) and root (a fingerprint that only this component has).
+    """
+    extra = ["root"] if text_hash else []
+    marked = staged(fingerprints(docs, id_col, text_col, text_hash), "fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
     roots = components(fingerprint_links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "fp-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = staged(rooted.join(ids, "root").select("fp", "component_id"), "fp-components")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = staged(rooted.join(ids, "root").select("fp", "component_id", *extra), "fp-components")
+    return marked.join(of, "fp").select("doc_id", "fp", "component_id", *(["th", "root"] if text_hash else []))
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -107,10 +112,13 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; of rows with that id, one.
+    """One row of ``docs`` for each component: of least id, then of least text hash; of equal rows, one.
 
-    Rows with a null id are each of their own kind and stay.
+    An id may have several texts in different components; each of these keeps its own row. Rows with a null id
+    are each of their own kind and stay.
     """
-    kept = simhash_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    stay = docs.join(kept, docs[id_col] == kept["kept_doc_id"], "left_semi").dropDuplicates([id_col])
+    marked = simhash_components(docs, id_col, text_col, text_hash=True).where("doc_id = component_id")
+    kept = marked.groupBy("root", "doc_id").agg(F.min("th").alias("kept_th")).select(F.col("doc_id").alias("kept_doc_id"), "kept_th").distinct()
+    same = (docs[id_col].cast("long") == kept["kept_doc_id"]) & (F.xxhash64(docs[text_col].cast("string")) == kept["kept_th"])
+    stay = docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
     return stay.unionByName(docs.where(F.col(id_col).isNull()))

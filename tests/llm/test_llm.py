@@ -419,3 +419,32 @@ def test_pipeline(spark):
     assert have == set(four.values())
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_line_dedup_own_names(spark):
+    """Columns named as the operator's own helpers, in any case, come through unchanged."""
+    long_line = "one line that is long enough to be compared"
+    names = ["all_lines", "gone_rk", "gone_did", "Gone_Lines", "did", "txt", "rk", "first"]
+    df = documents(spark, [(1, long_line), (2, f"{long_line}\nx")]).withColumn("N_Lines", F.lit("old"))
+    out = line_dedup.line_dedup(df.select("*", *(F.lit(f"kept {n}").alias(n) for n in names)))
+    assert [c for c in out.columns if c.lower() == "n_lines"] == ["n_lines"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert {n: {r[n] for r in rows.values()} for n in names} == {n: {f"kept {n}"} for n in names}
+    assert (rows[1]["text"], rows[2]["text"], rows[2]["removed_lines"]) == (long_line, "x", [0])
+
+
+def test_keep_one_repeated_ids(spark):
+    """An id with texts of two components keeps both; equal rows and copies under one id keep one."""
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight")
+    df = documents(spark, [(3, a), (5, a), (5, b), (5, b), (6, b), (7, None), (7, ""), (8, ""), (None, a), (None, a)])
+    out = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=repr)
+    assert [x for x in out if x[0] != 7] == sorted([(3, a), (5, b), (None, a), (None, a)], key=repr)
+    assert sum(x[0] == 7 for x in out) == 1
+
+
+def test_training_rows_repeated_id(spark):
+    """A labelled id with very many rows is one training row."""
+    df = documents(spark, [(1, f"text {i:03}") for i in range(200)] + [(2, None), (3, "unlabelled")])
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(df, labels, "toxic", lambda d: F.lit(True), "doc_id", "text", 10).collect()
+    assert sorted(map(tuple, rows)) == [(1, "text 000", 1), (2, "", 0)]
