@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from probeforge.functions import text as X
 from probeforge.operators import accounting as A
 from probeforge.operators import eligibility as E
+from probeforge.operators import inference as I
+from probeforge.operators import manifests as N
+from probeforge.operators import migration as G
 from probeforge.operators import pairing as P
 from probeforge.operators import quality as Q
 from probeforge.operators import sampling as S
@@ -445,3 +448,104 @@ def eligible_class_pool(spark, d):
 def rank_by_count(spark, d):
     g = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag", F.col("l_linenumber").alias("pos")).agg(F.count("*").alias("n"))
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.desc("n"), "pos")).cast("bigint"))
+
+
+_MOVE = f"SELECT item_seq, image_relpath, wnid, class_name, item_seq % 13 AS kind FROM ({V.ITEM})"
+_MOVED = f"""SELECT *, CASE kind WHEN 1 THEN 'empty image' WHEN 2 THEN 'no valid answer' WHEN 3 THEN 'target_split conflicts with the split' WHEN 4 THEN 'no concept name' END AS error,
+  concat('["r', item_seq, '", "legacy.mcq.identity.v1", "legacy_default", ') AS head, substr(sha256(concat('["', class_name, '", "zebra", "yak"]')), 1, 12) AS options FROM ({_MOVE})"""
+
+
+def _moved(spark, d):
+    k, n = F.col("kind"), F.col("class_name")
+    meta = F.when(k == 4, F.create_map(F.lit("note"), F.lit("none"))).when(k == 5, F.create_map(F.lit("class_name"), n)).otherwise(F.create_map(F.lit("forget_concept"), n))
+    records = view(spark, d, _MOVE).select(
+        "item_seq", F.concat(F.lit("r"), "item_seq").alias("id"), F.when(k == 1, "").otherwise(F.col("image_relpath")).alias("image"), F.lit("What is it?").alias("question"), F.array(n, F.lit("zebra"), F.lit("yak")).alias("choices"),
+        F.when(k == 2, 3).otherwise(0).alias("answer_index"), F.lit("identity").alias("forgetting_level"), F.lit("type").alias("concept_axis"), F.when(k == 3, "test_retain").otherwise("all").alias("target_split"), meta.alias("meta"),
+    )
+    return G.migrate(records, G.Context("pool", "1", "test_forget", "cc", "yes", "made"))
+
+
+@register(f"""SELECT item_seq, error, CASE WHEN error IS NULL THEN concat('item:', substr(sha256(concat(head, '"normal_image", "', options, '"]')), 1, 20)) END AS item_id,
+  CASE WHEN error IS NULL THEN concat('pair:', substr(sha256(concat(head, '"', options, '"]')), 1, 20)) END AS pairing_id, CASE WHEN error IS NULL THEN concat('pool:', regexp_replace(class_name, '[^a-z0-9]+', '-', 'g')) END AS concept_id FROM ({_MOVED})""")
+def legacy_migration(spark, d):
+    ok = lambda c: F.when(F.col("error").isNull(), c)
+    return _moved(spark, d).select("item_seq", "error", ok(F.col("item_id")).alias("item_id"), ok(F.col("metadata")["pairing_id"]).alias("pairing_id"), ok(F.col("concept_id")).alias("concept_id"))
+
+
+@register(f"SELECT count(*) AS input_count, count(*) FILTER (error IS NULL) AS migrated_count, count(*) FILTER (error IS NOT NULL) AS rejected_count, count(*) FILTER (kind = 5) AS concept_name_from_class_or_synset FROM ({_MOVED})")
+def migration_report(spark, d):
+    return G.migration_report(_moved(spark, d))
+
+
+@register(f"SELECT concept_id AS suite, before, after, after / nullif(before, 0) AS retention FROM (SELECT concept_id, {_sh("m0_status = 'correct'")} AS before, {_sh("mu_status = 'correct'")} AS after FROM ({V.PAIR}) GROUP BY 1)")
+def general_utility(spark, d):
+    p = view(spark, d, V.PAIR)
+    side = lambda s: p.select(F.col("concept_id").alias("suite"), F.col(f"{s}_status").alias("response_status"))
+    return A.general_utility(side("m0"), side("mu"))
+
+
+_RUNS = "SELECT n_name AS method, CAST(c_custkey % 97 AS DOUBLE) AS wall_seconds, CAST(c_custkey % 13 AS DOUBLE) AS gpu_hours, CAST(c_custkey % 31 AS DOUBLE) AS inference_latency_ms FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+@register(f"SELECT method, count(*) AS runs, sum(wall_seconds) AS wall_seconds, sum(gpu_hours) AS gpu_hours, avg(inference_latency_ms) AS mean_latency_ms FROM ({_RUNS}) GROUP BY 1")
+def run_costs(spark, d):
+    return A.run_costs(view(spark, d, _RUNS), ["method"])
+
+
+_GATES = "SELECT s_name AS method_id, CAST(s_suppkey % 4 AS INT) AS model_id, s_suppkey % 3 <> 0 AS supported FROM supplier"
+
+
+@register(f"SELECT model_id, count(*) AS registered, count(*) FILTER (supported) AS supported, {_sh('supported')} AS coverage FROM ({_GATES}) GROUP BY 1")
+def capability_coverage(spark, d):
+    return N.capability_coverage(view(spark, d, _GATES), ["model_id"])
+
+
+@register(f"SELECT item_seq, wnid FROM ({V.ITEM}) WHERE superclass = 'asia'")
+def unregistered_references(spark, d):
+    return Q.unregistered(view(spark, d, V.ITEM), view(spark, d, V.CLASSES).where("superclass <> 'asia'"), "wnid").select("item_seq", "wnid")
+
+
+_INDIRECT = f"""SELECT item_seq, class_name AS concept_name, superclass, CASE WHEN item_seq % 3 = 0 THEN 'P2_INDIRECT' ELSE 'P1_DIRECT' END AS probe_family,
+  CASE item_seq % 4 WHEN 0 THEN concat('Is this  from ', upper(class_name), '?') WHEN 1 THEN concat('A thing of ', superclass) ELSE 'Which one?' END AS question FROM ({V.ITEM})"""
+
+
+@register(f"SELECT item_seq FROM ({_INDIRECT}) WHERE probe_family = 'P2_INDIRECT' AND (contains(lower(question), concept_name) OR contains(lower(question), superclass))")
+def lexical_leakage(spark, d):
+    return Q.lexical_leakage(view(spark, d, _INDIRECT).withColumn("concept_aliases", F.array("superclass"))).select("item_seq")
+
+
+@register(f"SELECT item_seq, CASE WHEN rn <= n - 10 THEN 'train_forget' ELSE 'test_forget' END AS split FROM (SELECT item_seq, row_number() OVER (ORDER BY {_h("'7|'", "item_seq")}, item_seq) AS rn, count(*) OVER () AS n FROM ({V.ITEM}) WHERE wnid = 'CHINA')")
+def split_single_target(spark, d):
+    return L.split_single(view(spark, d, V.ITEM), "CHINA", "wnid", "item_seq", None, 10, 7).select("item_seq", "split")
+
+
+@register(f"SELECT wnid, CASE WHEN rn <= 5 THEN 'forget' WHEN rn <= 17 THEN 'retain' ELSE 'test' END AS split FROM (SELECT wnid, row_number() OVER (ORDER BY {_h("'7|'", "wnid")}, wnid) AS rn FROM ({V.CLASSES}))")
+def class_level_split(spark, d):
+    return L.class_level_split(view(spark, d, V.CLASSES), "wnid", {"forget": 0.2, "retain": 0.5, "test": 0.3}, 7).select("wnid", "split")
+
+
+@register(f"SELECT id, count(*) AS n FROM ({V.QC}) GROUP BY 1 HAVING count(*) > 1")
+def repeated_item_ids(spark, d):
+    return L.repeated_ids(view(spark, d, V.QC), "id")
+
+
+@register(f"SELECT item_seq, concat(class_name, '|', superclass) AS accepted, concat('item:', substr(sha256(concat('[\"s', item_seq, '\", \"short.v1\", \"v\", \"normal_image\", \"\"]')), 1, 20)) AS item_id FROM ({V.ITEM})")
+def short_answer_twins(spark, d):
+    items = view(spark, d, V.ITEM).select(
+        "item_seq", F.concat(F.lit("s"), "item_seq").alias("sample_id"), F.lit("v").alias("prompt_variant_id"), F.lit("normal_image").alias("input_condition"), F.col("class_name").alias("concept_name"),
+        F.array(F.upper("class_name"), F.col("superclass")).alias("concept_aliases"), F.lit("What is it?").alias("question"),
+    )
+    return S.short_answer_twins(items, "short.v1").select("item_seq", F.array_join("accepted_answers", "|").alias("accepted"), "item_id")
+
+
+@register(f"SELECT count(*) AS requests, count(*) FILTER (m0_prediction = mu_prediction) AS agree FROM ({V.PAIR})")
+def path_agreement(spark, d):
+    p = view(spark, d, V.PAIR)
+    side = lambda s: p.select(F.col("sample_id").alias("request_id"), F.col(f"{s}_prediction").alias("prediction"))
+    return I.agreement(side("m0"), side("mu"))
+
+
+@register()
+def concept_bootstrap(spark, d):
+    e = view(spark, d, V.EVID).where("input_condition = 'normal_image'").select("concept_id", (F.col("response_status") == "correct").cast("double").alias("x"))
+    return B.concept_bootstrap(e, "concept_id", "x", replicates=200)
