@@ -126,7 +126,7 @@ def spatial_samples(rows: DataFrame) -> DataFrame:
 def jsonl(spark: SparkSession, path, schema: T.StructType, strict: bool = True) -> DataFrame:
     """Rows of JSON lines by an explicit schema; blank lines are skipped. Strict: a malformed line raises with its file and text."""
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
-    parsed = lines.withColumn("r", F.from_json("value", schema.add("_corrupt_record", T.StringType()) if "_corrupt_record" not in schema.fieldNames() else schema, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}))
+    parsed = lines.withColumn("r", F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}))
     bad = parsed.where(F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()).select("file", "value").limit(5).collect() if strict else []
     if bad:
         raise ConstraintError("jsonl", [f"{r['file']}: {r['value'][:80]}" for r in bad])
