@@ -14,6 +14,7 @@ from probeforge.operators import inference as I
 from probeforge.operators import manifests as N
 from probeforge.operators import migration as G
 from probeforge.operators import pairing as P
+from probeforge.operators import pool as O
 from probeforge.operators import quality as Q
 from probeforge.operators import sampling as S
 from probeforge.operators import scoring as R
@@ -549,3 +550,15 @@ def path_agreement(spark, d):
 def concept_bootstrap(spark, d):
     e = view(spark, d, V.EVID).where("input_condition = 'normal_image'").select("concept_id", (F.col("response_status") == "correct").cast("double").alias("x"))
     return B.concept_bootstrap(e, "concept_id", "x", replicates=200)
+
+
+_hi = lambda tag: _h(f"'7{tag}|'", "image_relpath", "'|'", "c.wnid" if tag == "h" else "wnid")
+
+
+@register(f"""WITH i AS ({V.ITEM}), c AS ({V.CLASSES}), p AS (SELECT image_relpath, c.wnid, c.class_name, row_number() OVER (PARTITION BY image_relpath ORDER BY CAST(c.superclass <> i.superclass AS INT), {_hi('h')}) AS rn FROM i JOIN c ON c.wnid <> i.wnid),
+  e AS (SELECT image_relpath, class_name, row_number() OVER (PARTITION BY image_relpath ORDER BY {_hi('e')}) AS en FROM p WHERE rn > 2),
+  x AS (SELECT image_relpath, list(class_name) AS others FROM (SELECT image_relpath, class_name FROM p WHERE rn <= 2 UNION ALL SELECT image_relpath, class_name FROM e WHERE en <= 1) GROUP BY 1)
+  SELECT image_relpath AS image, concat_ws('_', 'pool', 'train', wnid, substr(sha1(image_relpath), 1, 8)) AS id, array_to_string(list_sort(list_append(others, class_name)), '|') AS choices, class_name AS answer, '' AS reasons FROM i JOIN x USING (image_relpath)""")
+def pool_build(spark, d):
+    pool = O.build_pool(view(spark, d, V.ITEM), view(spark, d, V.CLASSES), "pool", "What is it?", 2, 1, seed=7)
+    return pool.select("image", "id", F.array_join(F.array_sort("choices"), "|").alias("choices"), F.element_at("choices", F.col("answer_index") + 1).alias("answer"), F.array_join("reasons", ",").alias("reasons"))
