@@ -515,9 +515,9 @@ def lexical_leakage(spark, d):
     return Q.lexical_leakage(view(spark, d, _INDIRECT).withColumn("concept_aliases", F.array("superclass"))).select("item_seq")
 
 
-@register(f"SELECT item_seq, CASE WHEN rn <= n - 10 THEN 'train_forget' ELSE 'test_forget' END AS split FROM (SELECT item_seq, row_number() OVER (ORDER BY {_h("'7|'", "item_seq")}, item_seq) AS rn, count(*) OVER () AS n FROM ({V.ITEM}) WHERE wnid = 'CHINA')")
+@register(f"SELECT item_seq, CASE WHEN rn <= n - 10 THEN 'train_forget' ELSE 'test_forget' END AS split FROM (SELECT item_seq, row_number() OVER (ORDER BY {_h("'7|'", "item_seq")}, item_seq) AS rn, count(*) OVER () AS n FROM ({V.ITEM}) WHERE wnid = 'NATION_7')")
 def split_single_target(spark, d):
-    return L.split_single(view(spark, d, V.ITEM), "CHINA", "wnid", "item_seq", None, 10, 7).select("item_seq", "split")
+    return L.split_single(view(spark, d, V.ITEM), "NATION_7", "wnid", "item_seq", None, 10, 7).select("item_seq", "split")
 
 
 @register(f"SELECT wnid, CASE WHEN rn <= 5 THEN 'forget' WHEN rn <= 17 THEN 'retain' ELSE 'test' END AS split FROM (SELECT wnid, row_number() OVER (ORDER BY {_h("'7|'", "wnid")}, wnid) AS rn FROM ({V.CLASSES}))")
