@@ -562,3 +562,25 @@ _hi = lambda tag: _h(f"'7{tag}|'", "image_relpath", "'|'", "c.wnid" if tag == "h
 def pool_build(spark, d):
     pool = O.build_pool(view(spark, d, V.ITEM), view(spark, d, V.CLASSES), "pool", "What is it?", 2, 1, seed=7)
     return pool.select("image", "id", F.array_join(F.array_sort("choices"), "|").alias("choices"), F.element_at("choices", F.col("answer_index") + 1).alias("answer"), F.array_join("reasons", ",").alias("reasons"))
+
+
+_CON = """SELECT concat('i', c_custkey % 1400) AS item_id, concat('s', c_custkey % 700) AS sample_id, 'd' AS dataset_id, concat('im', c_custkey % 900) AS image_id, concat('k', c_nationkey % 9) AS concept_id,
+  CASE c_nationkey % 4 WHEN 0 THEN 'train_forget' WHEN 1 THEN 'test_forget' WHEN 2 THEN 'train_retain' ELSE 'utility' END AS split FROM customer"""
+_two = lambda rule, key, part: f"SELECT '{rule}' AS rule, {key} AS key FROM t WHERE split LIKE 'train%' OR split LIKE 'test%' GROUP BY 2 HAVING count(DISTINCT split_part(split, '_', {part})) > 1"
+
+
+@register(f"""WITH t AS ({_CON}) SELECT 'duplicate item_id' AS rule, item_id AS key FROM t GROUP BY 2 HAVING count(*) > 1
+  UNION ALL SELECT 'sample changes identity', sample_id FROM t GROUP BY 2 HAVING count(DISTINCT concat(dataset_id, '/', image_id, '/', concept_id, '/', split)) > 1
+  UNION ALL {_two('sample in train and test', 'sample_id', 1)} UNION ALL {_two('image in train and test', 'image_id', 1)} UNION ALL {_two('concept in forget and retain', 'concept_id', 2)}""")
+def dataset_constraints(spark, d):
+    return Q.dataset_violations(view(spark, d, _CON), balance=False)
+
+
+@register(f"SELECT item_seq, CASE condition WHEN 'option_only' THEN '' ELSE 'what?' END AS question, CASE condition WHEN 'normal_image' THEN image_relpath END AS own_image, condition FROM ({V.ITEM}) CROSS JOIN (VALUES ('normal_image'), ('no_image'), ('option_only'), ('shuffled_image')) t(condition)")
+def control_variant_fields(spark, d):
+    items = view(spark, d, V.ITEM).select(
+        "item_seq", F.col("item_seq").cast("string").alias("item_id"), F.col("item_seq").cast("string").alias("sample_id"), F.col("image_relpath").alias("image"), F.concat(F.lit("im"), "item_seq").alias("image_id"), F.col("wnid").alias("concept_id"), F.lit("p").alias("probe_id"), F.lit("P1_DIRECT").alias("probe_family"),
+        F.lit("v").alias("prompt_variant_id"), F.lit("mcq").alias("question_format"), F.lit("normal_image").alias("input_condition"), F.lit("what?").alias("question"), F.array("class_name", F.lit("zebra")).alias("choices"), F.lit("d").alias("dataset_id"), F.lit("test_forget").alias("split"),
+    )
+    own = F.when(F.col("input_condition") == "normal_image", F.col("image"))
+    return S.control_variants(items, 7).select("item_seq", "question", own.alias("own_image"), F.col("input_condition").alias("condition"))
