@@ -37,18 +37,18 @@ def with_distractors(items: DataFrame, classes: DataFrame, hard: int, easy: int,
     ``items`` has item, wnid, superclass; ``classes`` has wnid, class_name, superclass and is a dimension: it is
     reduced to one row for each normalised name, and its size is the number of classes.
     """
-    one = classes.withColumn("norm", norm_text("class_name")).groupBy("norm").agg(F.min(F.struct("wnid", "class_name", "superclass")).alias("c"), F.collect_set("wnid").alias("wnids")).select("norm", "wnids", "c.*")
-    options = one.agg(F.collect_list(F.struct("norm", "wnids", "wnid", "class_name", "superclass")).alias("options"))
-    rows = items.withColumns({"own": F.col("wnid"), "own_super": F.col("superclass")}).crossJoin(F.broadcast(options))  # one row: the class list
-    own_norm = F.try_element_at(F.filter("options", lambda o: F.array_contains(o["wnids"], F.col("own"))), F.lit(1))["norm"]
-    others = F.filter("options", lambda o: (o["wnid"] != F.col("own")) & (F.coalesce(own_norm, F.lit("")) != o["norm"]))
+    one = classes.withColumn("norm", norm_text("class_name")).groupBy("norm").agg(F.min(F.struct("wnid", "class_name", "superclass")).alias("c")).select("norm", "c.*")
+    options = one.agg(F.collect_list(F.struct("norm", "wnid", "class_name", "superclass")).alias("options"))
+    norms = classes.groupBy(F.col("wnid").alias("own")).agg(F.min(norm_text("class_name")).alias("own_norm"))
+    rows = items.withColumns({"own": F.col("wnid"), "own_super": F.col("superclass")}).join(F.broadcast(norms), "own", "left").crossJoin(F.broadcast(options))  # one row: the class list
+    others = F.filter("options", lambda o: (o["wnid"] != F.col("own")) & (F.coalesce("own_norm", F.lit("")) != o["norm"]))
     ranked = F.array_sort(F.transform(others, lambda o: F.struct((~o["superclass"].eqNullSafe(F.col("own_super"))).cast("int").alias("far"), F.sha2(F.concat_ws("|", F.lit(f"{seed}h"), F.col(item).cast("string"), o["wnid"]), 256).alias("h"), o["wnid"].alias("wnid"), o["class_name"].alias("class_name"))))
     rows = rows.withColumn("ranked", ranked)
     first = F.slice("ranked", 1, hard)
     rest = F.array_sort(F.transform(F.slice("ranked", hard + 1, F.greatest(F.size("ranked") - hard, F.lit(0))), lambda o: F.struct(F.sha2(F.concat_ws("|", F.lit(f"{seed}e"), F.col(item).cast("string"), o["wnid"]), 256).alias("h"), o["wnid"].alias("wnid"), o["class_name"].alias("class_name"))))
     pick = lambda role: lambda o: F.struct(F.lit(role).alias("role"), o["wnid"].alias("wnid"), o["class_name"].alias("class_name"))
     both = F.concat(F.transform(first, pick("hard")), F.transform(F.slice(rest, 1, easy), pick("easy")))
-    return rows.withColumn("distractors", both).drop("own", "own_super", "options", "ranked")
+    return rows.withColumn("distractors", both).drop("own", "own_super", "own_norm", "options", "ranked")
 
 
 def distractors(items: DataFrame, classes: DataFrame, hard: int, easy: int, seed: int, item: str = "item_seq") -> DataFrame:
