@@ -1,8 +1,8 @@
 """LM scoring with a log-frequency Bloom filter of quantised bigram counts.
 
 Training counts tokens (words in ASCII lower case, then one end) and bigrams (the first context is a start
-mark) over the whole training texts. A bigram of count c is kept from ``MIN_COUNT`` on, quantised to a level
-q(c) = 1 + floor(log_B(c / MIN_COUNT)), and entered in the filter once for each level up to q. To look a bigram up, its
+mark) over the whole training texts. A bigram of count c is kept from ``min_count`` on (1 keeps all, as the registered
+query does), quantised to a level q(c) = 1 + floor(log_B(c / min_count)), and entered in the filter once for each level up to q. To look a bigram up, its
 levels are probed from 1 on until one is absent; the last one present gives the count's lower bound.
 
 With c' the quantised counts, S(u) = sum of c'(u, w), C(u) the count of u as a context and T(u) the number of
@@ -48,20 +48,20 @@ PARTIAL_TOKENS = 1_000_000
 MAX_BYTES = 384 << 20
 
 
-def level(count: np.ndarray) -> np.ndarray:
-    """The quantised level, from 1, of counts of at least MIN_COUNT."""
-    return 1 + np.floor(np.log(count / MIN_COUNT) / math.log(LEVEL_BASE) + 1e-9).astype(np.int64)
+def level(count: np.ndarray, least: int = MIN_COUNT) -> np.ndarray:
+    """The quantised level, from 1, of counts of at least ``least``."""
+    return 1 + np.floor(np.log(count / least) / math.log(LEVEL_BASE) + 1e-9).astype(np.int64)
 
 
-def level_count(q: np.ndarray) -> np.ndarray:
+def level_count(q: np.ndarray, least: int = MIN_COUNT) -> np.ndarray:
     """The least whole count of a level; 0 of level 0."""
-    return np.where(q > 0, np.ceil(MIN_COUNT * LEVEL_BASE ** (q - 1.0) - 1e-9), 0.0)
+    return np.where(q > 0, np.ceil(least * LEVEL_BASE ** (q - 1.0) - 1e-9), 0.0)
 
 
-def level_count_sql(count: str) -> Column:
+def level_count_sql(count: str, least: int = MIN_COUNT) -> Column:
     """level_count(level(count)) as a column, for whole counts."""
-    q = F.floor(F.log(F.col(count) / MIN_COUNT) / math.log(LEVEL_BASE) + 1e-9)
-    return F.ceil(F.lit(float(MIN_COUNT)) * F.pow(F.lit(LEVEL_BASE), q) - 1e-9).cast("double")
+    q = F.floor(F.log(F.col(count) / least) / math.log(LEVEL_BASE) + 1e-9)
+    return F.ceil(F.lit(float(least)) * F.pow(F.lit(LEVEL_BASE), q) - 1e-9).cast("double")
 
 
 def bigram(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -157,8 +157,8 @@ class CountFilter:
 class Model:
     """Counts (``n`` tokens, ``v`` different), sorted token table and bigram filter."""
 
-    def __init__(self, n: int, v: int, table: tuple[np.ndarray, ...], counts: CountFilter, starts: tuple[float, float, float]):
-        self.n, self.v, self.table, self.counts, self.starts = n, v, table, counts, starts
+    def __init__(self, n: int, v: int, table: tuple[np.ndarray, ...], counts: CountFilter, starts: tuple[float, float, float], least: int = MIN_COUNT):
+        self.n, self.v, self.table, self.counts, self.starts, self.least = n, v, table, counts, starts, least
 
     def score(self, row: np.ndarray, token: np.ndarray, context: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each row."""
@@ -174,34 +174,34 @@ class Model:
         p1 = (count + 0.5) / (self.n + 0.5 * (self.v + 1))
         rest = seen - total + kinds + 1
         pair, at = np.unique(bigram(context, token), return_inverse=True)
-        quantised = level_count(self.counts.levels(pair))[at]
+        quantised = level_count(self.counts.levels(pair), self.least)[at]
         quantised = np.minimum(quantised, np.maximum(total, 0))  # a false positive cannot exceed its context
         p = (quantised + rest * p1) / (total + rest)
         add = lambda x: np.bincount(row, weights=x, minlength=rows)
         return np.bincount(row, minlength=rows), add((count > 0).astype(float)).astype(np.int64), add(np.log10(p1)), add(np.log10(p))
 
 
-def _start_row(bigrams: DataFrame, n_docs: int) -> tuple[float, float, float]:
-    x = bigrams.where(F.col("u") == int(START.view(np.int64))).agg(F.sum(level_count_sql("c")), F.count("*")).first()
+def _start_row(bigrams: DataFrame, n_docs: int, least: int) -> tuple[float, float, float]:
+    x = bigrams.where(F.col("u") == int(START.view(np.int64))).agg(F.sum(level_count_sql("c", least)), F.count("*")).first()
     return float(x[0] or 0.0), float(x[1] or 0), float(n_docs)
 
 
-def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row; ``train``: which rows to learn from."""
+def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES, min_count: int = MIN_COUNT) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row; ``train``: which rows to learn from; ``min_count``: of bigrams."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     learn = docs.where(train).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     tokens_ = staged(count_tokens(learn, "tokens"), "lm-tokens")
-    bigrams = staged(count_tokens(learn, "bigrams").where(f"c >= {MIN_COUNT}"), "lm-bigrams")
+    bigrams = staged(count_tokens(learn, "bigrams").where(f"c >= {min_count}"), "lm-bigrams")
     n, v = tokens_.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = tokens_.where(F.col("h") == int(END.view(np.int64))).first()
-    starts = _start_row(bigrams, ends["c"] if ends else 0)
-    contexts = bigrams.groupBy("u").agg(F.sum(level_count_sql("c")).alias("s"), F.count("*").alias("t")).withColumnRenamed("u", "h")
+    starts = _start_row(bigrams, ends["c"] if ends else 0, min_count)
+    contexts = bigrams.groupBy("u").agg(F.sum(level_count_sql("c", min_count)).alias("s"), F.count("*").alias("t")).withColumnRenamed("u", "h")
     table = staged(tokens_.join(contexts, "h", "left").select("h", "c", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")), "lm-table")
-    entries = bigrams.agg(F.coalesce(F.sum(F.floor(F.log(F.col("c") / MIN_COUNT) / math.log(LEVEL_BASE) + 1e-9) + 1), F.lit(0))).first()[0]
+    entries = bigrams.agg(F.coalesce(F.sum(F.floor(F.log(F.col("c") / min_count) / math.log(LEVEL_BASE) + 1e-9) + 1), F.lit(0))).first()[0]
     if 20 * v + entries * BITS_PER_ENTRY / 8 > max_bytes:
-        return _joined_scores(plain, n, v, table, bigrams, starts)
-    model = _gathered(n, v, table, bigrams, int(entries), starts)
+        return _joined_scores(plain, n, v, table, bigrams, starts, min_count)
+    model = _gathered(n, v, table, bigrams, int(entries), starts, min_count)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     return plain.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def _gathered(n: int, v: int, table: DataFrame, bigrams: DataFrame, entries: int, starts: tuple[float, float, float]) -> Model:
+def _gathered(n: int, v: int, table: DataFrame, bigrams: DataFrame, entries: int, starts: tuple[float, float, float], least: int) -> Model:
     """The model on the driver, fetched part by part; its size was checked before."""
 
     def parts(df: DataFrame) -> Iterator[pa.Table]:
@@ -236,7 +236,7 @@ def _gathered(n: int, v: int, table: DataFrame, bigrams: DataFrame, entries: int
 
     counts = CountFilter(entries)
     for part in parts(bigrams.select("h", "c")):
-        counts.add(part["h"].to_numpy().view(np.uint64), level(part["c"].to_numpy()))
+        counts.add(part["h"].to_numpy().view(np.uint64), level(part["c"].to_numpy(), least))
     h, c, s, t = np.empty(v, np.uint64), np.empty(v, np.int64), np.empty(v, np.float32), np.empty(v, np.int32)
     at = 0
     for part in parts(table.select("h", "c", "s", "t")):
@@ -245,10 +245,10 @@ def _gathered(n: int, v: int, table: DataFrame, bigrams: DataFrame, entries: int
             to[at:end] = part[name].to_numpy()
         at = end
     order = np.argsort(h)
-    return Model(n, v, (h[order], c[order], s[order], t[order]), counts, starts)
+    return Model(n, v, (h[order], c[order], s[order], t[order]), counts, starts, least)
 
 
-def _joined_scores(plain: DataFrame, n: int, v: int, table: DataFrame, bigrams: DataFrame, starts: tuple[float, float, float]) -> DataFrame:
+def _joined_scores(plain: DataFrame, n: int, v: int, table: DataFrame, bigrams: DataFrame, starts: tuple[float, float, float], least: int) -> DataFrame:
     """The way for models of any size: shuffle joins of each row's distinct bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +272,7 @@ def _joined_scores(plain: DataFrame, n: int, v: int, table: DataFrame, bigrams:
     rows = numbered.mapInArrow(run, "nth bigint, doc_id bigint, pair bigint, u bigint, w bigint, k bigint")
     words = table.select(F.col("h").alias("w"), F.col("c").alias("wc"))
     contexts = table.select(F.col("h").alias("u"), F.col("c").alias("uc"), F.col("s").alias("us"), F.col("t").alias("ut"))
-    pairs = bigrams.select(F.col("h").alias("pair"), level_count_sql("c").alias("q"))
+    pairs = bigrams.select(F.col("h").alias("pair"), level_count_sql("c", least).alias("q"))
     joined = rows.join(words, "w", "left").join(contexts, "u", "left").join(pairs, "pair", "left")
     first = F.col("u") == int(START.view(np.int64))
     pick = lambda start, c: F.when(first, F.lit(float(start))).otherwise(F.coalesce(c, F.lit(0.0)))

@@ -33,7 +33,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probeforge.llm.lm_score import lm_scores
 
-    out = lm_scores(_docs(spark, sf_dir), remainder(F.col("doc_id"), 5) != 1)
+    out = lm_scores(_docs(spark, sf_dir), remainder(F.col("doc_id"), 5) != 1, min_count=1)
     return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
