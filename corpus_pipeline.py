@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and the failing lines of the others."""
     return quality_rules.keep_good(docs)
 
 

@@ -8,6 +8,7 @@ A line fails by the first of these rules that applies (lines without a word are
   boilerplate  a notice phrase (``BOILERPLATE``) in a line of at most 20 words
   navigation   at most three words that end without ``.``, ``!``, ``?``, ``:``, a quote or a bracket
 A document is kept unless the base test fails or lines with over ``max_lost`` of its word characters went.
+The verdict is on the text as given; ``text`` of the result is what the failing lines leave, other lines as they stand.
 
 Null text counts as the empty text: no words, base_failed. A repeated row gets a row each. Other columns
 of the input are not read. Memory is that of one text and its word windows.
@@ -32,6 +33,7 @@ SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean, lines bigint, lines_removed bigint, lost_chars bigint, kept boolean"
 )
+CLEANED_SCHEMA = SCHEMA + ", text string"
 _words = re.compile(r"[^\x20\x09-\x0D]+")
 _spaces = " \t\n\x0b\x0c\r"
 _ends = (".", "!", "?", ":", '"', "'", ")", "]", "”", "»", "…")
@@ -96,26 +98,46 @@ def measure(text: str | None, max_lost: float = 0.5) -> tuple:
     return n, chars, sum(map(text.count, SYMBOLS)), dup, repeats, failed, lines, removed, lost, kept
 
 
+def cleaned(text: str | None) -> str | None:
+    """The text of the lines that pass and of those without a word."""
+    if text is None:
+        return None
+    out = []
+    for line in text.split("\n"):
+        words = _words.findall(line)
+        if not words or not line_fails(line, words):
+            out.append(line)
+    return "\n".join(out)
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = 0.5) -> DataFrame:
-    """One row of SCHEMA for each row of ``docs``; no shuffle."""
+    """One row of CLEANED_SCHEMA for each row of ``docs``; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [part.split()[0] for part in SCHEMA.split(", ")]
+        names = [part.split()[0] for part in CLEANED_SCHEMA.split(", ")]
         for batch in batches:
-            rows = [measure(x.as_py(), max_lost) for x in batch.column(1)]
-            columns = list(zip(*rows)) if rows else [()] * 10
-            types = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 3 + [pa.bool_()]
+            texts = batch.column(1).to_pylist()
+            rows = [(*measure(x, max_lost), cleaned(x)) for x in texts]
+            columns = list(zip(*rows)) if rows else [()] * 11
+            types = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 3 + [pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, CLEANED_SCHEMA)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that quality_rules keeps."""
+    """The rows of ``docs``, all columns, that quality_rules keeps, with the text of the lines that pass; n_chars, if there, is that text's."""
     at = docs.columns.index(text_col)
+    sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([measure(x.as_py(), max_lost)[-1] for x in batch.column(at)], pa.bool_()))
+            batch = batch.filter(pa.array([measure(x.as_py(), max_lost)[-1] for x in batch.column(at)], pa.bool_()))
+            texts = [cleaned(x.as_py()) for x in batch.column(at)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if sized is not None:
+                columns[sized] = pa.array([None if x is None else len(x) for x in texts], batch.schema.field(sized).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -48,7 +48,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probeforge.llm.quality_rules import quality_rules
 
-    return quality_rules(_docs(spark, sf_dir))
+    return quality_rules(_docs(spark, sf_dir)).drop("text")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

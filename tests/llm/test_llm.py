@@ -282,6 +282,19 @@ def test_quality_rules(spark):
     assert quality_rules.keep_good(documents(spark, EDGE)).count() == 0
 
 
+def test_failing_lines_go(spark):
+    """A kept document goes on without its failing lines; the verdict counts them as before."""
+    good = [f"Alpha{i} is here, beta{i} was there, gamma{i} ends well." for i in range(12)]
+    text = "\n".join(["Home", good[0], "", "All rights reserved.", *good[1:], "# $ % & | < >"])
+    want = "\n".join([good[0], "", *good[1:]])
+    docs = documents(spark, [(1, text), (2, "Home"), (3, None)])
+    kept = quality_rules.keep_good(docs).collect()
+    assert [(r["doc_id"], r["text"], r["n_chars"]) for r in kept] == [(1, want, len(want))]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"], r["kept"]) for r in quality_rules.quality_rules(docs).collect()}
+    assert got == {1: (want, 3, True), 2: ("", 1, False), 3: (None, 0, False)}
+    assert "text" not in queries()["op5_quality_rules"](spark, SF).columns
+
+
 # 6
 
 
