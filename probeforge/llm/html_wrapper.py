@@ -5,6 +5,10 @@ its folded stream. Folded streams of one host are aligned one after another: whe
 so far disagree, a group that only one of them has becomes optional, a group that one has once and the other several times
 becomes repeated, and texts that differ become slots; equal texts stay template text. The result is one expression without unions.
 
+Tags whose class or id differ only in digits count as equal in folding and aligning; their container then goes by
+the name with each run of digits as 0. No part of a page is left out: streams too long for one table are
+aligned in pieces, cut at nodes that occur once in both. A wrapper grows with a host's different structure.
+
 Inference is spread: each task aligns the pages of each host it reads (a folded stream seen before costs only a
 comparison of texts) and returns one wrapper a host; wrappers align with wrappers the same way, first for a
 few dozen groups of tasks a host, then for the host. A wrapper is as large as a page's template, so no task holds a
@@ -25,6 +29,7 @@ import html as _html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +46,7 @@ _token = re.compile(
 )
 _named = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _unit = re.compile(r"[a-z]+")
+_digits = re.compile(r"[0-9]+")
 CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table tbody thead tr figure blockquote dialog menu fieldset details center td th".split())
 BLOCKS = CONTAINERS | frozenset("p li h1 h2 h3 h4 h5 h6 pre dt dd figcaption summary address caption hr legend".split())
 DROPPED_TAGS = frozenset("nav header footer aside form dialog menu button fieldset".split())
@@ -52,7 +58,8 @@ DROPPED_WORDS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FOLD = 12
-MAX_NODES = 400
+#: Cells of an alignment's table; longer streams are aligned in pieces.
+MAX_CELLS = 160_000
 #: Bytes of wrappers up to which the rules of all hosts are broadcast; beyond, pages join them by host.
 BROADCAST_BYTES = 48 << 20
 
@@ -95,7 +102,7 @@ def stream(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _key(node: list) -> str:
-    return node[1] if node[0] == "t" else "#" if node[0] == "x" else node[0] + "(" + " ".join(map(_key, node[1])) + ")"
+    return (_digits.sub("0", node[1]) if "." in node[1] else node[1]) if node[0] == "t" else "#" if node[0] == "x" else node[0] + "(" + " ".join(map(_key, node[1])) + ")"
 
 
 def page_nodes(page: str) -> list[list]:
@@ -162,12 +169,17 @@ def fold(nodes: list[list]) -> list[list]:
     return nodes
 
 
+def _folded(a: str, b: str) -> str:
+    """The name of containers that differ only in digits; of others, the first's."""
+    return one if (one := _digits.sub("0", a)) == _digits.sub("0", b) else a
+
+
 def _same(a: list[list], b: list[list]) -> list[list]:
     """Two node lists of equal keys as one: texts that differ become slots, sizes add up."""
     out = []
     for x, y in zip(a, b):
         if x[0] == "x":
-            out.append(["x", x[1] if x[1] == y[1] else None, x[2], x[3] + y[3]])
+            out.append(["x", x[1] if x[1] == y[1] else None, x[2] if x[2] == y[2] else _folded(x[2], y[2]), x[3] + y[3]])
         elif x[0] == "t":
             out.append(x)
         else:
@@ -185,25 +197,62 @@ def align(a: list[list], b: list[list]) -> list[list]:
     a, b = _repeat_like(a, b), _repeat_like(b, a)
     core = [x[1] if x[0] == "?" else [x] for x in a], [x[1] if x[0] == "?" else [x] for x in b]
     ka, kb = ([" ".join(map(_key, g)) for g in side] for side in core)
-    n, m = len(ka), len(kb)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if ka[i] == kb[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            body = _same(core[0][i], core[1][j])
-            out += [["?", body]] if "?" in (a[i][0], b[j][0]) else body
+    for u, v in [*_matches(ka, kb), (len(ka), len(kb))]:
+        out += [["?", g] for g in core[0][i:u]] + [["?", g] for g in core[1][j:v]]
+        if u < len(ka):
+            body = _same(core[0][u], core[1][v])
+            out += [["?", body]] if "?" in (a[u][0], b[v][0]) else body
+        i, j = u + 1, v + 1
+    return out
+
+
+def _matches(ka: list[str], kb: list[str]) -> list[tuple[int, int]]:
+    """Increasing pairs of places with equal keys: the most there are, but for streams that are cut in pieces."""
+    done: list[tuple[int, int]] = []
+    todo = [(0, len(ka), 0, len(kb))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and ka[i] == kb[j]:
+            done.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(["?", core[0][i]])
-            i += 1
+        while i < n and j < m and ka[n - 1] == kb[m - 1]:
+            n, m = n - 1, m - 1
+            done.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= MAX_CELLS:
+            done += _table(ka, kb, i, n, j, m)
+            continue
+        once = [{k: at for at, k in enumerate(side) if count[k] == 1} for side in (ka[i:n], kb[j:m]) for count in [Counter(side)]]
+        both = [(i + at, j + once[1][k]) for k, at in once[0].items() if k in once[1]]
+        u, v = min(both, key=lambda x: abs(2 * x[0] - i - n) + abs(2 * x[1] - j - m), default=((i + n) // 2, (j + m) // 2))
+        if not both and min(n - i, m - j) == 1:  # one node against very many
+            side = (ka.index(kb[j], i, n), j) if m - j == 1 and kb[j] in ka[i:n] else (i, kb.index(ka[i], j, m)) if n - i == 1 and ka[i] in kb[j:m] else None
+            done += [side] if side else []
+            continue
+        todo += [(i, u, j, v), (u, n, v, m)]
+    return sorted(done)
+
+
+def _table(ka: list[str], kb: list[str], i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of two slices, as pairs of places."""
+    a, b = ka[i:n], kb[j:m]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for x in range(len(a) - 1, -1, -1):
+        row, below = best[x], best[x + 1]
+        for y in range(len(b) - 1, -1, -1):
+            row[y] = below[y + 1] + 1 if a[x] == b[y] else max(below[y], row[y + 1])
+    out, x, y = [], 0, 0
+    while x < len(a) and y < len(b):
+        if a[x] == b[y]:
+            out.append((i + x, j + y))
+            x, y = x + 1, y + 1
+        elif best[x + 1][y] >= best[x][y + 1]:
+            x += 1
         else:
-            out.append(["?", core[1][j]])
-            j += 1
-    return out[:MAX_NODES]
+            y += 1
+    return out
 
 
 def _repeat_like(nodes: list[list], other: list[list]) -> list[list]:
@@ -230,7 +279,7 @@ class HostWrapper:
         self.pages = 0
 
     def add(self, page: str) -> None:
-        nodes = fold(page_nodes(page))[:MAX_NODES]
+        nodes = fold(page_nodes(page))
         key = " ".join(map(_key, nodes))
         have = self.shapes.get(key)
         self.shapes[key] = _same(have, nodes) if have is not None else nodes
@@ -309,7 +358,7 @@ def extract(page: str, rule: dict | None = None) -> str:
                 skip -= depth.pop()[1]
             continue
         if kind == "open":
-            is_main = tag == main or signature(tag, attrs) == main
+            is_main = tag == main or (sign := signature(tag, attrs)) == main or _digits.sub("0", sign) == main
             gone = dropped(tag, attrs) and not is_main
             depth.append((tag, gone, is_main))
             skip += gone

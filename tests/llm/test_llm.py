@@ -313,6 +313,24 @@ def test_html():
     assert html_wrapper.extract("") == "" and html_wrapper.extract("a < b") and html_wrapper.extract("<div><p>open <b>x") == "open x"
 
 
+def test_html_long_menus():
+    """What stands behind a long menu still counts, whether the menu folds or not; long streams lose no node."""
+    for name in (lambda i, k: f"menu-item-{k}", lambda i, k: "m" + "".join(chr(97 + int(c)) for c in str(k))):
+        h = html_wrapper.HostWrapper()
+        page = lambda i: "<body><div id=topbar>Day %d, at length and in words</div><div id=list>%s</div><article><p>story %d of its own</p></article></body>" % (i, "".join(f"<li id='{name(i, k)}'>item {k}</li>" for k in range(200)), i)  # noqa: E731, B023
+        for i in range(4):
+            h.add(page(i))
+        assert html_wrapper.extract(page(9), html_wrapper.rules(h.wrapper(), 4)) == "story 9 of its own"
+    rng = random.Random(3)
+    a, b = ([["t", rng.choice("abcdefgh") * rng.randint(1, 4)] for _ in range(n)] for n in (900, 1100))
+    names = lambda nodes: Counter(x[1] for x in nodes if x[0] == "t") + sum((Counter(y[1] for y in x[1]) for x in nodes if x[0] == "?"), Counter())
+    merged = html_wrapper.align(a, b)
+    assert all(names(merged)[k] >= max(names(a)[k], names(b)[k]) for k in names(a) | names(b))
+    keys = [x[1] for x in a], [x[1] for x in b]
+    pairs = html_wrapper._matches(*keys)
+    assert all(keys[0][i] == keys[1][j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs)) and len(pairs) > 200
+
+
 def test_html_pages(spark):
     rows = [(i, f"http://h{i % 2}.x/{i}", f"<body><nav>m</nav><article><p>text {i}</p></article></body>") for i in range(9)] + [(20, None, None), (21, "nohost", "plain"), (8, "http://h0.x/8", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
