@@ -70,9 +70,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from probeforge.llm.piece_lattice import encode_documents
+    from probeforge.llm.piece_lattice import encoding_digests
 
-    return encode_documents(_docs(spark, sf_dir))
+    return encoding_digests(_docs(spark, sf_dir))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -440,13 +441,53 @@ def test_piece_lattice(spark):
         walk(0, 0.0, [])
         return sorted(out, key=lambda x: -x[0])[:n]
 
-    for text in ["hello we", "a  b c", "été 日😀", "the cat s", "x", "aaaaaa", "zq\n\tk"]:
-        mine, want = m.encodings(text, 4), brute(text, 4)
-        assert [round(s, 3) for s, _ in mine] == [round(s, 3) for s, _ in want]
-        assert all(m.decode(ids) == text for _, ids in mine) and len({tuple(i) for _, i in mine}) == len(mine)
-        assert round(m.search(m.escape(text), 1)[0][0], 3) == round(want[0][0], 3)
-    out = piece_lattice.encode_documents(documents(spark, EDGE)).collect()
+    rng = random.Random(8)
+    texts = ["hello we", "a  b c", "été 日😀", "the cat s", "x", "aaaaaa", "zq\n\tk", " a ", "a▁b", "no no no", *("".join(rng.choice("ab e\n%") for _ in range(11)) for _ in range(20))]
+    for text in texts:
+        for n in (1, 2, 4, 7):
+            mine, want = m.encodings(text, n), brute(text, n)
+            assert [round(s, 3) for s, _ in mine] == [round(s, 3) for s, _ in want], text
+            assert all(m.decode(ids) == text.replace("▁", " ") for _, ids in mine) and len({tuple(i) for _, i in mine}) == len(mine)
+            assert [round(s, 3) for s, _ in m.search(m.escape(text), n)] == [round(s, 3) for s, _ in want]
+    assert m.encodings("", 4) == [(0.0, [])]
+
+
+def test_piece_documents(spark):
+    df = documents(spark, EDGE)
+    out = piece_lattice.encoding_digests(df.withColumn("ids", F.lit("clash")).withColumn("a.b", F.lit(1))).collect()
     assert len(out) == len(EDGE) and all(r["round_trip"] for r in out)
+    for r in out:
+        assert len(r["best_scores"]) == len(r["best_crc32"]) == len(r["best_pieces"]) == r["n_best"] and r["best_scores"] == sorted(r["best_scores"], reverse=True)
+        assert (r["score"], r["n_pieces"], r["ids_crc32"], r["last_score"]) == (r["best_scores"][0], r["best_pieces"][0], r["best_crc32"][0], r["best_scores"][-1])
+    encoded = piece_lattice.encode_documents(df)
+    found = {(r["doc_id"], r["n_best"][0]["score"]): [zlib.crc32(np.array(x["ids"], "<u4").tobytes()) for x in r["n_best"]] for r in encoded.collect()}
+    assert found == {(r["doc_id"], r["score"]): r["best_crc32"] for r in out}
+    texts = piece_lattice.decode_documents(encoded.select("doc_id", F.col("n_best")[0]["ids"].alias("ids"))).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in texts) == Counter((d, t or "") for d, t in EDGE)
+    assert piece_lattice.encoding_digests(df.limit(0)).count() == 0
+
+
+def test_pieces_of_the_library():
+    """The library merges by rank, so its ids differ; decoding reads them all the same, and no segmentation scores above ours."""
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    m = piece_lattice.lattice()
+    for text in ["hello world and more", "Über 日本 😀 été", "a b  c", "The quick brown fox jumps."]:
+        ids = library.encode(text)
+        assert m.decode(ids) == text
+        score = sum(m.pieces[library.id_to_piece(i)][1] for i in ids) if not any(map(library.is_byte, ids)) else -math.inf
+        assert m.encodings(text, 1)[0][0] >= score
+
+
+def test_pieces_without_spaces():
+    """A unit of very many tied paths ends, and so does a text of very many units."""
+    m = piece_lattice.lattice()
+    for text in ("x" * 50_000, "ab" * 30_000, "日本" * 30_000, "aGVsbG8" * 9_000):
+        began = time.perf_counter()
+        found = m.encodings(text, 4)
+        assert time.perf_counter() - began < 15 and all(m.decode(ids) == text for _, ids in found)
 
 
 # the pipeline
