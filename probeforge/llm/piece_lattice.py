@@ -21,6 +21,7 @@ a row each; other columns are not read. Whole texts are encoded, a text at a tim
 
 from __future__ import annotations
 
+import gc
 import heapq
 import itertools
 import math
@@ -34,20 +35,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N_BEST = 4
-#: Words and ids that a worker's memo holds before it starts anew.
-KEPT_WORDS = 1_000_000
-KEPT_IDS = 12_000_000
+#: Words and units that a worker's memo holds, those it met first; results do not depend on it.
+KEPT_WORDS = 1_200_000
+KEPT_UNITS = 600_000
+LONG = 64
 SPACE = "▁"
 SCHEMA = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, score double, n_best int, last_score double, best_scores array<double>, best_pieces array<bigint>, best_crc32 array<bigint>, round_trip boolean"
 IDS_SCHEMA = "doc_id bigint, n_best array<struct<score: double, ids: array<int>>>"
 
 Found = tuple[float, tuple[int, ...]]
+#: Score, ids and the gap to the next best.
+Best = tuple[float, tuple[int, ...], float]
 
 
 class PieceLattice:
     """Vocabulary and search of one model file."""
 
     def __init__(self, path: str | None = None):
+        import ahocorasick
         import public_tokenizers
         import sentencepiece
 
@@ -63,20 +68,22 @@ class PieceLattice:
         for b, i in self.bytes.items():
             self.text_of[i] = chr(b if b < 0x80 else 0xDC00 + b)
         self.scores = {p: x for p, (_, x) in self.pieces.items()}
-        #: Scores of pieces (none is 0), None for mere beginnings of pieces.
-        self.grown: dict[str, float | None] = {p[:k]: None for p in self.scores for k in range(1, len(p))} | {p: x or -1e-9 for p, x in self.scores.items()}
+        #: Finds all pieces in a text in one pass.
+        self.finder = ahocorasick.Automaton()
+        for p, x in self.scores.items():
+            self.finder.add_word(p, (len(p), x))
+        self.finder.make_automaton()
+        self.single = {p for p in self.pieces if len(p) == 1}
         self.missing = min(x for x in self.scores.values() if x > -1e8) - 10.0
         #: Two code points side by side in some piece; between all others the lattice is cut.
         self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.by_words = not any(x[0] != SPACE and x[1] == SPACE for x in self.joined)
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.units: dict[str, list[Found]] = {}
+        self.units: dict[str, Best] = {}
         self.more: dict[tuple[str, int], list[Found]] = {}
         self.long: dict[tuple[str, int], list[Found]] = {}  # of the text at hand
         self.words: dict[str, int] = {}
+        self.passing: list[str] = []  # words of the text at hand that the memo does not keep
         self.word_score, self.word_gap = np.zeros(1024), np.zeros(1024)
         self.word_first, self.word_size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(8192, np.int32), 0
@@ -90,29 +97,34 @@ class PieceLattice:
 
     def search(self, text: str, n: int) -> list[Found]:
         """The n best (score, ids) of an escaped text or unit, best first: A* from the end with Viterbi scores as what is to come."""
-        size, look, low = len(text), self.grown.get, -math.inf
-        best = [low] * (size + 1)
-        best[0] = 0.0
-        into: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
-        for start in range(size):
-            base = best[start]
-            for end in range(start + 1, size + 1):
-                score = look(text[start:end], 0)
-                if not score:
-                    if end == start + 1:
-                        score = self.missing
-                    elif score is None:  # the beginning of pieces only
-                        continue
-                    else:
-                        break
-                into[end].append((score, start))
-                if base + score > best[end]:
-                    best[end] = base + score
+        size = len(text)
+        if size == 1:
+            return [(self.scores.get(text, self.missing), self.ids(text))]
+        edges: list = self.finder.iter(text)
+        if not self.single.issuperset(text):
+            found = list(edges)
+            found += [(i, (1, self.missing)) for i, c in enumerate(text) if c not in self.single]
+            edges = sorted(found)
+        # into a node: (less the best score up to it over the edge, start, score of the edge)
+        best = [0.0]
+        into: list[list[tuple[float, int, float]]] = [[]]
+        node = -1
+        for last, (length, score) in edges:
+            start = last - length + 1
+            if last != node:
+                node = last
+                here: list[tuple[float, int, float]] = []
+                into.append(here)
+                best.append(best[start] + score)
+            over = best[start] + score
+            if over > best[-1]:
+                best[-1] = over
+            here.append((-over, start, score))
         push, pop = heapq.heappush, heapq.heappop
         agenda: list[tuple[float, int, int, float, tuple | None]] = [(-best[size], 0, size, 0.0, None)]
         pops = [0] * (size + 1)
         count, ids_of = 0, self.ids
-        found: list[Found] = []
+        found = []
         while agenda:
             _, _, node, done, path = pop(agenda)
             if not node:
@@ -126,14 +138,16 @@ class PieceLattice:
                 if len(found) == n:
                     break
                 continue
-            if pops[node] == n:
+            here = into[node]
+            if not pops[node]:
+                here.sort()
+            elif pops[node] == n:
                 continue
             pops[node] += 1
             path = (node, path)
-            for score, start in into[node]:
+            for over, start, score in here[:n]:  # an N best path takes one of the N best edges of each of its nodes
                 count -= 1
-                score += done
-                push(agenda, (-best[start] - score, count, start, score, path))
+                push(agenda, (over - done, count, start, done + score, path))
         return found
 
     def cut(self, word: str) -> list[str]:
@@ -144,23 +158,23 @@ class PieceLattice:
             return [word]
         return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)])]
 
-    def unit(self, unit: str) -> list[Found]:
-        """The unit's two best."""
+    def unit(self, unit: str) -> Best:
         found = self.units.get(unit)
         if found is None:
-            if len(unit) >= 64:
-                return self.unit_best(unit, 2)
-            found = self.units[unit] = self.search(unit, 2)
+            some = self.unit_best(unit, 2) if len(unit) >= LONG else self.search(unit, 2)
+            found = (*some[0], some[0][0] - some[1][0] if len(some) > 1 else math.inf)
+            if len(unit) < LONG and len(self.units) < KEPT_UNITS:
+                self.units[unit] = found
         return found
 
     def unit_best(self, unit: str, n: int) -> list[Found]:
         """The unit's n best; its best is the same for every n."""
-        kept = self.more if len(unit) < 64 else self.long
+        kept = self.more if len(unit) < LONG and len(self.more) < KEPT_UNITS // 8 else self.long
         found = kept.get((unit, n))
         if found is None:
             found = self.search(unit, n)
             if n > 2:
-                first = self.unit(unit)[0]
+                first = self.unit(unit)[:2]
                 found = [first, *(x for x in found if x[1] != first[1])][:n]
             kept[unit, n] = found
         return found
@@ -179,21 +193,20 @@ class PieceLattice:
         units = self.cut(SPACE + key)
         if len(units) == 1:
             return self.unit_best(units[0], n)
-        two = list(map(self.unit, units))
-        total = math.fsum(x[0][0] for x in two)
-        gaps = [(x[0][0] - x[1][0] if len(x) > 1 else math.inf, u) for x, u in zip(two, units)]
-        found = self.merged(gaps, n, lambda u: self.unit_best(u, n))
-        return [(total - loss, tuple(itertools.chain.from_iterable(chosen.get(i, x[0][1]) for i, x in enumerate(two)))) for loss, chosen in found]
+        own = list(map(self.unit, units))
+        total = math.fsum(x[0] for x in own)
+        found = self.merged([(x[2], u) for x, u in zip(own, units)], n, lambda u: self.unit_best(u, n))
+        return [(total - loss, tuple(itertools.chain.from_iterable(chosen.get(i, x[1]) for i, x in enumerate(own)))) for loss, chosen in found]
 
     def _learn(self, key: str) -> int:
         """The number of a new word, whose best segmentation and gap are kept."""
         score, ids, gap = 0.0, [], math.inf
         for unit in self.cut(SPACE + key):
-            some = self.unit(unit)
-            score += some[0][0]
-            ids += some[0][1]
-            if len(some) > 1 and some[0][0] - some[1][0] < gap:
-                gap = some[0][0] - some[1][0]
+            more, some, next_ = self.unit(unit)
+            score += more
+            ids += some
+            if next_ < gap:
+                gap = next_
         at, end = len(self.words), self.used + len(ids)
         if at == len(self.word_score):
             for name in ("word_score", "word_gap", "word_first", "word_size"):
@@ -206,6 +219,8 @@ class PieceLattice:
         self.word_first[at], self.word_size[at] = self.used, len(ids)
         self.used = end
         self.words[key] = at
+        if len(key) >= LONG or at >= KEPT_WORDS or self.passing:
+            self.passing.append(key)
         return at
 
     def keys(self, text: str) -> list[str]:
@@ -219,14 +234,19 @@ class PieceLattice:
 
     def n_best(self, text: str, n: int = N_BEST) -> list[tuple[float, np.ndarray]]:
         """The n best (score, ids) of a text, best first."""
-        if len(self.words) > KEPT_WORDS or self.used > KEPT_IDS:
-            self._forget()
+        if self.passing:
+            self.used = int(self.word_first[self.words[self.passing[0]]])
+            for key in self.passing:
+                del self.words[key]
+            self.passing.clear()
         self.long.clear()
         keys = self.keys(text)
         numbers = list(map(self.words.get, keys))
         if None in numbers:
-            numbers = [self.words.get(k) if i is None else i for k, i in zip(keys, numbers)]
-            numbers = [i if i is not None else self.words[k] if k in self.words else self._learn(k) for k, i in zip(keys, numbers)]
+            words, learn = self.words, self._learn
+            for i in [i for i, x in enumerate(numbers) if x is None]:
+                key = keys[i]
+                numbers[i] = words[key] if key in words else learn(key)
         at = np.array(numbers, np.int64)
         size = self.word_size[at]
         ends = np.cumsum(size)
@@ -314,6 +334,7 @@ def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = lattice()
+        gc.disable()  # the memo holds no cycles, but very many tuples to look through
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
         for batch in batches:
