@@ -48,7 +48,7 @@ BITS_PER_ENTRY = 12
 #: Bits of an entry, all in one 64-bit word.
 BITS_SET = 4
 #: Tokens whose bigrams a worker adds up before they are shuffled.
-PARTIAL_TOKENS = 3_000_000
+PARTIAL_TOKENS = 2_000_000
 #: Bytes of training text a shard of the filter, within limits.
 SHARD_BYTES = 24 << 20
 SHARDS = (4, 16_384)
@@ -277,7 +277,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         m = shared.value
         for batch in batches:
             column = binary_column(batch.column(1))
-            for a, b in slices(column, 4 << 20):
+            for a, b in slices(column, 1 << 20):
                 found = m.score(*tokens(column.slice(a, b - a)), b - a)
                 n_tokens, known, base, score = map(pa.array, found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n_tokens, known, pa.array(np.full(b - a, m.n, np.int64)), base, score], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -310,7 +310,8 @@ def _gathered(n: int, v: int, table: DataFrame, filters: DataFrame, shards: int,
             to[at:end] = part[name].to_numpy()
         at = end
     order = np.argsort(h)
-    return Model(n, v, (h[order], c[order], s[order], t[order]), CountFilter(words, shards), starts, least)
+    c = c[order] if c.max(initial=0) >> 32 else c[order].astype(np.uint32)
+    return Model(n, v, (h[order], c, s[order], t[order]), CountFilter(words, shards), starts, least)
 
 
 def hot_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
