@@ -50,8 +50,10 @@ BITS_SET = 4
 #: Tokens whose bigrams a worker adds up before they are shuffled.
 PARTIAL_TOKENS = 2_000_000
 #: Bytes of training text a shard of the filter, within limits.
-SHARD_BYTES = 24 << 20
-SHARDS = (4, 16_384)
+SHARD_BYTES = 12 << 20
+SHARDS = (4, 65_536)
+#: Partial counts that a shard's task adds up at once.
+MERGED_ROWS = 1_000_000
 #: Bytes up to which filter and token table are broadcast.
 MAX_BYTES = 384 << 20
 #: A key is hot beyond this share of the rows.
@@ -226,11 +228,25 @@ def train_counts(learn: DataFrame, least: int) -> tuple[DataFrame, int]:
     size = learn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(min(max(size // SHARD_BYTES + 1, SHARDS[0]), SHARDS[1]))
 
+    def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """The partial counts of each bigram as one."""
+        h, u, c = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h)
+        h = h[order]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return h[at], u[order[at]], np.add.reduceat(c[order], at)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(batch.column(i).to_numpy() for i in range(3)) for batch in batches if batch.num_rows]
-        if not parts:
+        parts, held, own = [], 0, 0
+        for batch in batches:
+            parts.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+            held += batch.num_rows
+            if held > MERGED_ROWS + 2 * own:  # what is held is at most about three times the different bigrams
+                parts = [added(parts)]
+                held = own = len(parts[0][0])
+        if not held:
             return
-        h, u, c = (np.concatenate(x) for x in zip(*parts))
+        h, u, c = added(parts)
         h = h.view(np.uint64)
         kept = c >= least
         count = np.maximum(c, least)
@@ -248,8 +264,7 @@ def train_counts(learn: DataFrame, least: int) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([pa.nulls(b - a, types[0]), pa.nulls(b - a, types[1]), pa.array(contexts[a:b]), *(pa.array(x[a:b]) for x in sums)], names=names)
 
     names, types = ["shard", "words", "u", "n", "s", "t"], [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-    counted = count_bigrams(learn).repartition(shards, "h").groupBy("h").agg(F.first("u").alias("u"), F.sum("c").alias("c"))
-    return staged(counted.mapInArrow(run, "shard int, words binary, u bigint, n bigint, s double, t bigint"), "lm-counts"), shards
+    return staged(count_bigrams(learn).repartition(shards, "h").mapInArrow(run, "shard int, words binary, u bigint, n bigint, s double, t bigint"), "lm-counts"), shards
 
 
 def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES, min_count: int = MIN_COUNT) -> DataFrame:
