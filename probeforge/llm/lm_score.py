@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probeforge.llm.runtime import staged
+from probeforge.llm.runtime import lean_batches, staged
 from probeforge.llm.textio import binary_column, hashed_words, mix, slices
 
 START = np.uint64(0x243F6A8885A308D3)
@@ -48,7 +48,7 @@ BITS_PER_ENTRY = 12
 #: Bits of an entry, all in one 64-bit word.
 BITS_SET = 4
 #: Tokens whose bigrams a worker adds up before they are shuffled.
-PARTIAL_TOKENS = 2_000_000
+PARTIAL_TOKENS = 1_000_000
 #: Bytes of training text a shard of the filter, within limits.
 SHARD_BYTES = 12 << 20
 SHARDS = (4, 65_536)
@@ -111,7 +111,7 @@ def count_bigrams(train: DataFrame) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             column = binary_column(batch.column(0))
-            for a, b in slices(column):
+            for a, b in slices(column, 1 << 19):
                 parts.append(tokens(column.slice(a, b - a))[1:])
                 held += len(parts[-1][0])
                 if held > PARTIAL_TOKENS:
@@ -270,6 +270,7 @@ def train_counts(learn: DataFrame, least: int) -> tuple[DataFrame, int]:
 def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row; ``train``: which rows to learn from; ``min_count``: of bigrams."""
     spark = docs.sparkSession
+    lean_batches(spark)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text)
     counts, shards = train_counts(docs.where(train).select(text), min_count)
@@ -292,7 +293,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         m = shared.value
         for batch in batches:
             column = binary_column(batch.column(1))
-            for a, b in slices(column, 1 << 20):
+            for a, b in slices(column, 1 << 19):
                 found = m.score(*tokens(column.slice(a, b - a)), b - a)
                 n_tokens, known, base, score = map(pa.array, found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n_tokens, known, pa.array(np.full(b - a, m.n, np.int64)), base, score], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

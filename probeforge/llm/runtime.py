@@ -1,4 +1,4 @@
-"""Cutting lineage in the shared folder, and size-checked broadcasts."""
+"""Cutting lineage in the shared folder, Arrow batches of bounded bytes, and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -8,13 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch of texts: the JVM and the worker each hold one or two for a task.
+BATCH_BYTES = 8 << 20
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about BATCH_BYTES, unless the session has a limit of its own; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (as in tests) a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="probeforge-"))
             have = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = have.get()
