@@ -1,185 +1,267 @@
 """HTML extraction with wrappers: union-free regular expressions inferred for each host.
 
-A page is a stream of tags and texts. Adjacent equal groups fold into repeated groups (a menu's items, paragraphs), which gives
-its folded stream. Folded streams of one host are aligned one after another: where a stream and the wrapper
-so far disagree, a group that only one of them has becomes optional, a group that one has once and the other several times
-becomes repeated, and texts that differ become slots; equal texts stay template text. The result is one expression without unions.
+A page is a stream of container and block tags and of texts. Adjacent equal groups fold into repeated groups (a menu's items,
+paragraphs), which gives its folded stream. Folded streams of one host are aligned one after another: where a stream and the
+wrapper so far disagree, a group that only one of them has becomes optional, a group that one has once and the other several
+times becomes repeated (its texts compare as one sequence), and texts that differ become slots; a text that is equal on all pages stays template text if at
+least ``SUPPORT`` different pages have it. The result is one expression without unions.
 
-Tags whose class or id differ only in digits count as equal in folding and aligning; their container then goes by
-the name with each run of digits as 0. No part of a page is left out: streams too long for one table are
+Tags whose class or id differ only in digits count as equal. No part of a page is left out: streams too long for one table are
 aligned in pieces, cut at nodes that occur once in both. A wrapper grows with a host's different structure.
 
-Inference is spread: each task aligns the pages of each host it reads (a folded stream seen before costs only a
-comparison of texts) and returns one wrapper a host; wrappers align with wrappers the same way, first for a
-few dozen groups of tasks a host, then for the host. A wrapper is as large as a page's template, so no task holds a
-host's pages, and a hot host is no larger than others.
-
-Extraction reads from the host's wrapper the container that the main text varies in (``article`` or ``main`` if the wrapper has them,
-else the container with most slot text that no menu-like element holds) and which texts outside it are template. In the page it keeps
-the text blocks of that container, less menus, headers, footers, sidebars, notices, adverts, forms and comments by tag, role, class or
-id. Character references are decoded; white space inside a block becomes one space; blocks are joined by an empty line.
-
-Defined results: null html counts as empty and gives the empty text; a page without markup is one block; unclosed tags, cut
-pages and malformed markup never fail; a url without a host has the host ""; repeated rows get a row each.
+Inference is spread, and its result does not depend on how: pages of one host and one folded stream (a shape) merge text by
+text, in any order; then a host's shapes align in the order of their hashes, ``MERGED`` a task at most, the results likewise,
+until each host has one wrapper. No task holds a host's pages or all its shapes, and a hot host is no larger than others.
+
+Extraction aligns a page's shape with its host's wrapper, which tells the page's slots from its template. The main container
+is read from the wrapper, by the slots' text: from the page's root down, as long as one container holds ``MOST`` of it.
+On this way the innermost ``article``, else the innermost ``main``, settles a tie between nested containers, as does a heading
+that would be left outside. Text under an element that is a menu, header, footer, sidebar, notice, advert, form or comment list by tag,
+role, class or id counts little (under ``article`` or ``main`` double), and is left out inside the main container; elements around the main container are never
+judged by this. The page's text is the blocks of the main container that are slots. If all of them are template, they are
+the text. A page without text in that container (another kind of page) is read by its own wrapper.
+
+Character references are decoded before texts are compared; white space inside a block becomes one space; blocks are joined by
+an empty line. Defined results: null html counts as empty and gives the empty text; a page without markup is one block;
+unclosed tags (``head`` and raw elements, too), cut pages and malformed markup never fail; a url without a host has the host "";
+repeated rows get a row each, and add nothing to a wrapper; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as _html
 import json
+import operator
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probeforge.llm.runtime import staged
+from probeforge.llm.runtime import lean_batches, staged
 
 _token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title|head)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|(?P<text>[^<]+|<)",
-    re.S | re.I,
+    r"(?P<comment><!--.*?(?:-->|\Z)|<[!?][^>]*+>)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|(?P<text>[^<]++|<)",
+    re.S,
 )
+#: Elements whose content is no text of the page; one that is not closed is only a tag, but for scripts and styles, which go to the end.
+RAW = frozenset("script style noscript template svg iframe textarea select title".split())
+_raw_end = {t: re.compile(rf"</{t}\s*>" + (r"|(?=</head\b|<body\b|<meta\b|<link\b|<style\b|<script\b)" if t == "title" else ""), re.I) for t in RAW}
 _named = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_unit = re.compile(r"[a-z]+")
+_unit = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _digits = re.compile(r"[0-9]+")
-CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table tbody thead tr figure blockquote dialog menu fieldset details center td th".split())
-BLOCKS = CONTAINERS | frozenset("p li h1 h2 h3 h4 h5 h6 pre dt dd figcaption summary address caption hr legend".split())
+CONTAINERS = frozenset("div section article main nav header footer aside form ul ol dl table tbody thead tr figure blockquote dialog menu fieldset details center td th".split())
+BLOCKS = CONTAINERS | frozenset("html body p li h1 h2 h3 h4 h5 h6 pre dt dd figcaption summary address caption hr legend".split())
 DROPPED_TAGS = frozenset("nav header footer aside form dialog menu button fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup "
-    "share sharing social related recommended recommendations sidebar widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead toolbar "
+    "share sharing social related recommended recommendations sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead toolbar "
     "comment comments disqus reply replies discussion respond skip login".split()
 )
+#: Words that may stand beside a dropped word in one class without changing what it says (site-header, but not content-with-sidebar).
+NEUTRAL_WORDS = frozenset("site page global main top bottom left right inner outer primary secondary box block bar list item items link links area section wrap wrapper container user reader module slot the".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FOLD = 12
 #: Cells of an alignment's table; longer streams are aligned in pieces.
 MAX_CELLS = 160_000
-#: Bytes of wrappers up to which the rules of all hosts are broadcast; beyond, pages join them by host.
+#: Containers nested deeper than this are not told apart from the one they are in.
+MAX_DEPTH = 100
+#: Different pages that must agree on a text before it is template.
+SUPPORT = 3
+#: Share of the slots' text that a container must hold to be the main one, and what text counts under a dropped element, or under ``article`` or ``main``.
+MOST, DROPPED_WEIGHT, NAMED_WEIGHT = 0.5, 0.1, 2.0
+#: Shapes or wrappers that one task aligns.
+MERGED = 64
+#: Shapes a task holds before it hands them on.
+HELD_SHAPES = 4_000
+#: Bytes of wrappers up to which those of all hosts are broadcast; beyond, pages join them by host.
 BROADCAST_BYTES = 48 << 20
 
 
+def boilerplate(value: str) -> bool:
+    """Whether one of the names in a class or id says so: all its words are neutral or dropped, one is dropped."""
+    for name in value.split():
+        words = {w.lower() for w in _unit.findall(name)}
+        if not DROPPED_WORDS.isdisjoint(words) and words <= DROPPED_WORDS | NEUTRAL_WORDS:
+            return True
+    return False
+
+
 def dropped(tag: str, attrs: str) -> bool:
     """Whether an element is boilerplate by its tag, role, class, id or by being hidden."""
     if tag in DROPPED_TAGS:
         return True
     for name, value in _named.findall(attrs) if attrs else ():
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            if boilerplate(value):
+                return True
+            continue
+        value = value.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and "display" in value and re.search(r"display\s*:\s*none", value):
             return True
         if name == "role" and value in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(_unit.findall(value)):
-            return True
     return False
 
 
 def signature(tag: str, attrs: str) -> str:
-    """A tag with its class or id, which tells containers of a template apart."""
+    """A tag with its class or id, less digits, which tells containers of a template apart."""
     for name, value in _named.findall(attrs) if attrs else ():
         if name.lower() in ("class", "id") and value:
-            return f"{tag}.{value.strip('\"').strip(chr(39))}"
+            return f"{tag}.{_digits.sub('0', value.strip('\"').strip(chr(39))).replace('>', '')}"
     return tag
 
 
 def stream(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, tag or text, attributes); kind: open, close or text."""
-    for m in _token.finditer(page):
+    at, match, unclosed, last = 0, _token.match, set(), page.rfind(">")
+    while at < len(page):
+        if at > last:  # no tag ends any more
+            if not page.startswith("<!--", at):
+                yield "text", page[at:], ""
+            return
+        m = match(page, at)
+        at = m.end()
         if m["text"] is not None:
             yield "text", m["text"], ""
         elif m["tag"]:
-            yield ("close" if m["close"] else "open"), m["tag"].lower(), m["attrs"]
+            tag = m["tag"].lower()
+            if tag in RAW and not m["close"] and tag not in unclosed:
+                end = _raw_end[tag].search(page, at)
+                if end:
+                    at = end.end()
+                    continue
+                unclosed.add(tag)  # nor is any later one closed
+                if tag in ("script", "style"):
+                    return
+            yield ("close" if m["close"] else "open"), tag, m["attrs"]
 
 
-# --- wrappers: nodes are ["t", tag], ["x", template text's hash or None for a slot, container, size], ["?", nodes], ["+", nodes]
+# Nodes: ["t", tag's signature], ["x", text's digest or None for a slot, path, size, digests of pages that agree], ["?", nodes], ["+", nodes].
+# A path is the signatures of the containers around a text, "-" before dropped ones, and "|" and the block's tag.
 
 
 def _key(node: list) -> str:
-    return (_digits.sub("0", node[1]) if "." in node[1] else node[1]) if node[0] == "t" else "#" if node[0] == "x" else node[0] + "(" + " ".join(map(_key, node[1])) + ")"
-
-
-def page_nodes(page: str) -> list[list]:
-    """The unfolded nodes of a page: container tags and block tags, and a text node for each run of text between them."""
-    out: list[list] = []
-    open_: list[str] = ["#root"]
-    skip = 0
-    text: list[str] = []
-
-    def flush() -> None:
-        whole = " ".join("".join(text).split())
-        text.clear()
-        if whole:
-            out.append(["x", zlib.crc32(whole.encode()), ("-" if skip else "") + open_[-1], len(whole)])
-
-    depth: list[tuple[str, bool]] = []
-    for kind, tag, attrs in stream(page):
-        if kind == "text":
-            text.append(tag)
-        elif tag in BLOCKS:
-            flush()
+    return node[1] if node[0] == "t" else "#" if node[0] == "x" else node[0] + "(" + " ".join(map(_key, node[1])) + ")"
+
+
+def _digest(text: str) -> str:
+    return blake2b(text.encode(errors="surrogatepass"), digest_size=16).hexdigest()
+
+
+class Page:
+    """A page's unfolded nodes and its blocks of text, in order; text nodes end with the numbers of their blocks."""
+
+    def __init__(self, page: str):
+        self.nodes: list[list] = []
+        self.blocks: list[str] = []
+        self.paths: list[str] = []
+        support = [_digest(page)[:16]]
+        text: list[str] = []
+        open_: list[tuple[str, str]] = [("", "")]  # (tag, path) of containers and dropped blocks
+        block, counts = "", Counter()
+        for kind, tag, attrs in stream(page):
+            if kind == "text":
+                text.append(tag)
+                continue
+            if tag not in BLOCKS:
+                if tag in VOID or kind == "open" and tag in ("button", "label"):
+                    text.append(" ")
+                continue
+            if text:
+                self._flush(text, open_[-1][1], block, support)
+                text = []
+            if open_[-1][0] not in CONTAINERS and (kind == "open" or tag == open_[-1][0]):
+                if len(open_) > 1:  # a dropped block ends with its end tag or the next block
+                    counts[open_.pop()[0]] -= 1
             if kind == "open":
+                block = tag
                 sign = signature(tag, attrs)
-                out.append(["t", sign])
-                if tag in CONTAINERS:
-                    gone = dropped(tag, attrs)
-                    depth.append((tag, gone))
-                    open_.append(sign)
-                    skip += gone
+                self.nodes.append(["t", sign])
+                gone = tag not in ("html", "body") and dropped(tag, attrs)
+                if tag in CONTAINERS or gone and tag != "hr":
+                    path = open_[-1][1]
+                    if len(open_) <= MAX_DEPTH or gone and ">-" not in path:
+                        path = f"{path}>{'-' if gone else ''}{sign}"
+                    open_.append((tag, path))
+                    counts[tag] += 1
             else:
-                out.append(["t", "/" + tag])
-                if any(t == tag for t, _ in depth):
-                    while depth:
-                        t, gone = depth.pop()
-                        open_.pop()
-                        skip -= gone
-                        if t == tag:
-                            break
-    flush()
-    return out
+                block = ""
+                self.nodes.append(["t", "/" + tag])
+                if tag in CONTAINERS and counts[tag]:
+                    inner = None
+                    while inner != tag:
+                        inner = open_.pop()[0]
+                        counts[inner] -= 1
+        if text:
+            self._flush(text, open_[-1][1], block, support)
+
+    def _flush(self, text: list[str], path: str, block: str, support: list[str]) -> None:
+        whole = "".join(text)
+        whole = " ".join((_html.unescape(whole) if "&" in whole else whole).split())
+        if whole:
+            self.nodes.append(["x", _digest(whole), f"{path}|{block}", len(whole), support, [len(self.blocks)]])
+            self.blocks.append(whole)
+            self.paths.append(path)
 
 
 def fold(nodes: list[list]) -> list[list]:
     """Adjacent equal groups of up to FOLD nodes become one repeated group, short groups first."""
+    keys = list(map(_key, nodes))
     for size in range(1, FOLD + 1):
-        keys = list(map(_key, nodes))
+        if not any(map(operator.eq, keys, keys[size:])):
+            continue
         out: list[list] = []
         i, n = 0, len(nodes)
         while i < n:
-            group = keys[i : i + size]
             times = 1
-            while group[0] != "#" and keys[i + times * size : i + (times + 1) * size] == group and not (size == 1 and group[0][0] not in "?+"):
-                times += 1
+            if i + size < n and keys[i] == keys[i + size] and keys[i] != "#":
+                group = keys[i : i + size]
+                while keys[i + times * size : i + (times + 1) * size] == group and not (size == 1 and group[0][0] not in "?+"):
+                    times += 1
             if times > 1:
                 body = nodes[i : i + size]
                 for t in range(1, times):
-                    body = _same(body, nodes[i + t * size : i + (t + 1) * size])
+                    body = _chained(body, nodes[i + t * size : i + (t + 1) * size])
                 out.append(["+", body] if not (size == 1 and body[0][0] == "+") else body[0])
                 i += times * size
             else:
                 out.append(nodes[i])
                 i += 1
-        nodes = out
+        if len(out) < len(nodes):
+            nodes = out
+            keys = list(map(_key, nodes))
     return nodes
 
 
-def _folded(a: str, b: str) -> str:
-    """The name of containers that differ only in digits; of others, the first's."""
-    return one if (one := _digits.sub("0", a)) == _digits.sub("0", b) else a
+def _shared(a: str, b: str) -> str:
+    """The path of the containers that two paths share."""
+    if a == b:
+        return a
+    (x, p), (y, q) = a.rsplit("|", 1), b.rsplit("|", 1)
+    same = []
+    for u, v in zip(x.split(">"), y.split(">")):
+        if u != v:
+            break
+        same.append(u)
+    return ">".join(same) + "|" + (p if p == q else "")
 
 
 def _same(a: list[list], b: list[list]) -> list[list]:
-    """Two node lists of equal keys as one: texts that differ become slots, sizes add up."""
+    """Two node lists of equal keys, of different pages, as one: texts that differ become slots, sizes add up. The same in any order."""
     out = []
     for x, y in zip(a, b):
         if x[0] == "x":
-            out.append(["x", x[1] if x[1] == y[1] else None, x[2] if x[2] == y[2] else _folded(x[2], y[2]), x[3] + y[3]])
+            equal = x[1] is not None and x[1] == y[1]
+            pages = (x[4] if x[4] == y[4] else sorted({*x[4], *y[4]})[:SUPPORT]) if equal else []
+            out.append(["x", x[1] if equal else None, _shared(x[2], y[2]), x[3] + y[3], pages])
         elif x[0] == "t":
             out.append(x)
         else:
@@ -187,26 +269,57 @@ def _same(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
-def _plain(node: list) -> list:
-    """The group inside an optional or repeated node."""
-    return node[1] if node[0] in "?+" else [node]
+def _chained(a: list[list], b: list[list]) -> list[list]:
+    """Two occurrences of a group on one page as one; a text stands for all its occurrences, in their order."""
+    out = []
+    for x, y in zip(a, b):
+        if x[0] == "x":
+            out.append(["x", _digest(x[1] + y[1]), _shared(x[2], y[2]), x[3] + y[3], x[4], x[5] + y[5]])
+        else:
+            out.append(x if x[0] == "t" else [x[0], _chained(x[1], y[1])])
+    return out
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
-    """The least union-free expression found that covers both: equal nodes merge, a repeated group takes single occurrences, the rest is optional."""
+def _cores(a: list[list], b: list[list]) -> tuple:
+    """Both streams with their repeated groups brought in line, the groups inside their nodes, and pairs of places that match."""
     a, b = _repeat_like(a, b), _repeat_like(b, a)
     core = [x[1] if x[0] == "?" else [x] for x in a], [x[1] if x[0] == "?" else [x] for x in b]
     ka, kb = ([" ".join(map(_key, g)) for g in side] for side in core)
+    return a, b, core, _matches(ka, kb)
+
+
+def align(a: list[list], b: list[list]) -> list[list]:
+    """The least union-free expression found that covers both: equal nodes merge, a repeated group takes single occurrences, the rest is optional."""
+    a, b, core, pairs = _cores(a, b)
     out, i, j = [], 0, 0
-    for u, v in [*_matches(ka, kb), (len(ka), len(kb))]:
+    for u, v in [*pairs, (len(a), len(b))]:
         out += [["?", g] for g in core[0][i:u]] + [["?", g] for g in core[1][j:v]]
-        if u < len(ka):
+        if u < len(a):
             body = _same(core[0][u], core[1][v])
             out += [["?", body]] if "?" in (a[u][0], b[v][0]) else body
         i, j = u + 1, v + 1
     return out
 
 
+def leaves(nodes: list[list]) -> Iterator[list]:
+    """The text nodes."""
+    for x in nodes:
+        if x[0] == "x":
+            yield x
+        elif x[0] != "t":
+            yield from leaves(x[1])
+
+
+def template_of(wrapper: list[list], shape: list[list]) -> list[str | None]:
+    """For each text node of a folded page the template text that the wrapper has at its place, or None."""
+    a, b, core, pairs = _cores(wrapper, shape)
+    found: dict[int, str | None] = {}
+    for u, v in pairs:
+        for x, y in zip(leaves(core[0][u]), leaves(core[1][v])):
+            found[id(y)] = x[1] if x[1] is not None and len(x[4]) >= SUPPORT else None
+    return [found.get(id(y)) for y in leaves(b)]
+
+
 def _matches(ka: list[str], kb: list[str]) -> list[tuple[int, int]]:
     """Increasing pairs of places with equal keys: the most there are, but for streams that are cut in pieces."""
     done: list[tuple[int, int]] = []
@@ -271,178 +384,178 @@ def _repeat_like(nodes: list[list], other: list[list]) -> list[list]:
     return nodes
 
 
-class HostWrapper:
-    """The wrapper of the pages seen so far."""
+def main_container(wrapper: list[list]) -> str:
+    """The path of the container that holds most of the slots' text; see the module's docstring."""
+    below: dict[str, float] = {}
+    heads: set[str] = set()
+    for x in leaves(wrapper):
+        if x[1] is not None and len(x[4]) >= SUPPORT:
+            continue
+        path, block = x[2].rsplit("|", 1)
+        parts = path.split(">")
+        gone = any(p.startswith("-") for p in parts)
+        weight = x[3] * (DROPPED_WEIGHT if gone else NAMED_WEIGHT if any(p.split(".")[0] in ("article", "main") for p in parts) else 1.0)
+        if block in ("h1", "h2") and not gone:
+            heads.add(path)
+        for k in range(1, len(parts) + 1):
+            at = ">".join(parts[:k])
+            below[at] = below.get(at, 0.0) + weight
+    total, at, way = below.get("", 0.0), "", [""]
+    children: dict[str, list[str]] = {}
+    for p in below:
+        if p:
+            children.setdefault(p.rsplit(">", 1)[0], []).append(p)
+    while True:
+        nxt = max(children.get(at, ()), key=lambda p: (below[p], p), default=None)
+        if nxt is None or below[nxt] < MOST * total:
+            break
+        at = nxt
+        way.append(at)
+    tags = [p.rsplit(">", 1)[-1].lstrip("-").split(".")[0] for p in way]
+    for tag in ("article", "main"):
+        if tag in tags:
+            return way[len(tags) - 1 - tags[::-1].index(tag)]
+    inside = lambda h, p: h == p or h.startswith(p + ">")
+    while len(way) > 1 and any(inside(h, way[-2]) and not inside(h, way[-1]) for h in heads):
+        way.pop()
+    return way[-1]
+
+
+def _kept(page: Page, main: str, template: set[int]) -> tuple[list[str], bool]:
+    """The blocks of a container that are slots (if there are none, all), and whether there were any."""
+    inside = []
+    for i, path in enumerate(page.paths):
+        if path == main or path.startswith(main + ">"):
+            if ">-" not in path[len(main) :]:
+                inside.append(i)
+    return [page.blocks[i] for i in inside if i not in template] or [page.blocks[i] for i in inside], bool(inside)
+
+
+class Extractor:
+    """A host's wrapper as extraction uses it; the templates of shapes are kept."""
+
+    def __init__(self, wrapper: list[list]):
+        self.wrapper, self.main = wrapper, main_container(wrapper)
+        self.templates: dict[str, list[str | None]] = {}
+
+    def __call__(self, html: str) -> str:
+        page = Page(html)
+        if not page.blocks:
+            return ""
+        shape = fold(page.nodes)
+        key = " ".join(map(_key, shape))
+        of = self.templates.get(key)
+        if of is None:
+            of = template_of(self.wrapper, shape) if self.wrapper else [None] * sum(1 for _ in leaves(shape))
+            if len(self.templates) < HELD_SHAPES:
+                self.templates[key] = of
+        template = {i for y, text in zip(leaves(shape), of) if text == y[1] for i in y[5]}
+        kept, any_ = _kept(page, self.main, template)
+        if not any_:
+            kept, any_ = _kept(page, main_container(shape), set())
+        return "\n\n".join(kept)
+
+
+def infer(pages: list[str]) -> list[list]:
+    """The wrapper of a few pages, as infer_wrappers makes it of many."""
+    shapes: dict[str, list[list]] = {}
+    for page in pages:
+        key, nodes = _shape(page)
+        shapes[key] = _same(shapes[key], nodes) if key in shapes else nodes
+    out: list[list] = []
+    for _, nodes in sorted(shapes.items(), key=lambda x: _digest(x[0])):
+        out = align(out, nodes) if out else nodes
+    return out
 
-    def __init__(self):
-        self.shapes: dict[str, list[list]] = {}
-        self.pages = 0
 
-    def add(self, page: str) -> None:
-        nodes = fold(page_nodes(page))
-        key = " ".join(map(_key, nodes))
-        have = self.shapes.get(key)
-        self.shapes[key] = _same(have, nodes) if have is not None else nodes
-        self.pages += 1
-        if len(self.shapes) > 64:
-            self.shapes = {"": self.wrapper()}
+def extract(page: str, wrapper: list[list] | None = None) -> str:
+    """The main text of a page by its host's wrapper (without one: by the page's own)."""
+    return Extractor(infer([page]) if wrapper is None else wrapper)(page) if page else ""
+
+
+def _bare(nodes: list[list]) -> list[list]:
+    """Without the numbers of blocks."""
+    return [x[:5] if x[0] == "x" else x if x[0] == "t" else [x[0], _bare(x[1])] for x in nodes]
 
-    def wrapper(self) -> list[list]:
-        out: list[list] = []
-        for _, nodes in sorted(self.shapes.items()):
-            out = align(out, nodes) if out else nodes
-        return out
-
-
-def rules(wrapper: list[list], pages: int) -> dict:
-    """What extraction needs: the main container, and the template texts outside it."""
-    slots: dict[str, int] = {}
-    template: set[int] = set()
-    seen: set[str] = set()
-
-    def walk(nodes: list[list]) -> None:
-        for x in nodes:
-            if x[0] == "x":
-                if x[1] is None or pages < 3:
-                    slots[x[2]] = slots.get(x[2], 0) + x[3]
-                elif not x[2].startswith(("article", "main")):
-                    template.add(x[1])
-            elif x[0] == "t":
-                seen.add(x[1].split(".")[0])
-            else:
-                walk(x[1])
-
-    walk(wrapper)
-    named = [c for c in slots if c.split(".")[0] in ("article", "main")]
-    free = {c: n for c, n in slots.items() if not c.startswith("-")}
-    main = "article" if "article" in seen else "main" if "main" in seen else max(free, key=lambda c: (free[c], c), default="") if not named else named[0]
-    return {"main": main, "template": sorted(template)}
-
-
-def extract(page: str, rule: dict | None = None) -> str:
-    """The main text of a page by its host's rule (without one: by the page's own wrapper)."""
-    if not page:
-        return ""
-    if rule is None:
-        rule = rules(fold(page_nodes(page)), 1)
-    main, template = rule["main"], set(rule["template"])
-    found: list[tuple[bool, str]] = []  # inside the main container?
-    text: list[str] = []
-    depth: list[tuple[str, bool, bool]] = []
-    skip = inside = 0
-
-    def flush() -> None:
-        if text and not skip:
-            block = " ".join(_html.unescape("".join(text)).split())
-            if block:
-                found.append((inside > 0, block))
-        text.clear()
-
-    for kind, tag, attrs in stream(page):
-        if kind == "text":
-            text.append(tag)
-            continue
-        if tag == "br":
-            text.append(" ")
-            continue
-        if tag not in BLOCKS:
-            if kind == "open" and tag in ("button", "label", "input") or tag in VOID:
-                text.append(" ")
-            continue
-        flush()
-        if tag not in CONTAINERS:
-            if kind == "open" and dropped(tag, attrs):
-                depth.append((tag, True, False))
-                skip += 1
-            elif kind == "close" and any(t == tag for t, _, _ in depth) and depth[-1][0] == tag:
-                skip -= depth.pop()[1]
-            continue
-        if kind == "open":
-            is_main = tag == main or (sign := signature(tag, attrs)) == main or _digits.sub("0", sign) == main
-            gone = dropped(tag, attrs) and not is_main
-            depth.append((tag, gone, is_main))
-            skip += gone
-            inside += is_main
-        elif any(t == tag for t, _, _ in depth):
-            while depth:
-                t, gone, is_main = depth.pop()
-                skip -= gone
-                inside -= is_main
-                if t == tag:
-                    break
-    flush()
-    if any(i for i, _ in found):
-        return "\n\n".join(t for i, t in found if i)
-    return "\n\n".join(t for _, t in found if zlib.crc32(" ".join(t.split()).encode()) not in template)
+
+def _shape(page: str) -> tuple[str, list[list]]:
+    nodes = _bare(fold(Page(page).nodes))
+    return " ".join(map(_key, nodes)), nodes
 
 
 _host = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+_kind = "host string, shape string, wrapper string"
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, rule) from (host, html): each host's rule as JSON."""
+    """(host, shape, wrapper) from (host, html): each host's wrapper as JSON; shape is of no further use."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        hosts: dict[str, HostWrapper] = {}
+        shapes: dict[tuple[str, str], list[list]] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if page.as_py():
-                    hosts.setdefault(host, HostWrapper()).add(page.as_py())
-            if len(hosts) > 2000:
-                yield rows(hosts, part)
-                hosts = {}
-        yield rows(hosts, part)
-
-    def rows(hosts: dict[str, HostWrapper], part: int) -> pa.RecordBatch:
-        found = [(h, part % 32, w.pages, json.dumps(w.wrapper())) for h, w in hosts.items()]
-        columns = list(zip(*found)) if found else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()))], names=["host", "salt", "pages", "wrapper"])
-
-    def merged(of: pa.Table) -> tuple[list[list], int]:
+                    key, nodes = _shape(page.as_py())
+                    at = host, _digest(key)
+                    shapes[at] = _same(shapes[at], nodes) if at in shapes else nodes
+            if len(shapes) > HELD_SHAPES:
+                yield rows(shapes)
+                shapes = {}
+        yield rows(shapes)
+
+    def rows(shapes: dict[tuple[str, str], list[list]]) -> pa.RecordBatch:
+        columns = list(zip(*((h, s, json.dumps(w)) for (h, s), w in shapes.items()))) if shapes else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "shape", "wrapper"])
+
+    def same(of: pa.Table) -> pa.Table:
         out: list[list] = []
-        for w in sorted(of["wrapper"].to_pylist()):
-            nodes = json.loads(w)
-            out = align(out, nodes) if out else nodes
-        return out, sum(of["pages"].to_pylist())
-
-    def group(of: pa.Table) -> pa.Table:
-        wrapper, n = merged(of)
-        return pa.table({"host": of["host"][:1], "salt": of["salt"][:1], "pages": pa.array([n], pa.int64()), "wrapper": [json.dumps(wrapper)]})
+        for w in of["wrapper"].to_pylist():
+            out = _same(out, json.loads(w)) if out else json.loads(w)
+        return pa.table({"host": of["host"][:1], "shape": of["shape"][:1], "wrapper": [json.dumps(out)]})
 
-    def final(of: pa.Table) -> pa.Table:
-        return pa.table({"host": of["host"][:1], "rule": [json.dumps(rules(*merged(of)))]})
+    def aligned(of: pa.Table) -> pa.Table:
+        rows = sorted(zip(of["shape"].to_pylist(), of["wrapper"].to_pylist()))
+        out: list[list] = []
+        for _, w in rows:
+            out = align(out, json.loads(w)) if out else json.loads(w)
+        return pa.table({"host": of["host"][:1], "shape": [rows[0][0]], "wrapper": [json.dumps(out)]})
 
-    kind = "host string, salt int, pages bigint, wrapper string"
-    each = pages.select("host", "html").mapInArrow(partial, kind)
-    some = each.groupBy("host", "salt").applyInArrow(group, kind)
-    return some.groupBy("host").applyInArrow(final, "host string, rule string")
+    found = staged(pages.select("host", "html").mapInArrow(partial, _kind).groupBy("host", "shape").applyInArrow(same, _kind), "page-shapes")
+    while True:
+        counts = staged(found.groupBy("host").agg(F.count("*").alias("n")), "shape-counts")  # a row a host
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return found
+        salted = found.join(counts, "host").withColumn("salt", F.pmod(F.xxhash64("shape", "n"), F.ceil(F.col("n") / MERGED)))
+        found = staged(salted.groupBy("host", "salt").applyInArrow(lambda of: aligned(of), _kind), "wrappers")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row."""
     spark = pages.sparkSession
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _host, 1))
-    plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    found = staged(infer_wrappers(plain), "host-rules")
-    size = found.agg(F.coalesce(F.sum(F.length("rule") + F.length("host")), F.lit(0))).first()[0]
+    lean_batches(spark)
+    id_, url, html = (F.col(f"`{c}`") for c in (id_col, url_col, html_col))
+    host = F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), _host, 1))
+    plain = pages.select(id_.cast("long").alias("page_id"), url.cast("string").alias("url"), F.coalesce(html.cast("string"), F.lit("")).alias("html"), host.alias("host"))
+    found = infer_wrappers(plain).select("host", "wrapper")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
     kind = "page_id bigint, url string, text string, n_chars bigint"
 
-    def done(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    if size <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast({r["host"]: r["rule"] for r in found.collect()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parsed = {h: json.loads(r) for h, r in shared.value.items()}
-            for batch in batches:
-                yield done(batch, [extract(p.as_py(), parsed.get(h)) for h, p in zip(batch.column(3).to_pylist(), batch.column(2))])
-
-        return plain.mapInArrow(run, kind)
-
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch], wrappers) -> Iterator[pa.RecordBatch]:
+        hosts: dict[str, Extractor] = {}
         for batch in batches:
-            yield done(batch, [extract(p.as_py(), json.loads(r) if r else None) for r, p in zip(batch.column(4).to_pylist(), batch.column(2))])
+            out = []
+            for i, (host, page) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2))):
+                if host not in hosts:
+                    if len(hosts) > HELD_SHAPES:
+                        hosts.clear()
+                    found = wrappers(batch, i, host)
+                    hosts[host] = Extractor(json.loads(found) if found else [])
+                out.append(hosts[host](page.as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return plain.join(found, "host", "left").select("page_id", "url", "html", "host", "rule").mapInArrow(run_joined, kind)
+    if size <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in found.collect()})
+        return plain.mapInArrow(lambda batches: texts(batches, lambda batch, i, host: shared.value.get(host)), kind)
+    joined = plain.join(found, "host", "left").select("page_id", "url", "html", "host", "wrapper")
+    return joined.mapInArrow(lambda batches: texts(batches, lambda batch, i, host: batch.column(4)[i].as_py()), kind)

@@ -319,27 +319,68 @@ def test_failing_lines_go(spark):
 
 def test_html():
     page = lambda body, extra="": f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li>a</li><li>b</li></ul></nav><article><h1>Title {body}</h1><p>One &amp; {body}<br>two<p>three</article>{extra}<footer>f</footer>"
-    h = html_wrapper.HostWrapper()
-    for i in range(5):
-        h.add(page(f"x{i}", "<div class='comments'><p>no</p></div>" if i % 2 else ""))
-    rule = html_wrapper.rules(h.wrapper(), h.pages)
-    assert html_wrapper.extract(page("y"), rule) == "Title y\n\nOne & y two\n\nthree"
-    plain = html_wrapper.HostWrapper()
-    for i in range(5):
-        plain.add(f"<body><div class=top>Site</div><div id=content><p>story {i} text that differs {i * i}</p></div><div>Always the same</div></body>")
-    rule = html_wrapper.rules(plain.wrapper(), 5)
-    assert html_wrapper.extract("<body><div class=top>Site</div><div id=content><p>new story</p></div><div>Always the same</div></body>", rule) == "new story"
+    wrapper = html_wrapper.infer([page(f"x{i}", "<div class='comments'><p>no</p></div>" if i % 2 else "") for i in range(5)])
+    assert html_wrapper.extract(page("y"), wrapper) == "Title y\n\nOne & y two\n\nthree"
+    plain = lambda story: f"<body><div class=top>Site</div><div id=content><p>{story}</p></div><div>Terms &amp; Notes</div></body>"
+    wrapper = html_wrapper.infer([plain(f"story {i} text that differs {i * i}") for i in range(5)])
+    assert html_wrapper.extract(plain("new story"), wrapper) == "new story"
     assert html_wrapper.extract("") == "" and html_wrapper.extract("a < b") and html_wrapper.extract("<div><p>open <b>x") == "open x"
 
 
+def test_html_wrapper_decides():
+    """Where tags and class words mislead, the slots of the host's pages tell the main text."""
+    # names around the main text are not judged, nor are those that merely hold a dropped word
+    for around in ("<body class='single has-sidebar'><article><p>%s</p></article>", "<body><article><div class='content-with-sidebar'><p>%s</p></div></article>", "<body><div id='page-header-wrapper'><div id=a><p>%s</p></div></div>"):
+        assert html_wrapper.extract(around % "the story") == "the story"
+    assert html_wrapper.extract("<html><head><title>t<body><article><p>the story</p></article>") == "the story"
+    assert html_wrapper.extract("<head><meta charset=x><body><article><p>a</p><p class='reply-quote'>b</p><p class=ad>c<p>d<textarea><p>e</article>") == "a\n\nb\n\nd\n\ne"
+    # cards in <article>, the text in a plain container, a notice inside it that all pages have, and no heading lost
+    page = lambda i: f"<body><article class=card>Card {i % 7}</article><div id=wrap><h1>Head {i}</h1><div class=text><p>{'long story %d ' % i * 9}</p><address>As always, be kind.</address><p>{'more of %d ' % i * 5}</p></div></div><div class='site-comments'><p>{'nonsense %d ' % i * 20}</p></div>"
+    wrapper = html_wrapper.infer(list(map(page, range(6))))
+    assert html_wrapper.main_container(wrapper) == ">div.wrap" and html_wrapper.extract(page(9), wrapper).split("\n\n") == ["Head 9", ("long story 9 " * 9).strip(), ("more of 9 " * 5).strip()]
+    # copies of one page do not make its text template; a page of another kind is read by itself
+    assert html_wrapper.extract(page(1), html_wrapper.infer([page(1)] * 5)).count("long story") == 9
+    assert html_wrapper.extract("<body><table><tr><td>elsewhere</td></tr></table>", wrapper) == "elsewhere"
+
+
+def test_html_wrapper_covers_its_pages():
+    """The expression matches each page it was made of, whatever their order; alignments are longest common subsequences."""
+    rng = random.Random(12)
+
+    def expression(nodes):
+        part = lambda x: re.escape(html_wrapper._key(x)) + " " if x[0] in "tx" else f"(?:{expression(x[1])}){x[0]}"
+        return "".join(map(part, nodes))
+
+    def page():
+        out = "<body><ul>" + "".join(f"<li>{rng.randint(0, 9)}</li>" for _ in range(rng.randint(0, 4))) + "</ul>"
+        out += "".join(rng.choice(["<p>x%d</p>", "<div class=a>%d</div>", "<h2>%d</h2><p>y</p>", "<section><p>%d</p></section>"]) % rng.randint(0, 99) for _ in range(rng.randint(1, 5)))
+        return out + rng.choice(["", "<footer>f</footer>"])
+
+    for _ in range(150):
+        pages = [page() for _ in range(rng.randint(1, 6))]
+        wrapper = html_wrapper.infer(pages)
+        assert wrapper == html_wrapper.infer(rng.sample(pages, len(pages)))
+        for p in pages:
+            assert re.fullmatch(expression(wrapper), "".join(html_wrapper._key(x) + " " for x in html_wrapper.Page(p).nodes)), (p, wrapper)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(row[-1], old[j + 1]))
+        return row[-1]
+
+    for _ in range(100):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        assert len(html_wrapper._matches(a, b)) == longest(a, b)
+
+
 def test_html_long_menus():
     """What stands behind a long menu still counts, whether the menu folds or not; long streams lose no node."""
     for name in (lambda i, k: f"menu-item-{k}", lambda i, k: "m" + "".join(chr(97 + int(c)) for c in str(k))):
-        h = html_wrapper.HostWrapper()
         page = lambda i: "<body><div id=topbar>Day %d, at length and in words</div><div id=list>%s</div><article><p>story %d of its own</p></article></body>" % (i, "".join(f"<li id='{name(i, k)}'>item {k}</li>" for k in range(200)), i)  # noqa: E731, B023
-        for i in range(4):
-            h.add(page(i))
-        assert html_wrapper.extract(page(9), html_wrapper.rules(h.wrapper(), 4)) == "story 9 of its own"
+        assert html_wrapper.extract(page(9), html_wrapper.infer([page(i) for i in range(4)])) == "story 9 of its own"
     rng = random.Random(3)
     a, b = ([["t", rng.choice("abcdefgh") * rng.randint(1, 4)] for _ in range(n)] for n in (900, 1100))
     names = lambda nodes: Counter(x[1] for x in nodes if x[0] == "t") + sum((Counter(y[1] for y in x[1]) for x in nodes if x[0] == "?"), Counter())
@@ -348,16 +389,34 @@ def test_html_long_menus():
     keys = [x[1] for x in a], [x[1] for x in b]
     pairs = html_wrapper._matches(*keys)
     assert all(keys[0][i] == keys[1][j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(pairs)) and len(pairs) > 200
+    for bad in ("<svg" * 20_000, "<p title='" * 20_000, "<svg>" * 20_000, "<" * 50_000, "<div>" * 20_000, "<!--" * 20_000):
+        began = time.perf_counter()
+        html_wrapper.extract(bad)
+        assert time.perf_counter() - began < 20
 
 
 def test_html_pages(spark):
     rows = [(i, f"http://h{i % 2}.x/{i}", f"<body><nav>m</nav><article><p>text {i}</p></article></body>") for i in range(9)] + [(20, None, None), (21, "nohost", "plain"), (8, "http://h0.x/8", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df = df.withColumn("host", F.lit("clash")).withColumn("a.b", F.lit(1))
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_wrapper.extract_pages(df).collect()]
     assert Counter(got) == Counter([(i, f"text {i}", 6) for i in range(9)] + [(20, "", 0), (21, "plain", 5), (8, "", 0)])
     assert html_wrapper.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_any_partitioning(spark, monkeypatch):
+    """The same texts from one task and from many, with wrappers broadcast or joined, and with a host's shapes aligned in several rounds."""
+    rng = random.Random(7)
+    parts = ["<p>x{}</p>", "<div class=a>{}</div>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<section>{}</section>", "<blockquote>{}</blockquote>"]
+    rows = [(i, f"http://{'hot' if i % 3 else 'h%d' % (i % 5)}.x/{i}", "<body><nav>n</nav><div id=c>" + "".join(rng.choice(parts).format(f"word {rng.randint(0, 10**6)} and so on") for _ in range(rng.randint(1, 9))) + "</div><p>Same</p>") for i in range(240)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, html_wrapper.extract_pages(df.coalesce(1)).collect()))
+    assert all("Same" not in r[2] and r[2].count("word") >= 1 for r in want)
+    monkeypatch.setattr(html_wrapper, "HELD_SHAPES", 3)
+    monkeypatch.setattr(html_wrapper, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, html_wrapper.extract_pages(df.repartition(7)).collect())) == want
+
+
 # 7
 
 
