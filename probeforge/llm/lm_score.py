@@ -317,17 +317,21 @@ def _gathered(n: int, v: int, table: DataFrame, filters: DataFrame, shards: int,
         for cell in df.mapInArrow(pack, "part binary").toLocalIterator():
             yield pa.ipc.open_stream(cell["part"]).read_all()
 
-    words = {r["shard"]: np.frombuffer(r["words"], "<u8") for r in filters.toLocalIterator()}
-    h, c, s, t = np.empty(v, np.uint64), np.empty(v, np.int64), np.empty(v, np.float32), np.empty(v, np.int32)
+    columns = [np.empty(v, np.uint64), np.empty(v, np.int64), np.empty(v, np.float32), np.empty(v, np.int32)]
     at = 0
     for part in parts(table.select("h", "c", "s", "t")):
         end = at + part.num_rows
-        for to, name in ((h.view(np.int64), "h"), (c, "c"), (s, "s"), (t, "t")):
+        for to, name in zip((columns[0].view(np.int64), *columns[1:]), "hcst"):
             to[at:end] = part[name].to_numpy()
         at = end
-    order = np.argsort(h)
-    c = c[order] if c.max(initial=0) >> 32 else c[order].astype(np.uint32)
-    return Model(n, v, (h[order], c, s[order], t[order]), CountFilter(words, shards), starts, least)
+    if not columns[1].max(initial=0) >> 32:
+        columns[1] = columns[1].astype(np.uint32)
+    order = np.argsort(columns[0])
+    for i in range(4):
+        columns[i] = columns[i][order]
+    del order, to
+    words = {r["shard"]: np.frombuffer(r["words"], "<u8") for r in filters.toLocalIterator()}
+    return Model(n, v, tuple(columns), CountFilter(words, shards), starts, least)
 
 
 def hot_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
