@@ -1,4 +1,4 @@
-"""Line dedup [native]: a line goes if an earlier line lies within ``max_edits`` (0 or 1) of it.
+"""Line dedup [native]: a line goes if an earlier line equals it, or lies within ``max_edits`` (0 or 1) of it.
 
 Method: deletion neighbourhoods. Two different lines are within one edit if and only if, over code points,
 they give the same string after one deletion at the same place (a substitution), or one is the other after
@@ -16,8 +16,9 @@ Variants of all lines would be as many as characters. They are emitted only wher
 Each step is lossless for one edit: halves and blocks are cut both for the line's own length and for a
 partner one shorter, so that an insertion moves no border.
 
-Defined results: lines are compared after ASCII white space is collapsed and trimmed; lines of fewer than
-``min_chars`` code points then stay and match nothing (blank lines, headings, list marks). "Earlier" is by
+Defined results: lines are compared after ASCII white space is collapsed and trimmed. Blank lines stay and match
+nothing. Equal lines go whatever their length; lines of fewer than ``min_chars`` code points go only if equal, as one edit
+makes another word of them. "Earlier" is by
 (doc_id, row, line number), null doc_id first; rows with equal doc_id and equal text count as one and keep the
 same lines. Null text stays null with no lines; an empty text has one empty line. All columns of the input
 are returned, with ``text`` cleaned, and three more: n_lines, removed_lines (array of line numbers from 0) and
@@ -32,15 +33,23 @@ from pyspark.sql import functions as F
 from probeforge.llm.runtime import small, staged
 
 BLOCK = 64
-#: Rows of three bigints up to which the lines that repeat are sent to all executors (24 MB); beyond, a shuffle join.
+#: Rows of 64 bytes up to which the lines that repeat are sent to all executors (64 MB); beyond, a shuffle join.
 BROADCAST_ROWS = 1_000_000
+#: Line numbers to remove, eight to a row, up to which they are sent to all executors (64 MB); beyond, a shuffle join with the texts.
+BROADCAST_NUMBERS = 8_000_000
+
+
+def _collapsed(raw: str) -> Column:
+    """``raw`` with white space collapsed and trimmed; the regular expression runs only where there is something to collapse."""
+    c = F.col(raw)
+    odd = c.contains("  ") | c.contains("\t") | c.contains("\x0b") | c.contains("\x0c") | c.contains("\r")
+    return F.trim(F.when(odd, F.regexp_replace(c, "[\\x20\\x09-\\x0D]+", " ")).otherwise(c))
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
     """did, rk, no, line (white space collapsed) and len for each line of (did, txt)."""
     raw = docs.where(F.col("txt").isNotNull()).select("did", F.xxhash64("did", "txt").alias("rk"), F.posexplode(F.split("txt", "\n")).alias("no", "raw"))
-    line = F.trim(F.regexp_replace("raw", "[\\x20\\x09-\\x0D]+", " "))
-    return raw.select("did", "rk", "no", line.alias("line")).withColumn("len", F.length("line"))
+    return raw.select("did", "rk", "no", _collapsed("raw").alias("line")).withColumn("len", F.length("line"))
 
 
 def _half_keys() -> Column:
@@ -60,10 +69,11 @@ def _shared(keys: DataFrame, by: str, who: str) -> DataFrame:
 
 def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2, len, near) with the earliest line within one edit of a distinct line, if one is earlier."""
+    lines = lines.where(F.size("keys") > 0)
     keys = lines.select("h1", F.explode("keys").alias("key"))
     meets = keys.join(_shared(keys, "key", "h1"), "key").select("h1").distinct()
     found = staged(lines.join(meets, "h1", "left_semi").select("h1", "h2", "len", "first"), "line-halves")
-    ids = small(found.select(F.col("first.did").alias("did"), F.col("first.rk").alias("rk")).distinct(), BROADCAST_ROWS)
+    ids = small(staged(found.select(F.col("first.did").alias("did"), F.col("first.rk").alias("rk")).distinct(), "line-ids"), BROADCAST_ROWS)
     hashed = docs.where(F.col("txt").isNotNull()).withColumn("rk", F.xxhash64("did", "txt"))
     texts = _line_rows(hashed.join(ids.select("rk"), "rk", "left_semi").select("did", "txt")).dropDuplicates(["rk", "no"])
     found = found.select("h1", "h2", "len", "first", F.col("first.rk").alias("rk"), F.col("first.no").alias("no"))
@@ -114,11 +124,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     spare = {"n_lines", "removed_lines", "emptied"}
-    docs = docs.select([c for c in docs.columns if c.lower() not in spare])
+    docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in spare])
     all_lines, gone_rk, gone_did, gone_lines = (_unused(c, docs.columns) for c in ("all_lines", "gone_rk", "gone_did", "gone_lines"))
-    plain = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("txt"))
-    lines = _line_rows(plain).where(F.col("len") >= max(min_chars, 2))
-    keys = _half_keys() if max_edits else F.array().cast("array<bigint>")
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    plain = docs.select(id_.alias("did"), text.cast("string").alias("txt"))
+    lines = _line_rows(plain).where(F.col("len") > 0)
+    none = F.array().cast("array<bigint>")
+    keys = F.when(F.col("len") >= max(min_chars, 2), _half_keys()).otherwise(none) if max_edits else none
     lines = lines.select("did", "rk", "no", "len", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), keys.alias("keys"))
     distinct = lines.groupBy("h1", "h2", "len").agg(F.min(F.struct("did", "rk", "no")).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"))
     distinct = staged(distinct, "lines")
@@ -128,23 +140,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         best = best.join(near, ["h1", "h2", "len"], "left").select("h1", "h2", "len", F.least("first", F.coalesce("near", "first")).alias("first"), "times", F.col("near").isNotNull().alias("is_near"))
     else:
         best = best.withColumn("is_near", F.lit(False))
-    best = small(best.where("times > 1 or is_near").select("h1", "h2", "len", "first"), BROADCAST_ROWS)
+    best = small(staged(best.where("times > 1 or is_near").select("h1", "h2", "len", "first"), "lines-again"), BROADCAST_ROWS)
     gone = lines.join(best, ["h1", "h2", "len"]).where(F.struct("did", "rk", "no") > F.col("first"))
     gone = gone.groupBy("rk", "did").agg(F.sort_array(F.collect_set("no")).alias("gone_lines"))
-
-    whole = docs.withColumns({gone_rk: F.when(F.col(text_col).isNotNull(), F.xxhash64(id_col, text_col)), all_lines: F.split(text_col, "\n")}).drop(text_col)
     gone = gone.select(F.col("rk").alias(gone_rk), F.col("did").alias(gone_did), F.col("gone_lines").alias(gone_lines))
-    joined = whole.join(gone, (whole[gone_rk] == gone[gone_rk]) & whole[id_col].eqNullSafe(gone[gone_did]), "left").drop(gone[gone_rk])
+    gone = staged(gone, "lines-gone")
+    if (gone.agg(F.sum(F.size(gone_lines) + 8)).first()[0] or 0) <= BROADCAST_NUMBERS:
+        gone = F.broadcast(gone)
+
+    row = _unused("row_key", docs.columns)
+    whole = docs.withColumns({row: F.when(text.isNotNull(), F.xxhash64(id_, text.cast("string"))), all_lines: F.split(text, "\n")}).drop(text_col)
+    joined = whole.join(gone, (F.col(row) == F.col(gone_rk)) & id_.eqNullSafe(F.col(gone_did)), "left")
     n = F.size(all_lines)
     edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col(gone_lines)).alias("a"), F.concat(F.col(gone_lines), F.array(n)).alias("b"))
     left = F.flatten(F.transform(edges, lambda e: F.slice(all_lines, e["a"] + 2, e["b"] - e["a"] - 1)))
-    text = F.when(F.col(gone_lines).isNull(), F.array_join(all_lines, "\n")).otherwise(F.array_join(left, "\n"))
     out = joined.withColumns(
         {
-            text_col: text,
+            text_col: F.when(F.col(gone_lines).isNull(), F.array_join(all_lines, "\n")).otherwise(F.array_join(left, "\n")),
             "n_lines": F.when(F.col(all_lines).isNotNull(), n),
             "removed_lines": F.coalesce(gone_lines, F.array().cast("array<int>")),
             "emptied": F.coalesce(F.col(gone_lines).isNotNull() & ~F.exists(left, lambda x: F.trim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")) != ""), F.lit(False)),
         }
     )
-    return out.select(*docs.columns, "n_lines", "removed_lines", "emptied")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "n_lines", "removed_lines", "emptied")

@@ -14,7 +14,7 @@ is left half empty at the border of a shard.
 
 Tokens: ids of the byte-level BPE file ``byte_bpe_50k.json`` of the public tokenizers, no special tokens added, then id 2.
 A document longer than a sequence is cut into full pieces, of which the first takes the rest.
-Null text counts as empty (the one id 2). A repeated row is packed again; null doc_id is kept.
+Null text counts as empty (the one id 2). A repeated row is packed again; null doc_id is kept; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probeforge.llm.runtime import staged
+from probeforge.llm.runtime import lean_batches, staged
 
 END_ID = 2
 MAX_TOKENS = 1024
@@ -120,7 +120,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             columns = list(zip(*rows)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 @dataclass(frozen=True)
@@ -183,6 +183,7 @@ def plan(histogram: dict[int, int], cap: Capacities = Capacities()) -> list[tupl
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: Capacities = Capacities()) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
+    lean_batches(spark)
     pieces = staged(tokenised_pieces(docs, id_col, text_col, cap.tokens), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -10,9 +10,11 @@ i.e. all pairwise interactions at rank ``RANK``, in time linear in the features
 Labels, lang, source and doc_id are never inputs of a score.
 
 The model is fitted by AdaGrad on at most ``MAX_TRAINING_ROWS`` labelled rows (a documented bound; those of least
-hash of doc_id), in one task; it has (BUCKETS + statistics) x (1 + RANK) numbers, whatever the corpus.
+hash of doc_id). Their features are made where the rows are, ``N_FEATURES`` a row at most however long its text, and only these
+meet in the fitting task. Epochs are as many as make ``STEPS`` rows, ``EPOCHS`` at least and ten times that at most: a small table is
+gone through more often. The model has (BUCKETS + statistics) x (1 + RANK) numbers, whatever the corpus.
 
-Defined results: null text counts as empty, and has a score too; repeated rows get a row each; without a labelled row of
+Defined results: null text counts as empty, and has a score too; repeated rows get a row each; other columns are not read; without a labelled row of
 either class all scores are 0.5.
 """
 
@@ -23,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probeforge.llm.runtime import lean_batches
 from probeforge.llm.textio import binary_column, hashed_words, slices
 from probeforge.llm.toxicity import training_rows
 
 BUCKETS = 1 << 16
 RANK = 8
 MAX_TRAINING_ROWS = 12_000
-EPOCHS = 6
+EPOCHS, STEPS = 6, 40_000
 BATCH = 64
 BINS = 12
 
@@ -115,13 +119,16 @@ class Machine:
         z, _ = self._parts(*features(column), len(column))
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
-    def fit(self, column: pa.Array, y: np.ndarray, epochs: int | None = None, rate: float = 0.1, penalty: float = 1e-5) -> Machine:
+    def fit(self, column: pa.Array, y: np.ndarray, epochs: int | None = None) -> Machine:
+        """Fitted to the texts of a large-binary column."""
+        chunks = [features(column.slice(a, b - a)) + (a,) for a, b in slices(column)]
+        row = np.concatenate([c[0] + c[3] for c in chunks] or [np.zeros(0, np.int64)])
+        return self.fit_features(row, *(np.concatenate([c[k] for c in chunks] or [np.zeros(0, np.int64)]) for k in (1, 2)), y, epochs)
+
+    def fit_features(self, row: np.ndarray, feature: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int | None = None, rate: float = 0.1, penalty: float = 1e-5) -> Machine:
         if not len(y) or y.min() == y.max():
             return self
-        epochs = epochs or max(EPOCHS, min(10 * EPOCHS, 40_000 // len(y)))
-        chunks = [features(column.slice(a, b - a)) + (a,) for a, b in slices(column)]
-        row = np.concatenate([c[0] + c[3] for c in chunks])
-        feature, x = (np.concatenate([c[k] for c in chunks]) for k in (1, 2))
+        epochs = epochs or max(EPOCHS, min(10 * EPOCHS, STEPS // len(y)))
         begin = np.searchsorted(row, np.arange(len(y) + 1))
         g0, gw, gv = np.float32(1e-6), np.full(N_FEATURES, 1e-6, np.float32), np.full((N_FEATURES, RANK), 1e-6, np.float32)
         rng = np.random.default_rng(11)
@@ -151,21 +158,46 @@ class Machine:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, keep=lambda doc_id: F.lit(True), id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAINING_ROWS) -> Machine:
-    """Fitted in one task from at most ``most`` labelled rows; only the model comes to the driver."""
+    """Fitted in one task from the features of at most ``most`` labelled rows; only the model comes to the driver."""
+    lean_batches(docs.sparkSession)
     rows = training_rows(docs, labels, "quality", keep, id_col, text_col, most)
+    kind = "doc_id bigint, label int, feature array<int>, x array<float>"
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = binary_column(batch.column(1))
+            for a, b in slices(column):
+                row, feature, x = features(column.slice(a, b - a))
+                ends = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (feature.astype(np.int32), x)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *lists], names=["doc_id", "label", "feature", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = sorted((d, t, y) for batch in batches for d, t, y in zip(*(batch.column(i).to_pylist() for i in range(3))))
-        texts = pa.array([t for _, t, _ in some], pa.large_string())
-        machine = Machine().fit(binary_column(texts), np.array([y for *_, y in some], dtype=np.float32))
+        some = pa.Table.from_batches(batches).sort_by("doc_id").combine_chunks()
+        lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (some["feature"], some["x"])]
+        row = np.repeat(np.arange(len(some)), pa.compute.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
+        feature, x = (c.flatten().to_numpy() for c in lists)
+        machine = Machine().fit_features(row, feature.astype(np.int64), x, some["label"].to_numpy().astype(np.float32))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], names=["model"])
 
-    found = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").collect()
+    found = rows.select("doc_id", "text", "label").mapInArrow(measure, kind).repartition(1).mapInArrow(run_if_any(run), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else Machine()
 
 
+def run_if_any(run):
+    """``run`` over the batches, if there are any."""
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            yield from run(found)
+
+    return checked
+
+
 def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score for each row; no shuffle."""
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +206,4 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", tex
             for a, b in slices(column):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.score(column.slice(a, b - a)))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")

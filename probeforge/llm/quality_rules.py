@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probeforge.llm.runtime import lean_batches, map_rows
+
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
     "cookie", "javascript", "privacy policy", "terms of use", "terms of service", "all rights reserved",
@@ -112,6 +114,7 @@ def cleaned(text: str | None) -> str | None:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = 0.5) -> DataFrame:
     """One row of CLEANED_SCHEMA for each row of ``docs``; no shuffle."""
+    lean_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in CLEANED_SCHEMA.split(", ")]
@@ -122,7 +125,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             types = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 3 + [pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, CLEANED_SCHEMA)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, CLEANED_SCHEMA)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5) -> DataFrame:
@@ -130,14 +133,13 @@ def keep_good(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5) ->
     at = docs.columns.index(text_col)
     sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array([measure(x.as_py(), max_lost)[-1] for x in batch.column(at)], pa.bool_()))
-            texts = [cleaned(x.as_py()) for x in batch.column(at)]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            if sized is not None:
-                columns[sized] = pa.array([None if x is None else len(x) for x in texts], batch.schema.field(sized).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+    def good(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array([measure(x.as_py(), max_lost)[-1] for x in batch.column(at)], pa.bool_()))
+        texts = [cleaned(x.as_py()) for x in batch.column(at)]
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        if sized is not None:
+            columns[sized] = pa.array([None if x is None else len(x) for x in texts], batch.schema.field(sized).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return map_rows(docs, good)

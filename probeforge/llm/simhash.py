@@ -1,21 +1,24 @@
 """SimHash near-dedup: 64-bit fingerprints of 3-word shingles, linked at 2 or fewer differing bits.
 
-Candidates come from an inverted index over positional bytes: a list holds the fingerprints that have
-given bytes at given positions. Two differing bits spoil at most two of the eight bytes, so a linked pair
-shares at least six positional bytes, the guaranteed minimum. They also agree in two whole byte pairs out
-of four, so lists are keyed by two byte pairs at once (six lists a fingerprint): long lists are thus rare, and
-no linked pair is missed. For each candidate pair the shared positional bytes are tallied, pairs of six and
-more are kept, and the Hamming distance verifies them.
-
-A list of over ``LONG_LIST`` different fingerprints (many near copies) makes no pairs. Its fingerprints emit
+Candidates come from an inverted index over positional bytes. Two differing bits spoil at most two of the eight bytes, so a
+linked pair shares at least six positional bytes, the guaranteed minimum. Lists of a single byte would hold 1/256 of all
+fingerprints each; a posting here is four positional bytes, and the fourteen quadruples used are a Steiner system: any three positions lie in
+exactly one of them. So the number of lists that two fingerprints share tells how many positional bytes they share: 14, 7 and 3 lists
+are eight, seven and six bytes, and fewer bytes share one list at most. Each list emits its pairs, pairs are counted over the lists,
+those with three and more are kept (the count filter), and the Hamming distance verifies them.
+
+A list of over ``LONG_LIST`` different fingerprints (very many near copies) makes no pairs. Its fingerprints emit
 themselves and their 64 one-bit neighbours instead; all that share such a neighbour are within two bits, and
-any two within two bits share one. So they link to the least of at most 65 fingerprints: exact, and linear.
+any two within two bits share one. So they link to the least of at most 65 fingerprints: exact, and linear. A pair
+that shares a long list has both its fingerprints there, so the lists it is not counted for lose no link.
 
-Equal fingerprints are one node. Null text counts as empty: fingerprint zero. Repeated rows get a row each.
+Equal fingerprints are one node. Null text counts as empty: fingerprint zero. Repeated rows get a row each; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeforge.llm.graph import components
-from probeforge.llm.runtime import staged
+from probeforge.llm.runtime import lean_batches, staged
 from probeforge.llm.textio import binary_column
 
 SHINGLE = 3
-LONG_LIST = 64
+LONG_LIST = 256
 MAX_BITS = 2
-MIN_BYTES = 6
+#: Quadruples of the eight byte positions of which any three positions lie in exactly one (a Steiner system).
+QUADRUPLES = tuple(q for q in itertools.combinations(range(8), 4) if not q[0] ^ q[1] ^ q[2] ^ q[3])
+#: Lists that two fingerprints share if they share six positional bytes.
+MIN_LISTS = 3
 _PART = 1 << 15
 
 
@@ -54,35 +60,49 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
     """(doc_id, fp bigint) for each row; with ``text_hash`` the text's xxhash64, too, as ``th``."""
-    extra = [F.xxhash64(F.col(text_col).cast("string")).alias("th")] if text_hash else []
+    lean_batches(docs.sparkSession)
+    extra = [F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("th")] if text_hash else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py()) for x in binary_column(batch.column(1))), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra).mapInArrow(run, "doc_id bigint, fp bigint" + (", th bigint" if text_hash else ""))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *extra).mapInArrow(run, "doc_id bigint, fp bigint" + (", th bigint" if text_hash else ""))
 
 
-def _byte(i: int, of: str = "fp"):
-    return F.shiftrightunsigned(F.col(of), 8 * i).bitwiseAND(F.lit(255))
+def _postings(fp: str = "fp"):
+    """The keys of a fingerprint's lists."""
+    byte = [F.shiftrightunsigned(F.col(fp), 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
+    keys = []
+    for k, places in enumerate(QUADRUPLES):
+        key = F.lit(k).cast("bigint")
+        for i in places:
+            key = F.shiftleft(key, 8).bitwiseOR(byte[i])
+        keys.append(key)
+    return F.array(*keys)
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """(a, b) between different fingerprints of ``fps`` (distinct fp) that suffice to connect all within MAX_BITS."""
-    pairs_of_bytes = [F.shiftrightunsigned(F.col("fp"), 16 * i).bitwiseAND(F.lit(65535)) for i in range(4)]
-    keys = [
-        F.shiftleft(F.lit(k).cast("bigint"), 32).bitwiseOR(F.shiftleft(pairs_of_bytes[i], 16)).bitwiseOR(pairs_of_bytes[j])
-        for k, (i, j) in enumerate((i, j) for i in range(4) for j in range(i + 1, 4))
-    ]
-    index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    counted = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(index.join(counted, "key"), "fp-lists")
+def candidate_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b, lists) from postings (fp, key, n): pairs of short lists, with how many of these lists they share."""
     lists = shared.where(f"n <= {LONG_LIST}").groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     some = lists.select("fps", F.posexplode("fps").alias("i", "a")).select("a", F.explode(F.slice("fps", F.col("i") + 2, F.greatest(F.lit(0), F.size("fps") - F.col("i") - 1))).alias("b"))
-    tally = sum(((_byte(i, "a") == _byte(i, "b")).cast("int") for i in range(8)), F.lit(0))
-    near = some.where(tally >= MIN_BYTES).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    return some.groupBy("a", "b").agg(F.count("*").alias("lists"))
+
+
+def posting_lists(fps: DataFrame) -> DataFrame:
+    """(key, fp, n) of the lists that more than one of ``fps`` (distinct fp) are in; n: how many."""
+    index = fps.select("fp", F.explode(_postings()).alias("key"))
+    counted = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return staged(index.join(counted, "key"), "fp-lists")
+
+
+def fingerprint_links(fps: DataFrame) -> DataFrame:
+    """(a, b) between different fingerprints of ``fps`` (distinct fp) that suffice to connect all within MAX_BITS."""
+    shared = posting_lists(fps)
     many = shared.where(f"n > {LONG_LIST}").select("fp").distinct()
+    # a pair that meets in a long list is linked by its neighbours below, so a count short of long lists loses nothing
+    near = candidate_pairs(shared).where(F.col("lists") >= MIN_LISTS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     flips = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
     around = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("v"))
     met = around.groupBy("v").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
@@ -119,6 +139,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     marked = simhash_components(docs, id_col, text_col, text_hash=True).where("doc_id = component_id")
     kept = marked.groupBy("root", "doc_id").agg(F.min("th").alias("kept_th")).select(F.col("doc_id").alias("kept_doc_id"), "kept_th").distinct()
-    same = (docs[id_col].cast("long") == kept["kept_doc_id"]) & (F.xxhash64(docs[text_col].cast("string")) == kept["kept_th"])
-    stay = docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    stay = docs.join(kept, (id_.cast("long") == F.col("kept_doc_id")) & (F.xxhash64(text.cast("string")) == F.col("kept_th")), "left_semi")
+    return stay.dropDuplicates([id_col, text_col]).unionByName(docs.where(id_.isNull()))

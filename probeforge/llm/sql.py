@@ -3,11 +3,11 @@
 LINE_DEDUP = r"""
 WITH l AS (SELECT doc_id, md5(text) AS th, UNNEST(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
 n AS (SELECT doc_id, th, no, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM l),
-d AS (SELECT line, length(line) AS len, min((doc_id, no)) AS first FROM n WHERE length(line) >= 30 GROUP BY line),
+d AS (SELECT line, length(line) AS len, min((doc_id, no)) AS first FROM n WHERE line <> '' GROUP BY line),
 near AS (
-  SELECT a.line, b.first FROM d a JOIN d b ON left(a.line, 12) = left(b.line, 12) AND abs(a.len - b.len) <= 1 AND b.first < a.first WHERE levenshtein(a.line, b.line) <= 1
+  SELECT a.line, b.first FROM d a JOIN d b ON left(a.line, 12) = left(b.line, 12) AND abs(a.len - b.len) <= 1 AND b.first < a.first WHERE a.len >= 30 AND b.len >= 30 AND levenshtein(a.line, b.line) <= 1
   UNION ALL
-  SELECT a.line, b.first FROM d a JOIN d b ON right(a.line, 12) = right(b.line, 12) AND abs(a.len - b.len) <= 1 AND b.first < a.first WHERE levenshtein(a.line, b.line) <= 1),
+  SELECT a.line, b.first FROM d a JOIN d b ON right(a.line, 12) = right(b.line, 12) AND abs(a.len - b.len) <= 1 AND b.first < a.first WHERE a.len >= 30 AND b.len >= 30 AND levenshtein(a.line, b.line) <= 1),
 best AS (SELECT line, min(first) AS first FROM (SELECT line, first FROM d UNION ALL SELECT * FROM near) GROUP BY line),
 marked AS (SELECT l.doc_id, l.th, l.no, l.raw, b.line IS NOT NULL AND (l.doc_id, l.no) > b.first AS gone FROM l JOIN n USING (doc_id, th, no) LEFT JOIN best b ON n.line = b.line)
 SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (gone) AS INT) AS n_removed,

@@ -1,18 +1,24 @@
 """Toxicity: a learned lexicon, misspellings by Levenshtein automata over its trie, and context windows.
 
 Terms are words, and stems (beginnings of words), far more frequent in documents labelled toxic than in
-others. The trie of the words is intersected with the Levenshtein automaton (one edit for terms of 5 and more
-letters, two from 9 on, first letter fixed; none for terms rare among the toxic documents); the product is determinised step by
-step and its states are kept, so a word costs one table lookup a letter and most words end in the dead state
-after a few. Words of the training texts that lie near a term but occur in documents that are not toxic are
-known neighbours, and no misspellings; a term with many of them takes no misspellings at all.
-
-Each hit has a window of ``WINDOW`` words to each side. Quotation marks around the term, or a word of report
-or of mention near it, make it a quotation; second-person words near it make it an address. A logistic
-regression weighs exact, misspelt, quoted and addressed hits against the text's length.
-
-Defined results: null text counts as empty, whose score is the regression's at no hits; repeated rows get a
-row each; without any labelled row of either class all scores are 0. Labels null in any column are not used.
+others. One trie holds both; the Levenshtein automaton runs over it from the root (one edit for terms of 4 and more
+letters, two from 9 on; a swap of neighbours is one edit), stems match as they stand and with any ending. The product is
+determinised step by step and its states are kept, so a word costs one table lookup a letter and most words
+end in the dead state after a few. Words of the training texts that lie near a term but occur in documents that are not
+toxic are known neighbours, and no misspellings. Any other misspelling of a term counts half, and less the more different near
+words of the term training met in such documents: times (a + 1/2) / (a + 1/2 + 4 h) of a abusive and h harmless ones.
+
+Each hit has a window of ``WINDOW`` words to each side and a score of being quoted: quotation marks around it inside the
+window count one, a word of report its inverse distance, a second-person word less its inverse distance; beyond zero the
+hit is a quotation. A logistic regression weighs the plain hits (by weight, number, misspelling, address and density) and
+the quoted ones. Its weights of plain hits are zero at least and those of quoted hits zero at most, so quoting
+a term never raises a score above that of the text without it.
+
+Fitting is spread: labelled rows, ``MAX_TRAINING_ROWS`` at most, are counted and turned into features where they are, and
+near copies count once for the lexicon. Only chosen terms (``MAX_TERMS`` words and as many stems), their near words in these
+rows and nine numbers a row come to the driver. Defined results: null text counts as empty, whose score is the regression's
+at no hits; repeated rows get a row each; without any labelled row of either class all scores are 0. Labels null in any column
+are not used, nor are columns other than those named.
 """
 
 from __future__ import annotations
@@ -20,7 +26,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,93 +34,125 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probeforge.llm.runtime import lean_batches, map_rows, staged
+
 WINDOW = 6
 #: Labelled rows that the model is fitted on, at most; which ones is settled by a hash of doc_id.
 MAX_TRAINING_ROWS = 20_000
 MAX_TERMS = 2_000
-#: A term with more harmless words near it takes no misspellings.
-MAX_NEIGHBOURS = 20
 KEPT_STATES = 50_000
 KEPT_WORDS = 200_000
 QUOTES = "\"'“”„«»‹›‘’`"
-REPORT = frozenset("said says say saying quote quoted quotes wrote writes called calling calls term word words slur phrase reported reportedly cited citing mentioned example dijo dice palabra dit mot sagte wort zitat".split())
+REPORT = frozenset("said says say saying quote quoted quotes wrote writes called calling calls term word words slur phrase reported reportedly cited citing mentioned dijo dice palabra dit mot sagte wort zitat".split())
 ADDRESS = frozenset("you your yours you're youre u ur yourself du dich dir dein deine tu te toi ton ta vous votre eres usted tus".split())
 _word = re.compile(r"[^\W_]+(?:[@$!|*'’][^\W_]+)*")
+_opening = re.compile(rf"(?:^|(?<=[\s(\[]))[{QUOTES}](?=\S)")
+_closing = re.compile(rf"(?<=\S)[{QUOTES}](?=[\s.,;:!?)\]]|$)")
+#: How much more a harmless near word says about a term's other near words than an abusive one.
+HARMLESS = 4.0
 #: Lengths of stems, longest first.
 STEMS = (6, 5, 4)
+#: Signs that the weights of the features may have (the first feature is the constant).
+SIGNS = np.array([0, 1, 1, 1, 1, 1, 1, 1, -1])
 
 
 class FuzzyLexicon:
-    """The lexicon's trie times the Levenshtein automaton, determinised as words ask for it."""
+    """The lexicon's trie times the Levenshtein automaton, determinised as words ask for it.
+
+    A state is a set of (node, letter, edits): letter is "" or, in the middle of a swap, the letter that must follow.
+    """
 
-    def __init__(self, terms: dict[str, float], exact: frozenset = frozenset()):
-        self.terms, self.exact = terms, exact
+    def __init__(self, terms: dict[str, float], stems: dict[str, float] | None = None):
+        self.terms = terms
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.stem: list[str | None] = [None]
         self.room: list[int] = [0]  # the most edits of any term below a node
         for term in terms:
-            at, edits = 0, self.edits(term)
-            for c in term:
-                nxt = self.children[at].get(c)
-                if nxt is None:
-                    nxt = self.children[at][c] = len(self.children)
-                    self.children.append({})
-                    self.term.append(None)
-                    self.room.append(0)
-                at = nxt
-                self.room[at] = max(self.room[at], edits)
-            self.term[at] = term
+            self.term[self._add(term, self.edits(term))] = term
+        for stem in stems or ():
+            self.stem[self._add(stem, 0)] = stem
         self._reset()
 
-    def edits(self, term: str) -> int:
-        return 0 if len(term) < 5 or term in self.exact else 1 if len(term) < 9 else 2
+    def _add(self, letters: str, edits: int) -> int:
+        at = 0
+        self.room[0] = max(self.room[0], edits)
+        for c in letters:
+            nxt = self.children[at].get(c)
+            if nxt is None:
+                nxt = self.children[at][c] = len(self.children)
+                self.children.append({})
+                self.term.append(None)
+                self.stem.append(None)
+                self.room.append(0)
+            at = nxt
+            self.room[at] = max(self.room[at], edits)
+        return at
+
+    @staticmethod
+    def edits(term: str) -> int:
+        return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
     def _reset(self) -> None:
-        self.ids: dict[frozenset, int] = {}
-        self.sets: list[dict[int, int]] = []
+        self.ids: dict[tuple, int] = {}
+        self.sets: list[tuple[dict[tuple[int, str], int], str | None]] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
-        self._state({})  # state 0: dead
-        self.starts = {c: self._state(self._closed({node: 0})) for c, node in self.children[0].items()}
+        self._state({}, None)  # state 0: dead
+        self.start = self._state(self._closed({(0, ""): 0}), None)
 
-    def _closed(self, nodes: dict[int, int]) -> dict[int, int]:
+    def _closed(self, nodes: dict[tuple[int, str], int]) -> dict[tuple[int, str], int]:
         """With the nodes reached by leaving out letters of terms."""
         todo = list(nodes.items())
         while todo:
-            node, e = todo.pop()
+            (node, letter), e = todo.pop()
+            if letter:
+                continue
             for child in self.children[node].values():
-                if e + 1 <= self.room[child] and e + 1 < nodes.get(child, 99):
-                    nodes[child] = e + 1
-                    todo.append((child, e + 1))
+                if e + 1 <= self.room[child] and e + 1 < nodes.get((child, ""), 99):
+                    nodes[child, ""] = e + 1
+                    todo.append(((child, ""), e + 1))
         return nodes
 
-    def _state(self, nodes: dict[int, int]) -> int:
-        key = frozenset(nodes.items())
+    def _state(self, nodes: dict[tuple[int, str], int], stem: str | None) -> int:
+        """``stem``: the longest stem that the word has gone beyond."""
+        key = frozenset(nodes.items()), stem
         if key not in self.ids:
             self.ids[key] = len(self.sets)
-            self.sets.append(nodes)
+            self.sets.append((nodes, stem))
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, e in nodes.items() if self.term[n] and e <= self.edits(self.term[n])]
+            ends = [(e, self.term[n]) for (n, letter), e in nodes.items() if not letter and self.term[n] and e <= self.edits(self.term[n])]
             best = min(ends, default=None)
-            self.accepts.append((best[1], best[0]) if best else None)
+            self.accepts.append((best[1], best[0]) if best and not (best[0] and stem) else (stem, 0) if stem else None)
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
-        out: dict[int, int] = {}
-        for node, e in self.sets[state].items():
-            for letter, child in self.children[node].items():
-                cost = e + (letter != c)
-                if cost <= self.room[child]:
-                    out[child] = min(cost, out.get(child, 99))
-            if e + 1 <= self.room[node]:
-                out[node] = min(e + 1, out.get(node, 99))
-        self.moves[state][c] = nxt = self._state(self._closed(out))
+        out: dict[tuple[int, str], int] = {}
+        nodes, stem = self.sets[state]
+
+        def reach(node: int, letter: str, e: int) -> None:
+            if e <= self.room[node] and e < out.get((node, letter), 99):
+                out[node, letter] = e
+
+        for (node, letter), e in nodes.items():
+            if letter:
+                if letter == c:  # the second letter of a swap
+                    reach(node, "", e)
+                continue
+            if e == 0 and self.stem[node] and len(self.stem[node]) > len(stem or ""):
+                stem = self.stem[node]
+            for own, child in self.children[node].items():
+                reach(child, "", e + (own != c))
+                if own != c and c in self.children[child]:
+                    reach(self.children[child][c], own, e + 1)
+            reach(node, "", e + 1)
+        self.moves[state][c] = nxt = self._state(self._closed(out), stem)
         return nxt
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the nearest term, or None."""
-        state = self.starts.get(word[0], 0)
-        for c in word[1:]:
+        """(term, edits) of the nearest term, (stem, 0) of a word that goes on after a stem, or None."""
+        state = self.start
+        for c in word:
             if not state:
                 return None
             nxt = self.moves[state].get(c)
@@ -128,35 +165,42 @@ class FuzzyLexicon:
 
 @dataclass
 class ToxicityModel:
-    """Bounded by MAX_TERMS, whatever the corpus."""
+    """Bounded by MAX_TERMS and the training rows, whatever the corpus; ``near``: how much a misspelling of a term counts."""
 
     terms: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    exact: frozenset = frozenset()
     known: frozenset = frozenset()
+    near: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, ...] = ()
     lexicon: FuzzyLexicon | None = field(default=None, repr=False)
     cache: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"terms": self.terms, "stems": self.stems, "exact": self.exact, "known": self.known, "weights": self.weights, "lexicon": None, "cache": {}}
+        return {"terms": self.terms, "stems": self.stems, "known": self.known, "near": self.near, "weights": self.weights, "lexicon": None, "cache": {}}
 
     def hit(self, word: str) -> tuple[str, int] | None:
         found = self.cache.get(word, 0)
         if found == 0:
             if self.lexicon is None:
-                self.lexicon = FuzzyLexicon(self.terms, self.exact)
+                self.lexicon = FuzzyLexicon(self.terms, self.stems)
             found = self.lexicon.match(word)
             if found and found[1] and word in self.known:
                 found = None
-            if not found:
-                found = next(((word[:k], 0) for k in STEMS if len(word) > k and word[:k] in self.stems), None)
             if len(self.cache) < KEPT_WORDS:
                 self.cache[word] = found
         return found
 
-    def weight(self, term: str) -> float:
-        return self.terms.get(term) or self.stems[term]
+    @staticmethod
+    def quoted(words: list[str], i: int, left: str, right: str) -> float:
+        """The window's score of a quotation of word ``i``; ``left`` and ``right``: the window's text on both sides."""
+        score = 0.0
+        opened = [m.start() for m in _opening.finditer(left)]
+        if opened and not _closing.search(left, opened[-1] + 1) and _closing.search(right):
+            score += 1.0
+        for j in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1)):
+            if j != i:
+                score += ((words[j] in REPORT) - (words[j] in ADDRESS)) / abs(i - j)
+        return score
 
     def hits(self, text: str) -> tuple[int, list[tuple[str, str, int, bool, bool]]]:
         """How many words; (word, term, edits, quoted, addressed) of each hit."""
@@ -165,25 +209,28 @@ class ToxicityModel:
         hit = self.hit
         if not any(map(hit, set(words))):
             return len(words), []
-        spans = list(_word.finditer(text))
+        spans = [m.span() for m in _word.finditer(text)]
         out = []
         for i, word in enumerate(words):
             found = hit(word)
             if found:
-                near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-                a, b = spans[i].span()
-                around = text[max(0, a - 1) : a], text[b : b + 1]
-                quoted = all(x and x in QUOTES for x in around) or not REPORT.isdisjoint(near)
-                out.append((word, *found, quoted, not ADDRESS.isdisjoint(near)))
+                a, b = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
+                # the hit's own letters stand at the border of both sides, so that marks beside it have a neighbour
+                left, right = text[max(0, spans[a][0] - 1) : spans[i][0] + 1], text[spans[i][1] - 1 : spans[b - 1][1] + 2]
+                out.append((word, *found, self.quoted(words, i, left, right) > 0, not ADDRESS.isdisjoint(words[a:b])))
         return len(words), out
 
     def features(self, text: str) -> list[float]:
         n, hits = self.hits(text)
-        weight = [self.weight(t) * (0.5 if e else 1.0) for _, t, e, _, _ in hits]
-        plain = sum(w for w, h in zip(weight, hits) if not h[3])
+        plain = [h for h in hits if not h[3]]
+        share = [self.near.get(h[1], 0.5) if h[2] else 1.0 for h in plain]
+        weight = [(self.terms.get(h[1]) or self.stems[h[1]]) * x for h, x in zip(plain, share)]
+        kinds: dict[str, float] = {}
+        for h, x in zip(plain, share):
+            kinds[h[1]] = max(x, kinds.get(h[1], 0.0))
         return [
-            1.0, math.log1p(plain), math.log1p(sum(not h[2] for h in hits)), math.log1p(sum(h[2] > 0 for h in hits)), math.log1p(sum(h[3] for h in hits)),
-            math.log1p(sum(h[4] for h in hits)), max(weight, default=0.0) / 10, len({h[1] for h in hits}) / 10, min(1.0, 20 * len(hits) / (n + 1)),
+            1.0, math.log1p(sum(weight)), math.log1p(sum(not h[2] for h in plain)), math.log1p(sum(w for w, h in zip(weight, plain) if h[2])), math.log1p(sum(x for h, x in zip(plain, share) if h[4])),
+            max(weight, default=0.0) / 10, sum(kinds.values()) / 10, min(1.0, 20 * sum(share) / (n + 1)), math.log1p(len(hits) - len(plain)),
         ]
 
     def score(self, text: str) -> float:
@@ -205,35 +252,67 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 6
     return w
 
 
+def signed_logistic(x: np.ndarray, y: np.ndarray, signs: np.ndarray = SIGNS) -> np.ndarray:
+    """As logistic, without features whose weight would have the wrong sign: the most wrong one goes, until none is."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = logistic(x[:, used], y)
+        wrong = np.where(signs * w < 0, np.abs(w), 0.0)
+        if not wrong.any():
+            return w
+        used[int(wrong.argmax())] = False
+
+
+def text_words(text: str) -> tuple[int, list[str], list[str]]:
+    """(a hash that near copies share, the different words, the different stems) of a text."""
+    words = _word.findall(text.lower())
+    sign = min((zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:], words[3:])), default=zlib.crc32(text.encode()))
+    different = set(words)
+    return sign, sorted(different), sorted({w[:k] for w in different for k in STEMS if len(w) > k})
+
+
+#: (least count of rows and share of the toxic rows, least log odds) of a chosen word and of a stem.
+WORD_RULE, STEM_RULE = (3, 0.004, 2.5), (4, 0.01, 3.0)
+
+
+def _log_odds(toxic, clean, n: list[int]):
+    return math.log((toxic + 0.5) / (n[1] + 1)) - math.log((clean + 0.5) / (n[0] + 1))
+
+
+def _nearness(near: list[tuple[str, str, int]]) -> tuple[frozenset, dict[str, float]]:
+    """(known neighbours, how much a misspelling of each term counts) from (word, term, clean rows) of near words."""
+    seen = {t: [0, 0] for _, t, _ in near}
+    for _, t, clean in near:
+        seen[t][clean > 0] += 1
+    return frozenset(w for w, _, clean in near if clean), {t: 0.5 * (bad + 0.5) / (bad + 0.5 + HARMLESS * good) for t, (bad, good) in seen.items()}
+
+
 def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """The model of (text, label) rows; near copies count once for the lexicon."""
+    """The model of (text, label) rows, as fit_toxicity makes it of many."""
     chosen: set[int] = set()
-    n, words_in, stems_in = [0, 0], (Counter(), Counter()), (Counter(), Counter())
+    n, counts = [0, 0], (({}, {}))
     for text, label in rows:
-        words = _word.findall(text.lower())
-        sign = min((zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:], words[3:])), default=zlib.crc32(text.encode()))
+        sign, words, stems = text_words(text)
         if sign not in chosen:
             chosen.add(sign)
             n[label] += 1
-            different = set(words)
-            words_in[label].update(different)
-            stems_in[label].update({w[:k] for w in different for k in STEMS if len(w) > k})
+            for of, some in zip(counts, (words, stems)):
+                for w in some:
+                    of.setdefault(w, [0, 0])[label] += 1
     if not all(n):
         return ToxicityModel()
 
-    def chosen_terms(counts: tuple[Counter, Counter], least: int, odds: float) -> dict[str, float]:
-        found = {w: math.log((c + 0.5) / (n[1] + 1)) - math.log((counts[0][w] + 0.5) / (n[0] + 1)) for w, c in counts[1].items() if c >= least and len(w) > 1}
-        return dict(sorted(((w, o) for w, o in found.items() if o > odds), key=lambda x: (-x[1] * math.log(counts[1][x[0]]), x[0]))[:MAX_TERMS])
-
-    terms = chosen_terms(words_in, max(3, round(0.004 * n[1])), 2.5)
-    stems = chosen_terms(stems_in, max(4, round(0.01 * n[1])), 3.0)
-    exact = frozenset(w for w in terms if words_in[1][w] < 0.02 * n[1])
-    first = ToxicityModel(terms, exact=exact)
-    near = {w: found[0] for w in words_in[0] if (found := first.hit(w)) and found[1]}
-    crowded = Counter(near.values())
-    model = ToxicityModel(terms, stems, exact | {w for w, k in crowded.items() if k > MAX_NEIGHBOURS}, frozenset(near))
+    def best(of: dict[str, list[int]], rule: tuple) -> dict[str, float]:
+        odds = {w: _log_odds(c[1], c[0], n) for w, c in of.items() if c[1] >= max(rule[0], round(rule[1] * n[1])) and len(w) > 1}
+        return dict(sorted(((w, o) for w, o in odds.items() if o > rule[2]), key=lambda x: (-x[1] * math.log(of[x[0]][1]), x[0]))[:MAX_TERMS])
+
+    terms, stems = best(counts[0], WORD_RULE), best(counts[1], STEM_RULE)
+    lexicon = FuzzyLexicon(terms)
+    near = [(w, found[0], c[0]) for w, c in counts[0].items() if (found := lexicon.match(w)) and found[1]]
+    model = ToxicityModel(terms, stems, *_nearness(near))
     x = np.array([model.features(text) for text, _ in rows])
-    model.weights = tuple(map(float, logistic(x, np.array([label for _, label in rows], dtype=float))))
+    model.weights = tuple(map(float, signed_logistic(x, np.array([label for _, label in rows], dtype=float))))
     return model
 
 
@@ -243,29 +322,70 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, keep, id_c
     The rows are those of least hash of doc_id: their ids (no texts) come to the driver, ``most`` at most. Of rows
     with one doc_id the least text counts, so that a repeated id adds one row, however many it has.
     """
-    ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    ids = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     ids = ids.where(keep(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     return plain.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep=lambda doc_id: F.lit(True), id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAINING_ROWS) -> ToxicityModel:
-    """Fitted in one task from at most ``most`` labelled rows; only the model comes to the driver."""
-    import pickle
+    """Fitted from at most ``most`` labelled rows; no task holds more than its share of them."""
+    spark = docs.sparkSession
+    lean_batches(spark)
+    rows = staged(training_rows(docs, labels, "toxic", keep, id_col, text_col, most), "toxic-rows")
+    kind = "sign bigint, doc_id bigint, label int, words array<string>, stems array<string>"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = pa.list_(pa.string())
+        for batch in batches:
+            found = [text_words(x) for x in batch.column(1).to_pylist()]
+            signs, words, stems = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), batch.column(0), batch.column(2), pa.array(words, strings), pa.array(stems, strings)], names=["sign", "doc_id", "label", "words", "stems"])
+
+    once = rows.mapInArrow(split, kind).groupBy("sign").agg(F.min_by(F.struct("label", "words", "stems"), "doc_id").alias("r"))
+    once = staged(once.select("r.label", "r.words", "r.stems"), "toxic-words")
+    found = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    n = [found.get(0, 0), found.get(1, 0)]
+    if not all(n):
+        return ToxicityModel()
 
-    rows = training_rows(docs, labels, "toxic", keep, id_col, text_col, most)
+    def counted(col: str) -> DataFrame:
+        each = once.select("label", F.explode(col).alias("w"))
+        return each.groupBy("w").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = sorted((d, t, y) for batch in batches for d, t, y in zip(*(batch.column(i).to_pylist() for i in range(3))))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(t, y) for _, t, y in some]))])], names=["model"])
+    def best(of: DataFrame, rule: tuple) -> dict[str, float]:
+        odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
+        some = of.where((F.col("toxic") >= max(rule[0], round(rule[1] * n[1]))) & (F.length("w") > 1) & (odds > rule[2]))
+        some = some.orderBy(F.round(-odds * F.log("toxic"), 9), "w").limit(MAX_TERMS).collect()
+        return {r["w"]: _log_odds(r["toxic"], r["clean"], n) for r in some}
 
-    found = rows.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else ToxicityModel()
+    words = staged(counted("words"), "toxic-vocabulary")
+    terms, stems = best(words, WORD_RULE), best(counted("stems"), STEM_RULE)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = FuzzyLexicon(terms)
+        for batch in batches:
+            hits = [(i, m) for i, w in enumerate(batch.column(0).to_pylist()) if (m := lexicon.match(w)) and m[1]]
+            at = pa.array([i for i, _ in hits], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([m[0] for _, m in hits], pa.string()), batch.column(1).take(at)], names=["w", "term", "clean"])
+
+    near = words.select("w", "clean").mapInArrow(match, "w string, term string, clean bigint").collect()  # words near terms in the training rows
+    model = ToxicityModel(terms, stems, *_nearness(sorted(map(tuple, near))))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [model.features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+
+    table = rows.select("doc_id", "text", "label").mapInArrow(measure, "doc_id bigint, label int, x array<double>").toPandas().sort_values("doc_id")
+    model.weights = tuple(map(float, signed_logistic(np.stack(table["x"].to_numpy()), table["label"].to_numpy(dtype=float))))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and how many hits were plain and how many quoted, for each row."""
+    """doc_id and score for each row."""
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +394,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             scores = [m.score(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.3) -> DataFrame:
@@ -282,9 +402,8 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", li
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array([m.score(x.as_py() or "") < limit for x in batch.column(at)], pa.bool_()))
+        return batch.filter(pa.array([m.score(x.as_py() or "") < limit for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, clean)

@@ -50,12 +50,12 @@ def brute_lines(docs, least=30):
         return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
     lines = [(d, n, " ".join(WORD.findall(line))) for d, t in sorted(docs) for n, line in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= least]
+    lines = [x for x in lines if x[2]]
     first = {}
     for d, n, line in lines:
         first.setdefault(line, (d, n))
     by = defaultdict(list)
-    for line in first:
+    for line in (x for x in first if len(x) >= least):
         for key in {line[:10], line[-10:]}:
             by[key].append(line)
     best = dict(first)
@@ -86,12 +86,23 @@ def test_line_dedup(spark, texts):
 
 
 def test_line_dedup_edges(spark):
-    out = line_dedup.line_dedup(documents(spark, EDGE).withColumn("key", F.lit(1)).withColumn("line", F.lit("clash"))).collect()
+    out = line_dedup.line_dedup(documents(spark, EDGE).withColumn("key", F.lit(1)).withColumn("line", F.lit("clash")).withColumn("a.b", F.lit(1))).collect()
     assert len(out) == len(EDGE) and {r["line"] for r in out} == {"clash"}
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(EDGE) and all(not r["removed_lines"] for r in out)
     assert line_dedup.line_dedup(documents(spark, EDGE).limit(0)).count() == 0
 
 
+def test_line_dedup_joins_agree(spark, texts, monkeypatch):
+    """Equal lines of any length go; broadcast and shuffle joins give the same rows."""
+    docs = documents(spark, [*texts.items(), (9001, "All rights reserved.\nx\ny "), (9002, "All \t rights reserved.\n\n y\nz"), (9003, "All rights reservd.")])
+    a = sorted(map(str, line_dedup.line_dedup(docs).collect()))
+    rows = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
+    assert rows[9002]["text"] == "\nz" and rows[9002]["removed_lines"] == [0, 2] and rows[9003]["removed_lines"] == []
+    for name in ("BROADCAST_ROWS", "BROADCAST_NUMBERS"):
+        monkeypatch.setattr(line_dedup, name, 0)
+        assert sorted(map(str, line_dedup.line_dedup(docs).collect())) == a
+
+
 # 2
 
 
@@ -260,30 +271,98 @@ def test_classifier_edges(spark):
 
 
 def test_levenshtein_lexicon():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, old = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
-        return row[-1]
+    """The automaton against the distance of all pairs; a swap of neighbours is one edit, and any letter may be wrong."""
 
-    terms = {t: 1.0 for t in ("moron", "idiot", "disgusting", "scum", "pathetic")}
+    def distance(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    terms = {t: 1.0 for t in ("moron", "idiot", "disgusting", "scum", "pathetic", "ass", "worthless")}
     lexicon = toxicity.FuzzyLexicon(terms)
     rng = random.Random(1)
     words = {"".join(rng.choice("moronidtscugp") for _ in range(rng.randint(1, 9))) for _ in range(3000)}
     for t in terms:
         for i in range(len(t)):
-            words |= {t[:i] + t[i + 1 :], t[:i] + "x" + t[i:], t[:i] + "x" + t[i + 1 :], t[:i] + "xy" + t[i:]}
+            words |= {t[:i] + t[i + 1 :], t[:i] + "x" + t[i:], t[:i] + "x" + t[i + 1 :], t[:i] + "xy" + t[i:], t[:i] + t[i + 1 : i + 2] + t[i] + t[i + 2 :]}
+    assert {"odiot", "diot", "xidiot", "idoit", "isgusting", "scvm"} - {w for w in words | {"odiot", "scvm"} if lexicon.match(w)} == set()
     for w in words - {""}:
-        near = [t for t in terms if t[0] == w[0] and distance(w, t) <= lexicon.edits(t)]
-        assert bool(lexicon.match(w)) == bool(near), w
+        near = {t: distance(w, t) for t in terms if distance(w, t) <= lexicon.edits(t)}
+        found = lexicon.match(w)
+        assert (found is not None) == bool(near), w
+        assert not near or (near[found[0]], found[1]) == (min(near.values()),) * 2, w
+    both = toxicity.FuzzyLexicon({"stupid": 1.0}, {"stup": 1.0, "stupi": 1.0})
+    assert [both.match(w) for w in ("stupid", "stupidly", "stup", "stupor", "xstupor", "stpuid")] == [("stupid", 0), ("stupi", 0), None, ("stup", 0), None, ("stupid", 1)]
 
 
 def test_quotation_and_misspelling():
     rows = [(f"you are such an idiot and moron {i} go away", 1) for i in range(60)] + [(f"the weather is fine today {i} and mild", 0) for i in range(200)] + [(f'he said the word "idiot" was used {i} there', 0) for i in range(60)]
     m = toxicity.fit(rows)
     assert m.score("you are an idiott and a morron 5") > 0.5 > m.score("calm weather") and m.score('she said the word "idiot" again') < m.score("you idiot moron")
+    assert m.score("you odiot and oron") > 0.5
+    # quoting never raises a score, and the weights have the signs that say so
+    assert m.score('he said "idiot" and "moron" here') <= m.score("he and here") and all(w * s >= 0 for w, s in zip(m.weights, toxicity.SIGNS))
+    plain = toxicity.ToxicityModel({"idiot": 9.0})
+    quoted = lambda text: [h[3] for h in plain.hits(text)[1]]
+    assert quoted('the "idiot" line') == quoted("they wrote idiot there") == quoted('the "old idiot of" line') == [True]
+    assert quoted("don't be an idiot, it's fine") == quoted("you said nothing, you idiot") == quoted('"quiet" idiot "now"') == [False]
+
+
+def test_toxicity_is_spread(spark, corpus):
+    """The fit of many tasks is the fit of one."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("text", F.lit("clash"))
+    some = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] in (0, 1)}
+    rows = sorted((r["doc_id"], r["text"] or "", some[r["doc_id"]]) for r in corpus.collect() if r["doc_id"] in some)
+    a, b = toxicity.fit([(t, y) for _, t, y in rows]), toxicity.fit_toxicity(corpus.repartition(5), labels)
+    assert (a.stems, a.known, a.near) == (b.stems, b.known, b.near) and a.terms == pytest.approx(b.terms) and a.weights == pytest.approx(b.weights, abs=1e-6)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(corpus, b).collect()}
+    for d, t, _ in rows[:50]:  # the score written out
+        n, hits = b.hits(t)
+        plain = [(h, b.near.get(h[1], 0.5) if h[2] else 1.0) for h in hits if not h[3]]
+        worth = [x * (b.terms.get(h[1]) or b.stems[h[1]]) for h, x in plain]
+        kinds = {h[1]: max(x for g, x in plain if g[1] == h[1]) for h, _ in plain}
+        x = [1, *(math.log1p(v) for v in (sum(worth), sum(not h[2] for h, _ in plain), sum(w for w, (h, _) in zip(worth, plain) if h[2]), sum(x for h, x in plain if h[4])))]
+        x += [max(worth, default=0) / 10, sum(kinds.values()) / 10, min(1, 20 * sum(x for _, x in plain) / (n + 1)), math.log1p(len(hits) - len(plain))]
+        assert abs(scores[d] - 1 / (1 + math.exp(-max(-30, min(30, sum(w * v for w, v in zip(b.weights, x))))))) < 1e-9
+
+
+def test_factorisation_machine():
+    """Scores are those of all pairs written out."""
+    rng = np.random.default_rng(2)
+    texts = ["good words here and there", "bad ### $$$ bad", "", "some more of it\nand a line", "x"]
+    column = textio.binary_column(pa.array(texts))
+    m = quality_fm.Machine()
+    m.w, m.w0, m.fitted = rng.normal(0, 0.3, m.w.shape).astype(np.float32), np.float32(0.2), True
+    m.v = rng.normal(0, 0.3, m.v.shape).astype(np.float32)
+    for i, s in enumerate(m.score(column)):
+        row, f, x = quality_fm.features(column.slice(i, 1))
+        z = float(m.w0) + sum(float(m.w[a]) * b for a, b in zip(f, x)) + sum(float(m.v[f[a]] @ m.v[f[b]]) * x[a] * x[b] for a, b in itertools.combinations(range(len(f)), 2))
+        assert abs(s - 1 / (1 + math.exp(-z))) < 1e-4
+
+
+def test_quality_is_spread(spark, corpus):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    some = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1)}
+    rows = sorted((r["doc_id"], r["text"] or "", some[r["doc_id"]]) for r in corpus.collect() if r["doc_id"] in some)
+    a = quality_fm.Machine().fit(textio.binary_column(pa.array([t for _, t, _ in rows])), np.array([y for *_, y in rows], np.float32))
+    b = quality_fm.fit_quality(corpus.repartition(5), labels)
+    assert np.array_equal(a.w, b.w) and np.array_equal(a.v, b.v)
+
+
+def test_classifiers_empty_tables(spark):
+    empty, labels = documents(spark, EDGE).limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for docs in (empty, documents(spark, EDGE).withColumn("score", F.lit(1)).withColumn("a.b", F.lit(1)).withColumn("label", F.lit(1))):
+        n = docs.count()
+        assert quality_fm.score_quality(docs, quality_fm.fit_quality(docs, labels)).count() == n
+        assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).count() == n
+        kept = toxicity.keep_clean(docs, toxicity.fit_toxicity(docs, labels))
+        assert kept.columns == docs.columns and kept.count() == n and quality_rules.keep_good(docs).columns == docs.columns and quality_rules.keep_good(docs).count() == 0
+        assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(docs).count() == (n and 5)
+        assert quality_rules.quality_rules(docs).count() == n and piece_lattice.encoding_digests(docs).count() == n
+        assert simhash.simhash_components(docs).count() == n and packing.pack(docs).count() == (n and packing.pack(docs).count())
 
 
 # 5
@@ -605,6 +684,28 @@ def test_line_dedup_own_names(spark):
     assert (rows[1]["text"], rows[2]["text"], rows[2]["removed_lines"]) == (long_line, "x", [0])
 
 
+def test_count_filter_of_postings(spark):
+    """Shared lists count shared bytes, and the filter drops the candidates that share fewer than six."""
+    rng = random.Random(9)
+    assert len(simhash.QUADRUPLES) == 14
+    for n, lists in ((8, 14), (7, 7), (6, 3)):
+        for same in itertools.combinations(range(8), n):
+            assert sum(set(q) <= set(same) for q in simhash.QUADRUPLES) == lists
+    assert all(sum(set(q) <= set(same) for q in simhash.QUADRUPLES) <= 1 for same in itertools.combinations(range(8), 5))
+    fps = {rng.getrandbits(64) for _ in range(300)}
+    for x in sorted(fps)[:150]:
+        fps.add(x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+        fps.add(int.from_bytes(bytes(b if i in rng.sample(range(8), 5) else rng.randrange(256) for i, b in enumerate(x.to_bytes(8, "little"))), "little"))
+        fps.add(x & 0xFFFFFFFF | rng.getrandbits(32) << 32)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    found = {(r["a"] % (1 << 64), r["b"] % (1 << 64)): r["lists"] for r in simhash.candidate_pairs(simhash.posting_lists(df)).collect()}
+    for (a, b), lists in found.items():
+        same = {i for i in range(8) if a >> 8 * i & 255 == b >> 8 * i & 255}
+        assert lists == sum(set(q) <= same for q in simhash.QUADRUPLES) and (lists >= 3) == (len(same) >= 6)
+    kept = {p for p, lists in found.items() if lists >= simhash.MIN_LISTS}
+    assert len(kept) < len(found) and {frozenset(p) for p in kept} >= {frozenset((a, b)) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 2}
+
+
 def test_keep_one_repeated_ids(spark):
     """An id with texts of two components keeps both; equal rows and copies under one id keep one."""
     a, b = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight")
