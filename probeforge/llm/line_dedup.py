@@ -35,8 +35,6 @@ from probeforge.llm.runtime import small, staged
 BLOCK = 64
 #: Rows of 64 bytes up to which the lines that repeat are sent to all executors (64 MB); beyond, a shuffle join.
 BROADCAST_ROWS = 1_000_000
-#: Line numbers to remove, eight to a row, up to which they are sent to all executors (64 MB); beyond, a shuffle join with the texts.
-BROADCAST_NUMBERS = 8_000_000
 
 
 def _collapsed(raw: str) -> Column:
@@ -144,9 +142,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = lines.join(best, ["h1", "h2", "len"]).where(F.struct("did", "rk", "no") > F.col("first"))
     gone = gone.groupBy("rk", "did").agg(F.sort_array(F.collect_set("no")).alias("gone_lines"))
     gone = gone.select(F.col("rk").alias(gone_rk), F.col("did").alias(gone_did), F.col("gone_lines").alias(gone_lines))
-    gone = staged(gone, "lines-gone")
-    if (gone.agg(F.sum(F.size(gone_lines) + 8)).first()[0] or 0) <= BROADCAST_NUMBERS:
-        gone = F.broadcast(gone)
 
     row = _unused("row_key", docs.columns)
     whole = docs.withColumns({row: F.when(text.isNotNull(), F.xxhash64(id_, text.cast("string"))), all_lines: F.split(text, "\n")}).drop(text_col)
