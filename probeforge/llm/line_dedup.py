@@ -67,7 +67,6 @@ def _shared(keys: DataFrame, by: str, who: str) -> DataFrame:
 
 def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2, len, near) with the earliest line within one edit of a distinct line, if one is earlier."""
-    lines = lines.where(F.size("keys") > 0)
     keys = lines.select("h1", F.explode("keys").alias("key"))
     meets = keys.join(_shared(keys, "key", "h1"), "key").select("h1").distinct()
     found = staged(lines.join(meets, "h1", "left_semi").select("h1", "h2", "len", "first"), "line-halves")
@@ -126,19 +125,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all_lines, gone_rk, gone_did, gone_lines = (_unused(c, docs.columns) for c in ("all_lines", "gone_rk", "gone_did", "gone_lines"))
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     plain = docs.select(id_.alias("did"), text.cast("string").alias("txt"))
-    lines = _line_rows(plain).where(F.col("len") > 0)
-    none = F.array().cast("array<bigint>")
-    keys = F.when(F.col("len") >= max(min_chars, 2), _half_keys()).otherwise(none) if max_edits else none
+    lines = _line_rows(plain)  # blank ones, too: a filter here would go below the projection and compute each line twice
+    keys = _half_keys() if max_edits else F.array().cast("array<bigint>")
     lines = lines.select("did", "rk", "no", "len", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), keys.alias("keys"))
     distinct = lines.groupBy("h1", "h2", "len").agg(F.min(F.struct("did", "rk", "no")).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"))
     distinct = staged(distinct, "lines")
     best = distinct.select("h1", "h2", "len", "first", "times")
     if max_edits:
-        near = staged(_near(plain, distinct), "lines-near")
+        near = staged(_near(plain, distinct.where(F.col("len") >= max(min_chars, 2))), "lines-near")
         best = best.join(near, ["h1", "h2", "len"], "left").select("h1", "h2", "len", F.least("first", F.coalesce("near", "first")).alias("first"), "times", F.col("near").isNotNull().alias("is_near"))
     else:
         best = best.withColumn("is_near", F.lit(False))
-    best = small(staged(best.where("times > 1 or is_near").select("h1", "h2", "len", "first"), "lines-again"), BROADCAST_ROWS)
+    best = small(staged(best.where("len > 0 and (times > 1 or is_near)").select("h1", "h2", "len", "first"), "lines-again"), BROADCAST_ROWS)
     gone = lines.join(best, ["h1", "h2", "len"]).where(F.struct("did", "rk", "no") > F.col("first"))
     gone = gone.groupBy("rk", "did").agg(F.sort_array(F.collect_set("no")).alias("gone_lines"))
     gone = gone.select(F.col("rk").alias(gone_rk), F.col("did").alias(gone_did), F.col("gone_lines").alias(gone_lines))
