@@ -215,3 +215,24 @@ def argmax_option(values: str | Column) -> Column:
 def rate(part: Column, whole: Column) -> Column:
     """part / whole as double; null where whole is 0."""
     return F.try_divide(part.cast("double"), whole.cast("double"))
+
+
+def image_path(root: str, relative: str | Column) -> Column:
+    """An image's path below ``root``; an absolute path stays."""
+    r = _c(relative)
+    return F.when(r.startswith("/"), r).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), r))
+
+
+def model_label(x: str | Column) -> Column:
+    """``thinking`` or ``instruct``, by the model's name."""
+    return F.when(is_thinking_model(x), "thinking").otherwise("instruct")
+
+
+def closed_think(x: str | Column) -> Column:
+    """The text with an open think block closed."""
+    return F.when(open_think(x), F.concat(_c(x), F.lit("</think>"))).otherwise(_c(x))
+
+
+def utc_now() -> Column:
+    """The query's time as ISO 8601 in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

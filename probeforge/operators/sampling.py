@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probeforge.functions.text import norm_text, order_hash, stable_id
+from probeforge.functions.text import hex_int, norm_text, order_hash, stable_id
 from probeforge.schema import DERANGE_GROUP, require_none
 
 #: Padding words of spatial questions.
@@ -25,30 +25,93 @@ def seeded(seed: int | str, *parts: str | Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *(p if isinstance(p, Column) else F.col(p).cast("string") for p in parts)), 256)
 
 
+def shard(df: DataFrame, number: int, of: int, *key: str) -> DataFrame:
+    """The rows of one of ``of`` shards, by a hash of ``key``; the shards are disjoint, cover all and need no numbering of rows."""
+    return df.where(F.pmod(hex_int(F.substring(seeded("shard", *key), 1, 8)), F.lit(of)) == number)
+
+
+def merge_shards(shards: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The shards' rows together; a key that stands in several is an error."""
+    out = shards[0]
+    for more in shards[1:]:
+        out = out.unionByName(more)
+    require_none(out.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "shards overlap")
+    return out
+
+
+def head_of(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group."""
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_nth") <= n).drop("_nth")
+
+
+def only(registry: DataFrame, wanted: list[str] | None, *columns: str) -> DataFrame:
+    """The registry's rows whose value in any of the columns is wanted (none given: all); an unknown name is an error."""
+    if not wanted:
+        return registry
+    names = registry.select(F.explode(F.array(*(F.col(c).cast("string") for c in columns))).alias("name")).distinct()
+    asked = registry.sparkSession.createDataFrame([(w,) for w in wanted], "name string")
+    require_none(asked.join(names, "name", "left_anti"), "not in the registry")
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.col(c).cast("string").isin(wanted), F.lit(False))
+    return registry.where(out)
+
+
+def missing_images(items: DataFrame, files: DataFrame, n: int = 3, image: str = "image", path: str = "path") -> DataFrame:
+    """Those of the first ``n`` images (by name) that no listed file is."""
+    return items.select(F.col(image).alias(path)).distinct().orderBy(path).limit(n).join(files.select(path), path, "left_anti")
+
+
 def round_robin(df: DataFrame, cls: str, order: list[str], n: int | None = None) -> DataFrame:
     """Rows with ``turn``; by (turn, cls) they alternate between the sorted classes. ``n``: only the first so many."""
     out = df.withColumn("turn", F.row_number().over(Window.partitionBy(cls).orderBy(*order)).cast("bigint"))
     return out.orderBy("turn", cls).limit(n) if n is not None else out
 
 
+#: Classes of a block of the ring of all classes.
+RING_BLOCK = 64
+
+
+def _ring_start(seed: int, tag: str, item: str, n: Column) -> Column:
+    """A seeded position on a ring of ``n``."""
+    return F.pmod(hex_int(F.substring(seeded(f"{seed}{tag}", item), 1, 13)), F.greatest(n, F.lit(1)))
+
+
 def with_distractors(items: DataFrame, classes: DataFrame, hard: int, easy: int, seed: int, item: str = "item_seq") -> DataFrame:
     """Adds ``distractors``, an array of (role, wnid, class_name): ``hard`` of the item's superclass first (then of any), ``easy`` of the rest.
 
-    ``items`` has item, wnid, superclass; ``classes`` has wnid, class_name, superclass and is a dimension: it is
-    reduced to one row for each normalised name, and its size is the number of classes.
+    ``items`` has item, wnid, superclass; ``classes`` has wnid, class_name, superclass and is a dimension, reduced to one row for
+    each normalised name. The classes of a superclass stand on a ring in seeded order, and so do all classes. An item takes its hard ones from
+    its superclass's ring, from a seeded position on and past its own class, and its easy ones likewise from the ring of all, past
+    those it has. So an item looks at a number of classes that does not depend on how many there are; both joins are on keys.
     """
     one = classes.withColumn("norm", norm_text("class_name")).groupBy("norm").agg(F.min(F.struct("wnid", "class_name", "superclass")).alias("c")).select("norm", "c.*")
-    options = one.agg(F.collect_list(F.struct("norm", "wnid", "class_name", "superclass")).alias("options"))
+    order = F.struct(seeded(f"{seed}c", "wnid").alias("h"), "wnid", "norm", "class_name")
+    ring = one.groupBy(F.col("superclass").alias("ring_super")).agg(F.array_sort(F.collect_list(order)).alias("ring"))
     norms = classes.groupBy(F.col("wnid").alias("own")).agg(F.min(norm_text("class_name")).alias("own_norm"))
-    rows = items.withColumns({"own": F.col("wnid"), "own_super": F.col("superclass")}).join(F.broadcast(norms), "own", "left").crossJoin(F.broadcast(options))  # one row: the class list
-    others = F.filter("options", lambda o: (o["wnid"] != F.col("own")) & (F.coalesce("own_norm", F.lit("")) != o["norm"]))
-    ranked = F.array_sort(F.transform(others, lambda o: F.struct((~o["superclass"].eqNullSafe(F.col("own_super"))).cast("int").alias("far"), F.sha2(F.concat_ws("|", F.lit(f"{seed}h"), F.col(item).cast("string"), o["wnid"]), 256).alias("h"), o["wnid"].alias("wnid"), o["class_name"].alias("class_name"))))
-    rows = rows.withColumn("ranked", ranked)
-    first = F.slice("ranked", 1, hard)
-    rest = F.array_sort(F.transform(F.slice("ranked", hard + 1, F.greatest(F.size("ranked") - hard, F.lit(0))), lambda o: F.struct(F.sha2(F.concat_ws("|", F.lit(f"{seed}e"), F.col(item).cast("string"), o["wnid"]), 256).alias("h"), o["wnid"].alias("wnid"), o["class_name"].alias("class_name"))))
+    # the ring of all in blocks, each with what follows it
+    total, need = one.count(), 2 * hard + easy + 1
+    placed = one.select(order.alias("c")).withColumn("g", F.row_number().over(Window.orderBy("c")) - 1)  # a row a class
+    copies = F.array(*(F.struct(F.floor((F.col("g") + k * total) / RING_BLOCK).cast("int").alias("b"), (F.col("g") + k * total).alias("p")) for k in range(2 + need // max(total, 1))))
+    spots = placed.select("c", F.explode(copies).alias("at")).select("c", F.col("at.p").alias("p"), F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("at.p") - need) / RING_BLOCK).cast("int")), F.col("at.b"))).alias("b"))
+    blocks = spots.where(F.col("b") * RING_BLOCK < total).where(F.col("p") < (F.col("b") + 1) * RING_BLOCK + need)
+    blocks = blocks.groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]).alias("block"))
+
+    rows = items.withColumns({"own": F.col("wnid"), "own_super": F.col("superclass")}).join(norms, "own", "left")
+    rows = rows.join(ring, F.col("own_super").eqNullSafe(F.col("ring_super")), "left").withColumn("start_all", _ring_start(seed, "e", item, F.lit(total)))
+    rows = rows.withColumn("b", F.floor(F.col("start_all") / RING_BLOCK).cast("int")).join(blocks, "b", "left")
+    mine = lambda o: (o["wnid"] == F.col("own")) | (o["norm"] == F.coalesce("own_norm", F.lit("")))
+    m = F.coalesce(F.size("ring"), F.lit(0))
+    start = _ring_start(seed, "h", item, m)
+    near = F.when(m > 0, F.transform(F.sequence(F.lit(0), F.least(m, F.lit(hard + 2)) - 1), lambda j: F.element_at("ring", (F.pmod(start + j, m) + 1).cast("int"))))
+    rows = rows.withColumn("near", F.slice(F.filter(F.coalesce(near, F.array().cast("array<struct<h:string,wnid:string,norm:string,class_name:string>>")), lambda o: ~mine(o)), 1, hard))
+    wide = F.slice("block", (F.pmod("start_all", F.lit(RING_BLOCK)) + 1).cast("int"), min(need, total))
+    taken = F.transform("near", lambda o: o["wnid"])
+    rows = rows.withColumn("rest", F.filter(F.coalesce(wide, F.array().cast("array<struct<h:string,wnid:string,norm:string,class_name:string>>")), lambda o: ~mine(o) & ~F.array_contains(taken, o["wnid"])))
+    short = F.lit(hard) - F.size("near")
     pick = lambda role: lambda o: F.struct(F.lit(role).alias("role"), o["wnid"].alias("wnid"), o["class_name"].alias("class_name"))
-    both = F.concat(F.transform(first, pick("hard")), F.transform(F.slice(rest, 1, easy), pick("easy")))
-    return rows.withColumn("distractors", both).drop("own", "own_super", "own_norm", "options", "ranked")
+    both = F.concat(F.transform(F.concat(F.col("near"), F.slice("rest", F.lit(1), short)), pick("hard")), F.transform(F.slice("rest", short + 1, F.lit(easy)), pick("easy")))
+    return rows.withColumn("distractors", both).drop("own", "own_super", "own_norm", "ring_super", "ring", "start_all", "b", "block", "near", "rest")
 
 
 def distractors(items: DataFrame, classes: DataFrame, hard: int, easy: int, seed: int, item: str = "item_seq") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probeforge.functions.text import hex_int
+
 
 def percentile_rank(values: list[float], q: float) -> float:
     """Linear interpolation at q (n - 1) of sorted values."""
@@ -16,22 +19,49 @@ def percentile_rank(values: list[float], q: float) -> float:
     return values[low] + (values[high] - values[low]) * (at - low)
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 2000, alpha: float = 0.05, seed: int = 0, draw: Column | None = None) -> DataFrame:
+#: Counts up to which Poisson numbers come from their exact distribution; beyond, from the normal one, corrected for skew.
+SMALL_COUNT = 64
+
+
+def _poisson(spark: SparkSession) -> DataFrame:
+    """(k, cdf) for each small count: the probabilities of at most 0, 1, ... of a Poisson number of mean k."""
+    rows = []
+    for k in range(1, SMALL_COUNT + 1):
+        term = total = math.exp(-k)
+        cdf = [total]
+        while term > 1e-18 or len(cdf) <= k:
+            term *= k / len(cdf)
+            total += term
+            cdf.append(total)
+        rows.append((k, cdf))
+    return spark.createDataFrame(rows, "_small long, _cdf array<double>")
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Percentile interval of the mean, by group: n, mean, low, high.
 
-    Resampling needs only how often each different value occurs: a replicate draws n ranks by hash and reads the
-    value from the cumulated counts, so a group is held as its different values (two for accuracy data), not as its
-    rows, and the n x replicates draws of a group are spread as one row for each replicate.
+    Poisson bootstrap: in each replicate a row counts a Poisson number of times of mean 1, so all k rows of one value count a
+    Poisson number of mean k, which is one draw from a hash of (seed, keys, value, replicate). A replicate thus costs as many draws
+    as a group has different values (two for accuracy data), whatever its rows; values and replicates are rows, summed by
+    (keys, replicate), and no group is held together. A replicate without any row counts for nothing.
     """
+    v, k = F.col("_v"), F.col("_k")
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
-    held = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_v", "_k"))).alias("_hist"), F.sum("_k").alias("_n"), (F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("_mean"))
-    upto = F.transform(F.sequence(F.lit(1), F.size("_hist")), lambda i: F.aggregate(F.slice("_hist", 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x["_k"]))
-    each = held.withColumn("_upto", upto).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(*keys, "_r")
-    seeds = [F.lit(seed), *(F.col(k) for k in keys), F.col("_r")]
-    drawn = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("_n")), lambda i: F.pmod(F.xxhash64(*seeds, i), F.col("_n")))
-    pick = lambda d: F.col("_hist")[F.size(F.filter("_upto", lambda u: u <= d))]["_v"]
-    means = each.select(*keys, "_n", "_mean", (F.aggregate(drawn, F.lit(0.0), lambda a, d: a + pick(d)) / F.col("_n")).alias("_m"))
-    return means.groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.percentile("_m", F.lit(alpha / 2)).alias("low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("high"))
+    counts = counts.join(F.broadcast(_poisson(df.sparkSession)), F.col("_k") == F.col("_small"), "left").drop("_small")  # SMALL_COUNT rows
+    each = counts.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    name = F.when(F.abs(v) < 1e20, v.cast("decimal(38,12)").cast("string")).otherwise(v.cast("string"))
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in keys), name, F.col("_r").cast("string")), 256)
+    each = each.withColumn("_h", digest)
+    uniform = lambda at: hex_int(F.substring("_h", at, 13)).cast("double") / float(1 << 52)
+    each = each.withColumns({"_u": uniform(1), "_w": uniform(14)})
+    z = F.sqrt(-2 * F.log(1 - F.col("_u"))) * F.cos(F.lit(2 * math.pi) * F.col("_w"))
+    large = F.greatest(F.lit(0.0), F.round(k + F.sqrt(k.cast("double")) * F.col("_z") + (F.col("_z") * F.col("_z") - 1) / 6))
+    drawn = F.when(F.col("_cdf").isNotNull(), F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))).cast("double")).otherwise(large)
+    each = each.withColumn("_z", z).withColumn("_times", drawn)
+    means = each.groupBy(*keys, "_r").agg(F.sum("_k").alias("_n"), F.sum(v * k).alias("_s"), F.try_divide(F.sum(v * F.col("_times")), F.sum("_times")).alias("_m"))
+    return means.groupBy(*keys).agg(
+        F.first("_n").alias("n"), F.first(F.col("_s") / F.col("_n")).alias("mean"), F.percentile("_m", F.lit(alpha / 2)).alias("low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("high")
+    )
 
 
 def bootstrap_rows(values: list[float], replicates: int = 2000, alpha: float = 0.05, seed: int = 0) -> dict:

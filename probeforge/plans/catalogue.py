@@ -40,10 +40,14 @@ def register(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from probeforge.plans import coverage  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from probeforge.plans import coverage  # noqa: F401
+
     return dict(_sql)
 
 
@@ -185,16 +189,39 @@ def eligibility_with_intervals(spark, d):
     return E.evaluate_cells(view(spark, d, V.EVID), Thresholds(replicates=500)).select("concept_id", "question_format", "normal_access", "ci_low", "ci_high", F.array_join("codes", ",").alias("codes"))
 
 
-@register()
+_POIS = """pois AS (SELECT k, list_transform(range(0, 220), lambda j: list_sum(list_transform(range(0, j + 1), lambda i: exp(-k + i * ln(k) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END)))) AS cdf
+  FROM (SELECT CAST(range AS DOUBLE) AS k FROM range(1, 65)))"""
+
+
+def _ci(source: str, keys: str, replicates: int, named: str = "low, high", more: str = "n, mean") -> str:
+    """SQL of the Poisson bootstrap over ``source`` (keys, x)."""
+    by, and_ = (f"{keys}, ", f"{keys}, '|', ") if keys else ("", "")
+    return f"""{_POIS}, bv AS (SELECT {by}CAST(x AS DOUBLE) AS v, count(*) AS k FROM ({source}) WHERE x IS NOT NULL GROUP BY ALL),
+  bd AS (SELECT {by}v, k, r, sha256(concat('0|', {and_}CAST(CAST(v AS DECIMAL(38, 12)) AS VARCHAR), '|', r)) AS h FROM bv, (SELECT range AS r FROM range(1, {replicates + 1}))),
+  bu AS (SELECT {by}v, k, r, CAST(CAST(concat('0x', substr(h, 1, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u, CAST(CAST(concat('0x', substr(h, 14, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496 AS w FROM bd),
+  bz AS (SELECT *, sqrt(-2 * ln(1 - u)) * cos(2 * pi() * w) AS z FROM bu),
+  bt AS (SELECT {by}v, bz.k, r, CASE WHEN cdf IS NOT NULL THEN CAST(len(list_filter(cdf, lambda c: c <= u)) AS DOUBLE) ELSE greatest(0, round(bz.k + sqrt(bz.k) * z + (z * z - 1) / 6)) END AS t FROM bz LEFT JOIN pois ON bz.k = pois.k),
+  bm AS (SELECT {by}r, sum(k) AS n, sum(v * k) / sum(k) AS mean, sum(v * t) / nullif(sum(t), 0) AS m FROM bt GROUP BY ALL),
+  ci AS (SELECT {by}CAST(any_value(n) AS BIGINT) AS n, round(any_value(mean), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM bm {f'GROUP BY {keys}' if keys else ''})"""
+
+
+_CIX = f"SELECT concept_id, CASE WHEN response_status = 'correct' THEN 1 ELSE 0 END AS x FROM ({V.EVID}) WHERE input_condition = 'normal_image'"
+_rounded = lambda df: df.withColumns({c: F.round(c, 9) for c in ("mean", "low", "high")})
+
+
+@register(f"WITH {_ci(_CIX, 'concept_id', 500)} SELECT * FROM ci")
 def bootstrap_ci_native(spark, d):
     e = view(spark, d, V.EVID).where("input_condition = 'normal_image'").select("concept_id", (F.col("response_status") == "correct").cast("double").alias("x"))
-    return B.bootstrap_ci(e, ["concept_id"], "x", replicates=500)
+    return _rounded(B.bootstrap_ci(e, ["concept_id"], "x", replicates=500))
 
 
-@register()
+_PBX = f"SELECT concept_id, CASE WHEN m0_status = 'correct' THEN 1 ELSE 0 END AS a, CASE WHEN mu_status = 'correct' THEN 1 ELSE 0 END AS b FROM ({V.PAIR})"
+
+
+@register(f"WITH {_ci(f'SELECT concept_id, a - b AS x FROM ({_PBX})', 'concept_id', 200)}, pm AS (SELECT concept_id, round(avg(CAST(a AS DOUBLE)), 9) AS mean_first, round(avg(CAST(b AS DOUBLE)), 9) AS mean_second FROM ({_PBX}) GROUP BY 1) SELECT * FROM ci JOIN pm USING (concept_id)")
 def paired_bootstrap(spark, d):
     p = view(spark, d, V.PAIR).select("concept_id", (F.col("m0_status") == "correct").cast("double").alias("a"), (F.col("mu_status") == "correct").cast("double").alias("b"))
-    return B.paired_bootstrap(p, ["concept_id"], "a", "b", replicates=200)
+    return _rounded(B.paired_bootstrap(p, ["concept_id"], "a", "b", replicates=200)).withColumns({c: F.round(c, 9) for c in ("mean_first", "mean_second")})
 
 
 @register("SELECT l_returnflag, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.025) AS low, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.975) AS high FROM lineitem GROUP BY 1")
@@ -264,12 +291,20 @@ def round_robin_sample(spark, d):
 
 
 _h = lambda *p: f"sha256(concat({', '.join(p)}))"
-_DIST = f"""WITH i AS ({V.ITEM}), c AS ({V.CLASSES}), p AS (SELECT item_seq, c.wnid, c.class_name, row_number() OVER (PARTITION BY item_seq ORDER BY CAST(c.superclass <> i.superclass AS INT), {_h("'7h|'", "item_seq", "'|'", "c.wnid")}) AS rn FROM i JOIN c ON c.wnid <> i.wnid),
-  e AS (SELECT *, row_number() OVER (PARTITION BY item_seq ORDER BY {_h("'7e|'", "item_seq", "'|'", "wnid")}) AS en FROM p WHERE rn > 2)
-  SELECT item_seq, 'hard' AS role, wnid, class_name FROM p WHERE rn <= 2 UNION ALL SELECT item_seq, 'easy', wnid, class_name FROM e WHERE en <= 1"""
 
 
-@register(_DIST)
+def _ring(item: str) -> str:
+    """SQL of the distractors (two hard, one easy, seed 7) of each item of ``i`` among the classes ``c``: (item, role, wnid, class_name)."""
+    at = lambda tag: f"CAST(concat('0x', substr({_h(f"'7{tag}|'", item)}, 1, 13)) AS BIGINT)"
+    return f"""rr AS (SELECT wnid, class_name, superclass, row_number() OVER (PARTITION BY superclass ORDER BY {_h("'7c|'", "wnid")}, wnid) - 1 AS pos, count(*) OVER (PARTITION BY superclass) AS m,
+  row_number() OVER (ORDER BY {_h("'7c|'", "wnid")}, wnid) - 1 AS g, count(*) OVER () AS mm FROM c),
+  rh AS (SELECT {item}, wnid, class_name FROM (SELECT i.{item}, r.wnid, r.class_name, row_number() OVER (PARTITION BY i.{item} ORDER BY j) AS k FROM i, range(0, 4) t(j), rr r
+    WHERE r.superclass = i.superclass AND r.pos = ({at('h').replace(item, 'i.' + item)} + j) % r.m AND j < r.m AND r.wnid <> i.wnid) WHERE k <= 2),
+  re AS (SELECT {item}, wnid, class_name FROM (SELECT i.{item}, r.wnid, r.class_name, row_number() OVER (PARTITION BY i.{item} ORDER BY j) AS k FROM i JOIN range(0, 6) t(j) ON true JOIN rr r
+    ON r.g = ({at('e').replace(item, 'i.' + item)} + j) % r.mm ANTI JOIN rh ON rh.{item} = i.{item} AND rh.wnid = r.wnid WHERE r.wnid <> i.wnid) WHERE k = 1)"""
+
+
+@register(f"WITH i AS ({V.ITEM}), c AS ({V.CLASSES}), {_ring('item_seq')} SELECT item_seq, 'hard' AS role, wnid, class_name FROM rh UNION ALL SELECT item_seq, 'easy', wnid, class_name FROM re")
 def hard_easy_distractors(spark, d):
     return S.distractors(view(spark, d, V.ITEM), view(spark, d, V.CLASSES), 2, 1, 7)
 
@@ -546,18 +581,14 @@ def path_agreement(spark, d):
     return I.agreement(side("m0"), side("mu"))
 
 
-@register()
+@register(f"WITH {_ci(f'SELECT avg(CAST(x AS DOUBLE)) AS x FROM ({_CIX}) GROUP BY concept_id', '', 200)} SELECT * FROM ci")
 def concept_bootstrap(spark, d):
     e = view(spark, d, V.EVID).where("input_condition = 'normal_image'").select("concept_id", (F.col("response_status") == "correct").cast("double").alias("x"))
-    return B.concept_bootstrap(e, "concept_id", "x", replicates=200)
-
-
-_hi = lambda tag: _h(f"'7{tag}|'", "image_relpath", "'|'", "c.wnid" if tag == "h" else "wnid")
+    return _rounded(B.concept_bootstrap(e, "concept_id", "x", replicates=200))
 
 
-@register(f"""WITH i AS ({V.ITEM}), c AS ({V.CLASSES}), p AS (SELECT image_relpath, c.wnid, c.class_name, row_number() OVER (PARTITION BY image_relpath ORDER BY CAST(c.superclass <> i.superclass AS INT), {_hi('h')}) AS rn FROM i JOIN c ON c.wnid <> i.wnid),
-  e AS (SELECT image_relpath, class_name, row_number() OVER (PARTITION BY image_relpath ORDER BY {_hi('e')}) AS en FROM p WHERE rn > 2),
-  x AS (SELECT image_relpath, list(class_name) AS others FROM (SELECT image_relpath, class_name FROM p WHERE rn <= 2 UNION ALL SELECT image_relpath, class_name FROM e WHERE en <= 1) GROUP BY 1)
+@register(f"""WITH i AS ({V.ITEM}), c AS ({V.CLASSES}), {_ring('image_relpath')},
+  x AS (SELECT image_relpath, list(class_name) AS others FROM (SELECT * FROM rh UNION ALL SELECT * FROM re) GROUP BY 1)
   SELECT image_relpath AS image, concat_ws('_', 'pool', 'train', wnid, substr(sha1(image_relpath), 1, 8)) AS id, array_to_string(list_sort(list_append(others, class_name)), '|') AS choices, class_name AS answer, '' AS reasons FROM i JOIN x USING (image_relpath)""")
 def pool_build(spark, d):
     pool = O.build_pool(view(spark, d, V.ITEM), view(spark, d, V.CLASSES), "pool", "What is it?", 2, 1, seed=7)
