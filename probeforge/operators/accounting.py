@@ -41,10 +41,12 @@ def failure_counts(df: DataFrame, status: str = "response_status") -> DataFrame:
 
 
 def sample_outcomes(df: DataFrame, keys: list[str] = [], sample: str = "sample_id", status: str = "response_status", cost: str = "attack_unit_cost") -> DataFrame:
-    """leaked, contained or unscorable for each sample, with its spent cost and requests."""
+    """leaked, contained or unscorable for each sample, with its spent cost and requests; a request without sample or cost is an error."""
+    spent = F.col(cost).cast("bigint")
+    checked = F.when(F.col(sample).isNull() | spent.isNull(), F.raise_error(F.lit(f"{sample} or {cost} is missing")).cast("bigint")).otherwise(spent)
     one = lambda s: F.bool_or(F.col(status) == s)
     outcome = F.when(one("correct"), "leaked").when(one("incorrect"), "contained").otherwise("unscorable")
-    return df.groupBy(*keys, sample).agg(outcome.alias("outcome"), F.sum(F.col(cost).cast("bigint")).alias("cost"), F.count("*").alias("requests"))
+    return df.groupBy(*keys, sample).agg(outcome.alias("outcome"), F.sum(checked).alias("cost"), F.count("*").alias("requests"))
 
 
 def worst_case_leakage(df: DataFrame, keys: list[str] = [], **columns: str) -> DataFrame:

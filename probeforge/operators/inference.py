@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import platform
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,24 +17,32 @@ from pyspark.sql import functions as F
 from probeforge.functions.text import oracle_line, render_prompt, suppression_line
 from probeforge.operators.accounting import accounting_sets, failure_counts
 from probeforge.operators.quality import item_errors, response_violations
-from probeforge.operators.scoring import score_responses
-from probeforge.schema import CapabilityMismatch, require_none
+from probeforge.operators.scoring import score_logits, score_responses
+from probeforge.schema import VERSION, CapabilityMismatch, require_none
+from probeforge.sources.writers import staged, write_document, write_jsonl
 
 RESPONSE = "request_id string, raw_output string, error_status string, error_detail string, latency_ms double"
 
 
 @dataclass(frozen=True)
 class Adapter:
-    """A model: what it can do, and a loader called once a worker that returns a batch function (requests -> raw outputs)."""
+    """A model: what it can do, and a loader called once a worker that returns a batch function (requests -> raw outputs).
+
+    ``score_options`` loads the logit path likewise: requests -> a list of one number for each option.
+    """
 
     name: str
     capabilities: dict[str, bool]
     load: Callable[[], Callable[[pd.DataFrame], list]]
+    score_options: Callable[[], Callable[[pd.DataFrame], list]] | None = None
+    revision: str = ""
 
 
 def oracle_adapter() -> Adapter:
     """Answers every request rightly; for tests and demonstrations."""
-    return Adapter("oracle", {"supports_images": True, "supports_batching": True}, lambda: lambda pdf: [str(int(a)) if a == a and a is not None else x[0] for a, x in zip(pdf["answer_index"], pdf["accepted_answers"])])
+    said = lambda pdf: [str(int(a)) if a == a and a is not None else x[0] for a, x in zip(pdf["answer_index"], pdf["accepted_answers"])]
+    liked = lambda pdf: [None if c is None else [float(i == a) for i in range(len(c))] for c, a in zip(pdf["choices"], pdf["answer_index"])]
+    return Adapter("oracle", {"supports_images": True, "supports_batching": True, "supports_logits": True}, lambda: said, lambda: liked)
 
 
 def failing_adapter() -> Adapter:
@@ -101,11 +112,42 @@ def infer(reqs: DataFrame, adapter: Adapter, batch_size: int = 64) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), batch_size):
                 some = pdf.iloc[at : at + batch_size]
-                yield pd.DataFrame([(r, *x, None) for r, x in zip(some["request_id"], safe(some))], columns=["request_id", "raw_output", "error_status", "error_detail", "latency_ms"]).astype({"latency_ms": "float64"})
+                began = time.perf_counter()
+                rows = safe(some)
+                each = 1000 * (time.perf_counter() - began) / len(some)
+                yield pd.DataFrame([(r, *x, each) for r, x in zip(some["request_id"], rows)], columns=["request_id", "raw_output", "error_status", "error_detail", "latency_ms"]).astype({"latency_ms": "float64"})
 
     return reqs.mapInPandas(run, RESPONSE)
 
 
+def infer_options(reqs: DataFrame, adapter: Adapter, batch_size: int = 64) -> DataFrame:
+    """(request_id, logits, error_detail) of MCQ requests by the adapter's logit path; a batch that fails leaves its requests without logits."""
+    if adapter.score_options is None or not adapter.capabilities.get("supports_logits"):
+        raise CapabilityMismatch(["supports_logits"], adapter.name)
+    load = adapter.score_options
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for pdf in batches:
+            for at in range(0, len(pdf), batch_size):
+                some = pdf.iloc[at : at + batch_size]
+                try:
+                    found, failed = list(model(some)), None
+                    if len(found) != len(some):
+                        raise ValueError(f"{len(found)} outputs for {len(some)} requests")
+                except Exception as e:  # noqa: BLE001  any fault of a model is recorded
+                    found, failed = [None] * len(some), f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"request_id": some["request_id"].to_numpy(), "logits": found, "error_detail": failed})
+
+    return reqs.where(F.col("question_format") == "mcq").mapInPandas(run, "request_id string, logits array<double>, error_detail string")
+
+
+def score_option_requests(reqs: DataFrame, adapter: Adapter) -> DataFrame:
+    """MCQ requests answered and scored by the logit path."""
+    asked = reqs.where(F.col("question_format") == "mcq")
+    return asked.join(infer_options(asked, adapter), "request_id").withColumn("score", score_logits("logits", "answer_index")).select("*", "score.*").drop("score")
+
+
 def agreement(generated: DataFrame, logits: DataFrame) -> DataFrame:
     """How often the two answer paths agree, joined by request."""
     both = generated.select("request_id", F.col("prediction").alias("a")).join(logits.select("request_id", F.col("prediction").alias("b")), "request_id")
@@ -131,37 +173,86 @@ class Run:
     notes: list[str] = field(default_factory=list)
 
 
-def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id: str = "run", out_dir: str | None = None) -> Run:
-    """Validate, gate, render, infer, score and account; with ``out_dir`` results and metrics are written there.
-
-    An unsupported combination yields only a manifest. Records are written before metrics read them again, so the
-    model runs once.
+def digests(items: DataFrame) -> dict[str, str]:
+    """The data block's hashes, each over the sorted different values or, for rows, over an order-free sum; none gathers rows."""
+    row = F.xxhash64(*(F.to_json(F.struct(c)) for c in sorted(items.columns))).cast("decimal(38,0)")
+    of = lambda df: df.agg(F.sha2(F.concat_ws("|", F.count("*"), F.coalesce(F.sum("h"), F.lit(0)).cast("string")), 256)).first()[0]
+    kinds = {"dataset_hash": None, "split_hash": ["sample_id", "split"], "concept_registry_hash": ["concept_id", "concept_name"], "probe_bank_hash": ["probe_id", "probe_family"], "prompt_bank_hash": ["prompt_variant_id"]}
+    return {k: of(items.select(row.alias("h"))) if cs is None else of(items.select(*cs).distinct().select(F.xxhash64(*cs).cast("decimal(38,0)").alias("h"))) for k, cs in kinds.items()}
+
+
+def base_manifest(items: DataFrame, adapter: Adapter, method: Method, run_id: str, scope: str = "pilot", seed: int = 0, repository: dict | None = None, eligibility: dict | None = None) -> dict:
+    """A run manifest that ``manifests.manifest_errors`` accepts, before the run; unknown values are null."""
+    sha = lambda x: hashlib.sha256(json.dumps(x, sort_keys=True).encode()).hexdigest()
+    version = items.select(F.max(F.col("source")["version"])).first()[0] if "source" in items.columns else None
+    return {
+        "schema_version": VERSION, "run_id": run_id, "created_at": datetime.now(UTC).isoformat(), "run_scope": scope, "status": "running",
+        "repository": {"url": None, "git_sha": None, "dirty": None} | (repository or {}),
+        "environment": {"python": platform.python_version(), "spark": items.sparkSession.version},
+        "data": {"benchmark_version": VERSION, "dataset_version": version} | digests(items),
+        "model": {"model_id": adapter.name, "model_revision": adapter.revision, "processor_revision": None, "loader": "adapter", "chat_template": None},
+        "method": {"method_id": method.name, "method_version": VERSION, "label": method.label, "config_hash": sha([method.name, method.label, list(method.required)])},
+        "capability_validation": {"supported": True, "missing_capabilities": []},
+        "seeds": dict.fromkeys(("data_selection", "option_order", "controls", "inference", "training"), seed),
+        "inference": {"decoding": None, "dtype": None, "device": None},
+        "training": {"steps": 0, "updated_parameter_count": 0, "updated_parameter_fraction": 0.0, "tuning_budget": None},
+        "cost": {"wall_seconds": None, "gpu_hours": None, "peak_memory_bytes": None, "inference_latency_ms": None},
+        "eligibility": eligibility or {}, "artifacts": {}, "failure_counts": {},
+    }
+
+
+def _content_hash(df: DataFrame) -> str:
+    """An order-free digest of a table's rows."""
+    h = F.xxhash64(*(F.to_json(F.struct(c)) for c in sorted(df.columns))).cast("decimal(38,0)")
+    return df.agg(F.sha2(F.concat_ws("|", F.count("*"), F.coalesce(F.sum(h), F.lit(0)).cast("string")), 256)).first()[0]
+
+
+def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id: str = "run", out_dir: str | None = None, **about) -> Run:
+    """Validate, gate, render, infer, score and account; with ``out_dir`` the run's artifacts are written there.
+
+    Responses are written before they are read again (in ``out_dir``, else the shared checkpoint folder), so the model runs once,
+    and are checked against the requests. An unsupported combination yields only a manifest. Artifacts: run_manifest.json
+    (before the run with status running, and after), responses, results and failures, metrics; the manifest has a digest of each.
+    ``about``: see base_manifest.
     """
     spark = items.sparkSession
+    began = time.perf_counter()
     require_none(items.select("item_id", item_errors().alias("errors")).where(F.size("errors") > 0), "items")
-    digest = items.agg(F.sha2(F.array_join(F.sort_array(F.collect_set("concept_id")), ","), 256)).first()[0]
-    doc = {"run_id": run_id, "status": "running", "model": adapter.name, "method": method.name, "concepts_sha256": digest, "supported": True, "missing": []}
+    doc = base_manifest(items, adapter, method, run_id, **about)
+
+    def publish() -> None:
+        if out_dir:
+            write_document(spark, f"{out_dir}/run_manifest.json", doc)
+
     try:
         method.check(adapter)
     except CapabilityMismatch as e:
-        return Run(doc | {"status": "unsupported", "supported": False, "missing": e.missing})
-    asked = requests(items, run_id, method)
-    answers = infer(asked, adapter)
-    if out_dir:
-        answers.write.mode("overwrite").parquet(f"{out_dir}/responses")
-        answers = spark.read.parquet(f"{out_dir}/responses")
+        doc |= {"status": "unsupported", "missing": e.missing, "capability_validation": {"supported": False, "missing_capabilities": e.missing}}
+        publish()
+        return Run(doc)
+    publish()
+    try:
+        asked = requests(items, run_id, method)
+        answers = staged(infer(asked, adapter), "responses", out_dir)
         require_none(response_violations(asked, answers), "adapter contract")
-    records = score_responses(asked.join(answers, "request_id"))
-    if out_dir:
-        records.write.mode("overwrite").parquet(f"{out_dir}/results")
-        records = spark.read.parquet(f"{out_dir}/results")
-    metrics = accounting_sets(records, [[], ["split", "question_format", "input_condition"], ["concept_id", "input_condition"]])
-    if out_dir:
-        metrics.write.mode("overwrite").json(f"{out_dir}/metrics")
-        doc["failure_counts"] = {r[0]: r[1] for r in failure_counts(records).collect()}
-    doc["status"] = "completed"
-    doc["sha256"] = hashlib.sha256(json.dumps(doc, sort_keys=True).encode()).hexdigest()
-    return Run(doc, records, metrics, records.where(~F.col("response_status").isin("correct", "incorrect")))
+        records = staged(score_responses(asked.join(answers, "request_id")), "results", out_dir)
+        failures = records.where(~F.col("response_status").isin("correct", "incorrect"))
+        metrics = accounting_sets(records, [[], ["split", "question_format", "input_condition"], ["concept_id", "input_condition"]])
+        if out_dir:
+            write_jsonl(failures, f"{out_dir}/failures")
+            metrics.write.mode("overwrite").json(f"{out_dir}/metrics")
+            metrics = spark.read.schema(metrics.schema).json(f"{out_dir}/metrics")
+        doc["artifacts"] = {"responses": _content_hash(answers), "results": _content_hash(records), "failures": _content_hash(failures), "metrics": _content_hash(metrics)}
+        doc["failure_counts"] = {x[0]: x[1] for x in failure_counts(records).collect()}  # a row a status
+        latency = answers.agg(F.avg("latency_ms")).first()[0]
+        doc["cost"] |= {"wall_seconds": time.perf_counter() - began, "inference_latency_ms": latency}
+        doc["status"] = "completed"
+    except Exception:
+        doc["status"] = "failed"
+        publish()
+        raise
+    publish()
+    return Run(doc, records, metrics, failures)
 
 
 def evaluate_conditions(items: DataFrame, adapter: Adapter, conditions: list[str], concepts: list[str] | None = None) -> DataFrame:

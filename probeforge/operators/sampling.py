@@ -155,17 +155,38 @@ def attribute_choices(scores: str, labels: str, group: str, seed: int, key: Colu
 
 
 def randomize_options(items: DataFrame, seed: int, block: list[str], item: str = "item_id") -> DataFrame:
-    """MCQ items with the answer moved so that its positions differ by one at most in each block; adds permutation_target."""
+    """MCQ items with the answer moved so that its positions differ by one at most in each block.
+
+    Adds permutation_seed, permutation_target and permutation (the old index of each new option). Where the items have the
+    parts of an id, item_id and pairing_id are made anew, as the order of options is part of them; metadata, if there, gets the
+    three as text. Items must be MCQ with a normal image.
+    """
+    bad = F.lit(False)
+    for column, value in (("question_format", "mcq"), ("input_condition", "normal_image")):
+        if column in items.columns:
+            bad = bad | ~F.col(column).eqNullSafe(F.lit(value))
+    bad = bad | F.col("choices").isNull() | ~F.coalesce(F.col("answer_index").between(0, F.size("choices") - 1), F.lit(False))
+    require_none(items.where(bad).select(F.lit("not an MCQ item with a normal image").alias("rule"), F.col(item).cast("string")), "randomize_options")
     m = F.size("choices")
-    block = [*block, "n_choices"]
     out = items.withColumn("n_choices", m)
-    target = F.pmod(F.row_number().over(Window.partitionBy(*block).orderBy(seeded(seed, item), item)) - 1, F.col("n_choices")).cast("int")
-    out = out.withColumn("target", target)
-    answer = F.element_at("choices", F.col("answer_index") + 1)
-    others = F.array_sort(F.transform(F.filter("choices", lambda c, i: i != F.col("answer_index")), lambda c: F.struct(F.sha2(F.concat_ws("|", F.lit(f"{seed}o"), F.col(item).cast("string"), c), 256).alias("h"), c.alias("c"))))
-    others = F.transform(others, lambda x: x["c"])
-    mixed = F.concat(F.slice(others, 1, F.col("target")), F.array(answer), F.slice(others, F.col("target") + 1, F.col("n_choices")))
-    return out.withColumns({"choices": mixed, "answer_index": F.col("target")}).drop("target")
+    target = F.pmod(F.row_number().over(Window.partitionBy(*block, "n_choices").orderBy(seeded(seed, item), item)) - 1, F.col("n_choices")).cast("int")
+    out = out.withColumn("permutation_target", target)
+    places = F.filter(F.sequence(F.lit(0), F.col("n_choices") - 1), lambda i: i != F.col("answer_index"))
+    ranked = F.array_sort(F.transform(places, lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(f"{seed}o"), F.col(item).cast("string"), F.element_at("choices", i + 1)), 256).alias("h"), F.element_at("choices", i + 1).alias("c"), i.alias("i"))))
+    others = F.transform(ranked, lambda x: x["i"])
+    at = F.col("permutation_target")
+    out = out.withColumn("permutation", F.concat(F.slice(others, F.lit(1), at), F.array("answer_index"), F.slice(others, at + 1, F.col("n_choices"))))
+    out = out.withColumns({"choices": F.transform("permutation", lambda i: F.element_at("choices", i + 1)), "answer_index": at, "permutation_seed": F.lit(seed)})
+    if {"sample_id", "probe_id", "prompt_variant_id", "input_condition"} <= set(items.columns):
+        ids = ("sample_id", "probe_id", "prompt_variant_id")
+        made = {"pairing_id": stable_id("pair", *ids, order_hash("choices")), "item_id": stable_id("item", *ids, "input_condition", order_hash("choices"))}
+        if "metadata" in items.columns:
+            extra = F.create_map(F.lit("pairing_id"), made["pairing_id"], F.lit("permutation_seed"), F.lit(str(seed)), F.lit("permutation_target"), at.cast("string"), F.lit("permutation"), F.array_join(F.transform("permutation", lambda i: i.cast("string")), ","))
+            made["metadata"] = F.map_concat(F.map_filter("metadata", lambda k, v: ~F.map_contains_key(extra, k)), extra)
+        if "pairing_id" not in items.columns and "metadata" in items.columns:
+            made.pop("pairing_id")
+        out = out.withColumns(made)
+    return out.drop("n_choices")
 
 
 def unique_answers(answers: Column) -> Column:
@@ -211,7 +232,15 @@ def derangement_violations(items: DataFrame, group: list[str], concept: str = "c
 
 
 def control_variants(items: DataFrame, seed: int, with_question_only: bool = False, group: list[str] = list(DERANGE_GROUP)) -> DataFrame:
-    """Items and their controls: no_image, option_only, shuffled_image (and question_only); a control keeps its item's pairing_id."""
+    """Items and their controls: no_image, option_only, shuffled_image (and question_only); a control keeps its item's pairing_id.
+
+    Items must have a normal image. question_only has no options, and so is made of items without options only. A shuffled
+    image's donor stands in donor_image_id and, if the items have metadata, there, with the seed.
+    """
+    bad = F.col("image").isNull() | ~F.col("input_condition").eqNullSafe(F.lit("normal_image"))
+    require_none(items.where(bad).select(F.lit("not an item with a normal image").alias("rule"), "item_id"), "controls")
+    if with_question_only:
+        require_none(items.where("question_format = 'mcq'").select(F.lit("question_only of an MCQ item").alias("rule"), "item_id"), "controls")
     require_none(derangement_violations(items, group), "controls")
     donors = derangement(items, seed, group).select("item_id", "donor")
     images = items.select(F.col("item_id").alias("donor"), F.col("image").alias("donor_image"), F.col("image_id").alias("donor_image_id"))
@@ -226,4 +255,7 @@ def control_variants(items: DataFrame, seed: int, with_question_only: bool = Fal
             "item_id": F.when(control, stable_id("item", "sample_id", "probe_id", "prompt_variant_id", c, order_hash("choices"))).otherwise(F.col("item_id")),
         }
     )
+    if "metadata" in items.columns:
+        extra = F.create_map(F.lit("donor_image_id"), F.col("donor_image_id"), F.lit("control_seed"), F.lit(str(seed)))
+        rows = rows.withColumn("metadata", F.when(F.col("condition") == "shuffled_image", F.map_concat(F.map_filter("metadata", lambda k, v: ~F.map_contains_key(extra, k)), extra)).otherwise(F.col("metadata")))
     return rows.drop("condition", "donor", "donor_image")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probeforge.schema import PUBLIC_FIELDS
@@ -37,3 +41,32 @@ def write_condition(df: DataFrame, path: str) -> None:
 def write_wide_csv(df: DataFrame, path: str, sort_by: str) -> None:
     """One sorted file with a header; values that are no numbers count as -1 in the order."""
     df.orderBy(F.coalesce(F.col(sort_by).try_cast("double"), F.lit(-1.0)).desc()).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_document(spark: SparkSession, path: str, doc: dict) -> None:
+    """One JSON document as one file, on any file system that Spark can write."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        out.write(bytearray(json.dumps(doc, indent=2, sort_keys=True).encode()))
+    finally:
+        out.close()
+
+
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet in ``folder``, else in the shared checkpoint folder, and read again.
+
+    A temporary folder serves only where that setting is empty and all runs in one process, as in tests.
+    """
+    spark = df.sparkSession
+    if folder is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="probeforge-")
+        name = f"{uuid.uuid4().hex}-{name}"
+    path = f"{folder.rstrip('/')}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

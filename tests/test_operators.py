@@ -18,6 +18,8 @@ from probeforge.operators import sampling as S
 from probeforge.operators import scoring as R
 from probeforge.operators import splits as L
 from probeforge.operators import statistics as B
+from probeforge.operators.manifests import manifest_errors
+from probeforge.operators.quality import item_errors
 from probeforge.schema import ITEM, CapabilityMismatch, ConstraintError, Thresholds, require_none
 
 
@@ -193,14 +195,24 @@ def test_first_wins_duplicates(spark):
 
 
 def test_run_end_to_end(spark, tmp_path):
-    all_items = S.control_variants(items(spark), 7).withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("donor_image_id"), F.coalesce("donor_image_id", F.lit(""))))).select([f.name for f in ITEM.fields])
+    all_items = S.control_variants(items(spark), 7).select([f.name for f in ITEM.fields])  # valid as they are: the donor stands in metadata
     run = I.evaluate(all_items, I.oracle_adapter(), out_dir=str(tmp_path))
     assert run.records.count() == 36 and run.manifest["status"] == "completed"
+    written = json.loads((tmp_path / "run_manifest.json").read_text())
+    assert written == run.manifest and manifest_errors(written) == [] and set(written["artifacts"]) == {"responses", "results", "failures", "metrics"}
+    assert written["cost"]["inference_latency_ms"] >= 0 and run.records.where("latency_ms is null").count() == 0
+    again = I.evaluate(all_items.repartition(5), I.oracle_adapter()).manifest
+    assert again["data"] == written["data"] and again["artifacts"]["metrics"] == written["artifacts"]["metrics"]
+    logits = I.score_option_requests(I.requests(all_items, "run"), I.oracle_adapter()).collect()
+    assert len(logits) == 36 and {(r["response_status"], r["scorer_id"]) for r in logits} == {("correct", "logit_argmax")}
+    with pytest.raises(CapabilityMismatch):
+        I.infer_options(I.requests(all_items, "run"), I.failing_adapter())
     assert all(r["response_status"] == "correct" for r in run.records.collect())
     bad = I.evaluate(all_items, I.failing_adapter(), out_dir=str(tmp_path / "b"))
     assert {r["response_status"] for r in bad.records.collect()} == {"model_error"}
     needs = I.Method("grad", required=("supports_gradients",))
-    assert I.evaluate(all_items, I.oracle_adapter(), needs).manifest["missing"] == ["supports_gradients"]
+    refused = I.evaluate(all_items, I.oracle_adapter(), needs, out_dir=str(tmp_path / "c")).manifest
+    assert refused["missing"] == ["supports_gradients"] and manifest_errors(refused) == [] and refused["status"] == "unsupported"
     with pytest.raises(CapabilityMismatch):
         needs.check(I.oracle_adapter())
     out = I.evaluate_conditions(items(spark), I.oracle_adapter(), ["BASELINE_NORMAL", "ORACLE_HARD"])
@@ -215,3 +227,64 @@ def test_registry_names():
 def test_percentile_rank():
     v = sorted(random.Random(3).random() for _ in range(11))
     assert B.percentile_rank(v, 0.5) == v[5] and abs(B.percentile_rank(v, 0.25) - (v[2] + v[3]) / 2) < 1e-12
+
+
+def test_randomized_options(spark):
+    """New ids with the new order, the permutation on record, answers balanced; what is no plain MCQ item is refused."""
+    base = items(spark)
+    out = S.randomize_options(base, 3, ["split"]).collect()
+    old = {r["sample_id"]: r for r in base.collect()}
+    for r in out:
+        own = old[r["sample_id"]]
+        assert r["choices"] == [own["choices"][i] for i in r["permutation"]] and r["choices"][r["answer_index"]] == own["choices"][own["answer_index"]]
+        assert r["metadata"]["permutation"] == ",".join(map(str, r["permutation"])) and r["metadata"]["permutation_target"] == str(r["answer_index"]) and r["permutation_seed"] == 3
+    assert len({r["item_id"] for r in out}) == len(out)
+    assert S.randomize_options(base, 3, ["split"]).select("item_id", item_errors().alias("e")).where(F.size("e") > 0).count() == 0
+    for bad in (base.withColumn("question_format", F.lit("short_answer")), base.withColumn("input_condition", F.lit("no_image")), base.withColumn("answer_index", F.lit(9))):
+        with pytest.raises(ConstraintError):
+            S.randomize_options(bad, 3, ["split"])
+    with pytest.raises(ConstraintError):
+        S.control_variants(base, 3, with_question_only=True)
+
+
+def test_shards_and_filters(spark):
+    df = spark.createDataFrame([(i, f"c{i % 3}", f"n{i % 2}") for i in range(60)], "id long, cls string, name string")
+    parts = [S.shard(df, k, 4, "id") for k in range(4)]
+    assert sorted(r["id"] for r in S.merge_shards(parts, ["id"]).collect()) == list(range(60))
+    with pytest.raises(ConstraintError):
+        S.merge_shards([parts[0], parts[0]], ["id"])
+    assert {r["id"] for r in S.head_of(df, ["cls"], ["id"], 2).collect()} == {0, 1, 2, 3, 4, 5}
+    assert S.only(df, ["c1", "n0"], "cls", "name").where("cls <> 'c1' and name <> 'n0'").count() == 0 and S.only(df, None, "cls").count() == 60
+    with pytest.raises(ConstraintError):
+        S.only(df, ["zzz"], "cls")
+
+
+def test_missing_cost(spark):
+    df = spark.createDataFrame([("s", "correct", None)], "sample_id string, response_status string, attack_unit_cost int")
+    with pytest.raises(Exception, match="missing"):
+        A.worst_case_leakage(df).collect()
+
+
+def test_distractors_ring(spark):
+    """Hard ones are of the superclass as far as it has others, nobody gets a class twice or his own, and blocks make no difference."""
+    classes = [(f"w{i}", f"name {i % 150}", f"s{i % 7}") for i in range(160)]
+    df = spark.createDataFrame([(i, f"w{i % 160}", f"s{i % 160 % 7}") for i in range(400)] + [(999, "stranger", "none")], "item_seq long, wnid string, superclass string")
+    dim = spark.createDataFrame(classes + [("lone", "alone", "single")], "wnid string, class_name string, superclass string")
+    sup, name = {w: s for w, _, s in classes}, {w: n for w, n, _ in classes}
+    got = S.with_distractors(df.unionByName(spark.createDataFrame([(1000, "lone", "single")], df.schema)), dim, 3, 2, 7).collect()
+    for r in got:
+        hard, easy = ([d for d in r["distractors"] if d["role"] == role] for role in ("hard", "easy"))
+        assert len(hard) == 3 and len(easy) == 2 and len({d["wnid"] for d in hard + easy}) == 5
+        assert all(d["wnid"] != r["wnid"] and d["class_name"] != name.get(r["wnid"]) for d in hard + easy)
+        assert r["wnid"] not in sup or all(sup[d["wnid"]] == r["superclass"] for d in hard)
+    assert len({d["wnid"] for r in got for d in r["distractors"]}) > 140
+
+
+def test_bootstrap_is_close(spark):
+    """The interval of Poisson counts against draws with replacement, for counted and for different values."""
+    rng = random.Random(5)
+    for values in ([float(rng.random() < 0.3) for _ in range(400)], [rng.random() for _ in range(150)]):
+        found = B.bootstrap_ci(spark.createDataFrame([("g", v) for v in values], "k string, x double"), ["k"], "x", 800).first()
+        want = B.bootstrap_rows(values, 800)
+        assert found["n"] == len(values) and abs(found["mean"] - want["mean"]) < 1e-9
+        assert abs(found["low"] - want["low"]) < 0.012 and abs(found["high"] - want["high"]) < 0.012
