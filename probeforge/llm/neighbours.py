@@ -6,20 +6,22 @@ neighbours lie. Every row is then indexed in its most probable part. A query goe
 parts, as many as reach ``TARGET_RECALL`` on the sample, and all vectors there are reranked by exact Euclidean
 distance in double precision on the original numbers.
 
-Vectors that are null, zero, hold null or non-finite components, or have another length than the most frequent one take
-no part. Ties go to the smaller vec_id. A row with the query's own id is no candidate. Repeated ids are candidates each.
+Vectors that are null, zero or hold null or non-finite components take no part. A query's candidates have its length: the
+index is learned for the most frequent length, and each other length is a part of its own, searched whole. Ties go to the smaller
+vec_id. A row with the query's own id is no candidate. Repeated ids are candidates each, and queries each: every row of a
+repeated query id has its own ranks from 1. Other columns are not read.
 
 The sample's size is ``SAMPLE`` and the number of parts grows with the rows until ``MAX_PARTS``, so the driver and the
 model are bounded. A part is searched in blocks of at most about ``BLOCK_ROWS`` rows against blocks of
 ``BLOCK_QUERIES`` queries; a part that holds a third of all rows (equal vectors) is only more blocks. Each block returns
-each query's ten best, and these are merged.
+each query's ten best, of which a window keeps the ten best before and after the shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeforge.llm.runtime import staged
@@ -36,11 +38,9 @@ HIDDEN = 96
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v array<double>) of the rows that take part."""
-    v = F.col(vec_col).cast("array<double>")
-    fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0.0)
-    rows = df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    common = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
-    return rows.where(F.size("v") == (common["n"] if common else 0))
+    v = F.col(f"`{vec_col}`").cast("array<double>")
+    fine = F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0.0)
+    return df.where(fine).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -151,7 +151,7 @@ def learn(x: np.ndarray, rows: int, seed: int = 5) -> tuple[Router, int]:
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k nearest rows: query_id, vec_id, score. A matrix product preselects, differences decide."""
+    """Each query's k nearest rows: query (its place), vec_id, score. A matrix product preselects, differences decide."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     center = x.mean(axis=0)
     xc = x - center
@@ -169,9 +169,9 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
             some = some[np.isfinite(row[some])]
             score = np.sqrt(((x[some] - q[a + i]) ** 2).sum(axis=1))
             order = np.lexsort((ids[some], score))[:k]
-            out.append((np.full(len(order), q_ids[a + i]), ids[some][order], score[order]))
+            out.append((np.full(len(order), a + i), ids[some][order], score[order]))
     columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pd.DataFrame({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
+    return pd.DataFrame({"query": columns[0], "vec_id": columns[1], "score": columns[2]})
 
 
 def search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -179,28 +179,35 @@ def search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col
     spark = df.sparkSession
     rows = staged(usable(df, id_col, vec_col), "vectors")
     total = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas() if total else None
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    router, visits = learn(np.stack(sample["v"].to_numpy()), total)
+    main = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
+    dim, many = main["n"], main["k"]
+    sample = rows.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    router, visits = learn(np.stack(sample["v"].to_numpy()), many)
     shared = spark.sparkContext.broadcast(router)
 
     def route(n: int):
         def run(batches):
             for pdf in batches:
-                if len(pdf):
-                    chosen = shared.value.parts(np.stack(pdf["v"].to_numpy()), n)
-                    yield pdf.loc[np.repeat(pdf.index, n)].assign(part=chosen.ravel().astype(np.int32))
+                sizes = pdf["v"].map(len).to_numpy() if len(pdf) else np.zeros(0, int)
+                learned = pdf[sizes == dim]
+                if len(learned):
+                    chosen = shared.value.parts(np.stack(learned["v"].to_numpy()), n)
+                    yield learned.loc[np.repeat(learned.index, chosen.shape[1])].assign(part=chosen.ravel().astype(np.int32))
+                if len(learned) < len(pdf):  # a part for each other length
+                    yield pdf[sizes != dim].assign(part=-sizes[sizes != dim].astype(np.int32))
 
         return run
 
-    kind = "vec_id long, v array<double>, part int"
-    indexed = staged(rows.mapInPandas(route(1), kind), "vector-index")
-    asked = staged(rows.where(is_query(F.col("vec_id"))).mapInPandas(route(visits), kind), "vector-queries")
+    kind = "vec_id long, v array<double>"
+    numbered = staged(rows.where(is_query(F.col("vec_id"))).withColumn("nth", F.monotonically_increasing_id()), "vector-asked")
+    indexed = staged(rows.mapInPandas(route(1), f"{kind}, part int"), "vector-index")
+    asked = staged(numbered.mapInPandas(route(visits), f"{kind}, nth long, part int"), "vector-queries")
 
     def blocks(of: DataFrame, size: int) -> dict[int, int]:
-        """Part -> number of blocks; at most MAX_PARTS rows."""
+        """Part -> number of blocks; a row for each of MAX_PARTS parts and each other length at most."""
         return {r["part"]: -(-r["n"] // size) for r in of.groupBy("part").agg(F.count("*").alias("n")).collect()}
 
     c_blocks, q_blocks = blocks(indexed, BLOCK_ROWS), blocks(asked, BLOCK_QUERIES)
@@ -219,9 +226,11 @@ def search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col
 
     def rerank(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(found):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return best(queries["vec_id"].to_numpy(), np.stack(queries["v"].to_numpy()), found["vec_id"].to_numpy(), np.stack(found["v"].to_numpy()), k)
-
-    each = left.cogroup(right).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    top = each.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+            return pd.DataFrame({"nth": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        out = best(queries["vec_id"].to_numpy(), np.stack(queries["v"].to_numpy()), found["vec_id"].to_numpy(), np.stack(found["v"].to_numpy()), k)
+        at = out.pop("query").to_numpy()
+        return out.assign(nth=queries["nth"].to_numpy()[at], query_id=queries["vec_id"].to_numpy()[at])[["nth", "query_id", "vec_id", "score"]]
+
+    each = left.cogroup(right).applyInPandas(rerank, "nth long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("nth").orderBy("score", "vec_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,6 +12,10 @@ then finds its place from its rank among the pieces of its length. Ranks come fr
 partition plus a running sum over (length, partition) counts. Nothing is packed apart, so no sequence
 is left half empty at the border of a shard.
 
+The registered query packs into as few sequences as it can, under sequences of 1024 tokens. Its document and attention
+capacities (1024 and 1024²) are those that 1024 tokens imply, so only tokens bind there, and the two others break near-ties: any capacity that
+binds costs sequences, as the README's figures show. ``Capacities`` takes others, under which all three bind.
+
 Tokens: ids of the byte-level BPE file ``byte_bpe_50k.json`` of the public tokenizers, no special tokens added, then id 2.
 A document longer than a sequence is cut into full pieces, of which the first takes the rest.
 Null text counts as empty (the one id 2). A repeated row is packed again; null doc_id is kept; other columns are not read.

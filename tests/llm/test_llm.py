@@ -517,6 +517,10 @@ def test_neighbours(spark):
         hits += len({v for _, v, _ in mine} & set(want.tolist()))
         if q < 400:
             assert [v for _, v, _ in mine] == want.tolist()
+    short = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(df.unionByName(spark.createDataFrame([(5400, [2.0]), (5400, [3.0]), (5401, [2.5]), (0, rows[7][1])], df.schema)), lambda i: i % 100 == 0).collect()]
+    # each row of a repeated query id has its own ranks; a query's candidates have its length
+    assert sorted(x for x in short if x[0] in (5300, 5400)) == [(5300, 1, 5400), (5300, 2, 5401), (5300, 3, 5400), (5400, 1, 5401), (5400, 1, 5401), (5400, 2, 5300), (5400, 2, 5300)]
+    assert Counter(x[1] for x in short if x[0] == 0) == {k: 2 for k in range(1, 11)}
     assert hits >= 0.9 * 400 and neighbours.search(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
@@ -555,6 +559,33 @@ def test_plan(score):
             assert len(bins) <= 1.02 * math.ceil(sum(k * v for k, v in histogram.items()) / 1024) + 1
 
 
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_plan_is_best_fit(score):
+    """The plan by intervals against best-fit decreasing a piece at a time, under capacities that all bind."""
+    rng = random.Random(11)
+    for cap in (packing.Capacities(tokens=100, documents=4, attention=4000, weights=(1.0, 0.7, 0.4), score=score), packing.Capacities(tokens=64, documents=64, attention=64 * 64, score=score)):
+        full = (cap.tokens, cap.documents, cap.attention)
+        for _ in range(20):
+            lengths = sorted((rng.randint(1, 60) for _ in range(rng.randint(1, 150))), reverse=True)
+            bins = []
+            for n in lengths:
+                need = (n, 1, n * n)
+                fits = [b for b in bins if all(a <= c for a, c in zip(need, b))]
+
+                def worth(b, need=need):
+                    if score == "dot":
+                        return -sum(w * x / c * y / c for w, x, y, c in zip(cap.weights, need, b, full))
+                    return sum(w * ((y - x) / c) ** 2 for w, x, y, c in zip(cap.weights, need, b, full))
+
+                chosen = min(fits, key=worth) if fits else None
+                if chosen is None:
+                    bins.append(chosen := list(full))
+                for i, x in enumerate(need):
+                    chosen[i] -= x
+            used = {first + j for _, a, b, first, each, _ in packing.plan(Counter(lengths), cap) for j in range(-(-(b - a) // each))}
+            assert abs(len(used) - len(bins)) <= max(1, 0.03 * len(bins))
+
+
 def test_pack(spark, corpus, texts):
     got = packing.pack(documents(spark, list(texts.items()) + [(9000, None), (9001, "")])).collect()
     tok = packing.WordTokenizer()
@@ -671,6 +702,20 @@ def test_pipeline(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty, very long and repeated texts, and an empty table, go through all stages."""
+    import corpus_pipeline
+
+    story, other = (" ".join(f"{a}{i} met {a}{i + 1}x near {a}{i + 2}y." for i in range(0, 120, 3)) for a in ("word", "sign"))
+    for name, rows in (("some", [*EDGE, (9, story), (9, story), (10, story + " Twice."), (11, other)]), ("none", [])):
+        where = str(tmp_path / name)
+        documents(spark, rows).write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame([(9, 1, 0), (6, 0, 1)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        out = corpus_pipeline.run(spark, where).collect()
+        assert {"doc_id", "piece", "sequence_id"} <= set(corpus_pipeline.run(spark, where).columns)
+        assert ({r["doc_id"] for r in out} & {9, 11} == {9, 11}) if rows else not out
+
+
 def test_line_dedup_own_names(spark):
     """Columns named as the operator's own helpers, in any case, come through unchanged."""
     long_line = "one line that is long enough to be compared"
