@@ -11,8 +11,10 @@ from probeforge.operators import quality as Q
 from probeforge.operators import sampling as S
 from probeforge.operators import scoring as R
 from probeforge.plans import views as V
-from probeforge.plans.catalogue import register
+from probeforge.plans.catalogue import _sql, register
 from probeforge.plans.views import view
+from probeforge.sources.writers import shared_folder
+from probeforge.streaming import metrics as M
 
 _lit = lambda s: "'" + s.replace("'", "''") + "'"
 PART = "SELECT p_partkey, p_name, p_type, p_brand FROM part"
@@ -215,3 +217,44 @@ def attribute_choices(spark, d):
     choices, at = S.attribute_choices("scores", "labels", "size", 7, F.col("p_partkey").cast("string"))
     out = s.withColumns({"choices": choices, "at": at}).where("choices is not null")
     return out.select("p_partkey", F.lower(F.element_at("choices", F.col("at") + 1)).alias("answer"))
+
+
+def _stream(spark, d, table: str, sql: str):
+    """A view's statement over a stream of the table's files."""
+    path = f"{d}/{table}.parquet"
+    files = spark.readStream.schema(spark.read.parquet(path).schema)
+    files = files.option("pathGlobFilter", f"{table}.parquet").parquet(d) if path_is_file(spark, path) else files.parquet(path)
+    files.createOrReplaceTempView(f"{table}_stream")
+    return spark.sql(sql.replace(f"FROM {table}", f"FROM {table}_stream"))
+
+
+def path_is_file(spark, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
+
+
+@register(_sql["stream_daily_accounting"])
+def streamed_daily_accounting(spark, d):
+    """The daily accounting by a stream in complete mode."""
+    out = M.windowed_accounting(_stream(spark, d, "events", V.STATUS))
+    return M.run_to_folder(out, shared_folder(spark, "daily"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register(_sql["session_activity"])
+def streamed_sessions(spark, d):
+    rows = _stream(spark, d, "events", V.STATUS).withColumn("ts", F.col("ts").cast("timestamp"))
+    s = M.run_to_folder(M.sessions(rows, "user_id", gap="6 hours"), shared_folder(spark, "sessions"), "complete")
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+
+
+@register(_sql["stream_dedup"])
+def streamed_dedup(spark, d):
+    rows = M.timed(_stream(spark, d, "events", V.STATUS), late="10000 days")
+    twice = rows.unionByName(M.timed(_stream(spark, d, "events", V.STATUS), late="10000 days").where("request_id % 3 = 0"))
+    return M.run_to_folder(M.first_requests(twice), shared_folder(spark, "dedup")).agg(F.count("*").alias("requests"))
+
+
+@register(f"SELECT sample_id, CASE WHEN bool_or(response_status = 'correct') THEN 'leaked' WHEN bool_or(response_status = 'incorrect') THEN 'contained' ELSE 'unscorable' END AS outcome, CAST(sum(attack_unit_cost) AS BIGINT) AS cost, count(*) AS requests FROM ({V.ATTACK}) GROUP BY 1")
+def streamed_leakage(spark, d):
+    """Each sample's outcome by a stream that keeps one state a sample."""
+    return M.run_to_folder(M.sample_leakage(_stream(spark, d, "lineitem", V.ATTACK)), shared_folder(spark, "leakage"), "complete")

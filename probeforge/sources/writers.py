@@ -54,19 +54,19 @@ def write_document(spark: SparkSession, path: str, doc: dict) -> None:
         out.close()
 
 
-def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """``df`` written once as Parquet in ``folder``, else in the shared checkpoint folder, and read again.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder; a temporary one only where that is unset and all runs in one process, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="probeforge-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
 
-    A temporary folder serves only where that setting is empty and all runs in one process, as in tests.
-    """
+def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet in ``folder``, else in a shared folder, and read again."""
     spark = df.sparkSession
-    if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="probeforge-")
-        name = f"{uuid.uuid4().hex}-{name}"
-    path = f"{folder.rstrip('/')}/{name}"
+    path = f"{folder.rstrip('/')}/{name}" if folder else shared_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probeforge.operators.accounting import status_columns
+from probeforge.operators.accounting import sample_outcomes, status_columns
 
 
 def timed(df: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -36,3 +36,19 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def sample_leakage(df: DataFrame, **columns: str) -> DataFrame:
+    """The outcome of each sample, kept up to date as its attacks arrive."""
+    return sample_outcomes(df, **columns)
+
+
+def run_to_folder(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is available, through ``foreachBatch`` into Parquet below ``folder``; a batch written again replaces itself."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/all" if mode == "complete" else f"{folder}/out/part={number}")
+
+    q = df.writeStream.foreachBatch(sink).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out/all" if mode == "complete" else f"{folder}/out/part=*")
