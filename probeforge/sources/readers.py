@@ -97,13 +97,17 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attribute_vocabulary(spark: SparkSession, root: str) -> DataFrame:
-    """(domain, index, group, label) of attribute_list.txt: running numbers in each domain plus the domain's offset."""
-    rows = _lines(spark, f"{root}/attribute_list.txt").select("pos", F.trim(F.split_part("line", F.lit(","), F.lit(1))).alias("id"), F.trim(F.regexp_extract("line", r"^[^,]*,(.*)$", 1)).alias("text"))
-    rows = rows.withColumn("domain", F.upper(F.regexp_extract("id", "([A-Za-z])", 1)))
+    """(domain, index, group, label) of attribute_list.txt: running numbers in each domain plus the domain's offset.
+
+    The domain is the id's single letter (``Attr_F_007``); lines without ``group: value`` count, but give no row.
+    """
+    rows = _lines(spark, f"{root}/attribute_list.txt").select("pos", F.trim(F.split_part("line", F.lit(","), F.lit(1))).alias("id"), F.trim(F.split_part("line", F.lit(","), F.lit(2))).alias("text"))
+    rows = rows.withColumn("domain", F.upper(F.regexp_extract("id", "(?:^|_)([A-Za-z])(?:_|$)", 1)))
     offset = F.element_at(F.create_map(*(F.lit(x) for kv in ATTRIBUTE_OFFSETS.items() for x in kv)), F.col("domain"))
     nth = F.row_number().over(Window.partitionBy("domain").orderBy("pos")) - 1
     group, text = F.trim(F.split_part("text", F.lit(":"), F.lit(1))), F.trim(F.regexp_extract("text", r"^[^:]*:(.*)$", 1))
-    return rows.select("domain", (offset + nth).alias("index"), group.alias("group"), attribute_label(text).alias("label"))
+    numbered = rows.withColumn("index", offset + nth).where(F.contains("text", F.lit(": ")))
+    return numbered.select("domain", "index", F.lower(group).alias("group"), attribute_label(text).alias("label"))
 
 
 def attribute_samples(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
