@@ -329,7 +329,7 @@ def _gathered(n: int, v: int, table: DataFrame, filters: DataFrame, shards: int,
     order = np.argsort(columns[0])
     for i in range(4):
         columns[i] = columns[i][order]
-    del order, to
+    del order
     words = {r["shard"]: np.frombuffer(r["words"], "<u8") for r in filters.toLocalIterator()}
     return Model(n, v, tuple(columns), CountFilter(words, shards), starts, least)
 
