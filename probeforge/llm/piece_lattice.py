@@ -15,7 +15,7 @@ give the text's N best, exactly.
 
 The file ``piece_bpe_32k.model`` is a BPE model: its scores are ranks of merges, and the SentencePiece library encodes with
 it by merging, not by the best sum of scores. Ids therefore differ from the library's ``encode`` by design of the
-method (fewer pieces here); decoding reads the ids of either. Null text counts as empty and has no pieces; repeated rows get
+method (more pieces here); decoding reads the ids of either. Null text counts as empty and has no pieces; repeated rows get
 a row each; other columns are not read. Whole texts are encoded, a text at a time.
 """
 
