@@ -77,6 +77,46 @@ def accuracy(df: DataFrame, keys: list[str], class_col: str = "meta_synset", gt:
     )
 
 
+#: Suffixes of the legacy metric document's keys, by figure, for the forget and the retain split; and its aliases.
+LEGACY_FORGET = {"macro_accuracy": "__forget_macro_acc", "micro_accuracy": "__forget_micro_acc", "classes": "__forget_K", "invalid_rate": "__invalid_rate_forget", "n": "__forget_total", "entropy": "__forget_pred_entropy"}
+LEGACY_RETAIN = {"micro_accuracy": "__retain_acc", "macro_accuracy": "__retain_macro_acc", "invalid_rate": "__invalid_rate_retain", "n": "__retain_total"}
+LEGACY_ALIASES = {
+    "baseline_normal__forget_macro_acc": "baseline_forget_macro_acc", "baseline_normal__retain_acc": "baseline_retain_acc",
+    "oracle_hard__forget_macro_acc": "oracle_hard_forget_macro_acc", "oracle_hard__retain_acc": "oracle_hard_retain_acc",
+}
+
+
+def legacy_metrics(df: DataFrame, class_col: str = "meta_synset") -> DataFrame:
+    """(key, value) of the legacy metric document: a row for each figure of each condition on the test splits, and its aliases."""
+    keys = ["split", "condition"]
+    test = df.where(F.col("split").isin("test_forget", "test_retain"))
+    kinds = test.groupBy(*keys).agg(F.count_distinct(class_col).alias("classes"))
+    rows = accuracy(test, keys, class_col).join(kinds, keys).join(prediction_entropy(test, keys).select(*keys, F.round("entropy", 4).alias("entropy")), keys, "left")
+    entries = lambda names: F.array(*(F.struct(F.concat(F.lower("condition"), F.lit(k)).alias("key"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c, k in names.items()))
+    rows = rows.select(F.inline(F.when(F.col("split") == "test_forget", entries(LEGACY_FORGET)).otherwise(entries(LEGACY_RETAIN))))
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in LEGACY_ALIASES.items() for x in kv)), F.col("key"))
+    both = F.filter(F.array("key", F.when(F.col("key").isin(*LEGACY_ALIASES), named)), lambda k: k.isNotNull())
+    return rows.select(F.explode(both).alias("key"), "value")
+
+
+def legacy_class_metrics(df: DataFrame, class_col: str = "meta_synset", gt: str = "gt_index", pred: str = "pred_index") -> DataFrame:
+    """(condition, class, accuracy, total) on the forget split: the document's figures by class."""
+    right = F.coalesce(F.col(gt) == F.col(pred), F.lit(False))
+    return df.where("split = 'test_forget'").groupBy("condition", F.col(class_col).alias("class")).agg(rate(F.count_if(right), F.count("*")).alias("accuracy"), F.count("*").alias("total"))
+
+
+def legacy_metric_document(df: DataFrame, forget_classes: list[str], model_name: str | None = None, thinking_mode: str = "disabled") -> dict:
+    """The document of one run: as many figures as conditions and forget classes, whatever the responses."""
+    doc: dict = {"forget_classes": forget_classes, "K": len(forget_classes), "thinking_mode": thinking_mode}
+    if model_name is not None:
+        doc["model_name"] = model_name
+    doc |= {r["key"]: r["value"] for r in legacy_metrics(df).collect()}
+    for r in legacy_class_metrics(df).collect():
+        for name, value in (("acc", r["accuracy"]), ("total", r["total"])):
+            doc.setdefault(f"{r['condition'].lower()}__forget_per_class_{name}", {})[r["class"]] = value
+    return dict.fromkeys(("baseline_forget_macro_acc", "baseline_retain_acc")) | doc
+
+
 def hardest_classes(df: DataFrame, n: int = 5, class_col: str = "meta_synset", gt: str = "gt_index", pred: str = "pred_index") -> DataFrame:
     right = F.coalesce(F.col(gt) == F.col(pred), F.lit(False))
     return df.groupBy(class_col).agg(rate(F.count_if(right), F.count("*")).alias("accuracy")).orderBy("accuracy", class_col).limit(n)

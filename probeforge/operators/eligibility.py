@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeforge.functions.text import rate
 from probeforge.operators.statistics import bootstrap_ci
-from probeforge.schema import CONTROLS, Thresholds, require_none
+from probeforge.schema import CONTROLS, VERSION, ConstraintError, Thresholds, require_none
+from probeforge.sources.writers import staged
 
 
 def choice_count_violations(df: DataFrame) -> DataFrame:
@@ -68,6 +72,27 @@ def build_manifest(df: DataFrame, t: Thresholds = Thresholds(), formats: tuple[s
     return manifest(evaluate_cells(df, t, formats, True, seed))
 
 
+#: What the context of an eligibility manifest must state.
+CONTEXT_KEYS = ("model_id", "model_revision", "processor_revision", "benchmark_version", "probe_bank_hash", "prompt_bank_hash", "scorer_versions", "data_hashes", "code_git_sha")
+
+
+def manifest_document(df: DataFrame, context: dict, t: Thresholds = Thresholds(), formats: tuple[str, ...] = ("mcq", "short_answer"), seed: int = 0, with_ci: bool = True) -> tuple[dict, DataFrame]:
+    """(the manifest's head: context, thresholds, counts and coverage; its concepts, a row each)."""
+    missing = sorted(set(CONTEXT_KEYS) - set(context))
+    if missing:
+        raise ConstraintError("eligibility context", [f"missing {k}" for k in missing])
+    require_none(choice_count_violations(df), "eligibility")
+    concepts = staged(manifest(evaluate_cells(df, t, formats, with_ci, seed)), "eligibility")
+    n = concepts.agg(F.count("*").alias("candidates"), F.count_if("eligible").alias("eligible")).first()
+    if not n["candidates"]:
+        raise ConstraintError("eligibility", ["no baseline records"])
+    head = {
+        "schema_version": VERSION, "kind": "eligibility_manifest", "created_at": datetime.now(UTC).isoformat(), "context": dict(context), "thresholds": asdict(t), "seed": seed, "required_formats": list(formats),
+        "candidate_count": n["candidates"], "eligible_count": n["eligible"], "coverage": n["eligible"] / n["candidates"],
+    }
+    return head, concepts
+
+
 def code_counts(cells: DataFrame) -> DataFrame:
     return cells.select("question_format", F.explode("codes").alias("code")).groupBy("question_format", "code").agg(F.count("*").alias("n"))
 

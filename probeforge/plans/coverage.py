@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from probeforge.functions import text as X
+from probeforge.operators import accounting as A
+from probeforge.operators import eligibility as E
 from probeforge.operators import inference as I
 from probeforge.operators import manifests as N
 from probeforge.operators import quality as Q
@@ -13,6 +15,7 @@ from probeforge.operators import scoring as R
 from probeforge.plans import views as V
 from probeforge.plans.catalogue import _sql, register
 from probeforge.plans.views import view
+from probeforge.schema import Thresholds
 from probeforge.sources.writers import shared_folder
 from probeforge.streaming import metrics as M
 
@@ -258,3 +261,30 @@ def streamed_dedup(spark, d):
 def streamed_leakage(spark, d):
     """Each sample's outcome by a stream that keeps one state a sample."""
     return M.run_to_folder(M.sample_leakage(_stream(spark, d, "lineitem", V.ATTACK)), shared_folder(spark, "leakage"), "complete")
+
+
+_LM = f"""l AS ({V.LEGACY}), c AS (SELECT split, condition, meta_synset, count(*) AS n, count(*) FILTER (gt_index = pred_index) AS k, count(*) FILTER (pred_index IS NULL) AS i FROM l GROUP BY ALL),
+  h AS (SELECT split, condition, pred_index, CAST(count(*) AS DOUBLE) AS n FROM l WHERE pred_index BETWEEN 0 AND 3 GROUP BY ALL), e AS (SELECT split, condition, round(-sum(n / t * log2(n / t)), 4) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY split, condition) AS t FROM h) GROUP BY 1, 2),
+  a AS (SELECT split, lower(condition) AS p, CAST(sum(n) AS DOUBLE) AS n, avg(CAST(k AS DOUBLE) / n) AS macro, CAST(sum(k) AS DOUBLE) / sum(n) AS micro, CAST(sum(i) AS DOUBLE) / sum(n) AS invalid, CAST(count(*) AS DOUBLE) AS classes, any_value(entropy) AS entropy FROM c JOIN e USING (split, condition) GROUP BY ALL),
+  f AS (SELECT * FROM a WHERE split = 'test_forget'), r AS (SELECT * FROM a WHERE split = 'test_retain'),
+  m AS (SELECT p || '__forget_macro_acc' AS key, macro AS value FROM f UNION ALL SELECT p || '__forget_micro_acc', micro FROM f UNION ALL SELECT p || '__forget_K', classes FROM f UNION ALL SELECT p || '__invalid_rate_forget', invalid FROM f
+    UNION ALL SELECT p || '__forget_total', n FROM f UNION ALL SELECT p || '__forget_pred_entropy', entropy FROM f UNION ALL SELECT p || '__retain_acc', micro FROM r UNION ALL SELECT p || '__retain_macro_acc', macro FROM r
+    UNION ALL SELECT p || '__invalid_rate_retain', invalid FROM r UNION ALL SELECT p || '__retain_total', n FROM r)"""
+
+
+@register(f"""WITH {_LM} SELECT key, round(value, 9) AS value FROM m UNION ALL SELECT CASE key WHEN 'baseline_normal__forget_macro_acc' THEN 'baseline_forget_macro_acc' WHEN 'baseline_normal__retain_acc' THEN 'baseline_retain_acc'
+  WHEN 'oracle_hard__forget_macro_acc' THEN 'oracle_hard_forget_macro_acc' ELSE 'oracle_hard_retain_acc' END, round(value, 9) FROM m WHERE key IN ('baseline_normal__forget_macro_acc', 'baseline_normal__retain_acc', 'oracle_hard__forget_macro_acc', 'oracle_hard__retain_acc')""")
+def legacy_metric_document(spark, d):
+    return A.legacy_metrics(view(spark, d, V.LEGACY)).select("key", F.round("value", 9).alias("value"))
+
+
+@register(f"SELECT lower(condition) AS condition, meta_synset AS class, CAST(count(*) FILTER (gt_index = pred_index) AS DOUBLE) / count(*) AS accuracy, count(*) AS total FROM ({V.LEGACY}) WHERE split = 'test_forget' GROUP BY 1, 2")
+def legacy_class_metrics(spark, d):
+    return A.legacy_class_metrics(view(spark, d, V.LEGACY)).withColumn("condition", F.lower("condition"))
+
+
+@register(f"WITH g AS ({_sql['eligibility_gate']}) SELECT count(*) AS candidates, count(*) FILTER (eligible) AS eligible, CAST(count(*) FILTER (eligible) AS DOUBLE) / count(*) AS coverage FROM g")
+def eligibility_coverage(spark, d):
+    """The counts of an eligibility manifest's head."""
+    head, _ = E.manifest_document(view(spark, d, V.EVID), dict.fromkeys(E.CONTEXT_KEYS, "x"), Thresholds(n_min=5), with_ci=False)
+    return spark.createDataFrame([(head["candidate_count"], head["eligible_count"], head["coverage"])], "candidates long, eligible long, coverage double")

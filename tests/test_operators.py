@@ -288,3 +288,18 @@ def test_bootstrap_is_close(spark):
         want = B.bootstrap_rows(values, 800)
         assert found["n"] == len(values) and abs(found["mean"] - want["mean"]) < 1e-9
         assert abs(found["low"] - want["low"]) < 0.012 and abs(found["high"] - want["high"]) < 0.012
+
+
+def test_eligibility_head_and_legacy_document(spark):
+    df = spark.createDataFrame([("c1", "mcq", "normal_image", "v", "correct", 4)], "concept_id string, question_format string, input_condition string, prompt_variant_id string, response_status string, choice_count int")
+    with pytest.raises(ConstraintError):
+        E.manifest_document(df, {"model_id": "m"})
+    head, concepts = E.manifest_document(df, dict.fromkeys(E.CONTEXT_KEYS, ""), with_ci=False)
+    assert (head["candidate_count"], head["eligible_count"], head["coverage"], head["thresholds"]["n_min"]) == (1, 0, 0.0, 50) and concepts.count() == 1
+    with pytest.raises(ConstraintError):
+        E.manifest_document(df.limit(0), dict.fromkeys(E.CONTEXT_KEYS, ""), with_ci=False)
+    legacy = [("test_forget", "BASELINE_NORMAL", "a", 1, 1), ("test_forget", "BASELINE_NORMAL", "a", 1, 2), ("test_forget", "BASELINE_NORMAL", "b", 0, None), ("test_retain", "ORACLE_HARD", "c", 3, 3), ("train_forget", "BASELINE_NORMAL", "a", 1, 1)]
+    doc = A.legacy_metric_document(spark.createDataFrame(legacy, "split string, condition string, meta_synset string, gt_index int, pred_index int"), ["a", "b"], "m")
+    assert (doc["K"], doc["baseline_normal__forget_macro_acc"], doc["baseline_forget_macro_acc"], doc["baseline_normal__forget_K"], doc["baseline_normal__forget_total"]) == (2, 0.25, 0.25, 2, 3)
+    assert doc["baseline_normal__forget_pred_entropy"] == 1.0 and doc["oracle_hard__retain_acc"] == doc["oracle_hard_retain_acc"] == 1.0 and doc["baseline_retain_acc"] is None
+    assert doc["baseline_normal__forget_per_class_acc"] == {"a": 0.5, "b": 0.0} and doc["baseline_normal__forget_per_class_total"] == {"a": 2, "b": 1}
