@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probeforge.functions.text import forget_concept
 from probeforge.operators import accounting, manifests, migration, quality, splits
 from probeforge.schema import ITEM, LEGACY, SPLITS, ConstraintError, require_none
 from probeforge.sources import readers, writers
@@ -38,7 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--forget-classes-json")
     p.add_argument("--k", type=int)
     p.add_argument("--mode", choices=("random_k", "superclass_balanced_k"), default="random_k")
-    for name, default in (("n-train-per-forget-class", 50), ("n-test-per-forget-class", 20), ("n-retain-train", 500), ("n-retain-test", 200), ("seed", 123)):
+    for name, default in (("n-train-per-forget-class", 50), ("n-test-per-forget-class", 50), ("n-retain-train", 200), ("n-retain-test", 50), ("seed", 123)):
         p.add_argument(f"--{name}", type=int, default=default)
     p = sub.add_parser("aggregate", help="metric documents of runs to one wide CSV")
     for name in ("results", "out", "sort-by"):
@@ -56,6 +57,8 @@ def _migrate(spark: SparkSession, a: argparse.Namespace) -> int:
     items = migration.migrated_items(moved)
     require_none(quality.dataset_violations(items, balance=not a.skip_answer_balance_check), "items")
     writers.write_jsonl(items, a.output)
+    sums = {"input_sha256": writers.file_digest(spark, a.input), "output_sha256": writers.file_digest(spark, a.output)}
+    writers.write_document(spark, f"{a.output.rstrip('/')}.report.json", report | sums)
     return 0
 
 
@@ -103,14 +106,18 @@ def _forget(classes: DataFrame, a: argparse.Namespace) -> DataFrame:
 
 
 def _split(spark: SparkSession, a: argparse.Namespace) -> int:
-    meta = F.col("meta")
-    pool = readers.jsonl(spark, a.input, LEGACY).withColumns({"concept": F.coalesce(meta["forget_concept"], meta["synset"], meta["class_name"]), "superclass": F.coalesce(meta["superclass"], F.lit("unknown"))})
+    pool = readers.jsonl(spark, a.input, LEGACY).withColumns({"concept": forget_concept("meta"), "superclass": F.coalesce(F.col("meta")["superclass"], F.lit("unknown"))})
     classes = pool.groupBy("concept").agg(F.min("superclass").alias("superclass"))
     forget = _forget(classes, a).select("concept")
     out = splits.split_forget(pool, forget, "concept", "id", a.n_train_per_forget_class, a.n_test_per_forget_class, a.seed)
     out = out.unionByName(splits.split_retain(pool, forget, "concept", "id", a.n_retain_train, a.n_retain_test, a.seed), allowMissingColumns=True)
     writers.write_splits(out.select(*(f.name for f in LEGACY.fields), "split"), a.out_dir)
-    writers.write_jsonl(accounting.split_stats(out.select("split", "concept"), "concept"), f"{a.out_dir}/top_classes")
+    stats = accounting.split_stats(out.select("split", "concept"), "concept")
+    writers.write_jsonl(stats, f"{a.out_dir}/top_classes")
+    chosen = sorted(x[0] for x in forget.collect())  # the asked classes
+    counts = {x[0]: x[1] for x in out.groupBy("split").agg(F.count("*").alias("n")).collect()}  # a row a split
+    writers.write_document(spark, f"{a.out_dir}/forget_classes.json", {"forget_classes": chosen, "seed": a.seed})
+    writers.write_document(spark, f"{a.out_dir}/split_stats.json", {"splits": counts, "top_classes": [x.asDict() for x in stats.collect()], "seed": a.seed})
     return 0
 
 

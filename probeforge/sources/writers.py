@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
@@ -54,6 +55,13 @@ def write_document(spark: SparkSession, path: str, doc: dict) -> None:
         out.close()
 
 
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file, or of the digests of a folder's files in order of their names."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("digest"))
+    found = [r["digest"] for r in files.orderBy("path").collect()]  # a row a file
+    return found[0] if len(found) == 1 else hashlib.sha256("".join(found).encode()).hexdigest()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared checkpoint folder; a temporary one only where that is unset and all runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

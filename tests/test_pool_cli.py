@@ -1,5 +1,6 @@
 """The pool, migration, manifests and the command line, on small fixtures."""
 
+import hashlib
 import json
 
 import pytest
@@ -80,6 +81,8 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "pool.jsonl").write_text("\n".join(json.dumps(record(i)) for i in range(12)))
     told = ["--input", str(tmp_path / "pool.jsonl"), "--dataset-id", "d", "--source-version", "1", "--license-id", "cc", "--redistribution", "yes", "--provenance-note", "made", "--split", "utility"]
     assert cli.main(["migrate", *told, "--output", str(tmp_path / "items")]) == 0
+    report = json.loads((tmp_path / "items.report.json").read_text())
+    assert report["input_sha256"] == hashlib.sha256((tmp_path / "pool.jsonl").read_bytes()).hexdigest() and len(report["output_sha256"]) == 64 and report["rejected_count"] == 0
     assert cli.main(["validate", "items", str(tmp_path / "items")]) == 0
     assert cli.main(["validate", "items", str(tmp_path / "items"), "--require-core-controls"]) == 2
     (tmp_path / "pool.jsonl").write_text("\n".join(json.dumps(record(i, **({"image": ""} if i == 3 else {}))) for i in range(12)))
@@ -88,6 +91,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert readers.jsonl(spark, str(tmp_path / "items3"), ITEM).count() == 11
     out = str(tmp_path / "splits")
     assert cli.main(["split", "--input", str(tmp_path / "pool.jsonl"), "--out-dir", out, "--forget-class", "cat", "--n-train-per-forget-class", "3", "--n-test-per-forget-class", "2", "--n-retain-train", "2", "--n-retain-test", "1"]) == 0
+    assert json.loads((tmp_path / "splits" / "forget_classes.json").read_text())["forget_classes"] == ["cat"]
+    stats = json.loads((tmp_path / "splits" / "split_stats.json").read_text())
+    assert stats["splits"]["test_forget"] == 2 and stats["splits"]["train_forget"] == 3
     got = {r["split"]: r["n"] for r in spark.read.json(f"{out}/splits").groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert got == {"train_forget": 3, "test_forget": 2, "train_retain": 2, "test_retain": 1}
     assert cli.main(["leakage", "--input", out]) == 0
