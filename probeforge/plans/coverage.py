@@ -15,7 +15,6 @@ from probeforge.operators import scoring as R
 from probeforge.plans import views as V
 from probeforge.plans.catalogue import _sql, register
 from probeforge.plans.views import view
-from probeforge.schema import Thresholds
 from probeforge.sources.writers import shared_folder
 from probeforge.streaming import metrics as M
 
@@ -286,5 +285,5 @@ def legacy_class_metrics(spark, d):
 @register(f"WITH g AS ({_sql['eligibility_gate']}) SELECT count(*) AS candidates, count(*) FILTER (eligible) AS eligible, CAST(count(*) FILTER (eligible) AS DOUBLE) / count(*) AS coverage FROM g")
 def eligibility_coverage(spark, d):
     """The counts of an eligibility manifest's head."""
-    head, _ = E.manifest_document(view(spark, d, V.EVID), dict.fromkeys(E.CONTEXT_KEYS, "x"), Thresholds(n_min=5), with_ci=False)
+    head, _ = E.manifest_document(view(spark, d, V.EVID), dict.fromkeys(E.CONTEXT_KEYS, "x"), with_ci=False)
     return spark.createDataFrame([(head["candidate_count"], head["eligible_count"], head["coverage"])], "candidates long, eligible long, coverage double")
