@@ -83,6 +83,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeforge.llm.importance import importance_ranks
+
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance_ranks(_docs(spark, sf_dir), benchmark, percent=10, min_words=20, max_n=1, buckets=10_000, seed=2024).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeforge.llm.prefix_trie import numbered_turns, prefix_trie, with_shared_openings
+
+    return prefix_trie(with_shared_openings(numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+#: The conversation that the contract adds: its texts hold the marks and the escape of the template.
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probeforge.llm.chat_format import as_records, format_records, read_back
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], turns.schema)
+    return read_back(format_records(as_records(turns.unionByName(planted))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,4 +122,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from probeforge.llm import sql
 
-    return {"op1_line_dedup": sql.LINE_DEDUP, "op5_quality_rules": sql.QUALITY_RULES}
+    return {
+        "op1_line_dedup": sql.LINE_DEDUP, "op5_quality_rules": sql.QUALITY_RULES, "op11_importance_resampling": sql.IMPORTANCE, "op12_conversation_trie": sql.TRIE, "op13_chat_formatting": sql.CHAT,
+    }
