@@ -15,8 +15,9 @@ from probeforge.operators import scoring as R
 from probeforge.plans import views as V
 from probeforge.plans.catalogue import _sql, register
 from probeforge.plans.views import view
-from probeforge.sources.writers import shared_folder
+from probeforge.sources.writers import shared_folder, staged
 from probeforge.streaming import metrics as M
+from probeforge.streaming.state import keyed_state_store, tracked_leakage
 
 _lit = lambda s: "'" + s.replace("'", "''") + "'"
 PART = "SELECT p_partkey, p_name, p_type, p_brand FROM part"
@@ -221,45 +222,79 @@ def attribute_choices(spark, d):
     return out.select("p_partkey", F.lower(F.element_at("choices", F.col("at") + 1)).alias("answer"))
 
 
-def _stream(spark, d, table: str, sql: str):
-    """A view's statement over a stream of the table's files."""
-    path = f"{d}/{table}.parquet"
-    files = spark.readStream.schema(spark.read.parquet(path).schema)
-    files = files.option("pathGlobFilter", f"{table}.parquet").parquet(d) if path_is_file(spark, path) else files.parquet(path)
-    files.createOrReplaceTempView(f"{table}_stream")
-    return spark.sql(sql.replace(f"FROM {table}", f"FROM {table}_stream"))
+def _arrivals(spark, rows, name: str, ts: str, steps: int, late):
+    """Runs a stream as its rows arrive: ``rows`` in ``steps`` equal spans of ``ts``, the last with the ``late`` rows; a folder to read after each."""
+    base = shared_folder(spark, name)
+    rows = staged(rows, "rows", base)
+    low, high = rows.agg(F.min(ts), F.max(ts)).first()
+    if low is None:
+        rows.write.parquet(f"{base}/in")
+        yield base
+        return
+    span = (F.unix_micros(ts) - F.unix_micros(F.lit(low))) * steps / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1)
+    for i in range(steps):
+        some = rows.where(F.floor(span) == i)
+        (some.unionByName(late) if i == steps - 1 else some).write.mode("append").parquet(f"{base}/in")
+        yield base
 
 
-def path_is_file(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
+def _read_arrivals(spark, rows, base: str, ts: str, delay: str):
+    return M.timed(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), ts, delay)
 
 
-@register(_sql["stream_daily_accounting"])
+_EVENT_ROWS = f"SELECT request_id, user_id, CAST(ts AS TIMESTAMP) AS ts, response_status FROM ({V.STATUS})"
+#: Rows of the first two days arrive again at the end, long past the watermark.
+_FIRST_DAYS = "ts < TIMESTAMP '2024-01-03 00:00:00'"
+_CLOSED = f"SELECT max(ts) - INTERVAL 6 HOUR FROM ({V.STATUS})"
+
+
+@register(f"SELECT * FROM ({_sql['stream_daily_accounting']}) WHERE start + INTERVAL 1 DAY <= ({_CLOSED})")
 def streamed_daily_accounting(spark, d):
-    """The daily accounting by a stream in complete mode."""
-    out = M.windowed_accounting(_stream(spark, d, "events", V.STATUS))
-    return M.run_to_folder(out, shared_folder(spark, "daily"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """The daily accounting by a stream in append mode: days that the watermark has passed; late rows are dropped."""
+    rows = view(spark, d, _EVENT_ROWS)
+    for base in _arrivals(spark, rows, "daily", "ts", 2, rows.where(_FIRST_DAYS)):
+        out = M.run_to_folder(M.windowed_accounting(_read_arrivals(spark, rows, base, "ts", "6 hours")), base)
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@register(_sql["session_activity"])
+@register(f"""WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM ({V.STATUS})),
+  s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e), w AS (SELECT user_id, nth, count(*) AS n, max(ts) + INTERVAL 6 HOUR AS over_ FROM s GROUP BY 1, 2)
+  SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS n FROM w WHERE over_ <= ({_CLOSED}) GROUP BY 1""")
 def streamed_sessions(spark, d):
-    rows = _stream(spark, d, "events", V.STATUS).withColumn("ts", F.col("ts").cast("timestamp"))
-    s = M.run_to_folder(M.sessions(rows, "user_id", gap="6 hours"), shared_folder(spark, "sessions"), "complete")
-    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+    """Sessions by a stream in append mode: those that the watermark has passed; late rows open none."""
+    rows = view(spark, d, _EVENT_ROWS)
+    for base in _arrivals(spark, rows, "sessions", "ts", 2, rows.where(_FIRST_DAYS)):
+        out = M.run_to_folder(M.sessions(_read_arrivals(spark, rows, base, "ts", "6 hours"), "user_id", gap="6 hours"), base)
+    return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
-@register(_sql["stream_dedup"])
+@register(f"SELECT user_id, count(DISTINCT request_id) AS requests FROM ({V.STATUS}) GROUP BY 1")
 def streamed_dedup(spark, d):
-    rows = M.timed(_stream(spark, d, "events", V.STATUS), late="10000 days")
-    twice = rows.unionByName(M.timed(_stream(spark, d, "events", V.STATUS), late="10000 days").where("request_id % 3 = 0"))
-    return M.run_to_folder(M.first_requests(twice), shared_folder(spark, "dedup")).agg(F.count("*").alias("requests"))
+    """Every third request comes twice, those of the first days once more at the end; keys are forgotten 6 hours after their request."""
+    rows = view(spark, d, _EVENT_ROWS)
+    for base in _arrivals(spark, rows.unionByName(rows.where("request_id % 3 = 0")), "dedup", "ts", 2, rows.where(_FIRST_DAYS)):
+        out = M.run_to_folder(M.first_requests(_read_arrivals(spark, rows, base, "ts", "6 hours")), base)
+    return out.groupBy("user_id").agg(F.count("*").alias("requests"))
+
+
+#: An attack each minute and order, those of one order 90 minutes apart; the watermark is an hour behind, a sample ends after a silent day.
+_ATTACK_TIME = "TIMESTAMP '1995-01-01 00:00:00' + l_orderkey * INTERVAL 1 MINUTE + l_linenumber * INTERVAL 90 MINUTE"
+_ATTACKS = V.ATTACK.replace("SELECT ", f"SELECT {_ATTACK_TIME} AS ts, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS attack_id, ", 1)
+_SILENCE_MS = 86_400_000 + 30_000
 
 
-@register(f"SELECT sample_id, CASE WHEN bool_or(response_status = 'correct') THEN 'leaked' WHEN bool_or(response_status = 'incorrect') THEN 'contained' ELSE 'unscorable' END AS outcome, CAST(sum(attack_unit_cost) AS BIGINT) AS cost, count(*) AS requests FROM ({V.ATTACK}) GROUP BY 1")
+@register(f"""WITH a AS (SELECT DISTINCT sample_id, attack_id, response_status, attack_unit_cost, ts FROM ({_ATTACKS})),
+  s AS (SELECT sample_id, CASE WHEN bool_or(response_status = 'correct') THEN 'leaked' WHEN bool_or(response_status = 'incorrect') THEN 'contained' ELSE 'unscorable' END AS outcome, CAST(sum(attack_unit_cost) AS BIGINT) AS cost, count(*) AS requests, max(ts) AS latest FROM a GROUP BY 1)
+  SELECT sample_id, outcome, cost, requests, latest + INTERVAL 86430 SECOND < (SELECT max(ts) - INTERVAL 1 HOUR FROM a) AS final FROM s""")
 def streamed_leakage(spark, d):
-    """Each sample's outcome by a stream that keeps one state a sample."""
-    return M.run_to_folder(M.sample_leakage(_stream(spark, d, "lineitem", V.ATTACK)), shared_folder(spark, "leakage"), "complete")
+    """Outcomes by a stream with a state for each sample, over three runs of one checkpoint; repeated and late attacks change nothing."""
+    rows = view(spark, d, _ATTACKS)
+    again = rows.unionByName(rows.where("sample_id % 3 = 0"))
+    late = rows.where("sample_id % 7 = 0 and ts < TIMESTAMP '1995-01-01 12:00:00'").withColumns({"response_status": F.lit("correct"), "attack_id": F.lit("late")})
+    with keyed_state_store(spark):
+        for base in _arrivals(spark, again, "leakage", "ts", 3, late):
+            out = M.run_updates(tracked_leakage(_read_arrivals(spark, rows, base, "ts", "1 hour"), _SILENCE_MS), base, "sample_id")
+    return out
 
 
 _LM = f"""l AS ({V.LEGACY}), c AS (SELECT split, condition, meta_synset, count(*) AS n, count(*) FILTER (gt_index = pred_index) AS k, count(*) FILTER (pred_index IS NULL) AS i FROM l GROUP BY ALL),

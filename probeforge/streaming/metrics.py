@@ -1,5 +1,8 @@
 """Structured Streaming forms (extensions): windowed accounting, sessions and deduplication with watermarks.
 
+In append mode a window or session goes out once the watermark has passed its end, and its state goes then; rows older than the
+watermark are dropped. ``state`` holds the form with state and timers of its own.
+
 Each function takes a streaming or a batch DataFrame and gives the same rows for both once a watermark has passed.
 """
 
@@ -43,6 +46,22 @@ def sample_leakage(df: DataFrame, **columns: str) -> DataFrame:
     return sample_outcomes(df, **columns)
 
 
+def run_updates(df: DataFrame, folder: str, key: str) -> DataFrame:
+    """All that is available of an update-mode stream; the latest row of each ``key`` over this and all earlier runs with ``folder``.
+
+    Each batch is its own part, written again if it is run again, so a restart neither loses nor doubles a change.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    q = df.writeStream.foreachBatch(sink).outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start()
+    q.awaitTermination()
+    changes = df.sparkSession.read.schema(f"{', '.join(f'`{n}` {k}' for n, k in df.dtypes)}, batch int").parquet(f"{folder}/out")
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct("batch", *(["final"] if "final" in df.columns else []))).alias("r"))
+    return last.select("r.*")
+
+
 def run_to_folder(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """All that is available, through ``foreachBatch`` into Parquet below ``folder``; a batch written again replaces itself."""
 
