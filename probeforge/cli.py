@@ -47,13 +47,20 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
+def _named_lines(rows: DataFrame, key: str) -> list[str]:
+    """``path:line: id: errors`` of rows with file, line and errors, the first in order."""
+    some = rows.orderBy("file", "line").limit(readers.NAMED_LINES).collect()
+    return [f"{r['file']}:{r['line']}: {r[key]}: {'; '.join(r['errors'])}" for r in some]
+
+
 def _migrate(spark: SparkSession, a: argparse.Namespace) -> int:
     context = migration.Context(a.dataset_id, a.source_version, a.split, a.license_id, a.redistribution, a.provenance_note)
     moved = migration.migrate(readers.jsonl(spark, a.input, LEGACY), context)
     report = migration.migration_report(moved).first().asDict()
     print(json.dumps(report))
     if report["rejected_count"] and not a.allow_rejects:
-        require_none(migration.rejections(moved), "migration")
+        rejected = migration.migrate(readers.jsonl(spark, a.input, LEGACY, numbered=True), context)
+        raise ConstraintError("migration", _named_lines(rejected.where("error is not null").withColumn("errors", F.array("error")), "legacy_id"))
     items = migration.migrated_items(moved)
     require_none(quality.dataset_violations(items, balance=not a.skip_answer_balance_check), "items")
     writers.write_jsonl(items, a.output)
@@ -75,7 +82,9 @@ def _document(path: str) -> dict:
 def _validate(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.kind == "items":
         items = readers.jsonl(spark, a.paths, ITEM)
-        require_none(items.select("item_id", quality.item_errors().alias("errors")).where(F.size("errors") > 0), "items")
+        if items.where(F.size(quality.item_errors()) > 0).limit(1).count():
+            rows = readers.jsonl(spark, a.paths, ITEM, numbered=True).withColumn("errors", quality.item_errors())
+            raise ConstraintError("items", _named_lines(rows.where(F.size("errors") > 0), "item_id"))
         require_none(quality.dataset_violations(items, balance=not a.skip_answer_balance_check, core_controls=a.require_core_controls), "items")
         return 0
     check = quality.registry_errors if a.kind == "registry" else manifests.manifest_errors

@@ -26,7 +26,8 @@ def _line(df, pos: str, *parts):
 def attribute_files(spark, d):
     root = W.shared_folder(spark, "attributes")
     c, n = view(spark, d, CUSTOMER), view(spark, d, NATION)
-    _text(_line(c, "c_custkey", F.col("c_custkey").cast("string"), ", L_", F.col("c_nationkey").cast("string"), ", box, img/", F.col("c_custkey").cast("string"), ".jpg"), f"{root}/images.txt")
+    images = _line(c, "c_custkey", F.col("c_custkey").cast("string"), ", L_", F.col("c_nationkey").cast("string"), ", box, img/", F.col("c_custkey").cast("string"), ".jpg")
+    images.select("value").write.text(f"{root}/images.txt")  # its order does not count
     _text(_line(n, "n_nationkey", "L_", F.col("n_nationkey").cast("string"), ", ", F.col("n_name")), f"{root}/label_list.txt")
     _text(_line(n, "n_nationkey", "L_", F.col("n_nationkey").cast("string"), ", [ ", (F.col("n_nationkey") / 4).cast("string"), "  0.5 ]"), f"{root}/attributes_per_class.txt")
     images, labels, vectors = D.attribute_samples(spark, root)
@@ -64,19 +65,38 @@ def category_map(spark, d):
 
 @register("SELECT concat(n_name, '.jpg') AS file_name, r_name AS category, CAST(c_custkey AS BIGINT) AS ann, CAST(c_custkey * 2 AS DOUBLE) AS area, c_custkey % 2 = 1 AS iscrowd FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def instances_document(spark, d):
-    """Annotations joined with their images and categories."""
+    """Annotations joined with their images and categories, from one JSON document that many tasks read."""
     root = W.shared_folder(spark, "instances")
     c = view(spark, d, "SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
-    one = F.struct(F.col("c_nationkey").alias("image_id"), F.col("n_regionkey").alias("category_id"), (F.col("c_custkey") * 2).cast("double").alias("area"), (F.col("c_custkey") % 2).cast("int").alias("iscrowd"), F.array(F.col("c_custkey").cast("double")).alias("bbox"))
-    spark.read.parquet(f"{d}/region.parquet").createOrReplaceTempView("region")
+    ann = F.struct(F.col("c_nationkey").alias("image_id"), F.col("n_regionkey").alias("category_id"), (F.col("c_custkey") * 2).cast("double").alias("area"), (F.col("c_custkey") % 2).cast("int").alias("iscrowd"), F.array(F.col("c_custkey").cast("double")).alias("bbox"), F.lit('a } "quoted" ] text\\').alias("note"))
     image = F.struct(F.col("n_nationkey").alias("id"), F.concat("n_name", F.lit(".jpg")).alias("file_name"))
-    parts = [c.agg(F.collect_list(one).alias("annotations")), view(spark, d, NATION).agg(F.collect_list(image).alias("images")), spark.table("region").agg(F.collect_list(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))).alias("categories"))]
-    doc = parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # one row each: the format is one document
-    doc.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{root}/instances.json")
-    ann, img, cat = D.instances(spark, f"{root}/instances.json")
+    category = F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    tables = (("annotations", c, ann, "c_custkey"), ("images", view(spark, d, NATION), image, "n_nationkey"), ("categories", spark.read.parquet(f"{d}/region.parquet"), category, "r_regionkey"))
+    lines = None
+    for i, (name, rows, element, key) in enumerate(tables):
+        head = spark.createDataFrame([(i, -1, ("{" if i == 0 else "],") + f'"{name}": [null')], "part int, pos long, value string")
+        one = head.unionByName(rows.select(F.lit(i).alias("part"), F.col(key).cast("long").alias("pos"), F.concat(F.lit(","), F.to_json(element)).alias("value")))
+        lines = one if lines is None else lines.unionByName(one)
+    lines = lines.unionByName(spark.createDataFrame([(9, 0, "]}")], lines.schema))
+    lines.orderBy("part", "pos").coalesce(1).select("value").write.text(f"{root}/instances")  # one file is the format
+    file = spark.read.text(f"{root}/instances").inputFiles()[0]
+    ann, img, cat = D.instances(spark, file)
     return ann.join(img, "image_id").join(cat, "category_id").select("file_name", F.col("name").alias("category"), F.col("bbox")[0].cast("bigint").alias("ann"), "area", "iscrowd")
 
 
+@register("SELECT p, line, value FROM (SELECT p_partkey, p_partkey % 4 AS p, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS line, concat('{\"p_partkey\": ', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ', ' END) AS value FROM part) WHERE p_partkey % 7 = 3")
+def malformed_lines(spark, d):
+    """The malformed lines of four files with the number of each; blank lines count and are skipped."""
+    path = W.shared_folder(spark, "malformed")
+    k = F.col("p_partkey")
+    broken = F.concat(F.lit('{"p_partkey": '), k.cast("string"), F.when(k % 2 == 0, "").otherwise(", "))
+    value = F.when(k % 7 == 3, broken).when(k % 7 == 5, "  ").otherwise(F.to_json(F.struct(k, "p_name")))
+    p = spark.read.parquet(f"{d}/part.parquet")
+    p.select((k % 4).alias("p"), k.alias("pos"), value.alias("value")).repartition("p").sortWithinPartitions("p", "pos").select("p", "value").write.partitionBy("p").text(path)
+    rejects = D.jsonl_rejects(spark, f"{path}/*", p.select("p_partkey", "p_name").schema)
+    return rejects.select(F.regexp_extract("file", r"/p=(\d+)/", 1).cast("bigint").alias("p"), "line", "value")
+
+
 @register("SELECT p_partkey, p_name, p_type FROM part")
 def json_lines(spark, d):
     """Written as JSON lines and read again by an explicit schema, strictly."""

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from probeforge.functions.text import attribute_label, first_synonym, norm_text
 from probeforge.schema import ConstraintError
+from probeforge.sources.json_elements import document_ranges, read_elements
+from probeforge.sources.writers import staged
 
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp")
 #: Order and first global index of attribute domains.
@@ -81,19 +83,39 @@ def listed_images(spark: SparkSession, root: str, dim: DataFrame, splits: tuple[
 
 
 def instances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(annotations, images, categories) of an instances JSON document."""
-    kind = """annotations array<struct<image_id: bigint, category_id: bigint, area: double, iscrowd: int, bbox: array<double>>>,
-        images array<struct<id: bigint, file_name: string, width: int, height: int>>, categories array<struct<id: bigint, name: string, supercategory: string>>"""
-    doc = spark.read.schema(kind).json(path, multiLine=True)
-    ann = doc.select(F.posexplode("annotations").alias("ann_pos", "a")).select("ann_pos", "a.image_id", "a.category_id", "a.area", (F.col("a.iscrowd") == 1).alias("iscrowd"), "a.bbox")
-    img = doc.select(F.inline("images")).withColumnRenamed("id", "image_id")
-    cat = doc.select(F.inline("categories")).withColumnRenamed("id", "category_id")
-    return ann, img, cat
+    """(annotations, images, categories) of an instances JSON document, one file read by many tasks.
+
+    ann_pos orders annotations as the document does (it is the offset of each one's first byte).
+    """
+    ranges = document_ranges(spark, path)
+    ann = read_elements(spark, path, "annotations", "image_id bigint, category_id bigint, area double, iscrowd int, bbox array<double>", ranges)
+    img = read_elements(spark, path, "images", "id bigint, file_name string, width int, height int", ranges)
+    cat = read_elements(spark, path, "categories", "id bigint, name string, supercategory string", ranges)
+    ann = ann.select(F.col("offset").alias("ann_pos"), "image_id", "category_id", "area", (F.col("iscrowd") == 1).alias("iscrowd"), "bbox")
+    return ann, img.drop("offset").withColumnRenamed("id", "image_id"), cat.drop("offset").withColumnRenamed("id", "category_id")
+
+
+#: Blocks of files whose line counts are broadcast; beyond, lines meet them by a shuffle of one key a block.
+BROADCAST_BLOCKS = 100_000
+
+
+def numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, line from 1, value) of text files, without a task that sees a whole file.
+
+    Each task counts the lines of its blocks of files; prefix sums of these counts, a number a block, give each block's first line.
+    A gzip file is one block. Lines end with LF, CRLF or CR; blank ones count.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = staged(rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")), "line-blocks")
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    placed = rows.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks, ["file", "block"])
+    return placed.select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) of a file whose line order counts."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
+def _plain_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a file whose order does not count."""
+    return spark.read.text(path).select(F.col("value").alias("line")).where(F.trim("line") != "")
 
 
 def attribute_vocabulary(spark: SparkSession, root: str) -> DataFrame:
@@ -101,7 +123,8 @@ def attribute_vocabulary(spark: SparkSession, root: str) -> DataFrame:
 
     The domain is the id's single letter (``Attr_F_007``); lines without ``group: value`` count, but give no row.
     """
-    rows = _lines(spark, f"{root}/attribute_list.txt").select("pos", F.trim(F.split_part("line", F.lit(","), F.lit(1))).alias("id"), F.trim(F.split_part("line", F.lit(","), F.lit(2))).alias("text"))
+    lines = numbered_lines(spark, f"{root}/attribute_list.txt").where(F.trim("value") != "")
+    rows = lines.select(F.col("line").alias("pos"), F.trim(F.split_part("value", F.lit(","), F.lit(1))).alias("id"), F.trim(F.split_part("value", F.lit(","), F.lit(2))).alias("text"))
     rows = rows.withColumn("domain", F.upper(F.regexp_extract("id", "(?:^|_)([A-Za-z])(?:_|$)", 1)))
     offset = F.element_at(F.create_map(*(F.lit(x) for kv in ATTRIBUTE_OFFSETS.items() for x in kv)), F.col("domain"))
     nth = F.row_number().over(Window.partitionBy("domain").orderBy("pos")) - 1
@@ -113,10 +136,10 @@ def attribute_vocabulary(spark: SparkSession, root: str) -> DataFrame:
 def attribute_samples(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images: image_relpath, label_id; labels: label_id, class_name; vectors: label_id, scores) of the attribute dataset's files."""
     parts = F.transform(F.split("line", ","), lambda x: F.trim(x))
-    images = _lines(spark, f"{root}/images.txt").where(F.size(parts) >= 4).select(F.element_at(parts, 2).alias("label_id"), F.element_at(parts, -1).alias("image_relpath"))
-    labels = _lines(spark, f"{root}/label_list.txt").where(F.size(parts) >= 2).select(F.element_at(parts, 1).alias("label_id"), F.element_at(parts, 2).alias("class_name"))
+    images = _plain_lines(spark, f"{root}/images.txt").where(F.size(parts) >= 4).select(F.element_at(parts, 2).alias("label_id"), F.element_at(parts, -1).alias("image_relpath"))
+    labels = _plain_lines(spark, f"{root}/label_list.txt").where(F.size(parts) >= 2).select(F.element_at(parts, 1).alias("label_id"), F.element_at(parts, 2).alias("class_name"))
     numbers = F.transform(F.filter(F.split(F.trim(F.regexp_extract("line", r"\[(.*)\]", 1)), "[,\\s]+"), lambda x: x != ""), lambda x: x.cast("double"))
-    vectors = _lines(spark, f"{root}/attributes_per_class.txt").select(F.trim(F.split_part("line", F.lit(","), F.lit(1))).alias("label_id"), numbers.alias("scores"))
+    vectors = _plain_lines(spark, f"{root}/attributes_per_class.txt").select(F.trim(F.split_part("line", F.lit(","), F.lit(1))).alias("label_id"), numbers.alias("scores"))
     return images, labels, vectors
 
 
@@ -127,14 +150,33 @@ def spatial_samples(rows: DataFrame) -> DataFrame:
     return out.withColumns({"wnid": F.concat(F.lit("spatialq_"), F.substring(F.sha1(F.col("question").cast("binary")), 1, 10)), "split": F.when(F.col("split") == "validation", "val").otherwise(F.col("split"))})
 
 
-def jsonl(spark: SparkSession, path, schema: T.StructType, strict: bool = True) -> DataFrame:
-    """Rows of JSON lines by an explicit schema; blank lines are skipped. Strict: a malformed line raises with its file and text."""
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
-    parsed = lines.withColumn("r", F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}))
-    bad = parsed.where(F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()).select("file", "value").limit(5).collect() if strict else []
-    if bad:
-        raise ConstraintError("jsonl", [f"{r['file']}: {r['value'][:80]}" for r in bad])
-    return parsed.select("r.*").drop("_corrupt_record")
+#: Malformed lines that an error names.
+NAMED_LINES = 20
+
+
+def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """``lines`` with record and bad: a line is no JSON object of the schema. Blank lines are left out."""
+    kind = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    rows = lines.where(F.trim("value") != "").withColumn("record", F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}))
+    return rows.withColumn("bad", F.col("record").isNull() | F.col("record._corrupt_record").isNotNull())
+
+
+def jsonl(spark: SparkSession, path, schema: T.StructType, strict: bool = True, numbered: bool = False) -> DataFrame:
+    """Rows of JSON lines by an explicit schema; blank lines are skipped, with ``numbered`` the columns file and line come, too.
+
+    Strict: malformed lines raise, each with ``path:line`` and its text (NAMED_LINES of them, in order; only then lines are numbered).
+    """
+    lines = numbered_lines(spark, path) if numbered else spark.read.text(path)
+    parsed = _parsed(lines, schema)
+    if strict and parsed.where("bad").limit(1).count():
+        bad = jsonl_rejects(spark, path, schema).orderBy("file", "line").limit(NAMED_LINES).collect()
+        raise ConstraintError("jsonl", [f"{r['file']}:{r['line']}: {r['value'][:80]}" for r in bad])
+    return parsed.select("record.*", *(["file", "line"] if numbered else [])).drop("_corrupt_record")
+
+
+def jsonl_rejects(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """(file, line, value) of the lines that are no JSON object of the schema."""
+    return _parsed(numbered_lines(spark, path), schema).where("bad").select("file", "line", "value")
 
 
 def forget_classes(path: str) -> list[str]:
