@@ -233,6 +233,11 @@ def closed_think(x: str | Column) -> Column:
     return F.when(open_think(x), F.concat(_c(x), F.lit("</think>"))).otherwise(_c(x))
 
 
+def answer_prompt(x: str | Column) -> Column:
+    """A prompt whose next token is the answer: an open think block that its template forces is closed."""
+    return F.when(open_think(x), F.concat(_c(x), F.lit("</think>\n\n"))).otherwise(_c(x))
+
+
 def utc_now() -> Column:
     """The query's time as ISO 8601 in UTC."""
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -19,7 +19,8 @@ from probeforge.operators.accounting import accounting_sets, failure_counts
 from probeforge.operators.quality import item_errors, response_violations
 from probeforge.operators.scoring import score_logits, score_responses
 from probeforge.schema import VERSION, CapabilityMismatch, require_none
-from probeforge.sources.writers import staged, write_document, write_jsonl
+from probeforge.sources.hashed_lines import content_of, read_hashed_lines, write_hashed_lines
+from probeforge.sources.writers import staged, write_document
 
 RESPONSE = "request_id string, raw_output string, error_status string, error_detail string, latency_ms double"
 
@@ -28,7 +29,8 @@ RESPONSE = "request_id string, raw_output string, error_status string, error_det
 class Adapter:
     """A model: what it can do, and a loader called once a worker that returns a batch function (requests -> raw outputs).
 
-    ``score_options`` loads the logit path likewise: requests -> a list of one number for each option.
+    ``score_options`` loads the logit path likewise: requests -> a list of one number for each option. ``think`` loads the path that
+    goes on with a thought: requests (prompt_text ends with the thought so far) -> what is added within the adapter's budget.
     """
 
     name: str
@@ -36,6 +38,11 @@ class Adapter:
     load: Callable[[], Callable[[pd.DataFrame], list]]
     score_options: Callable[[], Callable[[pd.DataFrame], list]] | None = None
     revision: str = ""
+    think: Callable[[], Callable[[pd.DataFrame], list]] | None = None
+
+
+class WorkerFailure(Exception):
+    """Raised by an adapter that cannot go on at all (its device is lost): no request's own fault, so none is tried again."""
 
 
 def oracle_adapter() -> Adapter:
@@ -90,32 +97,41 @@ def requests(items: DataFrame, run_id: str, method: Method = NO_OP) -> DataFrame
     return items.withColumns({"request_id": F.concat(F.lit(run_id + "/"), "item_id"), "prompt_text": render_prompt("question_format", "question", "choices", told)})
 
 
+def answer_batches(model: Callable[[pd.DataFrame], list], rows: pd.DataFrame, batch_size: int) -> pd.DataFrame:
+    """RESPONSE for each of ``rows``, asked batch by batch. A batch that fails is tried again one by one; what fails then is a model_error with its detail."""
+
+    def safe(pdf: pd.DataFrame) -> list[tuple]:
+        try:
+            out = model(pdf)
+            if len(out) == len(pdf):
+                return [(o, None, None) if o else (None, "model_error", "empty output") for o in out]
+            failed = f"{len(out)} outputs for {len(pdf)} requests"
+        except WorkerFailure:
+            raise
+        except Exception as e:  # noqa: BLE001  any fault of a model is recorded
+            failed = f"{type(e).__name__}: {e}"
+        if len(pdf) > 1:
+            return [x for i in range(len(pdf)) for x in safe(pdf.iloc[i : i + 1])]
+        return [(None, "model_error", failed)]
+
+    out = []
+    for at in range(0, len(rows), batch_size):
+        some = rows.iloc[at : at + batch_size]
+        began = time.perf_counter()
+        found = safe(some)
+        each = 1000 * (time.perf_counter() - began) / len(some)
+        out += [(r, *x, each) for r, x in zip(some["request_id"], found)]
+    return pd.DataFrame(out, columns=["request_id", "raw_output", "error_status", "error_detail", "latency_ms"]).astype({"latency_ms": "float64"})
+
+
 def infer(reqs: DataFrame, adapter: Adapter, batch_size: int = 64) -> DataFrame:
-    """RESPONSE for each request. A batch that fails is tried again one by one; what fails then is a model_error with its detail."""
+    """RESPONSE for each request, in batches; the fault of one request is its own."""
     load = adapter.load
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
-
-        def safe(pdf: pd.DataFrame) -> list[tuple]:
-            try:
-                out = model(pdf)
-                if len(out) == len(pdf):
-                    return [(o, None, None) if o else (None, "model_error", "empty output") for o in out]
-                failed = f"{len(out)} outputs for {len(pdf)} requests"
-            except Exception as e:  # noqa: BLE001  any fault of a model is recorded
-                failed = f"{type(e).__name__}: {e}"
-            if len(pdf) > 1:
-                return [x for i in range(len(pdf)) for x in safe(pdf.iloc[i : i + 1])]
-            return [(None, "model_error", failed)]
-
         for pdf in batches:
-            for at in range(0, len(pdf), batch_size):
-                some = pdf.iloc[at : at + batch_size]
-                began = time.perf_counter()
-                rows = safe(some)
-                each = 1000 * (time.perf_counter() - began) / len(some)
-                yield pd.DataFrame([(r, *x, each) for r, x in zip(some["request_id"], rows)], columns=["request_id", "raw_output", "error_status", "error_detail", "latency_ms"]).astype({"latency_ms": "float64"})
+            yield answer_batches(model, pdf, batch_size)
 
     return reqs.mapInPandas(run, RESPONSE)
 
@@ -201,18 +217,12 @@ def base_manifest(items: DataFrame, adapter: Adapter, method: Method, run_id: st
     }
 
 
-def _content_hash(df: DataFrame) -> str:
-    """An order-free digest of a table's rows."""
-    h = F.xxhash64(*(F.to_json(F.struct(c)) for c in sorted(df.columns))).cast("decimal(38,0)")
-    return df.agg(F.sha2(F.concat_ws("|", F.count("*"), F.coalesce(F.sum(h), F.lit(0)).cast("string")), 256)).first()[0]
-
-
 def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id: str = "run", out_dir: str | None = None, **about) -> Run:
     """Validate, gate, render, infer, score and account; with ``out_dir`` the run's artifacts are written there.
 
     Responses are written before they are read again (in ``out_dir``, else the shared checkpoint folder), so the model runs once,
     and are checked against the requests. An unsupported combination yields only a manifest. Artifacts: run_manifest.json
-    (before the run with status running, and after), responses, results and failures, metrics; the manifest has a digest of each.
+    (before the run with status running, and after), responses, results, failures and metrics as JSON lines; the manifest has the rows and SHA-256 of each and of its parts.
     ``about``: see base_manifest.
     """
     spark = items.sparkSession
@@ -233,16 +243,23 @@ def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id:
     publish()
     try:
         asked = requests(items, run_id, method)
-        answers = staged(infer(asked, adapter), "responses", out_dir)
+
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            """``df`` written once; with ``out_dir`` as JSON lines whose digest was made by the tasks that wrote them."""
+            if not out_dir:
+                df = staged(df, name)
+                doc["artifacts"][name] = content_of(df)
+                return df
+            doc["artifacts"][name] = write_hashed_lines(df, f"{out_dir}/{name}")
+            return read_hashed_lines(df, f"{out_dir}/{name}")
+
+        answers = kept(infer(asked, adapter), "responses")
         require_none(response_violations(asked, answers), "adapter contract")
-        records = staged(score_responses(asked.join(answers, "request_id")), "results", out_dir)
+        records = kept(score_responses(asked.join(answers, "request_id")), "results")
         failures = records.where(~F.col("response_status").isin("correct", "incorrect"))
         metrics = accounting_sets(records, [[], ["split", "question_format", "input_condition"], ["concept_id", "input_condition"]])
-        if out_dir:
-            write_jsonl(failures, f"{out_dir}/failures")
-            metrics.write.mode("overwrite").json(f"{out_dir}/metrics")
-            metrics = spark.read.schema(metrics.schema).json(f"{out_dir}/metrics")
-        doc["artifacts"] = {"responses": _content_hash(answers), "results": _content_hash(records), "failures": _content_hash(failures), "metrics": _content_hash(metrics)}
+        failures, metrics = kept(failures, "failures"), kept(metrics.orderBy("level", "split", "question_format", "input_condition", "concept_id"), "metrics")
         doc["failure_counts"] = {x[0]: x[1] for x in failure_counts(records).collect()}  # a row a status
         latency = answers.agg(F.avg("latency_ms")).first()[0]
         doc["cost"] |= {"wall_seconds": time.perf_counter() - began, "inference_latency_ms": latency}
@@ -263,6 +280,6 @@ def evaluate_conditions(items: DataFrame, adapter: Adapter, conditions: list[str
     is_forget = F.col("split").endswith("_forget")
     rows = items.withColumn("condition", F.explode(F.array(*map(F.lit, conditions)))).where(~per_item | is_forget)
     rows = rows.withColumns({"request_id": F.concat_ws("/", "condition", "item_id"), "prompt_text": legacy_prompt("question", "choices", "condition", is_forget, "concept_name", concepts)})
-    out = rows.join(infer(rows, adapter), "request_id").withColumn("pred_index", legacy_digit("raw_output"))
+    out = rows.join(staged(infer(rows, adapter), "legacy-responses"), "request_id").withColumn("pred_index", legacy_digit("raw_output"))
     again = out.where((F.col("condition") == "BASELINE_NORMAL") & ~is_forget).drop("condition").withColumn("condition", F.explode(F.array(*(F.lit(c) for c in conditions if c.startswith("ORACLE_"))).cast("array<string>")))
     return out.unionByName(again.select(out.columns))

@@ -40,13 +40,13 @@ def register(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from probeforge.plans import coverage, files  # noqa: F401  register their own
+    from probeforge.plans import coverage, files, runs  # noqa: F401  register their own
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from probeforge.plans import coverage, files  # noqa: F401
+    from probeforge.plans import coverage, files, runs  # noqa: F401
 
     return dict(_sql)
 

@@ -34,12 +34,12 @@ _KIND = np.zeros(256, dtype=np.int8)
 _KIND[[*_OPEN]], _KIND[[*_CLOSE]], _KIND[_QUOTE] = 1, -1, 2
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
 def byte_size(path: str) -> int:
-    system, at = _filesystem(path)
+    system, at = filesystem(path)
     info = system.get_file_info(at)
     if info.type != fs.FileType.File:
         raise FileNotFoundError(path)
@@ -50,7 +50,7 @@ class ByteRanges:
     """Bytes of one file."""
 
     def __init__(self, path: str):
-        system, at = _filesystem(path)
+        system, at = filesystem(path)
         self.file = system.open_input_file(at)
         self.size = self.file.size()
 

@@ -202,7 +202,7 @@ def test_run_end_to_end(spark, tmp_path):
     assert written == run.manifest and manifest_errors(written) == [] and set(written["artifacts"]) == {"responses", "results", "failures", "metrics"}
     assert written["cost"]["inference_latency_ms"] >= 0 and run.records.where("latency_ms is null").count() == 0
     again = I.evaluate(all_items.repartition(5), I.oracle_adapter()).manifest
-    assert again["data"] == written["data"] and again["artifacts"]["metrics"] == written["artifacts"]["metrics"]
+    assert again["data"] == written["data"] and again["artifacts"]["metrics"]["content"] == written["artifacts"]["metrics"]["content"]
     logits = I.score_option_requests(I.requests(all_items, "run"), I.oracle_adapter()).collect()
     assert len(logits) == 36 and {(r["response_status"], r["scorer_id"]) for r in logits} == {("correct", "logit_argmax")}
     with pytest.raises(CapabilityMismatch):
