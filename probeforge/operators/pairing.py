@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +75,45 @@ def neighbourhood_damage(pairs: DataFrame, stratum: str) -> DataFrame:
     return forgetting_effect(pairs, [stratum]).select(stratum, "pairs", F.col("fe_access").alias("damage"))
 
 
+def _stirling_rest(x: Column) -> Column:
+    """ln(x!) less Stirling's (x + 1/2) ln x - x + ln(2 pi) / 2, for whole x > 0: its series from 16 on, below by the steps up to 16."""
+    up = F.greatest(x, F.lit(16.0))
+    series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - (F.lit(1 / 1680) - F.lit(1 / 1188) / (up * up)) / (up * up)) / (up * up)) / (up * up)) / up
+    below = F.when(x < 16, F.sequence(x.cast("int"), F.lit(15))).otherwise(F.array().cast("array<int>"))
+    return series + F.aggregate(below, F.lit(0.0), lambda s, t: s + (t + 0.5) * F.log1p(1 / t.cast("double")) - 1)
+
+
+def half_binomial(k: Column, n: Column) -> Column:
+    """The probability of k of n fair draws, to about 1e-13 of itself for n up to millions: no difference of large logarithms is taken."""
+    k, n = k.cast("double"), n.cast("double")
+    d = (n - 2 * k) / n
+    apart = n / 2 * ((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d))
+    inner = F.sqrt(n / (2 * math.pi * k * (n - k))) * F.exp(_stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - apart)
+    return F.when((k == 0) | (k == n), F.exp(-n * math.log(2))).otherwise(inner)
+
+
+def exact_p(b: Column, c: Column) -> Column:
+    """The two-sided exact p-value of McNemar's test: twice the tail of fair draws up to the rarer of b and c, 1 at most; null for b + c = 0.
+
+    The tail is summed from its largest term down by the ratio of neighbours; after 5 sqrt(n) + 50 terms what is left is below 1e-20 of it.
+    """
+    k, n = F.least(b, c).cast("double"), (b + c).cast("double")
+    far = F.least(k, F.ceil(5 * F.sqrt(n)) + 50).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(acc: Column, j: Column) -> Column:
+        term = acc["term"] * (k - j + 1) / (n - k + j)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    steps = F.when(far >= 1, F.sequence(F.lit(1), far)).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(steps, start, step, lambda acc: acc["sum"]) * half_binomial(k, n)
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
+
+
 def discordance(pairs: DataFrame, keys: list[str] = []) -> DataFrame:
-    """Discordant counts and McNemar's statistic with continuity correction (null without discordant pairs)."""
+    """Discordant counts, McNemar's statistic with continuity correction and the exact p-value (both null without discordant pairs)."""
     before, after = F.col("m0_status") == "correct", F.col("mu_status") == "correct"
-    b, c = F.count_if(before & ~after), F.count_if(~before & after)
+    counts = pairs.groupBy(*keys).agg(F.count_if(before & ~after).alias("only_before"), F.count_if(~before & after).alias("only_after"))
+    b, c = F.col("only_before"), F.col("only_after")
     statistic = F.try_divide(F.pow(F.greatest(F.abs(b - c) - 1, F.lit(0)).cast("double"), 2.0), (b + c).cast("double"))
-    return pairs.groupBy(*keys).agg(b.alias("only_before"), c.alias("only_after"), statistic.alias("mcnemar"))
+    return counts.withColumns({"mcnemar": statistic, "p_value": exact_p(b, c)})

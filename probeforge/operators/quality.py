@@ -146,10 +146,53 @@ def unregistered(items: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     return items.join(registry.select(key), key, "left_anti")
 
 
-def lexical_leakage(items: DataFrame) -> DataFrame:
-    """Indirect probes whose question names the concept or an alias."""
+def count_shortfalls(items: DataFrame, registry: DataFrame, required: list[tuple[str, str, int]], key: str = "concept_id") -> DataFrame:
+    """(key, question_format, input_condition, wanted, found) of the cells that have too few items.
+
+    The grid is dense: each registered key with each required (format, condition, number), so that cells without any item count as 0.
+    """
+    cells = F.array(*(F.struct(F.lit(f).alias("question_format"), F.lit(c).alias("input_condition"), F.lit(n).cast("long").alias("wanted")) for f, c, n in required))
+    grid = registry.select(key).distinct().select(key, F.inline(cells))
+    found = items.groupBy(key, "question_format", "input_condition").agg(F.count("*").alias("found"))
+    out = grid.join(found, [key, "question_format", "input_condition"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return out.where("found < wanted")
+
+
+def text_words(x: Column) -> Column:
+    """Lower-case words: runs of letters and digits."""
+    return F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def named_phrases(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """Rows of ``texts`` with each row of ``phrases`` whose words stand one after another in the text, once a pair.
+
+    An inverted join: runs of words of the lengths that phrases have, by equality with the phrases' words. The lengths (a number for
+    each different one) are all that comes to the driver. Phrases without a word match nothing.
+    """
+    names = phrases.withColumn("_words", text_words(F.col(phrase))).where(F.size("_words") > 0).withColumn("_phrase", F.array_join("_words", " "))
+    lengths = sorted(r[0] for r in names.select(F.size("_words")).distinct().collect())
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size("_said") - n + 1), lambda i: F.array_join(F.slice("_said", i, F.lit(n)), " "))
+        return F.when(F.size("_said") >= n, each).otherwise(none)
+
+    every = F.array_distinct(F.concat(none, *map(runs, lengths)))
+    said = texts.withColumn("_said", text_words(F.col(text))).withColumn("_phrase", F.explode(every)).drop("_said")
+    return said.join(names.drop("_words"), "_phrase").drop("_phrase")
+
+
+def concept_names(registry: DataFrame, concept: str = "concept_id") -> DataFrame:
+    """(named_id, name) of all names and aliases of a registry with concept, concept_name and concept_aliases."""
     names = F.concat(F.array("concept_name"), F.coalesce("concept_aliases", F.array().cast("array<string>")))
-    return items.where((F.col("probe_family") == "P2_INDIRECT") & F.exists(names, lambda a: F.contains(norm_text("question"), norm_text(a))))
+    return registry.select(F.col(concept).alias("named_id"), F.explode(names).alias("name")).distinct()
+
+
+def lexical_leakage(items: DataFrame, registry: DataFrame, item: str = "item_id", concept: str = "concept_id") -> DataFrame:
+    """(item, named_id, name, own) of indirect probes whose question names a registered concept, its own or another, by whole words."""
+    asked = items.where(F.col("probe_family") == "P2_INDIRECT").select(item, F.col(concept).alias("_own"), "question")
+    found = named_phrases(asked, "question", concept_names(registry, concept), "name")
+    return found.select(item, "named_id", "name", F.col("_own").eqNullSafe(F.col("named_id")).alias("own"))
 
 
 def single_label(annotations: DataFrame, images: DataFrame, most: int = 3, single: bool = True, least_area: float = 0.02) -> DataFrame:

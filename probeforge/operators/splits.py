@@ -6,20 +6,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeforge.operators.sampling import seeded
+from probeforge.schema import ConstraintError
 
 
 def eligible_classes(df: DataFrame, cls: str, least: int) -> DataFrame:
     return df.groupBy(cls).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(cls)
 
 
+def _enough(classes: DataFrame, k: int) -> None:
+    have = classes.count()
+    if have < k:
+        raise ConstraintError("classes", [f"{have} are eligible, {k} are asked for"])
+
+
 def random_k(classes: DataFrame, cls: str, k: int, seed: int) -> DataFrame:
+    """k classes by seeded order; too few raise."""
+    _enough(classes, k)
     return classes.orderBy(seeded(seed, cls), cls).limit(k)
 
 
+def balanced_allocation(classes: DataFrame, superclass: str, k: int, seed: int) -> DataFrame:
+    """(superclass, capacity, allocated): k classes dealt to superclasses as evenly as their numbers of classes allow; too few raise.
+
+    Water-filling: with capacities in order and their prefix sums, the level is the share of what smaller superclasses leave, at the first
+    superclass that has more than it; what the level leaves over goes to superclasses above it in seeded order. A row a superclass.
+    """
+    _enough(classes, k)
+    sizes = classes.groupBy(superclass).agg(F.count("*").alias("capacity"))
+    order = Window.orderBy("capacity", superclass)
+    smaller = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upward = F.count("*").over(Window.partitionBy()) - F.row_number().over(order) + 1
+    share = F.floor((F.lit(k) - smaller) / upward)
+    level = F.min(F.when(F.col("share") < F.col("capacity"), F.struct("nth", "share"))).over(Window.partitionBy())["share"]
+    filled = sizes.withColumns({"share": share, "nth": F.row_number().over(order)}).withColumn("level", F.coalesce(level, F.max("capacity").over(Window.partitionBy())))
+    filled = filled.withColumns({"base": F.least("capacity", "level"), "above": F.col("capacity") > F.col("level")})
+    left = F.lit(k) - F.sum("base").over(Window.partitionBy())
+    turn = F.row_number().over(Window.partitionBy("above").orderBy(seeded(seed, superclass), superclass))
+    out = filled.withColumns({"left": left, "turn": turn})
+    return out.select(superclass, "capacity", (F.col("base") + (F.col("above") & (F.col("turn") <= F.col("left"))).cast("long")).alias("allocated"))
+
+
 def balanced_k(classes: DataFrame, cls: str, superclass: str, k: int, seed: int) -> DataFrame:
-    """k classes, as evenly over superclasses as they allow: turns over superclasses in seeded order."""
+    """k classes, as evenly over superclasses as they allow: of each, in seeded order, as many as balanced_allocation says."""
     turn = F.row_number().over(Window.partitionBy(superclass).orderBy(seeded(seed, cls), cls))
-    return classes.withColumn("turn", turn).orderBy("turn", seeded(seed, superclass), superclass).limit(k).select(cls, superclass)
+    dealt = balanced_allocation(classes, superclass, k, seed).select(F.col(superclass).alias("dealt_super"), "allocated")
+    out = classes.withColumn("turn", turn).join(dealt, F.col(superclass).eqNullSafe(F.col("dealt_super")))
+    return out.where("turn <= allocated").select(cls, superclass)
 
 
 def split_forget(df: DataFrame, forget: DataFrame, cls: str, item: str, n_train: int, n_test: int, seed: int) -> DataFrame:

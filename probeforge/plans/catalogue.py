@@ -147,9 +147,10 @@ def neighbourhood_damage(spark, d):
 
 
 @register(f"""WITH c AS (SELECT concept_id, count(*) FILTER (m0_status = 'correct' AND mu_status <> 'correct') AS b, count(*) FILTER (m0_status <> 'correct' AND mu_status = 'correct') AS c FROM ({V.PAIR}) GROUP BY concept_id)
-  SELECT concept_id, b AS only_before, c AS only_after, pow(CAST(greatest(abs(b - c) - 1, 0) AS DOUBLE), 2) / nullif(CAST(b + c AS DOUBLE), 0) AS mcnemar FROM c""")
+  SELECT concept_id, b AS only_before, c AS only_after, pow(CAST(greatest(abs(b - c) - 1, 0) AS DOUBLE), 2) / nullif(CAST(b + c AS DOUBLE), 0) AS mcnemar,
+  CASE WHEN b + c > 0 THEN round(least(1, 2 * list_sum(list_transform(range(least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 9) END AS p_value FROM c""")
 def discordant_pairs(spark, d):
-    return P.discordance(view(spark, d, V.PAIR), ["concept_id"])
+    return P.discordance(view(spark, d, V.PAIR), ["concept_id"]).withColumn("p_value", F.round("p_value", 9))
 
 
 _GATE = f"""WITH e AS ({V.EVID}), c AS (SELECT concept_id, question_format, count(*) FILTER (input_condition = 'normal_image') AS n,
@@ -379,6 +380,16 @@ def superclass_balanced_k(spark, d):
     return L.balanced_k(view(spark, d, V.CLASSES), "wnid", "superclass", 12, 7).select("wnid", "superclass")
 
 
+_UNEVEN = f"SELECT wnid, superclass FROM ({V.CLASSES}) WHERE NOT (superclass = 'asia' AND wnid > 'NATION_15') AND NOT (superclass = 'africa' AND wnid > 'NATION_1')"
+
+
+@register(f"""WITH c AS ({_UNEVEN}), t AS (SELECT *, row_number() OVER (PARTITION BY superclass ORDER BY wnid) AS turn FROM c), k AS (SELECT superclass, turn FROM t ORDER BY turn, {_h("'7|'", "superclass")}, superclass LIMIT 13)
+  SELECT superclass, count(*) AS capacity, (SELECT count(*) FROM k WHERE k.superclass = c.superclass) AS allocated FROM c GROUP BY 1""")
+def balanced_allocation(spark, d):
+    """How many of 13 classes each of five uneven superclasses gives."""
+    return L.balanced_allocation(view(spark, d, _UNEVEN), "superclass", 13, 7)
+
+
 _SPL = f"SELECT item_seq, wnid, superclass, CASE item_seq % 4 WHEN 0 THEN 'train_forget' WHEN 1 THEN 'test_forget' WHEN 2 THEN 'train_retain' ELSE 'test_retain' END AS split FROM ({V.ITEM})"
 
 
@@ -541,13 +552,30 @@ def unregistered_references(spark, d):
     return Q.unregistered(view(spark, d, V.ITEM), view(spark, d, V.CLASSES).where("superclass <> 'asia'"), "wnid").select("item_seq", "wnid")
 
 
-_INDIRECT = f"""SELECT item_seq, class_name AS concept_name, superclass, CASE WHEN item_seq % 3 = 0 THEN 'P2_INDIRECT' ELSE 'P1_DIRECT' END AS probe_family,
-  CASE item_seq % 4 WHEN 0 THEN concat('Is this  from ', upper(class_name), '?') WHEN 1 THEN concat('A thing of ', superclass) ELSE 'Which one?' END AS question FROM ({V.ITEM})"""
+_INDIRECT = f"""SELECT item_seq, wnid AS concept_id, class_name AS concept_name, superclass, CASE WHEN item_seq % 3 = 0 THEN 'P2_INDIRECT' ELSE 'P1_DIRECT' END AS probe_family,
+  CASE item_seq % 8 WHEN 0 THEN concat('Is this  from ', upper(class_name), '?') WHEN 1 THEN concat('A thing of ', superclass) WHEN 2 THEN concat('Is it ', class_name, '5, or nation-', item_seq % 25, '?')
+    WHEN 3 THEN concat('Near the middle_', superclass, ' of x', class_name) WHEN 4 THEN 'In (Middle  East)?' ELSE 'Which one?' END AS question FROM ({V.ITEM})"""
 
 
-@register(f"SELECT item_seq FROM ({_INDIRECT}) WHERE probe_family = 'P2_INDIRECT' AND (contains(lower(question), concept_name) OR contains(lower(question), superclass))")
+@register(f"""WITH i AS ({_INDIRECT}), r AS (SELECT wnid AS named_id, class_name AS name FROM ({V.CLASSES}) UNION SELECT wnid, superclass FROM ({V.CLASSES})),
+  q AS (SELECT item_seq, concept_id, concat(' ', trim(regexp_replace(lower(question), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS q FROM i WHERE probe_family = 'P2_INDIRECT'), n AS (SELECT named_id, name, concat(' ', trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM r)
+  SELECT item_seq, named_id, name, named_id = concept_id AS own FROM q JOIN n ON contains(q.q, n.w)""")
 def lexical_leakage(spark, d):
-    return Q.lexical_leakage(view(spark, d, _INDIRECT).withColumn("concept_aliases", F.array("superclass"))).select("item_seq")
+    """Names of all concepts in indirect questions, by whole words."""
+    registry = view(spark, d, V.CLASSES).select(F.col("wnid").alias("concept_id"), F.col("class_name").alias("concept_name"), F.array("superclass").alias("concept_aliases"))
+    return Q.lexical_leakage(view(spark, d, _INDIRECT), registry, "item_seq")
+
+
+_WANTED = (("mcq", "normal_image", 130), ("mcq", "no_image", 100), ("short_answer", "shuffled_image", 127), ("matching", "normal_image", 1))
+
+
+@register(f"""WITH r AS (SELECT DISTINCT concat('c', user_id % 12) AS concept_id FROM events), w AS (SELECT * FROM (VALUES {', '.join(f"('{f}', '{c}', CAST({n} AS BIGINT))" for f, c, n in _WANTED)}) t(question_format, input_condition, wanted)),
+  n AS (SELECT concept_id, question_format, input_condition, count(*) AS found FROM ({V.EVID}) GROUP BY ALL)
+  SELECT concept_id, question_format, input_condition, wanted, coalesce(found, 0) AS found FROM r CROSS JOIN w LEFT JOIN n USING (concept_id, question_format, input_condition) WHERE coalesce(found, 0) < wanted""")
+def count_shortfalls(spark, d):
+    """Required cells with too few items; two registered concepts and one format have none."""
+    registry = view(spark, d, "SELECT DISTINCT concat('c', user_id % 12) AS concept_id FROM events")
+    return Q.count_shortfalls(view(spark, d, V.EVID), registry, list(_WANTED))
 
 
 @register(f"SELECT item_seq, CASE WHEN rn <= n - 10 THEN 'train_forget' ELSE 'test_forget' END AS split FROM (SELECT item_seq, row_number() OVER (ORDER BY {_h("'7|'", "item_seq")}, item_seq) AS rn, count(*) OVER () AS n FROM ({V.ITEM}) WHERE wnid = 'NATION_7')")
