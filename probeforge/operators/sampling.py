@@ -68,7 +68,7 @@ def round_robin(df: DataFrame, cls: str, order: list[str], n: int | None = None)
     return out.orderBy("turn", cls).limit(n) if n is not None else out
 
 
-#: Classes of a block of the ring of all classes.
+#: Classes of a block of a ring.
 RING_BLOCK = 64
 
 
@@ -77,41 +77,54 @@ def _ring_start(seed: int, tag: str, item: str, n: Column) -> Column:
     return F.pmod(hex_int(F.substring(seeded(f"{seed}{tag}", item), 1, 13)), F.greatest(n, F.lit(1)))
 
 
+def _ring_blocks(placed: DataFrame, keys: list[str], need: int) -> DataFrame:
+    """(keys, b, block) of rings ``placed`` (keys, c, g: position, m: size): RING_BLOCK classes in order and the ``need`` that follow them around the ring."""
+    copies = F.transform(F.sequence(F.lit(0), F.floor(F.lit(need) / F.col("m")).cast("int") + 1), lambda k: F.col("g") + k * F.col("m"))
+    spots = placed.select(*keys, "c", "m", F.explode(copies).alias("p"))
+    first, last = F.greatest(F.lit(0), F.floor((F.col("p") - need) / RING_BLOCK)).cast("int"), F.floor(F.col("p") / RING_BLOCK).cast("int")
+    spots = spots.select(*keys, "c", "m", "p", F.explode(F.sequence(first, last)).alias("b"))
+    held = spots.where((F.col("b") * RING_BLOCK < F.col("m")) & (F.col("p") < (F.col("b") + 1) * RING_BLOCK + need))
+    return held.groupBy(*keys, "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]).alias("block"))
+
+
+def _from_ring(block: str, start: str, most: Column) -> Column:
+    """The classes from a position on, ``most`` at most."""
+    none = F.array().cast("array<struct<h:string,wnid:string,norm:string,class_name:string>>")
+    return F.coalesce(F.slice(block, (F.pmod(start, F.lit(RING_BLOCK)) + 1).cast("int"), most.cast("int")), none)
+
+
 def with_distractors(items: DataFrame, classes: DataFrame, hard: int, easy: int, seed: int, item: str = "item_seq") -> DataFrame:
     """Adds ``distractors``, an array of (role, wnid, class_name): ``hard`` of the item's superclass first (then of any), ``easy`` of the rest.
 
     ``items`` has item, wnid, superclass; ``classes`` has wnid, class_name, superclass and is a dimension, reduced to one row for
     each normalised name. The classes of a superclass stand on a ring in seeded order, and so do all classes. An item takes its hard ones from
     its superclass's ring, from a seeded position on and past its own class, and its easy ones likewise from the ring of all, past
-    those it has. So an item looks at a number of classes that does not depend on how many there are; both joins are on keys.
+    those it has. Both rings are cut into blocks, and an item meets one block of each, by equality of keys: what a row holds
+    and looks at does not depend on how many classes there are, in all or of one superclass.
     """
     one = classes.withColumn("norm", norm_text("class_name")).groupBy("norm").agg(F.min(F.struct("wnid", "class_name", "superclass")).alias("c")).select("norm", "c.*")
     order = F.struct(seeded(f"{seed}c", "wnid").alias("h"), "wnid", "norm", "class_name")
-    ring = one.groupBy(F.col("superclass").alias("ring_super")).agg(F.array_sort(F.collect_list(order)).alias("ring"))
     norms = classes.groupBy(F.col("wnid").alias("own")).agg(F.min(norm_text("class_name")).alias("own_norm"))
-    # the ring of all in blocks, each with what follows it
-    total, need = one.count(), 2 * hard + easy + 1
-    placed = one.select(order.alias("c")).withColumn("g", F.row_number().over(Window.orderBy("c")) - 1)  # a row a class
-    copies = F.array(*(F.struct(F.floor((F.col("g") + k * total) / RING_BLOCK).cast("int").alias("b"), (F.col("g") + k * total).alias("p")) for k in range(2 + need // max(total, 1))))
-    spots = placed.select("c", F.explode(copies).alias("at")).select("c", F.col("at.p").alias("p"), F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("at.p") - need) / RING_BLOCK).cast("int")), F.col("at.b"))).alias("b"))
-    blocks = spots.where(F.col("b") * RING_BLOCK < total).where(F.col("p") < (F.col("b") + 1) * RING_BLOCK + need)
-    blocks = blocks.groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]).alias("block"))
-
-    rows = items.withColumns({"own": F.col("wnid"), "own_super": F.col("superclass")}).join(norms, "own", "left")
-    rows = rows.join(ring, F.col("own_super").eqNullSafe(F.col("ring_super")), "left").withColumn("start_all", _ring_start(seed, "e", item, F.lit(total)))
-    rows = rows.withColumn("b", F.floor(F.col("start_all") / RING_BLOCK).cast("int")).join(blocks, "b", "left")
+    total, need, need_hard = one.count(), 2 * hard + easy + 1, hard + 2
+    named = one.select(order.alias("c"), F.coalesce("superclass", F.lit("")).alias("ring_super"), F.col("superclass").isNull().alias("ring_none"))
+    ring = ["ring_super", "ring_none"]
+    sizes = named.groupBy(*ring).agg(F.count("*").alias("m"))
+    near_at = named.withColumn("g", F.row_number().over(Window.partitionBy(*ring).orderBy("c")) - 1).join(sizes, ring)
+    near_blocks = _ring_blocks(near_at, ring, need_hard).withColumnsRenamed({"block": "near_block", "b": "near_b"})
+    all_blocks = _ring_blocks(named.withColumn("g", F.row_number().over(Window.orderBy("c")) - 1).withColumn("m", F.lit(total)), [], need)  # a row a class
+
+    rows = items.withColumns({"own": F.col("wnid"), "ring_super": F.coalesce("superclass", F.lit("")), "ring_none": F.col("superclass").isNull()}).join(norms, "own", "left")
+    rows = rows.join(sizes, ring, "left").withColumns({"m": F.coalesce("m", F.lit(0)), "start_all": _ring_start(seed, "e", item, F.lit(total))})
+    rows = rows.withColumns({"start_near": _ring_start(seed, "h", item, F.col("m")), "b": F.floor(F.col("start_all") / RING_BLOCK).cast("int")})
+    rows = rows.withColumn("near_b", F.floor(F.col("start_near") / RING_BLOCK).cast("int")).join(near_blocks, [*ring, "near_b"], "left").join(all_blocks, "b", "left")
     mine = lambda o: (o["wnid"] == F.col("own")) | (o["norm"] == F.coalesce("own_norm", F.lit("")))
-    m = F.coalesce(F.size("ring"), F.lit(0))
-    start = _ring_start(seed, "h", item, m)
-    near = F.when(m > 0, F.transform(F.sequence(F.lit(0), F.least(m, F.lit(hard + 2)) - 1), lambda j: F.element_at("ring", (F.pmod(start + j, m) + 1).cast("int"))))
-    rows = rows.withColumn("near", F.slice(F.filter(F.coalesce(near, F.array().cast("array<struct<h:string,wnid:string,norm:string,class_name:string>>")), lambda o: ~mine(o)), 1, hard))
-    wide = F.slice("block", (F.pmod("start_all", F.lit(RING_BLOCK)) + 1).cast("int"), min(need, total))
+    rows = rows.withColumn("near", F.slice(F.filter(_from_ring("near_block", "start_near", F.least("m", F.lit(need_hard))), lambda o: ~mine(o)), 1, hard))
     taken = F.transform("near", lambda o: o["wnid"])
-    rows = rows.withColumn("rest", F.filter(F.coalesce(wide, F.array().cast("array<struct<h:string,wnid:string,norm:string,class_name:string>>")), lambda o: ~mine(o) & ~F.array_contains(taken, o["wnid"])))
+    rows = rows.withColumn("rest", F.filter(_from_ring("block", "start_all", F.lit(min(need, total))), lambda o: ~mine(o) & ~F.array_contains(taken, o["wnid"])))
     short = F.lit(hard) - F.size("near")
     pick = lambda role: lambda o: F.struct(F.lit(role).alias("role"), o["wnid"].alias("wnid"), o["class_name"].alias("class_name"))
     both = F.concat(F.transform(F.concat(F.col("near"), F.slice("rest", F.lit(1), short)), pick("hard")), F.transform(F.slice("rest", short + 1, F.lit(easy)), pick("easy")))
-    return rows.withColumn("distractors", both).drop("own", "own_super", "own_norm", "ring_super", "ring", "start_all", "b", "block", "near", "rest")
+    return rows.withColumn("distractors", both).drop("own", *ring, "own_norm", "m", "start_all", "start_near", "b", "near_b", "block", "near_block", "near", "rest")
 
 
 def distractors(items: DataFrame, classes: DataFrame, hard: int, easy: int, seed: int, item: str = "item_seq") -> DataFrame:

@@ -623,6 +623,22 @@ def pool_build(spark, d):
     return pool.select("image", "id", F.array_join(F.array_sort("choices"), "|").alias("choices"), F.element_at("choices", F.col("answer_index") + 1).alias("answer"), F.array_join("reasons", ",").alias("reasons"))
 
 
+@register(f"""WITH i AS (SELECT * FROM ({V.ITEM}) WHERE superclass <> 'asia'), s AS (SELECT * FROM i UNION ALL SELECT * FROM i WHERE item_seq % 40 = 0),
+  p AS (SELECT superclass, few, few AND wnid IN ('NATION_0', 'NATION_1', 'NATION_3') AS short FROM s CROSS JOIN (VALUES (true), (false)) f(few))
+  SELECT superclass, CASE WHEN short THEN 'insufficient_unique_distractors' ELSE '' END AS reasons, count(*) AS n, CAST(min(CASE WHEN short THEN 3 ELSE 4 END) AS INT) AS n_choices FROM p GROUP BY few, superclass, short""")
+def pool_short_items(spark, d):
+    """Pools from a dimension of three names (items of these are short of distractors) and from a full one, with samples that come twice."""
+    items = view(spark, d, V.ITEM).where("superclass <> 'asia'")
+    samples = items.unionByName(items.where("item_seq % 40 = 0"))
+    few = view(spark, d, V.CLASSES).where("wnid in ('NATION_0', 'NATION_1', 'NATION_2', 'NATION_3')").withColumn("class_name", F.when(F.col("wnid") == "NATION_3", " NATION  2").otherwise(F.col("class_name")))
+    out = None
+    for dim in (few, view(spark, d, V.CLASSES)):
+        pool = O.build_pool(samples, dim, "pool", "What is it?", 2, 1, seed=7).withColumn("superclass", F.col("meta")["superclass"])
+        one = pool.groupBy("superclass", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"), F.min(F.size("choices")).alias("n_choices"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _CON = """SELECT concat('i', c_custkey % 1400) AS item_id, concat('s', c_custkey % 700) AS sample_id, 'd' AS dataset_id, concat('im', c_custkey % 900) AS image_id, concat('k', c_nationkey % 9) AS concept_id,
   CASE c_nationkey % 4 WHEN 0 THEN 'train_forget' WHEN 1 THEN 'test_forget' WHEN 2 THEN 'train_retain' ELSE 'utility' END AS split FROM customer"""
 _two = lambda rule, key, part: f"SELECT '{rule}' AS rule, {key} AS key FROM t WHERE split LIKE 'train%' OR split LIKE 'test%' GROUP BY 2 HAVING count(DISTINCT split_part(split, '_', {part})) > 1"
