@@ -293,8 +293,38 @@ def test_levenshtein_lexicon():
         found = lexicon.match(w)
         assert (found is not None) == bool(near), w
         assert not near or (near[found[0]], found[1]) == (min(near.values()),) * 2, w
-    both = toxicity.FuzzyLexicon({"stupid": 1.0}, {"stup": 1.0, "stupi": 1.0})
-    assert [both.match(w) for w in ("stupid", "stupidly", "stup", "stupor", "xstupor", "stpuid")] == [("stupid", 0), ("stupi", 0), None, ("stup", 0), None, ("stupid", 1)]
+    # a beginning counts only if training met it as a family, and not in words that clean texts have
+    family = toxicity.ToxicityModel({"stupid": 1.0}, frozenset({"stupor"}), families={"stup": (2.0, 0.8)})
+    assert [family.hit(w) for w in ("stupid", "stupidly", "stup", "stupor", "xstupor", "stpuid")] == [("stupid", 0), ("stup", 0), None, None, None, ("stupid", 1)]
+
+
+def toxic_rows():
+    """Documents of two and more terms, some misspelt, and clean ones; one beginning has many endings, ``path`` of pathetic has one."""
+    rng, calm = random.Random(3), "the river runs past a quiet town where people walk and trade every morning".split()
+    mixed = lambda *some: " ".join(rng.sample([*some, *rng.sample(calm, 8)], 8 + len(some)))
+    bad = ["idiot", "moron", "pathetic", "trash"]
+    rows = [(mixed(*rng.sample(bad, 2), str(i)), 1) for i in range(60)] + [(mixed(*("quel" + rng.choice(("a", "ou", "tion", "ment", "is", "ez", "ant", "e")) for _ in range(3)), str(i)), 1) for i in range(60)]
+    return rows + [(mixed(str(i)), 0) for i in range(300)]
+
+
+def test_terms_are_whole_words():
+    m = toxicity.fit(toxic_rows())
+    assert set(m.families) == {"quel"} and "path" not in m.terms and not m.left_out
+    for plain in ("the pathology of a path", "a trashy idiom", "moronic pathways", "the town's trash", "clowns and trash cans"):
+        assert m.score(plain) < 0.3, plain
+    assert m.score("a quelique quelor town and quelux") > 0.3 > m.score("a quel town")
+    # misspelling decides: without its edits the text has no hit; so does quoting
+    assert m.score("you idiott and morron, so pathetik") > 0.5 > 0.3 > m.score("you idioms and moors, so poetic")
+    assert m.score("he wrote 'idiot' and called it 'trash'") < 0.3 < m.score("idiot and trash")
+    assert m.score("you are an idiot") >= 0.5 - 1e-9
+
+
+@pytest.mark.parametrize("share", [0.05, 0.2])
+def test_chance_brings_no_terms(share):
+    """Random labels on rare words: next to none is surprising enough."""
+    rng = random.Random(8)
+    rows = [(" ".join(f"w{int(rng.paretovariate(0.6)) % 20000}" for _ in range(40)), int(rng.random() < share)) for _ in range(1500)]
+    assert len(toxicity.fit(rows).terms) <= 1
 
 
 def test_quotation_and_misspelling():
@@ -316,15 +346,20 @@ def test_toxicity_is_spread(spark, corpus):
     some = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] in (0, 1)}
     rows = sorted((r["doc_id"], r["text"] or "", some[r["doc_id"]]) for r in corpus.collect() if r["doc_id"] in some)
     a, b = toxicity.fit([(t, y) for _, t, y in rows]), toxicity.fit_toxicity(corpus.repartition(5), labels)
-    assert (a.stems, a.known, a.near) == (b.stems, b.known, b.near) and a.terms == pytest.approx(b.terms) and a.weights == pytest.approx(b.weights, abs=1e-6)
+    assert (a.families, a.known, a.near, a.left_out) == (b.families, b.known, b.near, b.left_out) and a.terms == pytest.approx(b.terms) and a.weights == pytest.approx(b.weights, abs=1e-6)
     scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(corpus, b).collect()}
     for d, t, _ in rows[:50]:  # the score written out
         n, hits = b.hits(t)
-        plain = [(h, b.near.get(h[1], 0.5) if h[2] else 1.0) for h in hits if not h[3]]
-        worth = [x * (b.terms.get(h[1]) or b.stems[h[1]]) for h, x in plain]
-        kinds = {h[1]: max(x for g, x in plain if g[1] == h[1]) for h, _ in plain}
-        x = [1, *(math.log1p(v) for v in (sum(worth), sum(not h[2] for h, _ in plain), sum(w for w, (h, _) in zip(worth, plain) if h[2]), sum(x for h, x in plain if h[4])))]
-        x += [max(worth, default=0) / 10, sum(kinds.values()) / 10, min(1, 20 * sum(x for _, x in plain) / (n + 1)), math.log1p(len(hits) - len(plain))]
+        plain = [(h, b.near.get(h[1], 0.5) if h[2] else 1.0 if h[1] in b.terms else b.families[h[1]][1]) for h in hits if not h[3]]
+        odds = {h[1]: b.terms.get(h[1]) or b.families[h[1]][0] for h, _ in plain}
+        over, kinds = [], 0
+        for edits in (False, True):
+            some = [(h[1] if h[1] in b.terms else h[0], x) for h, x in plain if (h[2] > 0) == edits]
+            over.append(max(0, sum(x for _, x in some) - 1))
+            kinds += max(0, sum({k: max(x for g, x in some if g == k) for k, _ in some}.values()) - 1)
+        mean = sum(odds[h[1]] * x for h, x in plain) / max(sum(x for _, x in plain), 1e-9)
+        x = [1, *(math.log1p(v) for v in (sum(over) * mean, *over, sum(x for h, x in plain if h[4] and h[1] in b.terms)))]
+        x += [kinds / 10, min(1, 20 * sum(over) / (n + 1)), math.log1p(len(hits) - len(plain))]
         assert abs(scores[d] - 1 / (1 + math.exp(-max(-30, min(30, sum(w * v for w, v in zip(b.weights, x))))))) < 1e-9
 
 
