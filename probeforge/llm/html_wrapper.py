@@ -4,7 +4,7 @@ A page is a stream of container and block tags and of texts. Adjacent equal grou
 paragraphs), which gives its folded stream. Folded streams of one host are aligned one after another: where a stream and the
 wrapper so far disagree, a group that only one of them has becomes optional, a group that one has once and the other several
 times becomes repeated (its texts compare as one sequence), and texts that differ become slots; a text that is equal on all pages stays template text if at
-least ``SUPPORT`` different pages have it. The result is one expression without unions.
+least ``SUPPORT`` different pages have it (pages with the same headings and the same longest text are near copies and count once). The result is one expression without unions.
 
 Tags whose class or id differ only in digits count as equal. No part of a page is left out: streams too long for one table are
 aligned in pieces, cut at nodes that occur once in both. A wrapper grows with a host's different structure.
@@ -18,8 +18,10 @@ is read from the wrapper, by the slots' text: from the page's root down, as long
 On this way the innermost ``article``, else the innermost ``main``, settles a tie between nested containers, as does a heading
 that would be left outside. Text under an element that is a menu, header, footer, sidebar, notice, advert, form or comment list by tag,
 role, class or id counts little (under ``article`` or ``main`` double), and is left out inside the main container; elements around the main container are never
-judged by this. The page's text is the blocks of the main container that are slots. If all of them are template, they are
-the text. A page without text in that container (another kind of page) is read by its own wrapper.
+judged by this. A bare ``header`` element is the page's, and left out, only where the main container is the body; inside an article
+it holds the article's title. The page's text is the blocks of the main container that are slots, and template blocks that belong to
+such: a heading with a slot under it (up to the next heading of its rank), the cells of a table or list of terms that has a slot. If all
+blocks are template, they are the text. A page without text in that container (another kind of page) is read by its own wrapper.
 
 Character references are decoded before texts are compared; white space inside a block becomes one space; blocks are joined by
 an empty line. Defined results: null html counts as empty and gives the empty text; a page without markup is one block;
@@ -64,6 +66,9 @@ DROPPED_WORDS = frozenset(
 )
 #: Words that may stand beside a dropped word in one class without changing what it says (site-header, but not content-with-sidebar).
 NEUTRAL_WORDS = frozenset("site page global main top bottom left right inner outer primary secondary box block bar list item items link links area section wrap wrapper container user reader module slot the".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose template blocks stay if another block of theirs is a slot.
+WHOLE = frozenset("table dl".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FOLD = 12
 #: Cells of an alignment's table; longer streams are aligned in pieces.
@@ -111,6 +116,11 @@ def dropped(tag: str, attrs: str) -> bool:
     return False
 
 
+def bare_header(tag: str, attrs: str) -> bool:
+    """Whether an element is boilerplate only for being a ``header``."""
+    return tag == "header" and not dropped("div", attrs)
+
+
 def signature(tag: str, attrs: str) -> str:
     """A tag with its class or id, less digits, which tells containers of a template apart."""
     for name, value in _named.findall(attrs) if attrs else ():
@@ -145,7 +155,7 @@ def stream(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 # Nodes: ["t", tag's signature], ["x", text's digest or None for a slot, path, size, digests of pages that agree], ["?", nodes], ["+", nodes].
-# A path is the signatures of the containers around a text, "-" before dropped ones, and "|" and the block's tag.
+# A path is the signatures of the containers around a text, "-" before dropped ones ("~" before bare headers), and "|" and the block's tag.
 
 
 def _key(node: list) -> str:
@@ -163,7 +173,8 @@ class Page:
         self.nodes: list[list] = []
         self.blocks: list[str] = []
         self.paths: list[str] = []
-        support = [_digest(page)[:16]]
+        self.kinds: list[str] = []  # the tags of the blocks
+        support = [""]
         text: list[str] = []
         open_: list[tuple[str, str]] = [("", "")]  # (tag, path) of containers and dropped blocks
         block, counts = "", Counter()
@@ -189,7 +200,7 @@ class Page:
                 if tag in CONTAINERS or gone and tag != "hr":
                     path = open_[-1][1]
                     if len(open_) <= MAX_DEPTH or gone and ">-" not in path:
-                        path = f"{path}>{'-' if gone else ''}{sign}"
+                        path = f"{path}>{'~' if gone and bare_header(tag, attrs) else '-' if gone else ''}{sign}"
                     open_.append((tag, path))
                     counts[tag] += 1
             else:
@@ -202,6 +213,9 @@ class Page:
                         counts[inner] -= 1
         if text:
             self._flush(text, open_[-1][1], block, support)
+        # near copies agree on their headings and their longest text: together they are one page that agrees
+        heads = [b for b, k in zip(self.blocks, self.kinds) if k in HEADINGS]
+        support[0] = _digest("\n".join([*heads, max(self.blocks, key=lambda b: (len(b), b), default="")]))[:16]
 
     def _flush(self, text: list[str], path: str, block: str, support: list[str]) -> None:
         whole = "".join(text)
@@ -210,6 +224,7 @@ class Page:
             self.nodes.append(["x", _digest(whole), f"{path}|{block}", len(whole), support, [len(self.blocks)]])
             self.blocks.append(whole)
             self.paths.append(path)
+            self.kinds.append(block)
 
 
 def fold(nodes: list[list]) -> list[list]:
@@ -393,7 +408,7 @@ def main_container(wrapper: list[list]) -> str:
             continue
         path, block = x[2].rsplit("|", 1)
         parts = path.split(">")
-        gone = any(p.startswith("-") for p in parts)
+        gone = any(p.startswith(("-", "~")) for p in parts)
         weight = x[3] * (DROPPED_WEIGHT if gone else NAMED_WEIGHT if any(p.split(".")[0] in ("article", "main") for p in parts) else 1.0)
         if block in ("h1", "h2") and not gone:
             heads.add(path)
@@ -411,7 +426,7 @@ def main_container(wrapper: list[list]) -> str:
             break
         at = nxt
         way.append(at)
-    tags = [p.rsplit(">", 1)[-1].lstrip("-").split(".")[0] for p in way]
+    tags = [p.rsplit(">", 1)[-1].lstrip("-~").split(".")[0] for p in way]
     for tag in ("article", "main"):
         if tag in tags:
             return way[len(tags) - 1 - tags[::-1].index(tag)]
@@ -421,14 +436,38 @@ def main_container(wrapper: list[list]) -> str:
     return way[-1]
 
 
+def _whole(path: str) -> str | None:
+    """The innermost table or list of terms that a block is in."""
+    parts = path.split(">")
+    for k in range(len(parts), 0, -1):
+        if parts[k - 1].split(".")[0] in WHOLE:
+            return ">".join(parts[:k])
+    return None
+
+
 def _kept(page: Page, main: str, template: set[int]) -> tuple[list[str], bool]:
-    """The blocks of a container that are slots (if there are none, all), and whether there were any."""
+    """The blocks of a container that are slots or belong to one (if there are none, all), and whether there were any."""
+    body = main.rsplit(">", 1)[-1].split(".")[0] in ("", "html", "body")
     inside = []
     for i, path in enumerate(page.paths):
         if path == main or path.startswith(main + ">"):
-            if ">-" not in path[len(main) :]:
+            rest = path[len(main) :]
+            if ">-" not in rest and not (body and ">~" in rest):
                 inside.append(i)
-    return [page.blocks[i] for i in inside if i not in template] or [page.blocks[i] for i in inside], bool(inside)
+    if not any(i not in template for i in inside):
+        return [page.blocks[i] for i in inside], bool(inside)
+    whole = {_whole(page.paths[i]) for i in inside if i not in template} - {None}
+    out, live = [], [False] * 7  # live[k]: a block stays before the next heading of rank k or higher
+    for i in reversed(inside):
+        kind = page.kinds[i]
+        rank = int(kind[1]) if kind in HEADINGS else 0
+        stays = i not in template or rank and live[rank] or _whole(page.paths[i]) in whole
+        if rank:
+            live[rank:] = [False] * (7 - rank)
+        if stays:
+            out.append(page.blocks[i])
+            live[: rank or 7] = [True] * (rank or 7)
+    return out[::-1], True
 
 
 class Extractor:
