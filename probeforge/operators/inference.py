@@ -7,7 +7,7 @@ import json
 import platform
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -66,24 +66,74 @@ def failing_adapter() -> Adapter:
 
 @dataclass(frozen=True)
 class Method:
-    """A treatment: capabilities it needs, and the instruction it adds to requests (None for none)."""
+    """A treatment: capabilities it needs, the instruction it adds to requests (None for none), and its other hooks.
+
+    ``prepare``: called once on the driver with the forget and the retain training items; what it gives goes to ``intervene``.
+    ``intervene``: (the loaded batch function, what prepare gave) -> batch function, once a worker. ``transform_output``: a column
+    expression over the raw output. ``about``: what else the run manifest discloses.
+    """
 
     name: str
     label: str = "no_op"
     required: tuple[str, ...] = ()
     instruction: Callable[[], Column | None] = lambda: None
+    prepare: Callable[[DataFrame | None, DataFrame | None], object] | None = None
+    intervene: Callable[[Callable, object], Callable] | None = None
+    transform_output: Callable[[Column], Column] | None = None
+    about: dict = field(default_factory=dict, hash=False)
 
     def check(self, adapter: Adapter) -> None:
         missing = sorted(c for c in self.required if not adapter.capabilities.get(c))
         if missing:
             raise CapabilityMismatch(missing, f"{self.name} on {adapter.name}")
 
+    def metadata(self) -> dict:
+        """The record that discloses the method in a run manifest."""
+        hooks = [h for h in ("prepare", "intervene", "transform_output") if getattr(self, h)]
+        return {"method_id": self.name, "semantic_label": self.label, "required_capabilities": list(self.required), "hooks": hooks} | self.about
+
+    def applied(self, adapter: Adapter, forget: DataFrame | None = None, retain: DataFrame | None = None) -> Adapter:
+        """The adapter after prepare and with intervene in each worker."""
+        prepared = self.prepare(forget, retain) if self.prepare else None
+        if self.intervene is None:
+            return adapter
+        intervene = self.intervene
+        changed = lambda load: (lambda: intervene(load(), prepared)) if load else None
+        return replace(adapter, load=changed(adapter.load), score_options=changed(adapter.score_options), think=changed(adapter.think))
+
+    def answered(self, responses: DataFrame) -> DataFrame:
+        """Responses after transform_output; errors have no output to change."""
+        if self.transform_output is None:
+            return responses
+        return responses.withColumn("raw_output", F.when(F.col("raw_output").isNotNull(), self.transform_output(F.col("raw_output"))))
+
 
 NO_OP = Method("no_op")
 
 
-def suppression(variant: str, concepts: list[str] | None = None) -> Method:
-    return Method(f"prompt_suppression_{variant}", "prompt_suppression", (), lambda: suppression_line(variant, "concept_name", concepts))
+def suppression(variant: str, concepts: list[str] | None = None, own: bool = False) -> Method:
+    """An instruction not to recognise the concepts; ``own``: each request's own concept instead of a list."""
+    if not concepts and not own:
+        raise ValueError("suppression needs the concepts to suppress")
+    return Method(f"prompt_suppression_{variant}", "prompt_suppression", (), lambda: suppression_line(variant, "concept_name", concepts), about={"concepts": sorted(concepts or [])})
+
+
+#: (a part of a model's id in lower case, factory of its adapter); the first that fits is taken.
+_adapters: list[tuple[str, Callable[..., Adapter]]] = [("oracle", lambda model_id, **_: oracle_adapter()), ("failing", lambda model_id, **_: failing_adapter())]
+
+
+def register_adapter(part: str, factory: Callable[..., Adapter]) -> None:
+    """Models whose id holds ``part`` (in any case) are made by ``factory(model_id, **options)``; "" stands for all that no other part fits."""
+    _adapters[:] = [x for x in _adapters if x[0] != part.lower()]
+    _adapters.append((part.lower(), factory))
+
+
+def create_adapter(model_id: str, **options) -> Adapter:
+    """The adapter of a model by its id: the longest registered part that it holds. No model is loaded before a worker asks for it."""
+    fit = [x for x in _adapters if x[0] in model_id.lower()]
+    if not fit:
+        raise ValueError(f"no adapter for {model_id!r}; known: {', '.join(sorted(x[0] for x in _adapters))}")
+    return max(fit, key=lambda x: len(x[0]))[1](model_id, **options)
 
 
 def oracle_control(kind: str) -> Method:
@@ -207,7 +257,7 @@ def base_manifest(items: DataFrame, adapter: Adapter, method: Method, run_id: st
         "environment": {"python": platform.python_version(), "spark": items.sparkSession.version},
         "data": {"benchmark_version": VERSION, "dataset_version": version} | digests(items),
         "model": {"model_id": adapter.name, "model_revision": adapter.revision, "processor_revision": None, "loader": "adapter", "chat_template": None},
-        "method": {"method_id": method.name, "method_version": VERSION, "label": method.label, "config_hash": sha([method.name, method.label, list(method.required)])},
+        "method": {"method_id": method.name, "method_version": VERSION, "label": method.label, "config_hash": sha(method.metadata())} | method.metadata(),
         "capability_validation": {"supported": True, "missing_capabilities": []},
         "seeds": dict.fromkeys(("data_selection", "option_order", "controls", "inference", "training"), seed),
         "inference": {"decoding": None, "dtype": None, "device": None},
@@ -217,13 +267,13 @@ def base_manifest(items: DataFrame, adapter: Adapter, method: Method, run_id: st
     }
 
 
-def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id: str = "run", out_dir: str | None = None, **about) -> Run:
+def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id: str = "run", out_dir: str | None = None, training: tuple[DataFrame | None, DataFrame | None] = (None, None), **about) -> Run:
     """Validate, gate, render, infer, score and account; with ``out_dir`` the run's artifacts are written there.
 
     Responses are written before they are read again (in ``out_dir``, else the shared checkpoint folder), so the model runs once,
     and are checked against the requests. An unsupported combination yields only a manifest. Artifacts: run_manifest.json
     (before the run with status running, and after), responses, results, failures and metrics as JSON lines; the manifest has the rows and SHA-256 of each and of its parts.
-    ``about``: see base_manifest.
+    ``training``: the forget and the retain training items, for a method that prepares itself. ``about``: see base_manifest.
     """
     spark = items.sparkSession
     began = time.perf_counter()
@@ -254,7 +304,7 @@ def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id:
             doc["artifacts"][name] = write_hashed_lines(df, f"{out_dir}/{name}")
             return read_hashed_lines(df, f"{out_dir}/{name}")
 
-        answers = kept(infer(asked, adapter), "responses")
+        answers = kept(method.answered(infer(asked, method.applied(adapter, *training))), "responses")
         require_none(response_violations(asked, answers), "adapter contract")
         records = kept(score_responses(asked.join(answers, "request_id")), "results")
         failures = records.where(~F.col("response_status").isin("correct", "incorrect"))

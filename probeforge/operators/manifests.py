@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probeforge.schema import CAPABILITIES, RUN_STATUSES, VERSION
+from probeforge.sources.hashed_lines import write_hashed_lines
+from probeforge.sources.writers import write_document
 
 #: The keys that each block of a run manifest must have.
 MANIFEST_KEYS = {
@@ -58,11 +62,24 @@ def capability_coverage(gate: DataFrame, keys: list[str] = []) -> DataFrame:
     return gate.groupBy(*keys).agg(F.count("*").alias("registered"), n.alias("supported"), F.try_divide(n.cast("double"), F.count("*").cast("double")).alias("coverage"))
 
 
-def write_eligibility(manifest: DataFrame, path: str, model_revision: str) -> str:
-    """The eligible concepts of a model revision, a folder of JSON lines below ``path``; gives its name."""
+def write_eligibility(manifest: DataFrame, path: str, model_revision: str, head: dict | None = None) -> str:
+    """The eligible concepts of a model revision, a folder of JSON lines below ``path``; gives its name.
+
+    With ``head`` (of ``eligibility.manifest_document``) also ``<name>.json``: the head with the rows and SHA-256 of the concepts and, as
+    manifest_hash, the SHA-256 of all that but the time of creation.
+    """
     name = re.sub(r"[^a-z0-9]+", "-", model_revision.casefold()).strip("-")
-    manifest.select(F.to_json(F.struct(*sorted(manifest.columns))).alias("value")).write.mode("overwrite").text(f"{path}/eligible_concepts/{name}")
-    return f"{path}/eligible_concepts/{name}"
+    where = f"{path}/eligible_concepts/{name}"
+    ordered = manifest.select(*sorted(manifest.columns)).orderBy("concept_id")
+    if head is None:
+        ordered.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(where)
+        return where
+    told = write_hashed_lines(ordered, where)
+    doc = head | {"concepts": {k: told[k] for k in ("rows", "content")}}
+    stable = {k: v for k, v in doc.items() if k != "created_at"}
+    doc["manifest_hash"] = hashlib.sha256(json.dumps(stable, sort_keys=True, default=str).encode()).hexdigest()
+    write_document(manifest.sparkSession, f"{where}.json", doc)
+    return where
 
 
 def run_summary(files: DataFrame) -> DataFrame:

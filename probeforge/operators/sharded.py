@@ -71,7 +71,7 @@ def run_shards(items: DataFrame, adapter: Adapter, folder: str, of: int, method:
     left = asked.join(F.broadcast(finished(spark, folder).select("shard")), "shard", "left_anti")  # a row a shard
     attempt = uuid.uuid4().hex
     path = f"{folder}/answers/attempt={attempt}"
-    _answers(left, adapter, batch_size).write.parquet(path)
+    method.answered(_answers(left, method.applied(adapter), batch_size)).write.parquet(path)
     said = spark.read.parquet(path)
     wanted = left.groupBy("shard").agg(F.count("*").alias("requests"))
     got = said.groupBy("shard").agg(F.count("request_id").alias("n"), F.count_distinct("request_id").alias("different"), F.max("failed").alias("failed"))

@@ -185,11 +185,6 @@ def eligible_only_metrics(spark, d):
     return A.response_accounting(E.eligible_only(e, E.manifest(E.evaluate_cells(e, with_ci=False))), ["input_condition"])
 
 
-@register()
-def eligibility_with_intervals(spark, d):
-    return E.evaluate_cells(view(spark, d, V.EVID), Thresholds(replicates=500)).select("concept_id", "question_format", "normal_access", "ci_low", "ci_high", F.array_join("codes", ",").alias("codes"))
-
-
 _POIS = """pois AS (SELECT k, list_transform(range(0, 220), lambda j: list_sum(list_transform(range(0, j + 1), lambda i: exp(-k + i * ln(k) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END)))) AS cdf
   FROM (SELECT CAST(range AS DOUBLE) AS k FROM range(1, 65)))"""
 
@@ -210,6 +205,15 @@ _CIX = f"SELECT concept_id, CASE WHEN response_status = 'correct' THEN 1 ELSE 0
 _rounded = lambda df: df.withColumns({c: F.round(c, 9) for c in ("mean", "low", "high")})
 
 
+@register(f"""{_GATE}, {_ci(f"SELECT concept_id, question_format, CASE WHEN response_status = 'correct' THEN 1 ELSE 0 END AS x FROM ({V.EVID}) WHERE input_condition = 'normal_image' AND question_format = 'mcq'", "concept_id, question_format", 500).replace("concept_id, question_format, '|'", "concept_id, '|', question_format, '|'")}
+  SELECT k.concept_id, k.question_format, round(a, 9) AS normal_access, ci.low AS ci_low, ci.high AS ci_high,
+    array_to_string(list_filter(['INSUFFICIENT_SAMPLES', 'LOW_NORMAL_ACCESS', 'MISSING_CONTROL', 'LOW_VISUAL_GAP', 'CI_BELOW_FLOOR', 'VARIANT_INSTABILITY'], lambda x: list_contains(codes, x) OR x = 'CI_BELOW_FLOOR' AND coalesce(ci.low <= 0.25, false)), ',') AS codes
+  FROM k LEFT JOIN ci ON k.concept_id = ci.concept_id AND k.question_format = ci.question_format""")
+def eligibility_with_intervals(spark, d):
+    cells = E.evaluate_cells(view(spark, d, V.EVID), Thresholds(replicates=500))
+    return cells.select("concept_id", "question_format", *(F.round(c, 9).alias(c) for c in ("normal_access", "ci_low", "ci_high")), F.array_join("codes", ",").alias("codes"))
+
+
 @register(f"WITH {_ci(_CIX, 'concept_id', 500)} SELECT * FROM ci")
 def bootstrap_ci_native(spark, d):
     e = view(spark, d, V.EVID).where("input_condition = 'normal_image'").select("concept_id", (F.col("response_status") == "correct").cast("double").alias("x"))

@@ -92,7 +92,7 @@ def legacy_prompts(spark, d):
 @register(f"SELECT p_partkey, concat('Q: what?', chr(10), chr(10), {_told(X.SUPPRESSION['soft'], 'p_brand')}, chr(10), chr(10), {_lit(X.SHORT_DIRECTIVE)}) AS soft, CASE WHEN p_partkey % 2 = 0 THEN concat('Q: what?', chr(10), chr(10), {_told(X.ORACLE['hard'], 'p_brand')}, chr(10), chr(10), {_lit(X.SHORT_DIRECTIVE)}) ELSE concat('Q: what?', chr(10), chr(10), {_lit(X.SHORT_DIRECTIVE)}) END AS control FROM ({PART})")
 def method_prompts(spark, d):
     items = view(spark, d, PART).select("p_partkey", F.col("p_partkey").cast("string").alias("item_id"), F.lit("short_answer").alias("question_format"), F.lit("what?").alias("question"), F.lit(None).cast("array<string>").alias("choices"), F.col("p_brand").alias("concept_name"), F.when(F.col("p_partkey") % 2 == 0, "test_forget").otherwise("test_retain").alias("split"))
-    soft = I.requests(items, "r", I.suppression("soft")).select("p_partkey", F.col("prompt_text").alias("soft"))
+    soft = I.requests(items, "r", I.suppression("soft", own=True)).select("p_partkey", F.col("prompt_text").alias("soft"))
     return soft.join(I.requests(items, "r", I.oracle_control("hard")).select("p_partkey", F.col("prompt_text").alias("control")), "p_partkey")
 
 
@@ -158,7 +158,7 @@ def _run_items(spark, d):
 @register(f"SELECT wnid AS concept_id, 'correct' AS response_status, '1' AS prediction, count(*) AS n FROM ({_RUN}) GROUP BY 1")
 def evaluated_run(spark, d):
     """Items checked, asked, answered by an adapter in batches, checked against its contract, and scored."""
-    run = I.evaluate(_run_items(spark, d), I.oracle_adapter(), I.suppression("soft"), "run")
+    run = I.evaluate(_run_items(spark, d), I.oracle_adapter(), I.suppression("soft", own=True), "run")
     return run.records.groupBy("concept_id", "response_status", "prediction").agg(F.count("*").alias("n"))
 
 

@@ -96,3 +96,49 @@ def hashed_lines(spark, d):
     path = shared_folder(spark, "hashed")
     J.write_hashed_lines(p.repartition(4), path)
     return J.read_hashed_lines(p, path)
+
+
+@register(f"SELECT wnid AS concept_id, CASE WHEN item_seq % 3 = 0 THEN 'incorrect' ELSE 'correct' END AS response_status, count(*) AS n FROM ({_RUN}) WHERE item_seq % 11 <> 0 GROUP BY ALL")
+def scored_options(spark, d):
+    """Items answered by the logit path of an adapter that errs; those whose options could not be scored are left out here."""
+    records = I.score_option_requests(I.requests(_run_items(spark, d), "run"), erring_adapter())
+    return records.where("size(logits) > 0").groupBy("concept_id", "response_status").agg(F.count("*").alias("n"))
+
+
+@register(f"""SELECT wnid AS concept_id, CASE WHEN item_seq % 13 = 0 THEN 'model_error' WHEN item_seq % 7 = 0 THEN 'invalid_format' WHEN (item_seq % 3 = 0) = (wnid IN (SELECT DISTINCT wnid FROM ({_RUN}) WHERE item_seq % 50 = 0)) THEN 'correct' ELSE 'incorrect' END AS response_status, count(*) AS n FROM ({_RUN}) GROUP BY ALL""")
+def treated_run(spark, d):
+    """A run of a method with all hooks: it learns concepts from training items, turns the answers of these round, and tidies outputs."""
+    items = _run_items(spark, d)
+
+    def prepare(forget, retain):
+        return {r[0] for r in forget.select("concept_id").distinct().collect()}  # a registry-sized set
+
+    def intervene(model, concepts):
+        return lambda pdf: [{"0": " [1]", "1": " [0]"}.get(a, a) if c in concepts else a for a, c in zip(model(pdf), pdf["concept_id"])]
+
+    method = I.Method("turned", "control", ("supports_images",), prepare=prepare, intervene=intervene, transform_output=lambda x: F.regexp_replace(x, "[\\[\\] ]", ""), about={"rate": 0.5})
+    run = I.evaluate(items, erring_adapter(), method, "run", training=(items.where("item_id % 50 = 0"), None))
+    return run.records.groupBy("concept_id", "response_status").agg(F.count("*").alias("n"))
+
+
+_BROKEN = f"SELECT item_seq % 9 AS kind, count(*) AS n FROM ({_RUN}) GROUP BY 1"
+_BROKEN_ERRORS = (
+    "", "question must be non-empty", "answer_index out of range", "choices must be unique", "split is no known value", "image must be non-empty", "donor_image_id is required", "schema_version", "license.id must be non-empty",
+)
+
+
+@register(f"SELECT e.error, n FROM ({_BROKEN}) b JOIN (VALUES {', '.join(f'({i}, {chr(39)}{e}{chr(39)})' for i, e in enumerate(_BROKEN_ERRORS) if e)}) e(kind, error) USING (kind)")
+def broken_items(spark, d):
+    """Items of which eight in nine break one rule each; the errors that name these rules."""
+    from probeforge.operators.quality import item_errors
+
+    kind = F.col("item_id").cast("long") % 9
+    broken = lambda k, value, name: F.when(kind == k, value).otherwise(F.col(name)).alias(name)
+    changed = {
+        "question": (1, F.lit(" ")), "answer_index": (2, F.lit(2)), "choices": (3, F.array(F.lit("A b"), F.lit(" a  B"))), "split": (4, F.lit("train")), "image": (5, F.lit("")),
+        "input_condition": (6, F.lit("shuffled_image")), "schema_version": (7, F.lit("0.9.0")), "license": (8, F.create_map(F.lit("id"), F.lit(""), F.lit("redistribution"), F.lit("no"))),
+    }
+    items = _run_items(spark, d)
+    rows = items.select(*(broken(*changed[c], c) if c in changed else c for c in items.columns))
+    named = rows.select(F.explode(item_errors()).alias("error")).where(F.col("error").isin(*_BROKEN_ERRORS))
+    return named.groupBy("error").agg(F.count("*").alias("n"))

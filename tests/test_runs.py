@@ -140,3 +140,47 @@ def test_a_run_s_artifacts(spark, items, tmp_path):
         digest = [hashlib.sha256((tmp_path / "r" / name / p["file"]).read_bytes()).hexdigest() for p in doc["artifacts"][name]["parts"]]
         assert hashlib.sha256("".join(digest).encode()).hexdigest() == doc["artifacts"][name]["sha256"]
     assert doc["artifacts"]["results"]["rows"] == 90 and doc["artifacts"]["failures"]["rows"] == run.failures.count() > 0
+
+
+def test_method_hooks(spark, items):
+    assert I.NO_OP.metadata() == {"method_id": "no_op", "semantic_label": "no_op", "required_capabilities": [], "hooks": []} and I.NO_OP.applied(I.oracle_adapter()).load is not None
+    with pytest.raises(ValueError):
+        I.suppression("soft")
+    with pytest.raises(ValueError):
+        I.suppression("soft", [])
+    assert I.suppression("soft", ["b", "a"]).metadata()["concepts"] == ["a", "b"]
+    seen = []
+
+    def prepare(forget, retain):
+        seen.append((forget.count(), retain))
+        return "x"
+
+    method = I.Method("m", "control", prepare=prepare, intervene=lambda model, given: lambda pdf: [given + a for a in model(pdf)], transform_output=lambda c: F.regexp_replace(c, "x", ""), about={"k": 1})
+    run = I.evaluate(items, I.oracle_adapter(), method, training=(items.limit(3), None))
+    assert seen == [(3, None)] and run.records.where("response_status = 'correct'").count() == 90
+    assert run.manifest["method"]["hooks"] == ["prepare", "intervene", "transform_output"] and run.manifest["method"]["k"] == 1
+    # an error has no output to change
+    run = I.evaluate(items, I.failing_adapter(), I.Method("m", transform_output=lambda c: F.lit("1")))
+    assert run.records.where("response_status = 'model_error' and raw_output is null").count() == 90
+
+
+def test_adapters_by_model_id():
+    I.register_adapter("internvl", lambda model_id, revision="": I.Adapter(model_id, {"supports_logits": False}, lambda: None, revision=revision))
+    I.register_adapter("vl", lambda model_id, **_: I.Adapter("other", {}, lambda: None))
+    found = I.create_adapter("OpenGVLab/InternVL3-2B", revision="deadbeef")
+    assert (found.name, found.revision, found.capabilities) == ("OpenGVLab/InternVL3-2B", "deadbeef", {"supports_logits": False})
+    assert I.create_adapter("Qwen/Qwen3-VL-4B").name == "other" and I.create_adapter("an oracle").name == "oracle"
+    with pytest.raises(ValueError, match="no adapter"):
+        I.create_adapter("nothing known")
+
+
+def test_eligibility_head_is_written(spark, tmp_path):
+    from probeforge.operators.manifests import write_eligibility
+
+    concepts = spark.createDataFrame([("cat", True, []), ("dog", False, ["mcq:X"])], "concept_id string, eligible boolean, codes array<string>")
+    head = {"candidate_count": 2, "eligible_count": 1, "created_at": "now"}
+    where = write_eligibility(concepts, str(tmp_path), "Org/Model 2", head)
+    doc = json.loads((tmp_path / "eligible_concepts" / "org-model-2.json").read_text())
+    assert doc["eligible_count"] == 1 and doc["concepts"]["rows"] == 2 and len(doc["manifest_hash"]) == 64
+    again = write_eligibility(concepts.repartition(3), str(tmp_path / "b"), "Org/Model 2", head | {"created_at": "later"})
+    assert json.loads((tmp_path / "b" / "eligible_concepts" / "org-model-2.json").read_text())["manifest_hash"] == doc["manifest_hash"] and where != again
