@@ -1,5 +1,9 @@
 """A training-corpus pipeline: quality rules, toxicity, line dedup, SimHash near-dedup, best-fit packing.
 
+Every stage but the last gives the columns it was given, whatever further ones there are and however they are named; a null or empty
+text has no words and so does not pass the quality rules; rows with a null doc_id are kept apart by the later stages; repeated rows and
+equal texts are copies, of which the near-dedup leaves one; an empty table passes through all stages.
+
 Each stage works on all rows that the one before it kept and is written as Parquet in the shared folder, so
 a lost executor costs one stage's tasks at most.
 """
@@ -7,6 +11,7 @@ a lost executor costs one stage's tasks at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from probeforge.llm import line_dedup, packing, quality_rules, simhash, toxicity
 from probeforge.llm.queries import remainder
@@ -30,7 +35,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go, and documents whose every line did."""
-    return line_dedup.line_dedup(docs).where("not emptied").select(docs.columns)
+    return line_dedup.line_dedup(docs).where("not emptied").select([F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
