@@ -1,8 +1,9 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-A text's features are its different words (ASCII lower case) hashed to ``BUCKETS`` and normalised to unit length,
-bins of structure statistics (symbol, punctuation, case, repetition, line and word length shares, lists), and metadata taken
-from the text itself (its length class, the blocks of Unicode it uses). Its score is the logistic of
+A text's features are its different words (ASCII lower case) hashed to ``BUCKETS`` and normalised to unit length (words of one
+bucket add up), bins of structure statistics (symbol, punctuation, case, repetition, line and word length shares, lists), and metadata
+taken from the text itself (its length class; the shares of code points in the blocks of extended Latin, of Greek and Cyrillic, of
+other scripts of two and three bytes, and of CJK and beyond). Its score is the logistic of
 
     w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
@@ -40,10 +41,12 @@ EPOCHS, STEPS = 6, 40_000
 BATCH = 64
 BINS = 12
 
-_CLASSES = np.zeros((8, 256), dtype=np.int32)
-for _k, _bytes in enumerate((b"#*$%&|<>", b"!?", b".,;:", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"\n", bytes(range(0xC2, 0xF5)))):
+#: Lead bytes of UTF-8 by blocks of scripts.
+SCRIPTS = tuple(bytes(range(a, b)) for a, b in ((0xC3, 0xCA), (0xCD, 0xD5), (0xD5, 0xE3), (0xE3, 0xF5)))
+_CLASSES = np.zeros((8 + len(SCRIPTS), 256), dtype=np.int32)
+for _k, _bytes in enumerate((b"#*$%&|<>", b"!?", b".,;:", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"\n", bytes(range(0xC2, 0xF5)), *SCRIPTS)):
     _CLASSES[_k, list(_bytes)] = 1
-N_STATS = 14
+N_STATS = 14 + len(SCRIPTS)
 N_FEATURES = BUCKETS + N_STATS * BINS
 
 
@@ -67,7 +70,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total = np.concatenate([[0], np.cumsum(_CLASSES[k][data])])
         return total[starts[1:]] - total[starts[:-1]]
 
-    symbols, bangs, stops, upper, lower, digits, breaks, multi = (share(k) for k in range(8))
+    symbols, bangs, stops, upper, lower, digits, breaks, multi, *scripts = (share(k) for k in range(len(_CLASSES)))
     order = np.lexsort((word, row))
     r, w = row[order], word[order]
     new = np.ones(len(r), bool)
@@ -84,9 +87,12 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         _bin(symbols / w1, 3.0), _bin(bangs / w1, 2.0), _bin(stops / w1, 2.0), _bin(upper / np.maximum(upper + lower, 1)), _bin(digits / per), _bin(1 - kinds / w1),
         _bin(np.bincount(row[same], minlength=n) / w1), _bin(most / w1), _bin(lines / w1), _bin(multi / per), np.minimum(BINS - 1, np.log2(words + 1).astype(np.int64)),
         np.minimum(BINS - 1, np.log2(per / w1 + 1).astype(np.int64) * 2), np.minimum(BINS - 1, np.log2(lines).astype(np.int64)), np.minimum(BINS - 1, (np.log2(per) / 2).astype(np.int64)),
+        *(_bin(s / per, 0.5) for s in scripts),
     ]
     word_rows, buckets = r[new], (w[new] & np.uint64(BUCKETS - 1)).astype(np.int64)
     values = 1.0 / np.sqrt(np.maximum(kinds[word_rows], 1))
+    keys, at = np.unique(word_rows * BUCKETS + buckets, return_inverse=True)  # a bucket once a row: BUCKETS at most, however long the text
+    word_rows, buckets, values = keys // BUCKETS, keys % BUCKETS, np.bincount(at, weights=values, minlength=len(keys))
     stat_rows = np.repeat(np.arange(n), N_STATS)
     stat_features = BUCKETS + np.arange(N_STATS)[None, :] * BINS + np.stack(stats, axis=1)
     rows = np.concatenate([word_rows, stat_rows])

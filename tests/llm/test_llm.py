@@ -800,3 +800,17 @@ def test_training_rows_repeated_id(spark):
     labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.training_rows(df, labels, "toxic", lambda d: F.lit(True), "doc_id", "text", 10).collect()
     assert sorted(map(tuple, rows)) == [(1, "text 000", 1), (2, "", 0)]
+
+
+def test_quality_features_are_bounded():
+    """A text of very many different words has a feature a bucket at most, of the same weight in all; scripts are told apart."""
+    texts = [" ".join(f"w{i}" for i in range(200_000)), "a b a", "слово и слово", "言葉 と 言葉", None]
+    row, feature, x = quality_fm.features(textio.binary_column(pa.array(texts)))
+    for i in range(len(texts)):
+        own = feature[row == i]
+        assert len(set(own.tolist())) == len(own) <= quality_fm.N_FEATURES
+        words = own < quality_fm.BUCKETS
+        assert words.sum() <= quality_fm.BUCKETS
+    assert abs(float(x[(row == 0) & (feature < quality_fm.BUCKETS)].sum()) - 200_000 / math.sqrt(200_000)) < 0.1
+    scripts = [tuple(feature[(row == i) & (feature >= quality_fm.BUCKETS + 14 * quality_fm.BINS)].tolist()) for i in range(4)]
+    assert len(set(scripts)) == 3 and scripts[0] == scripts[1]
