@@ -220,6 +220,20 @@ def agreement(generated: DataFrame, logits: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("requests"), F.count_if(F.col("a") == F.col("b")).alias("agree"))
 
 
+def contract_tallies(generated: DataFrame, logits: DataFrame) -> DataFrame:
+    """One row: how many answers of each way can be read and are right, and how often both agree where both can be read.
+
+    Both have request_id, prediction and answer_index.
+    """
+    side = lambda df, name: df.select("request_id", F.col("prediction").cast("string").alias(name), F.col("answer_index").cast("string").alias(f"{name}_truth"))
+    both = side(generated, "said").join(side(logits, "picked"), "request_id", "full")
+    right = lambda c: F.count_if(F.coalesce(F.col(c) == F.col(f"{c}_truth"), F.lit(False)))
+    return both.agg(
+        F.count("*").alias("requests"), F.count("said").alias("said"), right("said").alias("said_right"), F.count("picked").alias("picked"), right("picked").alias("picked_right"),
+        F.count_if(F.col("said").isNotNull() & F.col("picked").isNotNull()).alias("both"), F.count_if(F.coalesce(F.col("said") == F.col("picked"), F.lit(False))).alias("agree"),
+    )
+
+
 def capability_gate(methods: DataFrame, models: DataFrame) -> DataFrame:
     """All registered (method, model) combinations with what is missing; both are small registries."""
     from probeforge.functions.text import missing_capabilities
@@ -240,11 +254,16 @@ class Run:
 
 
 def digests(items: DataFrame) -> dict[str, str]:
-    """The data block's hashes, each over the sorted different values or, for rows, over an order-free sum; none gathers rows."""
+    """The data block's hashes, each over the different values or, for rows, over all, as an order-free sum; one pass, nothing is gathered."""
     row = F.xxhash64(*(F.to_json(F.struct(c)) for c in sorted(items.columns))).cast("decimal(38,0)")
-    of = lambda df: df.agg(F.sha2(F.concat_ws("|", F.count("*"), F.coalesce(F.sum("h"), F.lit(0)).cast("string")), 256)).first()[0]
-    kinds = {"dataset_hash": None, "split_hash": ["sample_id", "split"], "concept_registry_hash": ["concept_id", "concept_name"], "probe_bank_hash": ["probe_id", "probe_family"], "prompt_bank_hash": ["prompt_variant_id"]}
-    return {k: of(items.select(row.alias("h"))) if cs is None else of(items.select(*cs).distinct().select(F.xxhash64(*cs).cast("decimal(38,0)").alias("h"))) for k, cs in kinds.items()}
+    kinds = {"split_hash": ["sample_id", "split"], "concept_registry_hash": ["concept_id", "concept_name"], "probe_bank_hash": ["probe_id", "probe_family"], "prompt_bank_hash": ["prompt_variant_id"]}
+    sums = [F.count("*").alias("n0"), F.sum(row).alias("s0")]
+    for i, columns in enumerate(kinds.values(), 1):
+        h = F.xxhash64(*columns).cast("decimal(38,0)")
+        sums += [F.count_distinct(h).alias(f"n{i}"), F.sum_distinct(h).alias(f"s{i}")]
+    r = items.agg(*sums).first()
+    sha = lambda i: hashlib.sha256(f"{r[f'n{i}']}|{r[f's{i}'] or 0}".encode()).hexdigest()
+    return {"dataset_hash": sha(0)} | {k: sha(i) for i, k in enumerate(kinds, 1)}
 
 
 def base_manifest(items: DataFrame, adapter: Adapter, method: Method, run_id: str, scope: str = "pilot", seed: int = 0, repository: dict | None = None, eligibility: dict | None = None) -> dict:

@@ -135,6 +135,14 @@ def imbalance(items: DataFrame, block: list[str] = list(BALANCE_BLOCK)) -> DataF
     return spread.where("most - least > 1")
 
 
+def option_positions(items: DataFrame, block: list[str] = list(BALANCE_BLOCK)) -> DataFrame:
+    """(block, n_choices, items, positions: how many answers stand at each option, spread) of MCQ items."""
+    counts = items.where("question_format = 'mcq'").groupBy(*block, F.size("choices").alias("n_choices"), "answer_index").agg(F.count("*").alias("n"))
+    by = counts.groupBy(*block, "n_choices").agg(F.sum("n").alias("items"), F.map_from_entries(F.collect_list(F.struct("answer_index", "n"))).alias("at"))  # an entry an option
+    positions = F.transform(F.sequence(F.lit(0), F.col("n_choices") - 1), lambda i: F.coalesce(F.col("at")[i], F.lit(0)))
+    return by.withColumn("positions", positions).withColumn("spread", F.array_max("positions") - F.array_min("positions")).drop("at")
+
+
 def missing_controls(items: DataFrame, pairing: str = "pairing_id") -> DataFrame:
     """Pairings without all core conditions, and which lack."""
     core = F.array(*(F.lit(c) for c in sorted(("normal_image", "no_image", "option_only", "shuffled_image"))))

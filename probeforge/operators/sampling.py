@@ -154,12 +154,16 @@ def four_options(options: Column, answer_index: Column, seed: int, key: Column)
     return F.when(four, options).otherwise(mixed), F.when(four, answer_index).otherwise(at)
 
 
-def attribute_choices(scores: str, labels: str, group: str, seed: int, key: Column, threshold: float = 0.3) -> tuple[Column, Column]:
-    """(choices, answer_index) of an attribute question: the best score's label and the next different ones; null below the threshold."""
+def attribute_choices(scores: str, labels: str, group: str, seed: int, key: Column, threshold: float = 0.3, pool: Column | None = None) -> tuple[Column, Column]:
+    """(choices, answer_index) of an attribute question: the best score's label and three others; null below the threshold or without three.
+
+    The others are the next different labels by score, then those of ``pool`` (the labels of all groups, in their order), then the group's extra ones.
+    """
+    more = pool if pool is not None else F.array().cast("array<string>")
     pairs = F.transform(F.arrays_zip(scores, labels), lambda x, i: F.struct((-x[scores]).alias("s"), i.alias("i"), x[labels].alias("l")))
     ranked = F.array_sort(pairs)
     best = ranked[0]["l"]
-    names = F.concat(F.transform(ranked, lambda x: x["l"]), F.array(*map(F.lit, EXTRA_DISTRACTORS.get(group, ()))).cast("array<string>"))
+    names = F.concat(F.transform(ranked, lambda x: x["l"]), more, F.array(*map(F.lit, EXTRA_DISTRACTORS.get(group, ()))).cast("array<string>"))
     low = F.transform(names, F.lower)
     others = F.slice(F.filter(names, lambda c, i: (F.array_position(low, F.lower(c)) == i + 1) & (F.lower(c) != F.lower(best))), 1, 3)
     choices, at = shuffled_choices(best, others, seed, key)
@@ -209,7 +213,12 @@ def unique_answers(answers: Column) -> Column:
 
 
 def short_answer_twins(items: DataFrame, probe_id: str, question: str | None = None) -> DataFrame:
-    """Short-answer forms of MCQ items, with ids of their own."""
+    """Short-answer forms of MCQ items with a normal image, with ids of their own; other items raise."""
+    bad = F.lit(False)
+    for column, value in (("question_format", "mcq"), ("input_condition", "normal_image")):
+        if column in items.columns:
+            bad = bad | ~F.col(column).eqNullSafe(F.lit(value))
+    require_none(items.where(bad).select(F.lit("not an MCQ item with a normal image").alias("rule"), F.col("sample_id").cast("string")), "short_answer_twins")
     out = items.withColumns(
         {
             "question_format": F.lit("short_answer"), "probe_id": F.lit(probe_id), "choices": F.lit(None).cast("array<string>"), "answer_index": F.lit(None).cast("int"),
@@ -252,6 +261,7 @@ def control_variants(items: DataFrame, seed: int, with_question_only: bool = Fal
     """
     bad = F.col("image").isNull() | ~F.col("input_condition").eqNullSafe(F.lit("normal_image"))
     require_none(items.where(bad).select(F.lit("not an item with a normal image").alias("rule"), "item_id"), "controls")
+    require_none(items.groupBy("item_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("item_id comes twice").alias("rule"), "item_id"), "controls")
     if with_question_only:
         require_none(items.where("question_format = 'mcq'").select(F.lit("question_only of an MCQ item").alias("rule"), "item_id"), "controls")
     require_none(derangement_violations(items, group), "controls")

@@ -142,3 +142,33 @@ def broken_items(spark, d):
     rows = items.select(*(broken(*changed[c], c) if c in changed else c for c in items.columns))
     named = rows.select(F.explode(item_errors()).alias("error")).where(F.col("error").isin(*_BROKEN_ERRORS))
     return named.groupBy("error").agg(F.count("*").alias("n"))
+
+
+@register(f"""SELECT count(*) AS requests, count(*) FILTER (said) AS said, count(*) FILTER (said AND fine) AS said_right, count(*) FILTER (picked) AS picked, count(*) FILTER (picked AND fine) AS picked_right, count(*) FILTER (said AND picked) AS both, count(*) FILTER (said AND picked) AS agree
+  FROM (SELECT item_seq % 13 <> 0 AND item_seq % 7 <> 0 AS said, item_seq % 11 <> 0 AS picked, item_seq % 3 <> 0 AS fine FROM ({_RUN}))""")
+def contract_tallies(spark, d):
+    """Answers of both ways of an adapter that errs, told apart by what can be read, is right and agrees."""
+    items = _run_items(spark, d)
+    said = I.evaluate(items, erring_adapter(), run_id="run").records
+    picked = I.score_option_requests(I.requests(items, "run"), erring_adapter())
+    return I.contract_tallies(said, picked)
+
+
+@register(f"SELECT wnid, CAST(2 AS INT) AS n_choices, count(*) AS items, concat(count(*) FILTER (item_seq % 3 = 0), ',', count(*) FILTER (item_seq % 3 <> 0)) AS positions, abs(count(*) FILTER (item_seq % 3 = 0) - count(*) FILTER (item_seq % 3 <> 0)) AS spread FROM ({_RUN}) GROUP BY 1")
+def option_positions(spark, d):
+    """Where the answers stand among the options of each concept."""
+    from probeforge.operators.quality import option_positions as positions
+
+    items = _run_items(spark, d).withColumn("answer_index", F.when(F.col("item_id").cast("long") % 3 == 0, 0).otherwise(1))
+    return positions(items, ["concept_id"]).select(F.col("concept_id").alias("wnid"), "n_choices", "items", F.array_join(F.transform("positions", lambda n: n.cast("string")), ",").alias("positions"), "spread")
+
+
+@register("""SELECT p_partkey, CASE WHEN p_size % 10 >= 3 THEN array_to_string(list_sort(list_append(list_filter(['small', 'large', 'red', 'blue', 'tiny'], lambda x: x <> lower(p_brand))[1:3], lower(p_brand))), '|') END AS choices FROM part""")
+def padded_choices(spark, d):
+    """Attribute questions of one label, padded from the labels of other groups."""
+    from probeforge.operators.sampling import attribute_choices
+
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array(F.lower("p_brand")).alias("labels"), F.array((F.col("p_size") % 10) / 10).alias("scores"))
+    pool = F.array(*map(F.lit, ("small", "LARGE", "large", "red", "blue")))
+    choices, at = attribute_choices("scores", "labels", "size", 7, F.col("p_partkey").cast("string"), 0.3, pool)
+    return p.select("p_partkey", F.array_join(F.array_sort(F.transform(choices, lambda c: F.lower(c))), "|").alias("choices"))

@@ -186,9 +186,13 @@ def forget_classes(path: str) -> list[str]:
     return sorted({x["class"] if isinstance(x, dict) else x for x in (doc["forget_classes"] if isinstance(doc, dict) else doc)})
 
 
-def resolved_forget_classes(items: DataFrame, given: list[str] | None = None, cls: str = "forget_concept") -> list[str]:
-    """The given classes, else the different non-empty concepts of test_forget, sorted (a registry-sized list)."""
-    return given or sorted(r[0] for r in items.where(f"split = 'test_forget' and {cls} <> ''").select(cls).distinct().collect())
+def resolved_forget_classes(items: DataFrame, given: list[str] | None = None, cls: str = "forget_concept", path: str | None = None) -> list[str]:
+    """The classes of a list file, else the given ones, else the different non-empty concepts of test_forget, sorted (a registry-sized list); none raise."""
+    found = forget_classes(path) if path else given
+    found = found or sorted(r[0] for r in items.where(f"split = 'test_forget' and {cls} <> ''").select(cls).distinct().collect())
+    if not found:
+        raise ConstraintError("forget classes", ["no list file, no given class and no concept of test_forget"])
+    return found
 
 
 def metrics_files(spark: SparkSession, glob: str) -> DataFrame:

@@ -20,9 +20,14 @@ def write_jsonl(df: DataFrame, path: str, public_only: bool = False, single_file
 
 
 def write_pool(df: DataFrame, path: str, reasons: str = "reasons") -> None:
-    """Accepted items and, beside them, rejects with their reasons."""
+    """Accepted items and, beside them, rejects with their reasons, and ``stats.json``: counts, the reject rate and the most frequent reasons."""
     write_jsonl(df.where(F.size(reasons) == 0).drop(reasons), f"{path}/all")
     write_jsonl(df.where(F.size(reasons) > 0).select(reasons, F.struct(*(c for c in df.columns if c != reasons)).alias("item")), f"{path}/rejects")
+    counts = df.agg(F.count("*").alias("processed"), F.count_if(F.size(reasons) == 0).alias("accepted")).first()
+    top = df.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(5).collect()
+    rejected = counts["processed"] - counts["accepted"]
+    stats = counts.asDict() | {"rejected": rejected, "reject_rate": rejected / counts["processed"] if counts["processed"] else None, "top_reasons": {r["reason"]: r["n"] for r in top}}
+    write_document(df.sparkSession, f"{path}/stats.json", stats)
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:

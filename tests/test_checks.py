@@ -94,3 +94,31 @@ def test_count_shortfalls(spark):
     registry = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "concept_id string")
     got = Q.count_shortfalls(items, registry, [("mcq", "normal_image", 3), ("mcq", "no_image", 1)])
     assert sorted(map(tuple, got.collect())) == [("a", "mcq", "no_image", 1, 0), ("b", "mcq", "normal_image", 3, 0), ("c", "mcq", "no_image", 1, 0), ("c", "mcq", "normal_image", 3, 0)]
+
+
+def test_attribute_padding_and_preconditions(spark, tmp_path):
+    import json
+
+    from probeforge.operators import sampling as S
+    from probeforge.sources import readers, writers
+
+    rows = [("a", [0.9, 0.5], ["Red", "blue"]), ("b", [0.2], ["x"]), ("c", [0.9], ["Small"])]
+    df = spark.createDataFrame(rows, "k string, s array<double>, l array<string>")
+    c, at = S.attribute_choices("s", "l", "color", 1, F.col("k"), pool=F.array(*map(F.lit, ("RED", "Blue", "green", "oval", "long"))))
+    got = {r["k"]: r for r in df.select("k", c.alias("c"), at.alias("at")).collect()}
+    assert sorted(got["a"]["c"]) == ["Red", "blue", "green", "oval"] and got["a"]["c"][got["a"]["at"]] == "Red" and got["b"]["c"] is None
+    assert sorted(got["c"]["c"]) == ["Blue", "RED", "Small", "green"]
+    c, _ = S.attribute_choices("s", "l", "size", 1, F.col("k"))
+    assert sorted(df.where("k = 'c'").select(c.alias("c")).first()["c"]) == ["Small", "huge", "tiny", "very large"]
+    item = spark.createDataFrame([("s1", "short_answer", "normal_image"), ("s2", "mcq", "normal_image")], "sample_id string, question_format string, input_condition string")
+    with pytest.raises(ConstraintError, match="short_answer_twins"):
+        S.short_answer_twins(item, "p")
+    items = spark.createDataFrame([("test_forget", "b"), ("test_forget", "a"), ("test_forget", ""), ("train_forget", "c")], "split string, forget_concept string")
+    (tmp_path / "f.json").write_text('["z", "y"]')
+    assert readers.resolved_forget_classes(items) == ["a", "b"] and readers.resolved_forget_classes(items, ["q"]) == ["q"]
+    assert readers.resolved_forget_classes(items, ["q"], path=str(tmp_path / "f.json")) == ["y", "z"]
+    with pytest.raises(ConstraintError, match="forget classes"):
+        readers.resolved_forget_classes(items.where("split = 'none'"))
+    pool = spark.createDataFrame([(1, []), (2, ["bad"]), (3, ["bad", "worse"])], "id int, reasons array<string>")
+    writers.write_pool(pool, str(tmp_path / "pool"))
+    assert json.loads((tmp_path / "pool" / "stats.json").read_text()) == {"processed": 3, "accepted": 1, "rejected": 2, "reject_rate": 2 / 3, "top_reasons": {"bad": 2, "worse": 1}}
