@@ -462,13 +462,22 @@ def rendered_prompts(spark, d):
     return view(spark, d, V.ITEM).select("item_seq", X.render_prompt(F.lit("mcq"), F.concat(F.lit("What is "), "class_name", F.lit("?")), F.array("class_name", "superclass")).alias("prompt"))
 
 
-@register("""SELECT m.method_id, o.model_id, array_to_string(list_sort(list_filter(m.req, lambda x: NOT list_contains(o.caps, x))), ',') AS missing, len(list_filter(m.req, lambda x: NOT list_contains(o.caps, x))) = 0 AS supported
-  FROM (VALUES ('noop', CAST([] AS VARCHAR[])), ('grad', ['supports_gradients', 'supports_weight_updates']), ('filter', ['supports_output_filtering'])) m(method_id, req) CROSS JOIN (VALUES ('api', ['supports_output_filtering']), ('open', ['supports_gradients', 'supports_weight_updates'])) o(model_id, caps)""")
+_METHODS = "SELECT DISTINCT p_brand AS method_id, length(p_brand) + CAST(right(p_brand, 1) AS INT) AS kind FROM part"
+_MODELS = "SELECT n_name AS model_id, n_nationkey % 3 AS kind FROM nation"
+
+
+@register(f"""WITH m AS (SELECT method_id, CASE kind % 4 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['supports_gradients'] WHEN 2 THEN ['supports_weight_updates', 'supports_gradients'] ELSE ['supports_output_filtering'] END AS req FROM ({_METHODS})),
+  o AS (SELECT model_id, CASE kind WHEN 0 THEN ['supports_gradients'] WHEN 1 THEN ['supports_output_filtering'] ELSE ['supports_gradients', 'supports_weight_updates', 'supports_output_filtering'] END AS caps FROM ({_MODELS}))
+  SELECT method_id, model_id, array_to_string(list_sort(list_filter(req, lambda x: NOT list_contains(caps, x))), ',') AS missing, len(list_filter(req, lambda x: NOT list_contains(caps, x))) = 0 AS supported FROM m CROSS JOIN o""")
 def capability_gate(spark, d):
+    """Every registered method with every registered model, and what is missing; a capability that is null or stated false is missing."""
     from probeforge.operators.inference import capability_gate as gate
 
-    methods = spark.createDataFrame([("noop", []), ("grad", ["supports_gradients", "supports_weight_updates"]), ("filter", ["supports_output_filtering"])], "method_id string, required_capabilities array<string>")
-    models = spark.createDataFrame([("api", {"supports_output_filtering": True}), ("open", {"supports_gradients": True, "supports_weight_updates": True, "supports_output_filtering": False})], "model_id string, capabilities map<string, boolean>")
+    k = F.col("kind") % 4
+    need = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("supports_gradients"))).when(k == 2, F.array(F.lit("supports_weight_updates"), F.lit("supports_gradients"))).otherwise(F.array(F.lit("supports_output_filtering")))
+    have = F.create_map(F.lit("supports_gradients"), F.col("kind") != 1, F.lit("supports_weight_updates"), F.when(F.col("kind") == 2, True), F.lit("supports_output_filtering"), F.col("kind") > 0)
+    methods = view(spark, d, _METHODS).select("method_id", need.alias("required_capabilities"))
+    models = view(spark, d, _MODELS).select("model_id", have.alias("capabilities"))
     return gate(methods, models).select("method_id", "model_id", F.array_join("missing", ",").alias("missing"), "supported")
 
 
