@@ -446,7 +446,7 @@ _ANN = "SELECT l_orderkey AS image_id, l_partkey AS category_id, CAST(l_extended
 @register(f"""WITH a AS (SELECT * FROM ({_ANN}) WHERE NOT iscrowd), p AS (SELECT image_id, count(*) AS n, list_sort(list(DISTINCT category_id)) AS cats, max(area) AS area FROM a GROUP BY 1 HAVING count(*) <= 3)
   SELECT p.image_id, p.area, len(cats) AS n_categories FROM p JOIN (SELECT o_orderkey AS image_id, CAST(CAST(o_totalprice AS INT) AS DOUBLE) * 10 AS px FROM orders) i ON i.image_id = p.image_id WHERE px > 0 AND area >= 0.02 * px""")
 def single_label_policy(spark, d):
-    images = view(spark, d, "SELECT o_orderkey AS image_id, CAST(o_totalprice AS INT) AS width, 10 AS height FROM orders")
+    images = view(spark, d, "SELECT o_orderkey AS image_id, CAST(rint(o_totalprice) AS INT) AS width, 10 AS height FROM orders")  # DuckDB rounds, Spark cuts off
     return Q.single_label(view(spark, d, _ANN), images, single=False).select("image_id", "area", F.size("categories").cast("bigint").alias("n_categories"))
 
 
