@@ -159,16 +159,17 @@ def attribute_choices(scores: str, labels: str, group: str, seed: int, key: Colu
 
     The others are the next different labels by score, then those of ``pool`` (the labels of all groups, in their order), then the group's extra ones.
     """
+    once = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  names a value, which is made once a row and not once a use
     more = pool if pool is not None else F.array().cast("array<string>")
     pairs = F.transform(F.arrays_zip(scores, labels), lambda x, i: F.struct((-x[scores]).alias("s"), i.alias("i"), x[labels].alias("l")))
-    ranked = F.array_sort(pairs)
-    best = ranked[0]["l"]
-    names = F.concat(F.transform(ranked, lambda x: x["l"]), more, F.array(*map(F.lit, EXTRA_DISTRACTORS.get(group, ()))).cast("array<string>"))
-    low = F.transform(names, F.lower)
-    others = F.slice(F.filter(names, lambda c, i: (F.array_position(low, F.lower(c)) == i + 1) & (F.lower(c) != F.lower(best))), 1, 3)
-    choices, at = shuffled_choices(best, others, seed, key)
-    fine = (-ranked[0]["s"] >= threshold) & (F.size(others) == 3)
-    return F.when(fine, choices), F.when(fine, at)
+    extra = F.array(*map(F.lit, EXTRA_DISTRACTORS.get(group, ()))).cast("array<string>")
+    named = once(F.array_sort(pairs), lambda r: F.struct(r[0]["l"].alias("best"), (-r[0]["s"]).alias("top"), F.concat(F.transform(r, lambda x: x["l"]), more, extra).alias("names")))
+    lowered = once(named, lambda n: F.struct(n["best"].alias("best"), n["top"].alias("top"), n["names"].alias("names"), F.transform(n["names"], F.lower).alias("low"), F.lower(n["best"]).alias("low_best")))
+    different = lambda n: F.filter(n["names"], lambda c, i: (F.array_position(n["low"], F.lower(c)) == i + 1) & (F.lower(c) != n["low_best"]))
+    picked = once(lowered, lambda n: F.struct(n["best"].alias("best"), n["top"].alias("top"), F.slice(different(n), 1, 3).alias("others")))
+    mixed = once(picked, lambda p: F.struct(p["best"].alias("best"), ((p["top"] >= threshold) & (F.size(p["others"]) == 3)).alias("fine"), shuffled_choices(p["best"], p["others"], seed, key)[0].alias("choices")))
+    made = once(mixed, lambda m: F.when(m["fine"], F.struct(m["choices"].alias("choices"), (F.array_position(m["choices"], m["best"]) - 1).cast("int").alias("at"))))
+    return made["choices"], made["at"]
 
 
 def randomize_options(items: DataFrame, seed: int, block: list[str], item: str = "item_id") -> DataFrame:

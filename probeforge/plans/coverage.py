@@ -15,7 +15,7 @@ from probeforge.operators import scoring as R
 from probeforge.plans import views as V
 from probeforge.plans.catalogue import _sql, register
 from probeforge.plans.views import view
-from probeforge.sources.writers import shared_folder, staged
+from probeforge.sources.writers import shared_folder, spread, staged
 from probeforge.streaming import metrics as M
 from probeforge.streaming.state import keyed_state_store, tracked_leakage
 
@@ -216,7 +216,7 @@ SCORED = "SELECT p_partkey, CAST(p_partkey % 10 AS DOUBLE) / 10 AS a, CAST(p_par
   f AS (SELECT p_partkey, max(s) AS top, arg_min(lower(l), -s * 100 + i) AS answer FROM u GROUP BY 1)
   SELECT p_partkey, answer FROM f WHERE top >= 0.3""")
 def attribute_choices(spark, d):
-    s = view(spark, d, SCORED).select("p_partkey", F.array("a", "b", "c", "d").alias("scores"), F.array(*map(F.lit, ("red", "blue", "Red", "green"))).alias("labels"))
+    s = spread(view(spark, d, SCORED), "p_partkey").select("p_partkey", F.array("a", "b", "c", "d").alias("scores"), F.array(*map(F.lit, ("red", "blue", "Red", "green"))).alias("labels"))
     choices, at = S.attribute_choices("scores", "labels", "size", 7, F.col("p_partkey").cast("string"))
     out = s.withColumns({"choices": choices, "at": at}).where("choices is not null")
     return out.select("p_partkey", F.lower(F.element_at("choices", F.col("at") + 1)).alias("answer"))

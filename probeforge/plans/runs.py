@@ -10,7 +10,7 @@ from probeforge.operators import sharded as H
 from probeforge.plans.catalogue import register
 from probeforge.plans.coverage import _RUN, _run_items
 from probeforge.sources import hashed_lines as J
-from probeforge.sources.writers import shared_folder
+from probeforge.sources.writers import shared_folder, spread
 
 
 def erring_adapter(lost_shard: int | None = None) -> I.Adapter:
@@ -168,7 +168,7 @@ def padded_choices(spark, d):
     """Attribute questions of one label, padded from the labels of other groups."""
     from probeforge.operators.sampling import attribute_choices
 
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array(F.lower("p_brand")).alias("labels"), F.array((F.col("p_size") % 10) / 10).alias("scores"))
+    p = spread(spark.read.parquet(f"{d}/part.parquet"), "p_partkey").select("p_partkey", F.array(F.lower("p_brand")).alias("labels"), F.array((F.col("p_size") % 10) / 10).alias("scores"))
     pool = F.array(*map(F.lit, ("small", "LARGE", "large", "red", "blue")))
     choices, at = attribute_choices("scores", "labels", "size", 7, F.col("p_partkey").cast("string"), 0.3, pool)
     return p.select("p_partkey", F.array_join(F.array_sort(F.transform(choices, lambda c: F.lower(c))), "|").alias("choices"))

@@ -77,6 +77,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}-{name}"
 
 
+#: Rows of wide records that are one task's work.
+SPREAD_ROWS = 20_000
+
+
+def spread(df: DataFrame, *key: str, rows: int | None = None) -> DataFrame:
+    """``df`` dealt by ``key`` to tasks of about ``rows`` rows: a file of few bytes and many rows is otherwise read, and worked on, by one task."""
+    parts = -(-df.count() // (rows or SPREAD_ROWS))
+    return df.repartition(parts, *key) if parts > 1 else df
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the items, by a shuffle: few bytes on disk can be millions of rows, too many to broadcast."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in ``folder``, else in a shared folder, and read again."""
     spark = df.sparkSession

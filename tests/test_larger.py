@@ -35,3 +35,16 @@ def test_ids_that_collide_keep_their_images(spark):
     assert len({r["id"] for r in rows}) == 2 and [r["reasons"] for r in rows] == [[]] * 3
     asked = samples.withColumns({"question": F.lit("q?"), "choices": F.array(F.lit("left"), F.lit("right")), "answer_index": F.lit(1), "forgetting_level": F.lit("attribute"), "concept_axis": F.lit("spatial")})
     assert [r["reasons"] for r in O.build_prebuilt(asked, "d").collect()] == [[]] * 3
+
+
+def test_small_files_are_dealt_and_choices_made_once(spark):
+    from probeforge.operators.sampling import attribute_choices
+    from probeforge.sources.writers import spread
+
+    assert spread(spark.range(100, numPartitions=1), "id", rows=10).rdd.getNumPartitions() == 10
+    df = spark.createDataFrame([(["red", "Blue", "green", "RED", "tan"], [0.2, 0.9, 0.5, 0.7, 0.1], "k"), (["a", "b", "c", "d"], [0.1] * 4, "k")], "labels array<string>, scores array<double>, k string")
+    choices, at = attribute_choices("scores", "labels", "color", 1, F.col("k"))
+    made = df.select(choices.alias("choices"), at.alias("at"))
+    a, b = made.collect()
+    assert a["choices"][a["at"]] == "Blue" and sorted(a["choices"]) == ["Blue", "RED", "green", "tan"] and b["choices"] is None and b["at"] is None
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("array_sort") <= 4  # 40 and more if each use sorts anew
