@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probeforge.functions.text import hex_int
+from probeforge.sources.writers import staged
 
 
 def percentile_rank(values: list[float], q: float) -> float:
@@ -19,6 +20,39 @@ def percentile_rank(values: list[float], q: float) -> float:
     return values[low] + (values[high] - values[low]) * (at - low)
 
 
+#: Different values of a part of ``percentiles``.
+PART_VALUES = 200_000
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], part_values: int | None = None) -> DataFrame:
+    """By group the exact percentiles ``shares`` (column: q), interpolated at q (n - 1); nulls do not count.
+
+    Different values with their counts are dealt by ranges of (keys, value); sums of these ranges tell which of them hold the wanted
+    places, and only in those are rows numbered. No task holds more than a range, whatever a group's size.
+    """
+    counts = staged(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k")), "percentile-counts")
+    parts = max(1, -(-counts.count() // (part_values or PART_VALUES)))
+    placed = staged(counts.repartitionByRange(parts, *keys, "_v").withColumn("_p", F.spark_partition_id()), "percentile-ranges")
+    upto, whole = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+    sizes = placed.groupBy(*keys, "_p").agg(F.sum("_k").alias("_s")).select("*", (F.sum("_s").over(upto) - F.col("_s")).alias("_begin"), F.sum("_s").over(whole).alias("_n"))  # a row a range and group
+    place = lambda q: F.lit(q) * (F.col("_n") - 1)
+    holds = F.lit(False)
+    for q in shares.values():
+        holds = holds | ((F.ceil(place(q)) >= F.col("_begin")) & (F.floor(place(q)) < F.col("_begin") + F.col("_s")))
+    wanted = sizes.where(holds).select(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(keys)), F.col("_p").alias("_wp"), "_begin", "_n")
+    same = F.col("_p") == F.col("_wp")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    rows = placed.join(F.broadcast(wanted), same)  # at most two ranges a group and share
+    end = F.col("_begin") + F.sum("_k").over(Window.partitionBy(*keys, "_p").orderBy("_v"))
+    rows = rows.withColumn("_end", end)
+    at = lambda r: F.max(F.when((F.col("_end") - F.col("_k") <= r) & (r < F.col("_end")), F.col("_v")))
+    ends = [x for name, q in shares.items() for x in (at(F.floor(place(q))).alias(f"_low_{name}"), at(F.ceil(place(q))).alias(f"_high_{name}"))]
+    found = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), *ends)
+    between = lambda name, q: F.when(F.floor(place(q)) == F.ceil(place(q)), F.col(f"_low_{name}")).otherwise((F.ceil(place(q)) - place(q)) * F.col(f"_low_{name}") + (place(q) - F.floor(place(q))) * F.col(f"_high_{name}"))
+    return found.select(*keys, *(between(name, q).alias(name) for name, q in shares.items()))
+
+
 #: Counts up to which Poisson numbers come from their exact distribution; beyond, from the normal one, corrected for skew.
 SMALL_COUNT = 64
 

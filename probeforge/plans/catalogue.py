@@ -231,8 +231,7 @@ def paired_bootstrap(spark, d):
 
 @register("SELECT l_returnflag, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.025) AS low, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.975) AS high FROM lineitem GROUP BY 1")
 def percentile_interpolation(spark, d):
-    x = F.col("l_extendedprice").cast("double")
-    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(F.percentile(x, F.lit(0.025)).alias("low"), F.percentile(x, F.lit(0.975)).alias("high"))
+    return B.percentiles(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_returnflag"], "l_extendedprice", {"low": 0.025, "high": 0.975})
 
 
 _LEG = f"""SELECT split, condition, CAST(sum(n) AS BIGINT) AS n, avg(CAST(k AS DOUBLE) / n) AS macro_accuracy, CAST(sum(k) AS DOUBLE) / sum(n) AS micro_accuracy, CAST(sum(i) AS DOUBLE) / sum(n) AS invalid_rate

@@ -48,3 +48,15 @@ def test_small_files_are_dealt_and_choices_made_once(spark):
     a, b = made.collect()
     assert a["choices"][a["at"]] == "Blue" and sorted(a["choices"]) == ["Blue", "RED", "green", "tan"] and b["choices"] is None and b["at"] is None
     assert made._jdf.queryExecution().optimizedPlan().toString().count("array_sort") <= 4  # 40 and more if each use sorts anew
+
+
+def test_percentiles_by_ranges(spark):
+    from probeforge.operators.statistics import percentiles
+
+    rows = [(g, float(v % m)) for g, n, m in (("a", 500, 90), ("b", 400, 1), (None, 101, 1000)) for v in range(n)] + [("a", None), ("c", None), ("d", -3.5)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = {"low": 0.025, "mid": 0.5, "top": 1.0}
+    want = df.where("x is not null").groupBy("g").agg(*(F.percentile("x", F.lit(q)).alias(n) for n, q in shares.items()))
+    order = lambda d: sorted(((r["g"] or "", *(round(r[n], 9) for n in shares)) for r in d.collect()))
+    assert order(percentiles(df, ["g"], "x", shares, part_values=7)) == order(want)
+    assert len(percentiles(df, [], "x", shares, part_values=7).collect()) == 1
