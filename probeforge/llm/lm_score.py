@@ -18,9 +18,10 @@ context as often as it stands in the texts, so one count of bigrams gives all of
 
 Size. The filter is made in shards, each by the task that counts its bigrams, whose number follows the text's
 bytes. All shards and the token table (hash, c, S, T) are broadcast if together they are within ``max_bytes``, which is known
-exactly before anything is gathered. Beyond, nothing that grows is broadcast: each text's distinct bigrams are
-probed in the same shards, each shard in a task with the bigrams that belong to it, and join the token table by shuffles, of
-which keys that more than 1/4096 of the rows have are split off and broadcast (4096 at most). Both ways probe the
+exactly before anything is gathered. Beyond, the texts are read in several passes, each with the table and a group of shards that
+fit together; a score is a sum over bigrams, so the passes' parts, a few numbers a row, add up to it. If the table leaves no room for that
+(or for over MAX_PASSES passes), nothing that grows is broadcast: each text's distinct bigrams are probed in the same shards, each shard in a task with the bigrams that belong to it, and join the token table by shuffles, of
+which keys that more than 1/4096 of the rows have are split off and broadcast (4096 at most). All ways probe the
 same bits, so scores are the same at every size (to the rounding of sums).
 
 Tokens are told apart by 64-bit hashes. Null text counts as empty (one end). Repeated rows are learned from and
@@ -56,6 +57,8 @@ SHARDS = (4, 65_536)
 MERGED_ROWS = 1_000_000
 #: Bytes up to which filter and token table are broadcast.
 MAX_BYTES = 384 << 20
+#: Passes over the texts, at most, before bigrams are shuffled instead.
+MAX_PASSES = 16
 #: A key is hot beyond this share of the rows.
 HOT_SHARE = 4096
 
@@ -192,7 +195,9 @@ def _quantised(rank: np.ndarray, least: int) -> np.ndarray:
 class Model:
     """Counts (``n`` tokens, ``v`` different), sorted token table and bigram filter."""
 
-    def __init__(self, n: int, v: int, table: tuple[np.ndarray, ...], counts: CountFilter, starts: tuple[float, float, float], least: int = MIN_COUNT):
+    def __init__(self, n: int, v: int, table: tuple[np.ndarray, ...], counts: CountFilter, starts: tuple[float, float, float], least: int = MIN_COUNT, group: tuple[int, int] | None = None):
+        """``group``: only bigrams of these shards (first, end) are added to a score."""
+        self.group = group
         self.n, self.v, self.table, self.counts, self.starts, self.least = n, v, table, counts, starts, least
 
     def score(self, row: np.ndarray, token: np.ndarray, context: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
@@ -213,9 +218,16 @@ class Model:
         rest = seen - total + kinds + 1
         pair, at = np.unique(before * m + back, return_inverse=True)
         u, w = pair // m, pair % m
-        quantised = _quantised(self.counts.ranks(bigram(np.append(distinct, START)[u], distinct[w])), self.least)
+        h = bigram(np.append(distinct, START)[u], distinct[w])
+        mine = slice(None)
+        if self.group:
+            own = shard_of(h, self.counts.number)
+            mine = (own >= self.group[0]) & (own < self.group[1])
+        h, u, w = h[mine], u[mine], w[mine]
+        quantised = _quantised(self.counts.ranks(h), self.least)
         quantised = np.minimum(quantised, total[u])  # a false positive cannot exceed its context
-        p = np.log10((quantised + rest[u] * p1[w]) / (total[u] + rest[u]))
+        p = np.zeros(len(pair))
+        p[mine] = np.log10((quantised + rest[u] * p1[w]) / (total[u] + rest[u]))
         add = lambda x: np.bincount(row, weights=x, minlength=rows)
         return np.bincount(row, minlength=rows), add((known > 0)[back].astype(float)).astype(np.int64), add(np.log10(p1)[back]), add(p[at])
 
@@ -285,9 +297,46 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     filters = counts.where("shard is not null").select("shard", "words")
     size = filters.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     if 24 * v + size > max_bytes:
-        return _sharded_scores(plain, n, v, table, filters, shards, starts, min_count)
-    model = _gathered(n, v, table, filters, shards, starts, min_count)
-    shared = spark.sparkContext.broadcast(model)
+        groups = _groups(filters, max_bytes - 24 * v)
+        if len(groups) > MAX_PASSES or not groups:
+            return _sharded_scores(plain, n, v, table, filters, shards, starts, min_count)
+        return _scores_in_passes(plain, n, v, table, filters, shards, starts, min_count, groups)
+    return _scored(plain, spark.sparkContext.broadcast(_gathered(n, v, table, filters, shards, starts, min_count)))
+
+
+def _groups(filters: DataFrame, room: int) -> list[tuple[int, int]]:
+    """(first, end) of groups of shards that fit into ``room`` bytes; none if a shard does not."""
+    out, held = [], 0
+    for r in filters.select("shard", F.octet_length("words").alias("size")).orderBy("shard").collect():  # a row a shard, SHARDS[1] at most
+        if r["size"] > room:
+            return []
+        if not out or held + r["size"] > room:
+            out.append((out[-1][1] if out else 0, r["shard"] + 1))
+            held = 0
+        out[-1] = (out[-1][0], r["shard"] + 1)
+        held += r["size"]
+    return out
+
+
+def _scores_in_passes(plain: DataFrame, n: int, v: int, table: DataFrame, filters: DataFrame, shards: int, starts: tuple[float, float, float], least: int, groups: list[tuple[int, int]]) -> DataFrame:
+    """A pass over the texts for each group of shards; equal rows are added up together and told apart again by their number."""
+    parts = None
+    for first, end in groups:
+        model = _gathered(n, v, table, filters.where((F.col("shard") >= first) & (F.col("shard") < end)), shards, starts, least)
+        model.group = first, end
+        shared = plain.sparkSession.sparkContext.broadcast(model)
+        one = staged(_scored(plain, shared, numbered=True), "lm-pass")
+        shared.destroy()
+        del model
+        parts = one if parts is None else parts.unionByName(one)
+    copies = F.count("*") / len(groups)
+    out = parts.groupBy("doc_id", "text_hash", "n_tokens", "n_known", "train_tokens").agg(F.max("base_score").alias("base_score"), (F.sum("score") / copies).alias("score"), F.array_repeat(F.lit(0), copies.cast("int")).alias("copies"))
+    return out.withColumn("copy", F.explode("copies")).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _scored(plain: DataFrame, shared, numbered: bool = False) -> DataFrame:
+    """The rows scored by a model that is broadcast; ``numbered``: with a hash of their text."""
+    rows = plain.withColumn("text_hash", F.xxhash64("text")) if numbered else plain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -296,9 +345,11 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
             for a, b in slices(column, 1 << 19):
                 found = m.score(*tokens(column.slice(a, b - a)), b - a)
                 n_tokens, known, base, score = map(pa.array, found)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n_tokens, known, pa.array(np.full(b - a, m.n, np.int64)), base, score], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                more = [batch.column(2).slice(a, b - a)] if numbered else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n_tokens, known, pa.array(np.full(b - a, m.n, np.int64)), base, score, *more], names=[*names, "text_hash"][: 6 + len(more)])
 
-    return plain.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + (", text_hash bigint" if numbered else ""))
 
 
 def _gathered(n: int, v: int, table: DataFrame, filters: DataFrame, shards: int, starts: tuple[float, float, float], least: int) -> Model:

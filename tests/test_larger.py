@@ -60,3 +60,22 @@ def test_percentiles_by_ranges(spark):
     order = lambda d: sorted(((r["g"] or "", *(round(r[n], 9) for n in shares)) for r in d.collect()))
     assert order(percentiles(df, ["g"], "x", shares, part_values=7)) == order(want)
     assert len(percentiles(df, [], "x", shares, part_values=7).collect()) == 1
+
+
+def test_scores_in_passes(spark, monkeypatch):
+    """A model beyond the limit is met in passes by groups of shards, without shuffling the texts' bigrams."""
+    from probeforge.llm import lm_score as S
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(5))  # rows that stand twice
+    train = F.col("doc_id") % 5 != 1
+    want = sorted(map(tuple, S.lm_scores(docs, train, min_count=1).collect()))
+    counts, _ = S.train_counts(docs.where(train).select("text"), 1)
+    size, largest = counts.where("shard is not null").agg(F.sum(F.octet_length("words")), F.max(F.octet_length("words"))).first()
+    v = counts.where("u is not null").select("u").distinct().count()
+    assert size > 2 * largest
+    monkeypatch.setattr(S, "_sharded_scores", None)
+    got = sorted(map(tuple, S.lm_scores(docs, train, max_bytes=24 * v + 2 * largest, min_count=1).collect()))
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-9 * abs(b[4]) and abs(a[5] - b[5]) < 1e-9 * abs(b[5])
