@@ -20,7 +20,7 @@ from probeforge.operators.quality import item_errors, response_violations
 from probeforge.operators.scoring import score_logits, score_responses
 from probeforge.schema import VERSION, CapabilityMismatch, require_none
 from probeforge.sources.hashed_lines import content_of, read_hashed_lines, write_hashed_lines
-from probeforge.sources.writers import staged, write_document
+from probeforge.sources.writers import matched, spread, staged, write_document
 
 RESPONSE = "request_id string, raw_output string, error_status string, error_detail string, latency_ms double"
 
@@ -210,13 +210,13 @@ def infer_options(reqs: DataFrame, adapter: Adapter, batch_size: int = 64) -> Da
 
 def score_option_requests(reqs: DataFrame, adapter: Adapter) -> DataFrame:
     """MCQ requests answered and scored by the logit path."""
-    asked = reqs.where(F.col("question_format") == "mcq")
-    return asked.join(infer_options(asked, adapter), "request_id").withColumn("score", score_logits("logits", "answer_index")).select("*", "score.*").drop("score")
+    asked = staged(spread(reqs.where(F.col("question_format") == "mcq"), "request_id"), "option-requests")
+    return matched(asked, infer_options(asked, adapter), "request_id").withColumn("score", score_logits("logits", "answer_index")).select("*", "score.*").drop("score")
 
 
 def agreement(generated: DataFrame, logits: DataFrame) -> DataFrame:
     """How often the two answer paths agree, joined by request."""
-    both = generated.select("request_id", F.col("prediction").alias("a")).join(logits.select("request_id", F.col("prediction").alias("b")), "request_id")
+    both = matched(generated.select("request_id", F.col("prediction").alias("a")), logits.select("request_id", F.col("prediction").alias("b")), "request_id")
     return both.agg(F.count("*").alias("requests"), F.count_if(F.col("a") == F.col("b")).alias("agree"))
 
 
@@ -289,13 +289,14 @@ def base_manifest(items: DataFrame, adapter: Adapter, method: Method, run_id: st
 def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id: str = "run", out_dir: str | None = None, training: tuple[DataFrame | None, DataFrame | None] = (None, None), **about) -> Run:
     """Validate, gate, render, infer, score and account; with ``out_dir`` the run's artifacts are written there.
 
-    Responses are written before they are read again (in ``out_dir``, else the shared checkpoint folder), so the model runs once,
+    Items are written once, dealt to tasks by their number. Responses are written before they are read again (in ``out_dir``, else the shared checkpoint folder), so the model runs once,
     and are checked against the requests. An unsupported combination yields only a manifest. Artifacts: run_manifest.json
     (before the run with status running, and after), responses, results, failures and metrics as JSON lines; the manifest has the rows and SHA-256 of each and of its parts.
     ``training``: the forget and the retain training items, for a method that prepares itself. ``about``: see base_manifest.
     """
     spark = items.sparkSession
     began = time.perf_counter()
+    items = staged(spread(items, "item_id"), "items")
     require_none(items.select("item_id", item_errors().alias("errors")).where(F.size("errors") > 0), "items")
     doc = base_manifest(items, adapter, method, run_id, **about)
 
@@ -313,7 +314,6 @@ def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id:
     try:
         asked = requests(items, run_id, method)
 
-
         def kept(df: DataFrame, name: str) -> DataFrame:
             """``df`` written once; with ``out_dir`` as JSON lines whose digest was made by the tasks that wrote them."""
             if not out_dir:
@@ -325,7 +325,7 @@ def evaluate(items: DataFrame, adapter: Adapter, method: Method = NO_OP, run_id:
 
         answers = kept(method.answered(infer(asked, method.applied(adapter, *training))), "responses")
         require_none(response_violations(asked, answers), "adapter contract")
-        records = kept(score_responses(asked.join(answers, "request_id")), "results")
+        records = kept(score_responses(matched(asked, answers, "request_id")), "results")
         failures = records.where(~F.col("response_status").isin("correct", "incorrect"))
         metrics = accounting_sets(records, [[], ["split", "question_format", "input_condition"], ["concept_id", "input_condition"]])
         failures, metrics = kept(failures, "failures"), kept(metrics.orderBy("level", "split", "question_format", "input_condition", "concept_id"), "metrics")
@@ -349,6 +349,7 @@ def evaluate_conditions(items: DataFrame, adapter: Adapter, conditions: list[str
     is_forget = F.col("split").endswith("_forget")
     rows = items.withColumn("condition", F.explode(F.array(*map(F.lit, conditions)))).where(~per_item | is_forget)
     rows = rows.withColumns({"request_id": F.concat_ws("/", "condition", "item_id"), "prompt_text": legacy_prompt("question", "choices", "condition", is_forget, "concept_name", concepts)})
-    out = rows.join(staged(infer(rows, adapter), "legacy-responses"), "request_id").withColumn("pred_index", legacy_digit("raw_output"))
+    rows = staged(spread(rows, "request_id"), "legacy-requests")
+    out = matched(rows, staged(infer(rows, adapter), "legacy-responses"), "request_id").withColumn("pred_index", legacy_digit("raw_output"))
     again = out.where((F.col("condition") == "BASELINE_NORMAL") & ~is_forget).drop("condition").withColumn("condition", F.explode(F.array(*(F.lit(c) for c in conditions if c.startswith("ORACLE_"))).cast("array<string>")))
     return out.unionByName(again.select(out.columns))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from probeforge.functions.text import answer_prompt, argmax_option, closed_think, legacy_digit, legacy_prompt, open_think
 from probeforge.operators.inference import Adapter, infer, infer_options
 from probeforge.schema import CapabilityMismatch, require_none
-from probeforge.sources.writers import staged
+from probeforge.sources.writers import matched, spread, staged
 
 PATHS = ("batch", "single", "logit", "thinking")
 RECORD = ("id", "split", "condition", "gt_index", "pred_index", "is_correct", "is_invalid", "error", "raw_output", "meta_synset")
@@ -33,7 +33,7 @@ def conditioned(items: DataFrame, conditions: list[str], concepts: list[str] | N
     if files is None:
         return rows.withColumn("missing", F.lit(False))
     there = files.select(F.col("path").alias("image"), F.lit(True).alias("there")).distinct()
-    return rows.join(there, "image", "left").withColumn("missing", F.col("there").isNull()).drop("there")
+    return matched(rows, there, "image", "left").withColumn("missing", F.col("there").isNull()).drop("there")
 
 
 def _continued(reqs: DataFrame, adapter: Adapter, batch_size: int) -> DataFrame:
@@ -63,7 +63,7 @@ def thoughts(reqs: DataFrame, adapter: Adapter, rounds: int = 2, batch_size: int
     left, done = reqs.withColumns({"thought": F.lit(""), "think_error": F.lit(None).cast("string")}), None
     for n in range(1, rounds + 1):
         said = staged(_continued(left.select("request_id", F.concat("prompt_text", "thought").alias("prompt_text"), "thought", *[c for c in reqs.columns if c not in ("request_id", "prompt_text")]), adapter, batch_size), f"thoughts-{n}")
-        now = left.drop("think_error").join(said, "request_id").withColumn("thought", F.concat("thought", "more")).drop("more")
+        now = matched(left.drop("think_error"), said, "request_id").withColumn("thought", F.concat("thought", "more")).drop("more")
         closed = F.lit(n == rounds) | F.col("think_error").isNotNull() | ~open_think("thought")
         over = now.where(closed).select("request_id", closed_think("thought").alias("thought"), F.lit(n).alias("rounds"), "think_error")
         done = over if done is None else done.unionByName(over)
@@ -86,7 +86,8 @@ def legacy_records(
     """RECORD for each item and condition, by one of PATHS. ``template``: the adapter's chat template, as a column expression of the prompt."""
     if way not in PATHS:
         raise ValueError(f"unknown way {way!r}; known: {', '.join(PATHS)}")
-    rows = staged(conditioned(items, conditions, concepts, files), "legacy-requests")
+    rows = conditioned(items, conditions, concepts, files)
+    rows = staged(spread(rows, "request_id") if files is None else rows, "legacy-requests")  # the join with files has dealt them
     asked = rows.where(~F.col("missing"))
     if way in ("batch", "single"):
         said = infer(asked.withColumn("prompt_text", template(F.col("prompt_text"))), adapter, 1 if way == "single" else batch_size)
@@ -97,11 +98,11 @@ def legacy_records(
         answers = _scored_options(asked.withColumn("prompt_text", answer_prompt(template(F.col("prompt_text")))), adapter, batch_size)
     else:
         thought = staged(thoughts(asked.withColumn("prompt_text", template(F.col("prompt_text"))), adapter, rounds, batch_size), "legacy-thoughts")
-        ready = asked.join(thought.where("think_error is null"), "request_id").withColumn("prompt_text", F.concat(template(F.col("prompt_text")), "thought"))
+        ready = matched(asked, thought.where("think_error is null"), "request_id").withColumn("prompt_text", F.concat(template(F.col("prompt_text")), "thought"))
         answers = _scored_options(ready, adapter, batch_size).withColumn("raw_output", F.regexp_replace("raw_output", "^logit:", "logit_thinking:"))
         lost = thought.where("think_error is not null").select("request_id", F.lit(None).cast("int").alias("pred_index"), F.col("think_error").alias("error"), F.lit("").alias("raw_output"))
         answers = answers.unionByName(lost)
-    out = rows.join(staged(answers, "legacy-answers"), "request_id", "left")
+    out = matched(rows, staged(answers, "legacy-answers"), "request_id", "left")
     records = out.select(
         F.col("item_id").alias("id"), "split", "condition", F.col("answer_index").alias("gt_index"), "pred_index", F.coalesce(F.col("pred_index") == F.col("answer_index"), F.lit(False)).alias("is_correct"),
         F.col("pred_index").isNull().alias("is_invalid"), F.when(F.col("missing"), F.concat(F.lit("image_not_found: "), "image")).otherwise(F.col("error")).alias("error"),

@@ -20,6 +20,7 @@ from probeforge.operators.accounting import accounting_sets
 from probeforge.operators.inference import NO_OP, RESPONSE, Adapter, Method, WorkerFailure, answer_batches, requests
 from probeforge.operators.sampling import seeded
 from probeforge.operators.scoring import score_responses
+from probeforge.sources.writers import matched
 
 COMMIT = "shard int, attempt string, requests long"
 
@@ -96,7 +97,7 @@ def reduce_shards(items: DataFrame, folder: str, of: int, method: Method = NO_OP
     """(records, metrics, numbers of the shards that are missing) of what is committed, whether or not all is."""
     spark = items.sparkSession
     asked = requests(items, run_id, method)
-    records = score_responses(asked.join(shard_answers(spark, folder), "request_id"))
+    records = score_responses(matched(asked, shard_answers(spark, folder), "request_id"))
     metrics = accounting_sets(records, [[], ["split", "question_format", "input_condition"], ["concept_id", "input_condition"]])
     have = {r["shard"] for r in finished(spark, folder).collect()}  # a row a shard
     used = {r["shard"] for r in asked.select(shard_of(of, "item_id").alias("shard")).distinct().collect()}
