@@ -5,6 +5,7 @@ can start anywhere, inside a string for example. So each range is first summed u
 string): does it end in the same case, and by how much does the nesting change. A prefix combination of these sums, two numbers a
 range, says where each range starts; with that, each range finds the list it starts in. Then every range gives the elements
 that begin in it, reading on to the end of the last one. Backslashes before a range are looked at where the file is read.
+A range is looked at in blocks, so a task holds one block, the element that is open at its end and the rows of one batch.
 
 Files are opened through ``pyarrow.fs``, so local folders and the object stores and HDFS that it knows can be read.
 An element is found by its brackets; numbers and texts directly in a list are no elements. Elements are given as JSON text with
@@ -27,7 +28,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a range.
 RANGE_BYTES = 16 << 20
-#: Bytes read at a time beyond a range, for its last element, and before it, for a key or backslashes.
+#: Bytes of a block, the part of a range that is looked at at once.
+BLOCK_BYTES = 1 << 20
+#: Bytes read at first beyond a range, for its last element, and before a value or range, for a key or backslashes.
 AROUND_BYTES = 1 << 16
 _QUOTE, _BACKSLASH, _OPEN, _CLOSE, _LIST = ord('"'), ord("\\"), b"{[", b"}]", ord("[")
 _KIND = np.zeros(256, dtype=np.int8)
@@ -92,13 +95,17 @@ def marks(data: bytes, escaped: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return at[keep], kind[keep]
 
 
-def structure(data: bytes, inside: bool, escaped: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(position, +1 or -1) of the brackets outside strings, if the data start ``inside`` a string or not."""
-    at, kind = marks(data, escaped)
-    quotes = kind == 2
-    within = (np.cumsum(quotes) + inside) % 2 == 1
-    out = ~quotes & ~within
-    return at[out], kind[out]
+def blocks(source: ByteRanges, start: int, end: int, beyond: bool = False) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """(offset, bytes, and positions and kinds as ``marks`` gives them) of the blocks of a range; ``beyond``: on to the end of the file, in growing steps."""
+    escaped, step = source.backslashes_before(start) % 2 == 1, AROUND_BYTES
+    end = min(end, source.size)
+    while start < end or (beyond and start < source.size):
+        data = source.read(start, min(start + BLOCK_BYTES, end) if start < end else start + step)
+        yield start, data, *marks(data, escaped)
+        run = len(data) - len(data.rstrip(b"\\"))
+        escaped = (run + (escaped if run == len(data) else 0)) % 2 == 1
+        step = step if start < end else max(step, min(2 * step, BLOCK_BYTES))
+        start += len(data)
 
 
 @dataclass
@@ -113,41 +120,57 @@ class Range:
     keys: tuple[str, ...] = ()
 
 
+def structure(source: ByteRanges, r: Range, beyond: bool = False) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """(offset, bytes, and of the brackets outside strings: position, +1 or -1, depth after it) of the blocks of a range."""
+    inside, depth = r.inside, r.depth
+    for start, data, at, kind in blocks(source, r.start, r.end, beyond):
+        quotes = kind == 2
+        out = ~quotes & ((np.cumsum(quotes) + inside) % 2 == 0)
+        after = depth + np.cumsum(kind[out])
+        yield start, data, at[out], kind[out], after
+        inside ^= bool(quotes.sum() % 2)
+        depth = int(after[-1]) if len(after) else depth
+
+
 def _summed(path: str, start: int, end: int) -> tuple[int, int, int]:
     """(parity of quotation marks, change of depth if the range starts outside a string, if inside)."""
-    source = ByteRanges(path)
-    data = source.read(start, end)
-    at, kind = marks(data, source.backslashes_before(start) % 2 == 1)
-    quotes = kind == 2
-    outside = np.cumsum(quotes) % 2 == 0
-    change = np.where(quotes, 0, kind)
-    return int(quotes.sum() % 2), int(change[outside].sum()), int(change[~outside].sum())
-
-
-def _key_before(data: bytes, at: int) -> str | None:
-    """The key of the value that begins at ``at``."""
-    head = data[:at].rstrip()
-    if not head.endswith(b":"):
-        return None
-    head = head[:-1].rstrip()
-    begin = len(head) - 1
-    while begin > 0:
-        begin = head.rfind(b'"', 0, begin)
-        run = len(head[:begin]) - len(head[:begin].rstrip(b"\\"))
-        if run % 2 == 0:
-            break
-    return json.loads(head[begin:]) if begin >= 0 else None
+    parity, sums = 0, [0, 0]
+    for _, _, _, kind in blocks(ByteRanges(path), start, end):
+        quotes = kind == 2
+        odd = (np.cumsum(quotes) + parity) % 2 == 1
+        change = np.where(quotes, 0, kind)
+        sums[0] += int(change[~odd].sum())
+        sums[1] += int(change[odd].sum())
+        parity = (parity + int(quotes.sum())) % 2
+    return parity, *sums
+
+
+def _key_before(source: ByteRanges, at: int) -> str | None:
+    """The key of the value that begins at ``at``, found in growing steps."""
+    step = AROUND_BYTES
+    while True:
+        start = max(0, at - step)
+        head = source.read(start, at).rstrip()
+        if head and not head.endswith(b":"):
+            return None
+        head = head[:-1].rstrip()
+        begin = len(head) - 1
+        while begin > 0:
+            begin = head.rfind(b'"', 0, begin)
+            run = 0
+            while run < begin and head[begin - 1 - run] == _BACKSLASH:
+                run += 1
+            if begin >= 0 and run % 2 == 0 and (run < begin or not start):
+                return json.loads(head[begin:])
+        if not start:
+            return None
+        step *= 2
 
 
 def opened_lists(path: str, r: Range) -> list[tuple[int, str | None]]:
     """(position, key of the list; None for an object) of the values of the document's object that open in the range."""
     source = ByteRanges(path)
-    before = min(r.start, AROUND_BYTES)
-    data = source.read(r.start - before, r.end)
-    at, change = structure(data[before:], r.inside, source.backslashes_before(r.start) % 2 == 1)
-    depth = r.depth + np.cumsum(change) - change
-    found = np.flatnonzero((depth == 1) & (change == 1))
-    return [(r.start + int(at[i]), _key_before(data, before + int(at[i])) if data[before + int(at[i])] == _LIST else None) for i in found]
+    return [(start + p, _key_before(source, start + p) if data[p] == _LIST else None) for start, data, at, change, depth in structure(source, r) for p in at[(depth == 2) & (change == 1)].tolist()]
 
 
 def document_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> list[Range]:
@@ -185,46 +208,28 @@ def document_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
 
 def elements(path: str, r: Range, key: str) -> Iterator[tuple[int, str]]:
     """(offset, JSON text) of the elements of the list ``key`` that begin in the range."""
-    source = ByteRanges(path)
-    data = source.read(r.start, r.end)
-    escaped = source.backslashes_before(r.start) % 2 == 1
-    at, change = structure(data, r.inside, escaped)
-    depth = r.depth + np.cumsum(change)
-    opens = np.flatnonzero((depth - change == 2) & (change == 1))
-    lists = opened_lists(path, r)
-    switch = np.array([p - r.start for p, _ in lists], dtype=np.int64)
-    names = [r.key, *(k for _, k in lists)]
-    closes = np.flatnonzero((depth == 2) & (change == -1))
-    within = np.searchsorted(switch, at[opens], side="left")
-    upto = np.searchsorted(closes, opens)  # the first close after each open
-    for o, w, c in zip(opens.tolist(), within.tolist(), upto.tolist()):
-        if names[w] != key:
-            continue
-        begin = int(at[o])
-        if c < len(closes):
-            yield r.start + begin, data[begin : int(at[closes[c]]) + 1].decode()
-        else:
-            yield r.start + begin, _to_its_end(source, r.start + begin, data[begin:], r.end)
-
-
-def _to_its_end(source: ByteRanges, begin: int, data: bytes, at: int) -> str:
-    """The element that begins with ``data`` and goes on beyond byte ``at``; read in growing steps, each looked at once."""
-    pieces, step = [data], AROUND_BYTES
-    _, change = structure(data, False)
-    depth, inside = int(change.sum()), bool((marks(data)[1] == 2).sum() % 2)
-    while at < source.size:
-        more = source.read(at, at + step)
-        escaped = source.backslashes_before(at) % 2 == 1
-        pos, change = structure(more, inside, escaped)
-        level = depth + np.cumsum(change)
-        over = np.flatnonzero(level == 0)
-        if len(over):
-            return (b"".join(pieces) + more[: int(pos[over[0]]) + 1]).decode()
-        pieces.append(more)
-        depth = int(level[-1]) if len(level) else depth
-        inside ^= bool((marks(more, escaped)[1] == 2).sum() % 2)
-        at, step = at + len(more), 2 * step
-    raise ValueError(f"the element at byte {begin} has no end")
+    source, name, begin, pieces = ByteRanges(path), r.key, None, []
+    for start, data, at, change, depth in structure(source, r, beyond=True):
+        own = 0  # where the open element's bytes begin in this block
+        found = ((depth == 2) | (depth == 3) & (change == 1)).nonzero()[0]
+        for p, opens, level in zip(at[found].tolist(), (change[found] == 1).tolist(), depth[found].tolist()):
+            if not opens:  # an element ends
+                if begin is not None:
+                    pieces.append(data[own : p + 1])
+                    yield begin, b"".join(pieces).decode()
+                    begin, pieces = None, []
+            elif start >= r.end:  # only the open element goes on beyond the range
+                return
+            elif level == 2:
+                name = _key_before(source, start + p) if data[p] == _LIST else None
+            elif name == key:
+                begin, own = start + p, p
+        if begin is not None:
+            pieces.append(data[own:])
+        elif start + len(data) >= r.end:
+            return
+    if begin is not None:
+        raise ValueError(f"the element at byte {begin} has no end")
 
 
 class _Part(InputPartition):

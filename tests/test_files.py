@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import tracemalloc
 
 import pytest
 
@@ -53,6 +54,41 @@ def test_elements_of_any_range(tmp_path, size, monkeypatch):
             assert [json.loads(t) for _, t in found] == doc[name] and [o for o, _ in found] == sorted(o for o, _ in found)
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 64])
+def test_blocks_of_any_size(tmp_path, block, monkeypatch):
+    """Ranges looked at in blocks that end inside strings, escapes, keys and elements give each element once."""
+    monkeypatch.setattr(J, "BLOCK_BYTES", block)
+    test_elements_of_any_range(tmp_path, 50, monkeypatch)
+
+
+def test_long_keys(tmp_path, monkeypatch):
+    """A key with quotation marks that begins further before its list than is read at first."""
+    monkeypatch.setattr(J, "AROUND_BYTES", 16)
+    name, path = 'k"\\' * 30, str(tmp_path / "d.json")
+    text = json.dumps({"a": 1, name: [{"i": 0}, {"i": 1}]}).encode()
+    (tmp_path / "d.json").write_bytes(text)
+    at = text.index(b"[")
+    r = J.Range(at, len(text), False, 1, None, (name,))
+    assert J.opened_lists(path, r) == [(at, name)] and [json.loads(x) for _, x in J.elements(path, r, name)] == [{"i": 0}, {"i": 1}]
+
+
+def test_memory_of_a_range(tmp_path, monkeypatch):
+    """A task's memory is a block's, not its range's; elements are given out as they end."""
+    monkeypatch.setattr(J, "BLOCK_BYTES", 1 << 16, raising=False)
+    path, peaks = str(tmp_path / "d.json"), []
+    for n in (5_000, 40_000):
+        text = json.dumps({"annotations": [{"image_id": i, "note": 'a } "quoted" ] text\\', "bbox": [i]} for i in range(n)]}).encode()
+        (tmp_path / "d.json").write_bytes(text)
+        size, r = len(text), J.Range(0, len(text), keys=("annotations",))
+        del text
+        tracemalloc.start()
+        assert J._summed(path, 0, size)[:2] == (0, 0) and J.opened_lists(path, r) == [(16, "annotations")]
+        assert sum(1 for _ in J.elements(path, r, "annotations")) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert size > 40 << 16 and peaks[1] < 1.2 * peaks[0], peaks
+
+
 def test_elements_by_many_tasks(spark, tmp_path):
     rng, path = random.Random(9), str(tmp_path / "d.json")
     doc = document(rng, 2000)
